@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,3 +195,26 @@ def joined(column: pa.Array | pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.nd
     parts = [x.as_py() or b"" for x in column]
     sizes = np.array([len(x) for x in parts], np.int64) // np.dtype(dtype).itemsize
     return np.frombuffer(b"".join(parts), dtype), sizes
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: small ones take little room in a shuffle."""
+    raw = np.ascontiguousarray(values)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.view(np.uint8).reshape(-1, raw.itemsize).T).tobytes())
+
+
+def unpacked(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+
+
+def packed_strings(values: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(values), *map(len, values)], "<u4").tobytes() + b"".join(values))
+
+
+def unpacked_strings(data: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)) + 4 * (n + 1)
+    return [raw[a:b] for a, b in zip([4 * (n + 1), *ends[:-1].tolist()], ends.tolist())]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, documents, held_out, lowered, staged, task_key, words
+from .common import buffers, chunks, documents, held_out, lowered, packed, staged, task_key, unpacked, words
 
 END = np.uint64(0x5EED0FE2D0C5E11D)
 BLOCK = 16 << 20
@@ -145,11 +145,12 @@ def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFr
                 order, ends, p_order, p_ends = dealt_pairs(token, pair, n_buckets)
                 each = np.bincount(pair // CONTEXTS, minlength=len(token)).astype("<u2")[order]
                 used = np.flatnonzero(np.diff(ends))
-                cols = [[x[e[b] : e[b + 1]].tobytes() for b in used] for x, e in ((token[order], ends), (each, ends), ((pair % CONTEXTS).astype(np.uint8)[p_order], p_ends), (count[p_order], p_ends))]
+                cols = [[pack(x[e[b] : e[b + 1]]) for b in used] for x, e, pack in ((token[order], ends, np.ndarray.tobytes), (each, ends, packed), ((pair % CONTEXTS).astype(np.uint8)[p_order], p_ends, np.ndarray.tobytes), (count[p_order], p_ends, packed))]
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(used), pa.binary()), pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["key", "bucket", "token", "each", "ctx", "count"])
 
     def read_parts(table: pa.Table):
-        token, each, ctx, count = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("token", np.uint64), ("each", "<u2"), ("ctx", np.uint8), ("count", "<u4")))
+        token, ctx = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("token", np.uint64), ("ctx", np.uint8)))
+        each, count = (np.concatenate([unpacked(x.as_py(), t) for x in table.column(c)]) for c, t in (("each", "<u2"), ("count", "<u4")))
         return token, each.astype(np.int64), ctx.astype(np.int64), count
 
     def merge(table: pa.Table) -> pa.Table:
@@ -196,7 +197,7 @@ def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFr
         score = np.log10(prob).astype("<f4")
         n_tok = np.cumsum([len(x.as_py()) // 8 for x in left.column("token")])
         n_pair = np.cumsum([len(x.as_py()) for x in left.column("ctx")])
-        cols = [[x[b - n : b].tobytes() for b, n in zip(e, np.diff(e, prepend=0))] for x, e in ((known.astype("<u8"), n_tok), (each.astype("<u2"), n_tok), (score, n_pair))]
+        cols = [[packed(x[b - n : b]) for b, n in zip(e, np.diff(e, prepend=0))] for x, e in ((known.astype("<u8"), n_tok), (each.astype("<u2"), n_tok), (score, n_pair))]
         return pa.table([left.column("key"), left.column("bucket"), *(pa.array(c, pa.binary()) for c in cols)], names=["key", "bucket", "known", "each", "score"])
 
     def whole_blocks(batches):
@@ -206,15 +207,15 @@ def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFr
                 place = np.empty(len(p_order), np.int32)
                 place[p_order] = np.arange(len(p_order), dtype=np.int32)
                 rows = [batch.column(c).slice(i, j - i).to_pylist() for c in (0, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([rows[0]], pa.list_(pa.int64())), pa.array([rows[1]], pa.list_(pa.bool_())), pa.array([np.diff(first).astype("<i8").tobytes()], pa.binary()), pa.array([place[code].tobytes()], pa.binary())], names=["key", "ids", "held", "sizes", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([rows[0]], pa.list_(pa.int64())), pa.array([rows[1]], pa.list_(pa.bool_())), pa.array([np.diff(first).astype("<i8").tobytes()], pa.binary()), pa.array([packed(place[code])], pa.binary())], names=["key", "ids", "held", "sizes", "codes"])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("bucket").to_numpy())
-        known, each, score = (np.frombuffer(b"".join(right.column(c)[int(k)].as_py() for k in order), t) for c, t in (("known", "<u8"), ("each", "<u2"), ("score", "<f4")))
+        known, each, score = (np.concatenate([np.zeros(0, t), *(unpacked(right.column(c)[int(k)].as_py(), t) for k in order)]) for c, t in (("known", "<u8"), ("each", "<u2"), ("score", "<f4")))
         known, score = np.repeat(known, each).astype(np.float64), score.astype(np.float64)
         out = [[] for _ in range(6)]
         for ids, held, sizes, codes in zip(*(left.column(c) for c in ("ids", "held", "sizes", "codes"))):
-            codes, sizes = np.frombuffer(codes.as_py(), np.int32), np.frombuffer(sizes.as_py(), "<i8")
+            codes, sizes = unpacked(codes.as_py(), np.int32), np.frombuffer(sizes.as_py(), "<i8")
             if len(codes) and codes.max() >= len(score):
                 raise RuntimeError("a block's tokens have no counts: the block was not made alike twice")
             first = np.cumsum(sizes) - sizes
