@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,15 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, documents, task_key
+from .common import buffers, chunks, documents, packed, packed_strings, task_key, unpacked, unpacked_strings
 
 #: Bytes of text in a block.
 BLOCK = 8 << 20
 #: Texts whose characters are all below this take an equal pattern of plain classes.
 PLAIN = 0x500
-PARTS = "key binary, bucket int, idx binary, words array<binary>"
-BACK = "key binary, idx binary, sizes binary, ids binary"
-WHOLE = "key binary, rows array<struct<doc_id: long>>, sizes binary, codes binary"
+PARTS = "key binary, bucket int, words binary"
+BACK = "key binary, bucket int, sizes binary, ids binary"
+WHOLE = "key binary, rows array<struct<doc_id: long>>, sizes binary, codes binary, place binary"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -82,60 +83,62 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, buckets: in
     n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    def by_bucket(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The order of words by bucket, and where each bucket begins in it."""
+        to = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % n_buckets
+        order = np.argsort(to, kind="stable")
+        return order, np.searchsorted(to[order], np.arange(n_buckets + 1))
+
     def word_parts(batches):
         split = splitter(pattern)
         for seq, batch in enumerate(batches):
             for key, _, words, _, _ in blocks_of(batch, split, seq):
                 raw = [w.encode() for w in words]
-                to = np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") for w in raw), np.int64, len(raw)) % n_buckets
-                order = np.argsort(to, kind="stable")
-                ends = np.searchsorted(to[order], np.arange(n_buckets + 1))
+                order, ends = by_bucket(raw)
                 used = np.flatnonzero(np.diff(ends))
-                parts = [order[ends[b] : ends[b + 1]] for b in used]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(used), pa.binary()), pa.array(used, pa.int32()), pa.array([p.astype("<i4").tobytes() for p in parts], pa.binary()), pa.array([[raw[k] for k in p] for p in parts], pa.list_(pa.binary()))], names=["key", "bucket", "idx", "words"])
+                parts = [packed_strings([raw[k] for k in order[ends[b] : ends[b + 1]]]) for b in used]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(used), pa.binary()), pa.array(used, pa.int32()), pa.array(parts, pa.binary())], names=["key", "bucket", "words"])
 
     def encode_bucket(table: pa.Table) -> pa.Table:
         encoder = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}) if not hasattr(read_ranks, "encoder") else read_ranks.encoder
         read_ranks.encoder = encoder  # one for each worker
-        known: dict[bytes, bytes] = {}
-        keys, idx, sizes, ids = [], [], [], []
-        for key, at, words in zip(table.column("key"), table.column("idx"), table.column("words")):
+        known: dict[bytes, list[int]] = {}
+        sizes, ids = [], []
+        for part in table.column("words"):
             own = []
-            for w in words.as_py():
+            for w in unpacked_strings(part.as_py()):
                 got = known.get(w)
                 if got is None:
-                    got = known[w] = np.array(encoder._encode_single_piece(w), "<u4").tobytes()
+                    got = known[w] = encoder._encode_single_piece(w)
                 own.append(got)
-            keys.append(key.as_py())
-            idx.append(at.as_py())
-            sizes.append(np.array([len(x) // 4 for x in own], "<i4").tobytes())
-            ids.append(b"".join(own))
-        return pa.table([pa.array(keys, pa.binary()), pa.array(idx, pa.binary()), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["key", "idx", "sizes", "ids"])
+            sizes.append(packed(np.array([len(x) for x in own], "<u4")))
+            ids.append(packed(np.array([i for x in own for i in x], "<u4")))
+        return pa.table([table.column("key"), table.column("bucket"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["key", "bucket", "sizes", "ids"])
 
     def whole_blocks(batches):
         split = splitter(pattern)
         for seq, batch in enumerate(batches):
-            for key, (i, j), _, sizes, codes in blocks_of(batch, split, seq):
+            for key, (i, j), words, sizes, codes in blocks_of(batch, split, seq):
+                order, _ = by_bucket([w.encode() for w in words])
+                place = np.empty(len(order), np.int32)
+                place[order] = np.arange(len(order), dtype=np.int32)
                 rows = [{"doc_id": x} for x in batch.column(0).slice(i, j - i).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([rows], pa.list_(pa.struct([("doc_id", pa.int64())]))), pa.array([sizes.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())], names=["key", "rows", "sizes", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([rows], pa.list_(pa.struct([("doc_id", pa.int64())]))), pa.array([packed(sizes)], pa.binary()), pa.array([packed(codes)], pa.binary()), pa.array([packed(place)], pa.binary())], names=["key", "rows", "sizes", "codes", "place"])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         out_id, out_ids = [], []
-        at = np.frombuffer(b"".join(right.column("idx").to_pylist()), "<i4")
-        n = np.frombuffer(b"".join(right.column("sizes").to_pylist()), "<i4")
-        flat = np.frombuffer(b"".join(right.column("ids").to_pylist()), "<u4")
+        parts = np.argsort(right.column("bucket").to_numpy())
+        n, flat = (np.concatenate([np.zeros(0, "<u4"), *(unpacked(right.column(c)[int(k)].as_py(), "<u4") for k in parts)]) for c in ("sizes", "ids"))
         begin = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
-        for rows, sizes, codes in zip(left.column("rows"), left.column("sizes"), left.column("codes")):
-            sizes, codes = np.frombuffer(sizes.as_py(), np.int32), np.frombuffer(codes.as_py(), np.int32)
-            if len(codes) and (len(at) == 0 or codes.max() >= len(at)):
+        for rows, sizes, codes, place in zip(*(left.column(c) for c in ("rows", "sizes", "codes", "place"))):
+            sizes, codes, place = (unpacked(x.as_py(), np.int32) for x in (sizes, codes, place))
+            if len(place) != len(n):
                 raise RuntimeError("a block's words have no ids: the block was not made alike twice")
-            place = np.zeros(len(at), np.int64)
-            place[at] = np.arange(len(at))
             stop = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
             for k, row in enumerate(rows.as_py()):
                 own = place[codes[stop[k] : stop[k + 1]]]
-                lens = n[own]
-                ends = np.cumsum(lens, dtype=np.int64)
+                lens = n[own].astype(np.int64)
+                ends = np.cumsum(lens)
                 pos = np.repeat(begin[own] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)
                 out_id.append(row["doc_id"])
                 out_ids.append(flat[pos].tobytes())
