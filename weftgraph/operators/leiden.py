@@ -123,12 +123,12 @@ def candidates(graph: Graph, partition: DataFrame, objective: Objective, m: floa
     mine = F.col("community") == F.col("own")
     full = full.withColumn("comm_strength", F.coalesce("comm_strength", F.lit(0.0)) - F.when(mine, F.col("strength")).otherwise(0.0)).withColumn("comm_weight", F.coalesce("comm_weight", F.lit(0.0)) - F.when(mine, F.col("node_weight")).otherwise(0.0))
     gain = objective.delta_insert(F.col("w"), F.col("self_loop"), F.col("strength"), F.col("node_weight"), F.col("comm_strength"), F.col("comm_weight"), m)
-    return full.select("node", "community", "own", F.round(gain, 9).alias("gain"), "comm_weight", "node_weight")
+    return full.select("node", "community", "own", gain.alias("gain"), "comm_weight", "node_weight")
 
 
 def best_moves(graph: Graph, partition: DataFrame, objective: Objective, m: float, cap: float | None = None) -> DataFrame:
     """(node, own, community, gain): each node's best move and what it gains over staying; the lowest id of equal ones."""
-    options = candidates(graph, partition, objective, m)
+    options = candidates(graph, partition, objective, m).withColumn("gain", F.round("gain", 9))  # sums' last bits decide nothing
     if cap is not None:
         options = options.where((F.col("community") == F.col("own")) | (F.col("comm_weight") + F.col("node_weight") <= cap))
     base = F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("base")
@@ -175,7 +175,7 @@ def refine_rounds(graph: Graph, constraint: DataFrame, objective: Objective, m:
         alone = partition.join(sizes.where("size = 1"), "community").select(F.col("node").alias("_m"), F.col("community").alias("_mc"))
         movers = alone.where(coin(seed, F.lit("mover"), F.lit(k), "_m") < 0.5)
         base = options.where("community = own").select(F.col("node").alias("_b"), F.col("gain").alias("base"))
-        rel = options.where("community <> own").join(movers, F.col("node") == F.col("_m"), "left_semi").join(movers, F.col("community") == F.col("_mc"), "left_anti").join(base, F.col("node") == F.col("_b")).withColumn("rel", F.col("gain") - F.col("base")).where("rel >= 0")
+        rel = options.where("community <> own").join(movers, F.col("node") == F.col("_m"), "left_semi").join(movers, F.col("community") == F.col("_mc"), "left_anti").join(base, F.col("node") == F.col("_b")).withColumn("rel", F.round(F.col("gain") - F.col("base"), 9)).where("rel >= 0")
         if cap is not None:
             rel = rel.where(F.col("comm_weight") + F.col("node_weight") <= cap)
         gumbel = -F.log(-F.log(F.greatest(coin(seed, F.lit("draw"), F.lit(k), "node", "community"), F.lit(1e-15))))
