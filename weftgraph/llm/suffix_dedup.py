@@ -32,7 +32,7 @@ from .common import buffers, chunks, documents, prefix_sums, range_hashes, stage
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM + 1
 DEPTH = LENGTH + 8
-CELL_CONTEXTS = 2048
+CELL_CONTEXTS = 8192
 #: Bytes of text in one suffix array.
 SORTED = 1 << 20
 MOST_BROADCAST = 1_000_000
@@ -86,8 +86,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     nearest = np.minimum.accumulate(settled[::-1])[::-1]
     small = step[nearest] > 0  # smaller than the successor
     raw = text.tobytes()
-    direct = np.array(sorted(np.flatnonzero(small).tolist(), key=lambda i: raw[i : i + DEPTH]), np.int64)
-    cut = np.searchsorted(t[direct], np.arange(257))
+    chosen = np.flatnonzero(small)
+    chosen = chosen[np.argsort(t[chosen], kind="stable")]
+    cut = np.searchsorted(t[chosen], np.arange(257))
+    #  one bucket of first bytes at a time, so that few keys are held
+    direct = np.array([i for c in np.flatnonzero(np.diff(cut)) for i in sorted(chosen[cut[c] : cut[c + 1]].tolist(), key=lambda i: raw[i : i + DEPTH])], np.int64)
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[t[-1]].append(np.array([n - 1]))  # the empty suffix comes first and induces the last one
     out = []
