@@ -4,9 +4,10 @@ The global order of 5-word shingles is (rarity class, hash), where the class is
 a fixed-size table that counts every distinct shingle of every document. The steps:
 
 1. Documents with equal shingle sets are one node, named by its smallest doc_id.
-2. Two nodes that link share a shingle among the first ones of the larger node's order (its probing prefix) that is
-   also in the smaller one's shorter index prefix. Prefix shingles are dealt to buckets; a bucket pairs the nodes
-   that share one. A shingle of more than ``SMALL`` nodes pairs each node with a hub of like size only.
+2. Two nodes that link share ``SHARED`` shingles (fewer where the sets are tiny) among the first ones of the larger node's
+   order (its probing prefix) that are also in the smaller one's shorter index prefix. Prefix shingles are dealt to
+   buckets; a bucket pairs the nodes that share one, and the shared ones are counted over all buckets. A shingle of
+   more than ``SMALL`` nodes pairs each node with a hub of like size only, whatever else they share.
 3. Candidate pairs are counted by vertical partitioning: the hash order is cut into ``FRAGMENTS`` ranges, each
    range counts a pair's partial overlap by itself, and the partial overlaps are summed per pair.
 4. Links give components. Shingles of many nodes whose nodes are then in more than one component are taken up
@@ -35,6 +36,8 @@ SLICES = 16
 FAN_IN = 64
 SMALL = 16
 FRAGMENTS = 4
+#: Shingles that a pair must share in its prefixes, each prefix being longer by as many less one.
+SHARED = 4
 CELL = 1024
 BLOCK_NODES = 1024
 #: Candidate documents up to which their ids are broadcast instead of joined by a shuffle.
@@ -96,8 +99,9 @@ def prefixes(v, first, classes):
     rank = classes[(v >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
     order = np.lexsort((v, rank, doc))
     at = np.arange(len(v)) - first[:-1][doc]
-    probe = n - (75 * n + 99) // 100 + 1
-    index = n - (150 * n + 174) // 175 + 1
+    extra = np.minimum(SHARED, (75 * n + 99) // 100)
+    probe = n - (75 * n + 99) // 100 + extra
+    index = n - (150 * n + 174) // 175 + extra
     use = at < probe[doc]
     return doc[use], v[order][use], at[use] < index[doc[use]]
 
@@ -119,7 +123,7 @@ def node_rows(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def shared_prefixes(docs: DataFrame, classes: np.ndarray, buckets: int, size: int = 5) -> DataFrame:
-    """Candidate pairs (kind 0: a, b set keys) and the rows of shingles of many nodes (kind 1: a is the
+    """Candidate pairs (kind 0: a, b set keys, n shingles shared in this bucket, need how many it takes) and the rows of shingles of many nodes (kind 1: a is the
     shingle, b the set key, n its length class and index bit)."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)
 
@@ -161,7 +165,7 @@ def shared_prefixes(docs: DataFrame, classes: np.ndarray, buckets: int, size: in
         starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(token)))
         length, index = (n & ~INDEX_BIT).astype(np.int64), (n & INDEX_BIT) > 0
-        found = []
+        found, hubs = [], []
         for d in range(1, SMALL):  # pairs of small groups, by distance in the group
             at = np.concatenate([starts[(sizes <= SMALL) & (sizes > d)] + k for k in range(SMALL - d)]) if len(starts) else starts
             group = np.searchsorted(starts, at, "right") - 1
@@ -170,7 +174,8 @@ def shared_prefixes(docs: DataFrame, classes: np.ndarray, buckets: int, size: in
             x, y = at, at + d
             gap = length[x] - length[y]
             ok = (np.abs(gap) <= REACH) & np.where(gap > 0, index[y], np.where(gap < 0, index[x], index[x] | index[y]))
-            found.append((key[x[ok]], key[y[ok]]))
+            least = np.exp((np.minimum(length[x], length[y])[ok] - 0.5) / 64)
+            found.append((key[x[ok]], key[y[ok]], np.clip(np.floor(0.75 * least), 1, SHARED).astype(np.uint64)))
         large = np.repeat(sizes > SMALL, sizes) if len(sizes) else np.zeros(0, bool)
         lt, lk, ll = token[large], key[large], length[large]
         band = ll // (REACH // 2)
@@ -179,25 +184,27 @@ def shared_prefixes(docs: DataFrame, classes: np.ndarray, buckets: int, size: in
             lt2, lk2, lb2 = lt[order], lk[order], band[order]
             head = np.concatenate(([True], (lt2[1:] != lt2[:-1]) | (lb2[1:] != lb2[:-1])))
             hub = lk2[np.flatnonzero(head)[np.cumsum(head) - 1]]
-            found.append((hub[hub != lk2], lk2[hub != lk2]))
-        a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
-        b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.uint64)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
+            hubs = [(hub[hub != lk2], lk2[hub != lk2], np.zeros((hub != lk2).sum(), np.uint64))]
+        a, b, need = (np.concatenate([np.zeros(0, np.uint64), *(f[k] for f in found + hubs)]) for k in range(3))
+        pairs, shared = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), need], 1), axis=0, return_counts=True) if len(a) else (np.zeros((0, 3), np.uint64), np.zeros(0, np.int64))
         kind = np.concatenate((np.zeros(len(pairs), np.int32), np.ones(len(lt), np.int32)))
         bucket = np.uint64(table.column("bucket")[0].as_py())
         one = np.concatenate((pairs[:, 0], mix(lt * np.uint64(buckets) + bucket)))
         two = np.concatenate((pairs[:, 1], lk))
-        return pa.table([pa.array(kind), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.concatenate((np.zeros(len(pairs), np.int32), n[large].astype(np.int32))))], names=["kind", "a", "b", "n"])
+        return pa.table([pa.array(kind), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.concatenate((shared.astype(np.int32), n[large].astype(np.int32)))), pa.array(np.concatenate((pairs[:, 2].astype(np.int32), np.zeros(len(lt), np.int32))))], names=["kind", "a", "b", "n", "need"])
 
     dealt = docs.select("text").mapInArrow(deal, "bucket int, low binary, high binary, key binary, n binary")
-    return dealt.groupBy("bucket").applyInArrow(pair_up, "kind int, a long, b long, n int")
+    return dealt.groupBy("bucket").applyInArrow(pair_up, "kind int, a long, b long, n int, need int")
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, buckets: int, size: int = 5) -> DataFrame:
     """Links (a, b) among pairs of representatives' ids, by partial overlaps of the fragments of the order."""
     spark = docs.sparkSession
-    many = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / CELL).alias("salts"))
-    dealt = staged(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), "salts")), F.lit(buckets)).cast("int").alias("cell")), "pairs")
+    ends = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("nbr")), F.struct(F.col("b").alias("node"), F.col("a").alias("nbr")))))
+    family = ends.groupBy("node").agg(F.min("nbr").alias("nbr")).select(F.col("node").alias("a"), F.least("node", "nbr").alias("family"))
+    told = pairs.join(family, "a")  # pairs of one family meet in one cell, so that a document is sent once
+    many = told.groupBy("family").count().select("family", F.ceil(F.col("count") / CELL).alias("salts"))
+    dealt = staged(told.join(many, "family").select("a", "b", F.pmod(F.xxhash64("family", F.pmod(F.xxhash64("b"), "salts")), F.lit(buckets)).cast("int").alias("cell")), "pairs")
     wanted = dealt.select(F.inline(F.array(F.struct(F.col("a").alias("doc_id"), "cell"), F.struct(F.col("b").alias("doc_id"), "cell")))).groupBy("doc_id").agg(F.collect_set("cell").alias("cells"))
     n = wanted.count()
     own = docs.select("doc_id", "text").join(F.broadcast(wanted.select("doc_id")) if n <= MOST_BROADCAST else wanted.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(wanted, "doc_id")
@@ -281,7 +288,7 @@ def join_documents(docs: DataFrame, size: int = 5) -> DataFrame:
     nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     found = staged(shared_prefixes(named, order_classes(named, size), buckets, size), "candidates")
     one, two = nodes.select(F.col("set_key").alias("a"), F.col("rep").alias("x")), nodes.select(F.col("set_key").alias("b"), F.col("rep").alias("y"))
-    pairs = staged(found.where("kind = 0").select("a", "b").distinct().join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b"), "pairs")
+    pairs = staged(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b").join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b"), "pairs")
     links = overlaps(named, pairs, buckets, size)
     comps = staged(components(links, "a", "b"), "components")
     many = found.where("kind = 1").select("a", "b", "n")
