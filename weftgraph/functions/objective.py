@@ -43,7 +43,7 @@ class Rb(Objective):
     def delta_insert(self, w_to_c, loop, strength, node_weight, comm_strength, comm_weight, m: float):
         if not m:
             return w_to_c * 0.0
-        return (w_to_c + loop) - strength * (comm_strength * 2.0 + strength) * (self.resolution / (4.0 * m))
+        return (w_to_c + loop) - strength * (comm_strength * 2.0 + strength) * self.resolution / (4.0 * m)
 
     def community_quality(self, internal, comm_strength, comm_weight, m: float):
         return internal - comm_strength * comm_strength * (self.resolution / (4.0 * m)) if m else internal * 0.0
