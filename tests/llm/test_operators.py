@@ -19,9 +19,8 @@ def rows(seed=1, n=40):
     word = lambda: "".join(rng.choice("aeiournst") for _ in range(rng.randint(1, 6)))
     base = [" ".join(word() for _ in range(rng.choice([3, 20, 80]))) for _ in range(n)]
     out = [*base, base[0], base[1] + " extra", base[3] + " tail", None, "", "  \n", base[2][:300], "ZuéЖ 中文 12 ab"]
-    near = base[5].split()
-    if len(near) > 3:
-        out += [" ".join([*near[:-1], "changed"])]
+    long = [t for t in base if len(t) > 250]  # repeats of over 200 bytes and near copies
+    out += [long[0], long[1] + " tail", "head " + long[0], " ".join([*long[2].split()[:-1], "changed"])]
     return [(k, t) for k, t in enumerate(out)]
 
 
