@@ -241,14 +241,14 @@ def neighbor_community_weights_constrained(spark, sf_dir):
     return partition.neighbor_weights(part_supplier(spark, sf_dir), p, p.select("node", (F.col("node") % 2).alias("community")))
 
 
-DELTAS = """select node, nw.community, round({}, 6) gain from nw join k on k.id = node join lab using (node) join c on c.community = nw.community, m where nw.community <> label"""
+DELTAS = """select node, nw.community, round({}, 8) gain from nw join k on k.id = node join lab using (node) join c on c.community = nw.community, m where nw.community <> label"""
 
 
 def deltas(spark, sf_dir, objective):
     g, p = part_supplier(spark, sf_dir), brand_partition(spark, sf_dir)
     found = leiden.candidates(g, p, objective, g.total_weight())
     beside = partition.neighbor_weights(g, p).select("node", "community")
-    return found.where("community <> own").join(beside, ["node", "community"]).select("node", "community", F.round("gain", 6).alias("gain"))
+    return found.where("community <> own").join(beside, ["node", "community"]).select("node", "community", F.round("gain", 8).alias("gain"))
 
 
 @query(DELTAS.format("nw.weight - k.strength * (2 * c.strength + k.strength) / (4 * m.m)"))
