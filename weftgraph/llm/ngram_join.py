@@ -11,8 +11,9 @@ a fixed-size table that counts every distinct shingle of every document. The ste
 3. Candidate pairs are counted by vertical partitioning: the hash order is cut into ``FRAGMENTS`` ranges, each
    range counts a pair's partial overlap by itself, and the partial overlaps are summed per pair.
 4. Links give components. Shingles of many nodes whose nodes are then in more than one component are taken up
-   again: their pairs across components, in blocks of bounded size, are counted in the same way until none is left.
-   A pair inside one component needs no count, since it can't change a component.
+   again: their pairs across components, in blocks of bounded size, must share ``SHARED`` prefix shingles too, those
+   of few nodes included, and are then counted in the same way. All shingles of many nodes that such a pair shares are
+   open, so none is missing from its sum. A pair inside one component needs no count, since it can't change a component.
 
 Set keys are 64-bit sums of shingle hashes and shingles are 64-bit hashes; buckets carry 40 bits of a shingle, as a
 false candidate is rejected by the count. A hub is paired with its nodes in salted cells of bounded size.
@@ -253,29 +254,33 @@ def overlaps(docs: DataFrame, pairs: DataFrame, buckets: int, size: int = 5) ->
 
 
 def residual_pairs(rows: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs across components of the nodes that share a shingle of many nodes."""
-    own = rows.join(nodes, rows["b"] == nodes["set_key"]).select(rows["a"].alias("token"), "rep", rows["n"].alias("n"))
-    own = own.join(comps, own["rep"] == comps["node"], "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    """Pairs (a, b set keys) across components of the nodes that share a shingle of many nodes, once for each such shingle,
+    and how many prefix shingles they must share."""
+    own = rows.join(nodes, rows["b"] == nodes["set_key"]).select(rows["a"].alias("token"), "set_key", "rep", rows["n"].alias("n"))
+    own = own.join(comps, own["rep"] == comps["node"], "left").select("token", "set_key", "n", F.coalesce("component", "rep").alias("component"))
     open_ = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("token", F.ceil(F.col("m") / BLOCK_NODES).alias("blocks"))
-    own = own.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "n", "component", "block")
+    own = own.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("set_key"), "blocks"))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set_key", "n", "component", "block")
 
     def cross(table: pa.Table) -> pa.Table:
-        rep, comp, n, block = (table.column(c).to_numpy() for c in ("rep", "component", "n", "block"))
+        comp, n, block = (table.column(c).to_numpy() for c in ("component", "n", "block"))
+        key = table.column("set_key").to_numpy().view(np.uint64)
         length, index = n & 0x7FFF, (n & 0x8000) > 0
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in left:
             gap = length[i] - length[right]
             ok = (comp[right] != comp[i]) & (np.abs(gap) <= REACH) & np.where(gap > 0, index[right], np.where(gap < 0, index[i], index[right] | index[i]))
-            ok &= rep[right] > rep[i] if lo == hi else True
-            b.append(rep[right[ok]])
-            a.append(np.full(len(b[-1]), rep[i]))
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            ok &= key[right] > key[i] if lo == hi else True
+            two.append(right[ok])
+            one.append(np.full(len(two[-1]), i))
+        x, y = np.concatenate(one), np.concatenate(two)
+        least = np.exp((np.minimum(length[x], length[y]) - 0.5) / 64)
+        need = np.clip(np.floor(0.75 * least), 1, SHARED).astype(np.int32)
+        return pa.table([pa.array(np.minimum(key[x], key[y]).view(np.int64)), pa.array(np.maximum(key[x], key[y]).view(np.int64)), pa.array(need)], names=["a", "b", "need"])
 
-    return spread.groupBy("token", "lo", "hi").applyInArrow(cross, "a long, b long").distinct()
+    return spread.groupBy("token", "lo", "hi").applyInArrow(cross, "a long, b long, need int")
 
 
 def join_documents(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -293,7 +298,10 @@ def join_documents(docs: DataFrame, size: int = 5) -> DataFrame:
     comps = staged(components(links, "a", "b"), "components")
     many = found.where("kind = 1").select("a", "b", "n")
     if not many.isEmpty():
-        more = staged(residual_pairs(many, nodes, comps).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        wide = residual_pairs(many, nodes, comps).select("a", "b", F.lit(1).alias("n"), "need", F.lit(1).alias("wide"))
+        small = found.where("kind = 0 and need > 0").select("a", "b", "n", "need", F.lit(0).alias("wide"))
+        told = wide.unionByName(small).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"), F.max("wide").alias("wide")).where("wide = 1 and n >= need")
+        more = staged(told.select("a", "b").join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             links = links.unionByName(overlaps(named, more, buckets, size))
             comps = staged(components(links, "a", "b"), "components")
