@@ -12,7 +12,9 @@ at most ``BLOCK_BYTES``, and each block is searched in all documents.
    Hamming distance. Outputs go up to the smallest item of the size class, so a window's walk stays inside it.
 3. Bit sampling. ``TABLES`` samples of ``BITS`` outputs of each of ``WALKS`` walks are hashed; a window that agrees with
    an item on any sample is a candidate. More tables raise the recall.
-4. Verification. The exact edit distance of the item to the best stretch around the window, by bit-parallel columns.
+4. Verification. What surrounds a candidate window must hold at least m - 4 - 5k of its own item's 5-byte strings, again
+   without loss. Windows of one item that overlap are one region, in which the exact edit distance of the item to the
+   best stretch is taken by bit-parallel columns.
 
 Defined results: null documents and items are empty; items under ``SMALLEST`` bytes are left out, too short to tell
 from chance; repeated items and rows match by themselves; an empty benchmark or table gives no rows. Offsets are bytes.
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, buffers, chunks, documents, lowered, mix, prefix_sums, range_hashes, word_bounds
 
 RATE, GRAM, SMALLEST = 0.1, 9, 48
+#: Bytes of the strings that a candidate shares with its own item, and how many of them one vectorised step looks up.
+SHORT, STEP = 5, 1 << 21
 BLOCK_BYTES = 4 << 20
 WALKS, TABLES, BITS = 2, 10, 5
 LONGEST_WALK = 160
@@ -76,6 +80,14 @@ def sketches(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def short_strings(data: np.ndarray) -> np.ndarray:
+    """The SHORT-byte strings at all offsets, as numbers."""
+    out = np.zeros(max(len(data) - SHORT + 1, 0), np.uint64)
+    for k in range(SHORT):
+        out = (out << np.uint64(8)) | data[k : k + len(out)]
+    return out
+
+
 def best_stretch(item: bytes, text: bytes) -> tuple[int, int]:
     """The least edit distance of item to a stretch of text, and the first end of such a stretch (Myers)."""
     m = len(item)
@@ -119,9 +131,37 @@ class Block:
         owner = np.tile(np.arange(len(items)), WALKS * TABLES)
         order = np.argsort(keys, kind="stable")
         self.keys, self.owner = keys[order], owner[order]
+        self.bytes = np.array([len(t) for _, t in items], np.int64)
+        self.edits = np.array([int(RATE * len(t)) for _, t in items], np.int64)
+        strings = [short_strings(np.frombuffer(t, np.uint8)) for _, t in items]
+        size = max(16, int(np.ceil(np.log2(sum(map(len, strings)) * 16))))
+        self.own_shift = np.uint64(64 - size)
+        self.own = np.zeros(1 << size, bool)
+        for k, own in enumerate(strings):
+            self.own[self.own_slots(own, np.array([k], np.uint64))] = True
         self.few = np.zeros(1 << 20, bool)
         self.few[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
+    def own_slots(self, strings: np.ndarray, item) -> np.ndarray:
+        """Where the table of own strings keeps them."""
+        return (((strings + item * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)) >> self.own_shift).astype(np.int64)
+
+    def close_enough(self, strings: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether each byte range lo:hi holds as many of its item's strings as a stretch within reach must."""
+        n = np.maximum(hi - lo - SHORT + 1, 0)
+        need = np.maximum(1, self.bytes[item] - SHORT + 1 - SHORT * self.edits[item])
+        ends = np.cumsum(n)
+        out, i = np.zeros(len(n), bool), 0
+        while i < len(n):
+            done = ends[i] - n[i]
+            j = max(i + 1, int(np.searchsorted(ends, done + STEP, "right")))
+            at = np.repeat(lo[i:j] - (ends[i:j] - n[i:j] - done), n[i:j]) + np.arange(ends[j - 1] - done)
+            held = self.own[self.own_slots(strings[at], np.repeat(item[i:j].astype(np.uint64), n[i:j]))]
+            total = np.concatenate(([0], np.cumsum(held)))
+            out[i:j] = total[ends[i:j] - done] - total[ends[i:j] - n[i:j] - done] >= need[i:j]
+            i = j
+        return out
+
     def candidates(self, data, off, words, doc, grams):
         """(window, item) pairs of the chunk's word starts."""
         hits = self.bitmap[(grams >> self.shift).astype(np.int64)]
@@ -140,6 +180,26 @@ class Block:
         item = self.owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         return at[np.repeat(col, n)], item
 
+    def regions(self, data, off, words, doc, grams, strings):
+        """(item, from, to) of the chunk that may hold a stretch within reach; what overlaps is one region."""
+        at, item = self.candidates(data, off, words, doc, grams)
+        if not len(at):
+            return []
+        both = np.unique(item * np.int64(len(data) + 1) + at)
+        item, at = both // (len(data) + 1), both % (len(data) + 1)
+        home = np.searchsorted(off, at, "right") - 1
+        lo = np.maximum(off[home], at - self.edits[item])
+        hi = np.minimum(off[home + 1], at + self.bytes[item] + 2 * self.edits[item])
+        kept = self.close_enough(strings, lo, hi, item)
+        item, lo, hi, home = item[kept], lo[kept], hi[kept], home[kept]
+        if not len(item):
+            return []
+        new = np.ones(len(item), bool)  # of one item, in order: ranges of one length, so only neighbours need a look
+        new[1:] = (item[1:] != item[:-1]) | (home[1:] != home[:-1]) | (lo[1:] >= hi[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(item)) - 1
+        return zip(item[first].tolist(), home[first].tolist(), lo[first].tolist(), hi[last].tolist())
+
 
 def size_classes(items: list[tuple[int, bytes]]) -> list[Block]:
     out, lowest = [], SMALLEST
@@ -168,29 +228,24 @@ def search(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
                 doc = np.repeat(np.arange(j - i), np.diff(first))
                 at = np.arange(len(d) - GRAM + 1)
                 grams = range_hashes(prefix_sums(d), at, at + GRAM)
-                raw, best = d.tobytes(), {}
+                strings, raw = short_strings(d), d.tobytes()
                 for block in classes:
-                    windows, owner = block.candidates(d, o, words, doc, grams)
-                    for s, k in sorted(set(zip(windows.tolist(), owner.tolist()))):
-                        item_id, item = block.items[k]
-                        n = int(np.searchsorted(o, s, "right")) - 1
-                        key, most = (n, block.lowest, k), int(RATE * len(item))
-                        if key in best and best[key][0] == 0:
-                            continue
-                        if raw.startswith(item, s) and s + len(item) <= o[n + 1]:
-                            found = 0, s, s + len(item)
+                    best = {}
+                    for k, n, lo, hi in block.regions(d, o, words, doc, grams, strings):
+                        item = block.items[k][1]
+                        exact, most = raw.find(item, lo, hi), int(RATE * len(item))
+                        if exact >= 0:
+                            found = 0, exact, exact + len(item)
                         else:
-                            lo, hi = max(int(o[n]), s - most), min(int(o[n + 1]), s + len(item) + 2 * most)
                             distance, end = best_stretch(item, raw[lo:hi])
                             if distance > most:
                                 continue
-                            _, back = best_stretch(item[::-1], raw[lo : lo + end][::-1])
+                            _, back = best_stretch(item[::-1], raw[max(lo, lo + end - len(item) - most) : lo + end][::-1])
                             found = distance, lo + end - back, lo + end
-                        if key not in best or found < best[key]:
-                            best[key] = found
-                    for (n, lowest, k), (distance, s, e) in best.items():
-                        if lowest == block.lowest:
-                            rows.append((ids[i + n], block.items[k][0], s - int(o[n]), e - int(o[n]), distance))
+                        if (n, k) not in best or found < best[n, k]:
+                            best[n, k] = found
+                    for (n, k), (distance, s, e) in best.items():
+                        rows.append((ids[i + n], block.items[k][0], s - int(o[n]), e - int(o[n]), distance))
             cols = list(zip(*sorted(rows, key=lambda r: (str(r[0]), str(r[1]), r[2:])))) or [[]] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.int32())], names=["doc_id", "item_id", "start", "end", "distance"])
 
