@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, buffers, chunks, documents, lowered, mix, prefix_sums, range_hashes, word_bounds
+from .common import CHUNK, SPACE, buffers, chunks, documents, lowered, mix, prefix_sums, range_hashes, word_bounds
 
 RATE, GRAM, SMALLEST = 0.1, 9, 48
 #: Bytes of the strings that a candidate shares with its own item, and how many of them one vectorised step looks up.
-SHORT, STEP = 5, 1 << 21
+SHORT, STEP = 5, 1 << 18
+#: Windows whose walks are taken together.
+WALKED = 1 << 14
 BLOCK_BYTES = 4 << 20
 WALKS, TABLES, BITS = 2, 10, 5
 LONGEST_WALK = 160
@@ -61,19 +63,20 @@ def sketches(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Hashes of all tables' samples of the embeddings of what begins at starts: (starts, WALKS * TABLES)."""
     bits, taken = steps(), samples(length)
     out = np.zeros((WALKS * TABLES, len(starts)), np.uint64)
-    last = len(data) - 1
     for w in range(WALKS):
-        at = starts.copy()
         uses: dict[int, list[int]] = {}
         for t in range(TABLES):
             for p in taken[w, t]:
-                uses.setdefault(int(p), []).append(t)
-        for p in range(max(uses) + 1):
-            byte = data[np.minimum(at, last)]
-            for t in uses.get(p, ()):
-                row = w * TABLES + t
-                out[row] = (out[row] << np.uint64(8)) | byte
-            at += bits[w, p][byte]
+                uses.setdefault(int(p), []).append(w * TABLES + t)
+        for i in range(0, len(starts), WALKED):  # a slice's walk stays in the processor's cache
+            at = starts[i : i + WALKED].copy()
+            part = out[:, i : i + WALKED]
+            for p in range(max(uses) + 1):
+                byte = data.take(at, mode="clip")
+                for row in uses.get(p, ()):
+                    part[row] <<= np.uint64(8)
+                    part[row] |= byte
+                at += bits[w, p].take(byte)
         for t in range(TABLES):
             row = w * TABLES + t
             out[row] = mix(out[row] + np.uint64(row + 1) * np.uint64(1 << 48))
@@ -220,7 +223,7 @@ def search(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
             ids = batch.column(0).to_pylist()
             off, data = buffers(batch.column(1))
             rows = []
-            for i, j in chunks(off):
+            for i, j in chunks(off, CHUNK >> 1):
                 o, d = off[i : j + 1] - off[i], normal(data[off[i] : off[j]])
                 if len(d) < GRAM:
                     continue
