@@ -7,12 +7,13 @@ a fixed-size table that counts every distinct shingle of every document. The ste
 2. Two nodes that link share ``SHARED`` shingles (fewer where the sets are tiny) among the first ones of the larger node's
    order (its probing prefix) that are also in the smaller one's shorter index prefix. Prefix shingles are dealt to
    buckets; a bucket pairs the nodes that share one, and the shared ones are counted over all buckets. A shingle of
-   more than ``SMALL`` nodes pairs each node with a hub of like size only, whatever else they share.
+   more than ``SMALL`` nodes pairs each node with a hub of like size only, whatever else they share. The first round
+   counts the pairs with a hub or, in a shingle of few nodes, with the node of the smallest key.
 3. Candidate pairs are counted by vertical partitioning: the hash order is cut into ``FRAGMENTS`` ranges, each
    range counts a pair's partial overlap by itself, and the partial overlaps are summed per pair.
 4. Links give components. Shingles of many nodes whose nodes are then in more than one component are taken up
-   again: their pairs across components, in blocks of bounded size, must share ``SHARED`` prefix shingles too, those
-   of few nodes included, and are then counted in the same way. All shingles of many nodes that such a pair shares are
+   again: their pairs across components, in blocks of bounded size, and all pairs of shingles of few nodes that the first
+   round left and that lie across components, must share ``SHARED`` prefix shingles and are then counted in the same way. All shingles of many nodes that such a pair shares are
    open, so none is missing from its sum. A pair inside one component needs no count, since it can't change a component.
 
 Set keys are 64-bit sums of shingle hashes and shingles are 64-bit hashes; buckets carry 40 bits of a shingle, as a
@@ -124,7 +125,7 @@ def node_rows(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def shared_prefixes(docs: DataFrame, classes: np.ndarray, buckets: int, size: int = 5) -> DataFrame:
-    """Candidate pairs (kind 0: a, b set keys, n shingles shared in this bucket, need how many it takes) and the rows of shingles of many nodes (kind 1: a is the
+    """Candidate pairs (kind 0: a, b set keys, n shingles shared in this bucket, need how many it takes, first whether it is for the first round) and the rows of shingles of many nodes (kind 1: a is the
     shingle, b the set key, n its length class and index bit)."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)
 
@@ -176,7 +177,8 @@ def shared_prefixes(docs: DataFrame, classes: np.ndarray, buckets: int, size: in
             gap = length[x] - length[y]
             ok = (np.abs(gap) <= REACH) & np.where(gap > 0, index[y], np.where(gap < 0, index[x], index[x] | index[y]))
             least = np.exp((np.minimum(length[x], length[y])[ok] - 0.5) / 64)
-            found.append((key[x[ok]], key[y[ok]], np.clip(np.floor(0.75 * least), 1, SHARED).astype(np.uint64)))
+            head = np.isin(x[ok], starts).astype(np.uint64)
+            found.append((key[x[ok]], key[y[ok]], np.clip(np.floor(0.75 * least), 1, SHARED).astype(np.uint64), head))
         large = np.repeat(sizes > SMALL, sizes) if len(sizes) else np.zeros(0, bool)
         lt, lk, ll = token[large], key[large], length[large]
         band = ll // (REACH // 2)
@@ -185,17 +187,17 @@ def shared_prefixes(docs: DataFrame, classes: np.ndarray, buckets: int, size: in
             lt2, lk2, lb2 = lt[order], lk[order], band[order]
             head = np.concatenate(([True], (lt2[1:] != lt2[:-1]) | (lb2[1:] != lb2[:-1])))
             hub = lk2[np.flatnonzero(head)[np.cumsum(head) - 1]]
-            hubs = [(hub[hub != lk2], lk2[hub != lk2], np.zeros((hub != lk2).sum(), np.uint64))]
-        a, b, need = (np.concatenate([np.zeros(0, np.uint64), *(f[k] for f in found + hubs)]) for k in range(3))
-        pairs, shared = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), need], 1), axis=0, return_counts=True) if len(a) else (np.zeros((0, 3), np.uint64), np.zeros(0, np.int64))
+            hubs = [(hub[hub != lk2], lk2[hub != lk2], np.zeros((hub != lk2).sum(), np.uint64), np.ones((hub != lk2).sum(), np.uint64))]
+        a, b, need, head = (np.concatenate([np.zeros(0, np.uint64), *(f[k] for f in found + hubs)]) for k in range(4))
+        pairs, shared = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), need, head], 1), axis=0, return_counts=True) if len(a) else (np.zeros((0, 4), np.uint64), np.zeros(0, np.int64))
         kind = np.concatenate((np.zeros(len(pairs), np.int32), np.ones(len(lt), np.int32)))
         bucket = np.uint64(table.column("bucket")[0].as_py())
         one = np.concatenate((pairs[:, 0], mix(lt * np.uint64(buckets) + bucket)))
         two = np.concatenate((pairs[:, 1], lk))
-        return pa.table([pa.array(kind), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.concatenate((shared.astype(np.int32), n[large].astype(np.int32)))), pa.array(np.concatenate((pairs[:, 2].astype(np.int32), np.zeros(len(lt), np.int32))))], names=["kind", "a", "b", "n", "need"])
+        return pa.table([pa.array(kind), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.concatenate((shared.astype(np.int32), n[large].astype(np.int32)))), *(pa.array(np.concatenate((pairs[:, k].astype(np.int32), np.zeros(len(lt), np.int32)))) for k in (2, 3))], names=["kind", "a", "b", "n", "need", "first"])
 
     dealt = docs.select("text").mapInArrow(deal, "bucket int, low binary, high binary, key binary, n binary")
-    return dealt.groupBy("bucket").applyInArrow(pair_up, "kind int, a long, b long, n int, need int")
+    return dealt.groupBy("bucket").applyInArrow(pair_up, "kind int, a long, b long, n int, need int, first int")
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, buckets: int, size: int = 5) -> DataFrame:
@@ -293,18 +295,22 @@ def join_documents(docs: DataFrame, size: int = 5) -> DataFrame:
     nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     found = staged(shared_prefixes(named, order_classes(named, size), buckets, size), "candidates")
     one, two = nodes.select(F.col("set_key").alias("a"), F.col("rep").alias("x")), nodes.select(F.col("set_key").alias("b"), F.col("rep").alias("y"))
-    pairs = staged(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b").join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b"), "pairs")
+    told = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"), F.max("first").alias("first")).where("n >= need and first = 1")
+    pairs = staged(told.select("a", "b").join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b"), "pairs")
     links = overlaps(named, pairs, buckets, size)
     comps = staged(components(links, "a", "b"), "components")
+    told = found.where("kind = 0 and need > 0").select("a", "b", "n", "need")
     many = found.where("kind = 1").select("a", "b", "n")
     if not many.isEmpty():
-        wide = residual_pairs(many, nodes, comps).select("a", "b", F.lit(1).alias("n"), "need", F.lit(1).alias("wide"))
-        small = found.where("kind = 0 and need > 0").select("a", "b", "n", "need", F.lit(0).alias("wide"))
-        told = wide.unionByName(small).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"), F.max("wide").alias("wide")).where("wide = 1 and n >= need")
-        more = staged(told.select("a", "b").join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            links = links.unionByName(overlaps(named, more, buckets, size))
-            comps = staged(components(links, "a", "b"), "components")
+        told = told.unionByName(residual_pairs(many, nodes, comps).select("a", "b", F.lit(1).alias("n"), "need"))
+    told = told.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need")
+    home = nodes.join(comps, nodes["rep"] == comps["node"], "left").select("set_key", "rep", F.coalesce("component", "rep").alias("home"))
+    one, two = (home.select(F.col("set_key").alias(k), F.col("rep").alias(r), F.col("home").alias(h)) for k, r, h in (("a", "x", "p"), ("b", "y", "q")))
+    across = told.select("a", "b").join(one, "a").join(two, "b").where("p <> q").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    more = staged(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        links = links.unionByName(overlaps(named, more, buckets, size))
+        comps = staged(components(links, "a", "b"), "components")
     out = rows.join(nodes, "set_key", "left").join(comps, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
