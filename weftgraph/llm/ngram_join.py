@@ -8,7 +8,8 @@ a fixed-size table that counts every distinct shingle of every document. The ste
    order (its probing prefix) that are also in the smaller one's shorter index prefix. Prefix shingles are dealt to
    buckets; a bucket pairs the nodes that share one, and the shared ones are counted over all buckets. A shingle of
    more than ``SMALL`` nodes pairs each node with a hub of like size only, whatever else they share. The first round
-   counts the pairs with a hub or, in a shingle of few nodes, with the node of the smallest key.
+   counts the pairs with a hub or, in a shingle of few nodes, with the node of the smallest key, if they share as many
+   such shingles; what that leaves is the last step's.
 3. Candidate pairs are counted by vertical partitioning: the hash order is cut into ``FRAGMENTS`` ranges, each
    range counts a pair's partial overlap by itself, and the partial overlaps are summed per pair.
 4. Links give components. Shingles of many nodes whose nodes are then in more than one component are taken up
@@ -125,7 +126,7 @@ def node_rows(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def shared_prefixes(docs: DataFrame, classes: np.ndarray, buckets: int, size: int = 5) -> DataFrame:
-    """Candidate pairs (kind 0: a, b set keys, n shingles shared in this bucket, need how many it takes, first whether it is for the first round) and the rows of shingles of many nodes (kind 1: a is the
+    """Candidate pairs (kind 0: a, b set keys, n shingles shared in this bucket, need how many it takes, first 1 or, with a hub, 2 for the first round) and the rows of shingles of many nodes (kind 1: a is the
     shingle, b the set key, n its length class and index bit)."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)
 
@@ -187,7 +188,9 @@ def shared_prefixes(docs: DataFrame, classes: np.ndarray, buckets: int, size: in
             lt2, lk2, lb2 = lt[order], lk[order], band[order]
             head = np.concatenate(([True], (lt2[1:] != lt2[:-1]) | (lb2[1:] != lb2[:-1])))
             hub = lk2[np.flatnonzero(head)[np.cumsum(head) - 1]]
-            hubs = [(hub[hub != lk2], lk2[hub != lk2], np.zeros((hub != lk2).sum(), np.uint64), np.ones((hub != lk2).sum(), np.uint64))]
+            far = hub != lk2
+            least = np.exp((ll[order][far] // (REACH // 2) * (REACH // 2) - 0.5) / 64)  # of the band's shortest node
+            hubs = [(hub[far], lk2[far], np.clip(np.floor(0.75 * least), 1, SHARED).astype(np.uint64), np.full(far.sum(), 2, np.uint64))]
         a, b, need, head = (np.concatenate([np.zeros(0, np.uint64), *(f[k] for f in found + hubs)]) for k in range(4))
         pairs, shared = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), need, head], 1), axis=0, return_counts=True) if len(a) else (np.zeros((0, 4), np.uint64), np.zeros(0, np.int64))
         kind = np.concatenate((np.zeros(len(pairs), np.int32), np.ones(len(lt), np.int32)))
@@ -295,11 +298,11 @@ def join_documents(docs: DataFrame, size: int = 5) -> DataFrame:
     nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     found = staged(shared_prefixes(named, order_classes(named, size), buckets, size), "candidates")
     one, two = nodes.select(F.col("set_key").alias("a"), F.col("rep").alias("x")), nodes.select(F.col("set_key").alias("b"), F.col("rep").alias("y"))
-    told = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"), F.max("first").alias("first")).where("n >= need and first = 1")
+    told = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"), F.max("first").alias("first")).where("n >= need and first > 0")
     pairs = staged(told.select("a", "b").join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b"), "pairs")
     links = overlaps(named, pairs, buckets, size)
     comps = staged(components(links, "a", "b"), "components")
-    told = found.where("kind = 0 and need > 0").select("a", "b", "n", "need")
+    told = found.where("kind = 0 and first < 2").select("a", "b", "n", "need")
     many = found.where("kind = 1").select("a", "b", "n")
     if not many.isEmpty():
         told = told.unionByName(residual_pairs(many, nodes, comps).select("a", "b", F.lit(1).alias("n"), "need"))
