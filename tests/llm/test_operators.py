@@ -129,3 +129,19 @@ def test_lm_base_counts(docs, empty):
     assert {r["doc_id"]: r["n_tokens"] for r in got} == {k: len(w) + 1 for k, w in tokens.items()}
     assert all(r["n_known"] == r["n_tokens"] and r["score"] < 0 for r in got)
     assert lm_scoring.score_documents(empty, F.lit(False)).count() == 0
+
+
+def test_decontamination_sees_the_whole_item(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aeiournst") for _ in range(rng.randint(2, 7)))
+    items = [(k, " ".join(word() for _ in range(70))[:380].strip()) for k in range(20)]
+    texts = []
+    for k, t in items:
+        edited = list(t)
+        for at in rng.sample(range(100), len(t) * 8 // 100):  # all edits near the start
+            edited[at] = "x"
+        fill = " ".join(word() for _ in range(40))
+        texts += [(k, f"{fill} {''.join(edited)} {fill}"), (100 + k, f"{fill} {t[len(t) * 9 // 100 :]} {fill}")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((k, k) in got for k, _ in items) >= 19 and sum((100 + k, k) in got for k, _ in items) >= 19

@@ -1,19 +1,22 @@
-"""Benchmark decontamination: CGK embedding, repeated bit-sampling LSH over item-sized windows, exact edit check.
+"""Benchmark decontamination: CGK embedding, repeated bit-sampling LSH over anchored windows, exact edit check.
 
 A document is contaminated by an item when some stretch of it is within ``RATE`` of the item's bytes in edit distance,
 both lower-cased (A-Z) with each white-space byte a space. The benchmark is a stated query set: it is read in blocks of
 at most ``BLOCK_BYTES``, and each block is searched in all documents.
 
-1. Windows. An item-sized window starts at every word. An item of m bytes within distance k of a stretch shares at least
-   m - 8 - 9k of its 9-byte strings with it, so a window with fewer strings of the block's items is dropped; with
-   k = m / 10 no match is lost by that.
+1. Windows and pieces. A window starts at every word of a document, and pieces of an item start at its words, at least
+   ``SPREAD`` bytes apart, over the whole item. An item of m bytes within distance k of a stretch shares at least
+   m - 8 - 9k of its 9-byte strings with it, so a window is dropped if no range that a stretch over it can lie in has as many
+   strings of the block's items; with k = m / 10 no match is lost by that. A window without any such string is dropped too.
 2. Embedding. A window and an item are walked with the same random steps (CGK): each output takes the byte under the
    pointer, and the pointer moves on or stays by a random bit of (output, byte). A small edit distance becomes a small
-   Hamming distance. Outputs go up to the smallest item of the size class, so a window's walk stays inside it.
+   Hamming distance. A walk of n outputs looks at about n / 2 bytes, so the walks of an item's pieces overlap and
+   together see all of it: edits crowded in one part leave the other parts' pieces to find the item.
 3. Bit sampling. ``TABLES`` samples of ``BITS`` outputs of each of ``WALKS`` walks are hashed; a window that agrees with
-   an item on any sample is a candidate. More tables raise the recall.
-4. Verification. What surrounds a candidate window must hold at least m - 4 - 5k of its own item's 5-byte strings, again
-   without loss. Windows of one item that overlap are one region, in which the exact edit distance of the item to the
+   a piece on any sample is a candidate for the piece's item, begun as far before as the piece's offset. More tables
+   raise the recall.
+4. Verification. What surrounds a candidate must hold at least m - 8 - 9k of the block's 9-byte strings and m - 4 - 5k
+   of its 5-byte strings, then as many of its own item's 5-byte strings, again without loss. Windows of one item that overlap are one region, in which the exact edit distance of the item to the
    best stretch is taken by bit-parallel columns.
 
 Defined results: null documents and items are empty; items under ``SMALLEST`` bytes are left out, too short to tell
@@ -37,6 +40,9 @@ WALKED = 1 << 14
 BLOCK_BYTES = 4 << 20
 WALKS, TABLES, BITS = 2, 10, 5
 LONGEST_WALK = 160
+MIXED = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes at least between the beginnings of an item's pieces.
+SPREAD = 24
 SCHEMA = "doc_id long, item_id long, start long, end long, distance int"
 
 
@@ -83,6 +89,16 @@ def sketches(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def anchors(item: np.ndarray, length: int) -> np.ndarray:
+    """Offsets of an item's pieces: its first byte and words from which a walk of length outputs still fits."""
+    words = word_bounds(np.array([0, len(item)]), item)[0]
+    out = [0]
+    for at in words[words <= len(item) - length * 3 // 5].tolist():
+        if at - out[-1] >= SPREAD:
+            out.append(at)
+    return np.array(out, np.int64)
+
+
 def short_strings(data: np.ndarray) -> np.ndarray:
     """The SHORT-byte strings at all offsets, as numbers."""
     out = np.zeros(max(len(data) - SHORT + 1, 0), np.uint64)
@@ -130,24 +146,31 @@ class Block:
         self.bitmap = np.zeros(1 << size, bool)
         self.bitmap[(grams >> self.shift).astype(np.int64)] = True
         self.length = min(self.smallest - int(RATE * self.smallest), LONGEST_WALK)
-        keys = sketches(raw, off[:-1].astype(np.int64), self.length).reshape(-1)
-        owner = np.tile(np.arange(len(items)), WALKS * TABLES)
+        pieces = [anchors(raw[a:b], self.length) for a, b in zip(off, off[1:])]
+        owner = np.repeat(np.arange(len(items)), [len(x) for x in pieces])
+        offset = np.concatenate(pieces)
+        keys = sketches(raw, off[:-1][owner] + offset, self.length).reshape(-1)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.owner = keys[order], owner[order]
+        piece = order % len(owner)
+        self.keys, self.owner, self.offset = keys[order], owner[piece], offset[piece]
         self.bytes = np.array([len(t) for _, t in items], np.int64)
         self.edits = np.array([int(RATE * len(t)) for _, t in items], np.int64)
         strings = [short_strings(np.frombuffer(t, np.uint8)) for _, t in items]
         size = max(16, int(np.ceil(np.log2(sum(map(len, strings)) * 16))))
         self.own_shift = np.uint64(64 - size)
         self.own = np.zeros(1 << size, bool)
+        self.short_shift = np.uint64(64 - max(22, size))
+        self.short = np.zeros(1 << max(22, size), bool)
+        self.short[(np.concatenate(strings) * MIXED >> self.short_shift).astype(np.int64)] = True
         for k, own in enumerate(strings):
             self.own[self.own_slots(own, np.array([k], np.uint64))] = True
-        self.few = np.zeros(1 << 20, bool)
-        self.few[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.low = np.uint64((1 << max(20, int(np.ceil(np.log2(len(keys) * 16))))) - 1)
+        self.few = np.zeros(int(self.low) + 1, bool)
+        self.few[(self.keys & self.low).astype(np.int64)] = True
 
     def own_slots(self, strings: np.ndarray, item) -> np.ndarray:
         """Where the table of own strings keeps them."""
-        return (((strings + item * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)) >> self.own_shift).astype(np.int64)
+        return (((strings + item * np.uint64(0xD6E8FEB86659FD93)) * MIXED) >> self.own_shift).astype(np.int64)
 
     def close_enough(self, strings: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Whether each byte range lo:hi holds as many of its item's strings as a stretch within reach must."""
@@ -165,39 +188,63 @@ class Block:
             i = j
         return out
 
-    def candidates(self, data, off, words, doc, grams):
-        """(window, item) pairs of the chunk's word starts."""
+    def candidates(self, data, off, words, doc, grams, strings):
+        """(item, document, begin) that the chunk's windows and the items' pieces agree on."""
         hits = self.bitmap[(grams >> self.shift).astype(np.int64)]
         total = np.concatenate(([0], np.cumsum(hits, dtype=np.int32)))
-        stop = off[1:][doc]
-        reach = np.minimum(words + self.largest + int(RATE * self.largest), stop)
-        inside = np.minimum(np.maximum(reach - GRAM + 1, words), len(hits))
-        fits = (total[inside] - total[np.minimum(words, len(hits))] >= self.least) & (stop - words >= self.smallest - int(RATE * self.smallest))
-        at = words[fits]
+        begin, stop = off[:-1][doc], off[1:][doc]
+        most = self.largest + int(RATE * self.largest)
+
+        def strings_in(lo, hi, stop):
+            hi = np.minimum(np.maximum(np.minimum(hi, stop) - GRAM + 1, lo), len(hits))
+            return total[hi] - total[np.minimum(lo, hi)]
+
+        own = np.flatnonzero(strings_in(words, words + self.length, stop) > 0)
+        at, begin, stop, home = words[own], begin[own], stop[own], doc[own]
+        quarter = -(-most // 4)
+        fits = np.zeros(len(at), bool)
+        for k in range(4):  # a stretch over the window begins in one of four quarters before it
+            fits |= strings_in(np.maximum(at - most + k * quarter, begin), at + (k + 1) * quarter, stop) >= self.least
+        at, home = at[fits], home[fits]
         if not len(at):
-            return at, at
+            return at, at, at
         keys = sketches(data, at, self.length)
-        row, col = np.nonzero(self.few[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        row, col = np.nonzero(self.few[(keys & self.low).astype(np.int64)])
         lo, hi = np.searchsorted(self.keys, keys[row, col], "left"), np.searchsorted(self.keys, keys[row, col], "right")
         n = hi - lo
-        item = self.owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        return at[np.repeat(col, n)], item
+        place = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        col = np.repeat(col, n)
+        item, home, at = self.owner[place], home[col], at[col] - self.offset[place]
+        lo, hi = self.reach(off, item, home, at)
+        need = np.maximum(1, self.bytes[item] - GRAM + 1 - GRAM * self.edits[item])
+        kept = total[np.minimum(np.maximum(hi - GRAM + 1, lo), len(hits))] - total[np.minimum(lo, len(hits))] >= need
+        item, home, at, lo, hi = item[kept], home[kept], at[kept], lo[kept], hi[kept]
+        if not len(at):
+            return item, home, at
+        own = np.concatenate(([0], np.cumsum(self.short[(strings * MIXED >> self.short_shift).astype(np.int64)], dtype=np.int32)))
+        kept = own[np.maximum(hi - SHORT + 1, lo)] - own[lo] >= self.bytes[item] - SHORT + 1 - SHORT * self.edits[item]
+        return item[kept], home[kept], at[kept]
+
+    def reach(self, off, item, home, at):
+        """The byte ranges that hold every stretch within reach of the items begun at at."""
+        return np.maximum(off[home], at - self.edits[item]), np.minimum(off[home + 1], at + self.bytes[item] + 2 * self.edits[item])
 
     def regions(self, data, off, words, doc, grams, strings):
         """(item, from, to) of the chunk that may hold a stretch within reach; what overlaps is one region."""
-        at, item = self.candidates(data, off, words, doc, grams)
+        item, home, at = self.candidates(data, off, words, doc, grams, strings)
         if not len(at):
             return []
-        both = np.unique(item * np.int64(len(data) + 1) + at)
-        item, at = both // (len(data) + 1), both % (len(data) + 1)
-        home = np.searchsorted(off, at, "right") - 1
-        lo = np.maximum(off[home], at - self.edits[item])
-        hi = np.minimum(off[home + 1], at + self.bytes[item] + 2 * self.edits[item])
+        order = np.lexsort((at, home, item))
+        item, home, at = item[order], home[order], at[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (item[1:] != item[:-1]) | (home[1:] != home[:-1]) | (at[1:] != at[:-1])
+        item, home, at = item[new], home[new], at[new]
+        lo, hi = self.reach(off, item, home, at)
         kept = self.close_enough(strings, lo, hi, item)
         item, lo, hi, home = item[kept], lo[kept], hi[kept], home[kept]
         if not len(item):
             return []
-        new = np.ones(len(item), bool)  # of one item, in order: ranges of one length, so only neighbours need a look
+        new = np.ones(len(item), bool)  # of one item and document, in order: both ends ascend, so only neighbours need a look
         new[1:] = (item[1:] != item[:-1]) | (home[1:] != home[:-1]) | (lo[1:] >= hi[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(item)) - 1
