@@ -6,10 +6,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, decontamination, lm_scoring, ngram_join, quality_rules, secret_scan, stages, suffix_dedup, url_filter
+from weftgraph.llm import byte_bpe, decontamination, lm_scoring, ngram_join, quality_classifier, quality_rules, secret_scan, stages, suffix_dedup, url_filter
 
 WORD = "[^\x20\x09-\x0d]+"
 
@@ -145,3 +146,13 @@ def test_decontamination_sees_the_whole_item(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert sum((k, k) in got for k, _ in items) >= 19 and sum((100 + k, k) in got for k, _ in items) >= 19
+
+
+def test_pipeline_keeps_what_the_classifier_predicts_good(spark):
+    weights = np.zeros((1 << quality_classifier.BITS) + 1)
+    index = quality_classifier.features(np.array([0, 4]), np.frombuffer(b"good", np.uint8))[0][0]
+    weights[index[index >= 0]] = 1 / (quality_classifier.SCALE * (index >= 0).sum())  # "good" alone has the raw score 1
+    docs = spark.createDataFrame([(k, " ".join(["good"] * g + ["x7%"] * (10 - g))) for k, g in enumerate(range(11))], "doc_id long, text string")
+    scored = quality_classifier.score_quality(docs, weights).collect()
+    assert any(0.5 <= r["score"] < 0.7 for r in scored) and any(r["predicted"] for r in scored)
+    assert {r["doc_id"] for r in stages.keep_good(docs, weights).collect()} == {r["doc_id"] for r in scored if r["predicted"]}

@@ -22,6 +22,8 @@ from .labelled import labelled_sample
 SAMPLE = 16_000
 BITS = 18
 SCALE = 8.0
+#: The score from which a document is good, for the query and the pipeline's stage alike.
+THRESHOLD = 0.7
 SHAPES = np.arange(256, dtype=np.uint8)
 SHAPES[97:123] = 97
 SHAPES[128:] = 97
@@ -111,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     return np.frombuffer(sample.repartition(1).mapInArrow(learn, "weights binary").first()[0], np.float64).copy()
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7) -> DataFrame:
+def score_quality(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score and predicted of every row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import buffers, chunks
 from .decontamination import decontaminate
 from .ngram_join import MOST_BROADCAST, join_documents
-from .quality_classifier import SCALE, features
+from .quality_classifier import SCALE, THRESHOLD, features
 from .secret_scan import redact
 
 
@@ -23,7 +23,7 @@ def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
-def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose quality score is at least threshold."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     at = docs.columns.index("text")
