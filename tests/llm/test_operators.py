@@ -156,3 +156,13 @@ def test_pipeline_keeps_what_the_classifier_predicts_good(spark):
     scored = quality_classifier.score_quality(docs, weights).collect()
     assert any(0.5 <= r["score"] < 0.7 for r in scored) and any(r["predicted"] for r in scored)
     assert {r["doc_id"] for r in stages.keep_good(docs, weights).collect()} == {r["doc_id"] for r in scored if r["predicted"]}
+
+
+@pytest.mark.parametrize("quote", ['"', "'", ""])
+def test_secrets_of_any_length(quote):
+    rng = random.Random(3)
+    key = "MIIE" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789+/") for _ in range(1996))
+    for name in ("private_key", "x" * 200 + "_private_key", "private_key_" + "x" * 200):
+        text = f"a {name} = {quote}{key}{quote}\nend"
+        assert [text[s:e] for s, k, e in secret_scan.all_spans(text)[1] if k == 3] == [key]
+        assert secret_scan.redact(text) == f"a {name} = {quote}[SECRET]{quote}\nend"

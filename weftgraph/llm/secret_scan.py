@@ -30,9 +30,12 @@ KINDS = ("assign", "access", "hex", "lexed")
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "privatekey": 1.0, "accesskey": 1.0, "auth": 0.7, "signingkey": 1.0, "encryptionkey": 1.0, "key": 0.5}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|undefined|changeme|change_me|example|placeholder|your[_-].*|<.*>|\$\{.*\}|\$\w+|%\w+%|test|dummy)$")
 NAMES = re.compile(r"(?i)pass|pwd|secret|token|key|credential|auth")
+#: Names and literals of any length. What is taken is never given back, and a name without a literal is passed over
+#: whole, so that the time is linear.
 PAIR = re.compile(
-    r"""(?P<nq>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,79})(?P=nq)[\x20\t]*(?P<op>:=|=>|==|[:=])[\x20\t]*"""
-    r"""(?:"(?P<dq>(?:[^"\\\n]|\\.){1,512})"|'(?P<sq>(?:[^'\\\n]|\\.){1,512})'|(?P<bare>[^\s"'#;,(){}\[\]<>|]{1,512}))"""
+    r"""(?:(?P<nq>["'])|[0-9.\-]*+)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?(nq)(?P=nq))[\x20\t]*+(?P<op>:=|=>|==|[:=])[\x20\t]*+"""
+    r"""(?:"(?P<dq>(?:[^"\\\n]++|\\.)++)"|'(?P<sq>(?:[^'\\\n]++|\\.)++)'|(?P<bare>[^\s"'#;,(){}\[\]<>|]++))"""
+    r"""|[A-Za-z0-9_.\-]++"""
 )
 IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -70,7 +73,7 @@ def lexed_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int]]:
     constants: dict[str, tuple[int, int, bool]] = {}
     out = []
     for m in PAIR.finditer(text):
-        if m["op"] == "==":
+        if m["op"] is None or m["op"] == "==":
             continue
         group = "dq" if m["dq"] is not None else "sq" if m["sq"] is not None else "bare"
         start, end, quoted = m.start(group), m.end(group), group != "bare"
