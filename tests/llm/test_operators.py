@@ -166,3 +166,14 @@ def test_secrets_of_any_length(quote):
         text = f"a {name} = {quote}{key}{quote}\nend"
         assert [text[s:e] for s, k, e in secret_scan.all_spans(text)[1] if k == 3] == [key]
         assert secret_scan.redact(text) == f"a {name} = {quote}[SECRET]{quote}\nend"
+
+
+def test_lm_gives_every_preceding_token_its_own_restaurant(spark):
+    rng = random.Random(8)
+    pairs = [(f"a{k}", f"b{k}") for k in range(1500)]
+    texts = [" ".join(f"{x} {y}" for x, y in rng.sample(pairs, len(pairs))) for _ in range(6)]
+    seen, crossed = (" ".join(f"a{k} b{(k + d) % 1500}" for k in range(0, 1500, 3)) for d in (0, 1))
+    docs = spark.createDataFrame([*enumerate(texts), (100, seen), (101, crossed)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm_scoring.score_documents(docs, F.col("doc_id") >= 100).collect()}
+    # b follows its own a 6 times of 6: in restaurants shared by unrelated words, most of that is lost
+    assert got[100] > -2.0 and got[100] - got[101] > 1.0

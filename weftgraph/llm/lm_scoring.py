@@ -2,15 +2,16 @@
 
 Every block of documents sends each distinct token's hash, with the contexts it stands in and its training counts,
 to a bucket; the bucket sums a token over all blocks and sends back what scoring it takes; a block adds up
-its documents. No bucket sees more than a few numbers per block and token, however frequent the token is.
+its documents. A bucket sees a block's distinct pairs of its tokens and the tokens before them, however often they occur.
 Tokens are told apart by 64-bit hashes.
 
-The model has a restaurant for each of CONTEXTS contexts, the hash class of the token before, and all of them share
-one parent, the unigram restaurant, whose base is uniform over the training tokens' kinds and one kind for all unknown
-tokens. Counts come from all training documents. Seating is sampled by Gibbs steps, in each bucket for its tokens' dishes: a
-customer leaves, taking its table along if it opened it, and sits down again at an old table or at a new one, which is
-a customer of the parent. The restaurants' totals, two numbers per context, are summed over all buckets between rounds of
-sweeps, and predictive probabilities are averaged over SAMPLES sweeps of the last round.
+The model has a restaurant for every distinct preceding token, and all of them share one parent, the unigram restaurant,
+whose base is uniform over the training tokens' kinds and one kind for all unknown tokens. Counts come from all training
+documents. Seating is sampled by Gibbs steps, in each bucket for its tokens' dishes: a customer leaves, taking its table
+along if it opened it, and sits down again at an old table or at a new one, which is a customer of the parent. The seating
+is stored after each of ROUNDS rounds of sweeps and the next round goes on from it; between rounds the restaurants' totals
+are summed by a shuffle, in which a bucket sends and gets two numbers for each context it holds. Predictive probabilities
+are averaged over SAMPLES sweeps of a last round.
 
 Defined results: a null text is empty, with the end token alone; rows of equal ids are separate documents; a null
 doc_id is never held out; without training documents every token has the base's probability; an empty table gives no rows.
@@ -29,28 +30,25 @@ from .common import buffers, chunks, documents, held_out, lowered, packed, stage
 
 END = np.uint64(0x5EED0FE2D0C5E11D)
 BLOCK = 16 << 20
-CONTEXTS = 256
-#: Discount and strength of the contexts' restaurants and of their parent.
+#: Discount and strength of the preceding tokens' restaurants and of their parent.
 LEAF, ROOT = (0.7, 5.0), (0.6, 10.0)
 BURN_IN, SAMPLES, MOVES, ROUNDS = 3, 4, 4, 2
 
 
 def block_tokens(batch: pa.RecordBatch, seq: int):
     """Of each block of a batch: key, document range, its distinct tokens, its distinct (token, context) pairs as
-    token index * CONTEXTS + context, the pairs of its tokens in order, documents' first tokens."""
+    token index * tokens + index of the token before, the pairs of its tokens in order, documents' first tokens."""
     off, data = buffers(batch.column(1))
     for i, j in chunks(off, BLOCK):
-        parts, before, sizes = [], [], []
+        parts, sizes = [], []
         for x, y in chunks(off[i : j + 1]):
             o = off[i + x : i + y + 1]
             w = words(o - o[0], lowered(data[o[0] : o[-1]]))
-            own = np.insert(w.hashes, w.first[1:], END)
-            parts.append(own)
-            before.append(np.concatenate(([END], own[:-1])))
+            parts.append(np.insert(w.hashes, w.first[1:], END))
             sizes.append(np.diff(w.first) + 1)
         token, code = np.unique(np.concatenate(parts), return_inverse=True)
-        context = (np.concatenate(before) >> np.uint64(20)) % np.uint64(CONTEXTS)
-        pair, code = np.unique(code * CONTEXTS + context.astype(np.int64), return_inverse=True)
+        before = np.concatenate((np.searchsorted(token, [END]), code[:-1]))  # each document ends with END
+        pair, code = np.unique(code * np.int64(len(token)) + before, return_inverse=True)
         key = hashlib.blake2b(f"{task_key()}/{seq}/{i}/".encode() + token.tobytes(), digest_size=16).digest()
         yield key, (i, j), token, pair, code.astype(np.int32), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
 
@@ -61,27 +59,32 @@ def dealt_pairs(token: np.ndarray, pair: np.ndarray, buckets: int):
     order = np.argsort(to, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    p_order = np.lexsort((pair % CONTEXTS, rank[pair // CONTEXTS]))
+    p_order = np.argsort(rank[pair // len(token)], kind="stable")
     steps = np.arange(buckets + 1)
-    return order, np.searchsorted(to[order], steps), p_order, np.searchsorted(to[pair // CONTEXTS][p_order], steps)
+    return order, np.searchsorted(to[order], steps), p_order, np.searchsorted(to[pair // len(token)][p_order], steps)
+
+
+def part_of(ctx: np.ndarray, parts: int) -> np.ndarray:
+    """Where a context's totals are summed."""
+    return (ctx >> np.uint64(16)) % np.uint64(parts)
 
 
 class Seating:
-    """The dishes of one bucket: (token, context) pairs with customers, their tables, and the parent's dishes."""
+    """The dishes of one bucket: (token, context) pairs, their customers and tables, and the parent's dishes."""
 
-    def __init__(self, tok: np.ndarray, ctx: np.ndarray, customers: np.ndarray, n_tokens: int):
-        self.tok, self.ctx, self.c, self.n = tok, ctx, customers, n_tokens
-        self.t = np.minimum(self.c, np.ceil(self.c ** LEAF[0]).astype(np.int64))
+    def __init__(self, tok: np.ndarray, ctx: np.ndarray, customers: np.ndarray, t: np.ndarray | None = None, s: np.ndarray | None = None):
+        self.tok, self.ctx, self.c, self.n = tok, ctx, customers, int(tok.max()) + 1
+        self.t = np.minimum(self.c, np.ceil(self.c ** LEAF[0]).astype(np.int64)) if t is None else t
         self.up()
-        self.s = np.minimum(self.r, np.ceil(self.r ** ROOT[0]).astype(np.int64))
+        self.s = np.minimum(self.r, np.ceil(self.r ** ROOT[0]).astype(np.int64)) if s is None else s
 
     def up(self) -> None:
         """A dish's tables in all contexts are its customers in the parent."""
         self.r = np.bincount(self.tok, self.t, self.n).astype(np.int64)
 
-    def totals(self) -> np.ndarray:
-        """Customers and tables of each context, then of the parent."""
-        return np.stack([np.append(np.bincount(self.ctx, x, CONTEXTS), y.sum()) for x, y in ((self.c, self.r), (self.t, self.s))])
+    def columns(self) -> dict:
+        """What is stored of the seating."""
+        return {"t": packed(self.t.astype("<u4")), "s": packed(self.s.astype("<u4")), "customers": int(self.r.sum()), "tables": int(self.s.sum())}
 
     def parent(self, totals: np.ndarray, kinds: int) -> np.ndarray:
         d, a = ROOT
@@ -103,31 +106,70 @@ class Seating:
         self.s = moved(self.r, np.minimum(self.s, self.r), np.full(self.n, (a + d * totals[1, -1]) / (kinds + 1)), d)
 
 
-def seatings(rows):
-    for bucket, token, tok, ctx, count in rows:
-        token = np.frombuffer(token, np.uint64)
-        yield bucket, token, Seating(np.frombuffer(tok, "<i4").astype(np.int64), np.frombuffer(ctx, np.uint8).astype(np.int64), np.frombuffer(count, "<u4").astype(np.int64), len(token))
+STORED = {"bucket": "int", "token": "binary", "ctx": "binary", "tok": "binary", "code": "binary", "count": "binary", "t": "binary", "s": "binary", "customers": "long", "tables": "long", "kinds": "long", "tokens": "long"}
+SCORED = {"bucket": "int", "token": "binary", "ctx": "binary", "tok": "binary", "code": "binary", "known": "binary", "prob": "binary"}
 
 
-def sampled_totals(model: DataFrame, totals: np.ndarray | None, kinds: int, sweeps: int) -> np.ndarray:
-    """The restaurants' totals over all buckets after some sweeps under the totals so far: a fixed number of numbers."""
-    sent = model.sparkSession.sparkContext.broadcast(totals)
+def schema_of(columns: dict) -> str:
+    return ", ".join(f"{k} {v}" for k, v in columns.items())
+
+
+def one_row(columns: dict, values: dict) -> pa.Table:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.table({k: pa.array([values[k]], types[v]) for k, v in columns.items()})
 
-    def run(batches):
-        out = np.zeros((2, CONTEXTS + 1))
-        for batch in batches:
-            for bucket, _, seating in seatings(zip(*(c.to_pylist() for c in batch.columns))):
-                rng = np.random.default_rng((bucket, sweeps))
-                for _ in range(sweeps):
-                    seating.sweep(sent.value, kinds, rng)
-                out += seating.totals()
-        yield pa.RecordBatch.from_arrays([pa.array(range(CONTEXTS + 1), pa.int32()), pa.array(out[0]), pa.array(out[1])], names=["context", "customers", "tables"])
 
-    rows = model.select("bucket", "token", "tok", "ctx", "count").mapInArrow(run, "context int, customers double, tables double").groupBy("context").agg(F.sum("customers"), F.sum("tables")).collect()
-    out = np.zeros((2, CONTEXTS + 1))
-    for context, customers, tables in rows:
-        out[:, context] = customers, tables
-    return out
+def seating_of(row: dict) -> Seating:
+    return Seating(*(unpacked(row[k], t).astype(np.int64) for k, t in (("tok", "<i4"), ("code", "<i4"), ("count", "<u4"), ("t", "<u4"), ("s", "<u4"))))
+
+
+def context_totals(model: DataFrame, parts: int) -> DataFrame:
+    """(bucket, part, customers, tables): of the contexts of a bucket, in order, the sums over all buckets."""
+
+    def spread(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ctx, code = np.frombuffer(row["ctx"], np.uint64), unpacked(row["code"], "<i4")
+                sums = [np.bincount(code, unpacked(row[k], "<u4"), len(ctx)).astype("<u8") for k in ("count", "t")]
+                ends = np.searchsorted(part_of(ctx, parts), np.arange(parts + 1, dtype=np.uint64))
+                used = np.flatnonzero(np.diff(ends))
+                cols = [[pack(x[ends[k] : ends[k + 1]]) for k in used] for x, pack in ((ctx, np.ndarray.tobytes), (sums[0], packed), (sums[1], packed))]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([row["bucket"]] * len(used), pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["part", "bucket", "ctx", "customers", "tables"])
+
+    def add(table: pa.Table) -> pa.Table:
+        ctx = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("ctx")]
+        kinds, at = np.unique(np.concatenate(ctx), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([unpacked(x.as_py(), "<u8") for x in table.column(k)]), len(kinds)).astype("<u8") for k in ("customers", "tables")]
+        ends = np.cumsum([0, *map(len, ctx)])
+        cols = [[packed(x[at[a:b]]) for a, b in zip(ends, ends[1:])] for x in sums]
+        return pa.table([table.column("bucket"), table.column("part"), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "part", "customers", "tables"])
+
+    sent = model.select("bucket", "ctx", "code", "count", "t").mapInArrow(spread, "part int, bucket int, ctx binary, customers binary, tables binary")
+    return sent.groupBy("part").applyInArrow(add, "bucket int, part int, customers binary, tables binary")
+
+
+def next_round(model: DataFrame, parts: int, seed: int, kinds: int, samples: int = 0) -> DataFrame:
+    """The seating after BURN_IN sweeps under the totals so far, or the probabilities averaged over as many samples more."""
+    up = model.agg(F.sum("customers"), F.sum("tables")).first()
+    up = [float(x or 0) for x in up]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        order = np.argsort(right.column("part").to_numpy())
+        totals = np.stack([np.append(np.concatenate([unpacked(right.column(k)[int(x)].as_py(), "<u8") for x in order]).astype(float), up[i]) for i, k in enumerate(("customers", "tables"))])
+        seating, rng, (d, a) = seating_of(row), np.random.default_rng((row["bucket"], seed)), LEAF
+        for _ in range(BURN_IN):
+            seating.sweep(totals, kinds, rng)
+        if not samples:
+            return one_row(STORED, row | seating.columns())
+        fresh, prob = ((a + d * totals[1]) / (a + totals[0]))[seating.ctx], 0.0
+        for _ in range(samples):
+            seating.sweep(totals, kinds, rng)
+            prob = prob + fresh * seating.parent(totals, kinds)[seating.tok] + (seating.c - d * seating.t) / (a + totals[0, seating.ctx])
+        known = np.bincount(seating.tok, seating.c, seating.n).astype("<u8")
+        return one_row(SCORED, row | {"known": packed(known), "prob": packed(np.log10(prob / samples).astype("<f4"))})
+
+    return model.groupBy("bucket").cogroup(context_totals(model, parts).groupBy("bucket")).applyInArrow(run, schema_of(SCORED if samples else STORED))
 
 
 def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFrame:
@@ -143,61 +185,52 @@ def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFr
                 learned = ~np.asarray(batch.column(2).slice(i, j - i).to_pylist(), bool)
                 count = np.bincount(code[np.repeat(learned, np.diff(first))], minlength=len(pair)).astype("<u4")
                 order, ends, p_order, p_ends = dealt_pairs(token, pair, n_buckets)
-                each = np.bincount(pair // CONTEXTS, minlength=len(token)).astype("<u2")[order]
+                each = np.bincount(pair // len(token), minlength=len(token)).astype("<u4")[order]
                 used = np.flatnonzero(np.diff(ends))
-                cols = [[pack(x[e[b] : e[b + 1]]) for b in used] for x, e, pack in ((token[order], ends, np.ndarray.tobytes), (each, ends, packed), ((pair % CONTEXTS).astype(np.uint8)[p_order], p_ends, np.ndarray.tobytes), (count[p_order], p_ends, packed))]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(used), pa.binary()), pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["key", "bucket", "token", "each", "ctx", "count"])
+                cols = [[pack(x[e[b] : e[b + 1]]) for b in used] for x, e, pack in ((token[order], ends, np.ndarray.tobytes), (each, ends, packed), (count[p_order], p_ends, packed))]
+                before = (pair % len(token))[p_order]
+                kinds = [np.unique(before[p_ends[b] : p_ends[b + 1]], return_inverse=True) for b in used]
+                cols += [[token[k].tobytes() for k, _ in kinds], [packed(c.astype("<u4")) for _, c in kinds]]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(used), pa.binary()), pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["key", "bucket", "token", "each", "count", "ctx", "code"])
 
     def read_parts(table: pa.Table):
-        token, ctx = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("token", np.uint64), ("ctx", np.uint8)))
-        each, count = (np.concatenate([unpacked(x.as_py(), t) for x in table.column(c)]) for c, t in (("each", "<u2"), ("count", "<u4")))
-        return token, each.astype(np.int64), ctx.astype(np.int64), count
+        token = np.frombuffer(b"".join(table.column("token").to_pylist()), np.uint64)
+        each, count = (np.concatenate([unpacked(x.as_py(), "<u4") for x in table.column(c)]) for c in ("each", "count"))
+        ctx = np.concatenate([np.frombuffer(x.as_py(), np.uint64)[unpacked(y.as_py(), "<u4")] for x, y in zip(table.column("ctx"), table.column("code"))])
+        return token, each.astype(np.int64), ctx, count
 
     def merge(table: pa.Table) -> pa.Table:
         token, each, ctx, count = read_parts(table)
-        kinds, code = np.unique(token, return_inverse=True)
-        pair, inverse = np.unique(np.repeat(code, each) * CONTEXTS + ctx, return_inverse=True)
-        total = np.bincount(inverse, count, len(pair)).astype(np.int64)
-        pair, total = pair[total > 0], total[total > 0]
-        tok, at = np.unique(pair // CONTEXTS, return_inverse=True)
-        cols = [kinds[tok], at.astype("<i4"), (pair % CONTEXTS).astype(np.uint8), total.astype("<u4")]
-        return pa.table([pa.array([table.column("bucket")[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in cols), pa.array([len(tok)], pa.int64()), pa.array([int(total.sum())], pa.int64())], names=["bucket", "token", "tok", "ctx", "count", "kinds", "tokens"])
-
-    parts = own.mapInArrow(token_parts, "key binary, bucket int, token binary, each binary, ctx binary, count binary")
-    model = staged(parts.groupBy("bucket").applyInArrow(merge, "bucket int, token binary, tok binary, ctx binary, count binary, kinds long, tokens long"), "model")
+        token, tok = np.unique(token, return_inverse=True)
+        ctx, code = np.unique(ctx, return_inverse=True)
+        by_part = np.argsort(part_of(ctx, n_buckets), kind="stable")
+        rank = np.empty(len(ctx), np.int64)
+        rank[by_part] = np.arange(len(ctx))
+        pair, at = np.unique(np.repeat(tok, each) * np.int64(len(ctx)) + rank[code], return_inverse=True)
+        seating = Seating(pair // len(ctx), pair % len(ctx), np.bincount(at, count, len(pair)).astype(np.int64))
+        learned = np.bincount(seating.tok, seating.c)
+        values = {"bucket": table.column("bucket")[0].as_py(), "token": token.tobytes(), "ctx": ctx[by_part].tobytes(), "kinds": int((learned > 0).sum()), "tokens": int(learned.sum())}
+        values |= {"tok": packed(seating.tok.astype("<i4")), "code": packed(seating.ctx.astype("<i4")), "count": packed(seating.c.astype("<u4"))}
+        return one_row(STORED, values | seating.columns())
+
+    parts = own.mapInArrow(token_parts, "key binary, bucket int, token binary, each binary, count binary, ctx binary, code binary")
+    model = staged(parts.groupBy("bucket").applyInArrow(merge, schema_of(STORED)), "model")
     kinds, tokens = (x or 0 for x in model.agg(F.sum("kinds"), F.sum("tokens")).first())
-    totals = sampled_totals(model, None, kinds, 0)
-    for _ in range(ROUNDS):
-        totals = sampled_totals(model, totals, kinds, BURN_IN)
-    sent = spark.sparkContext.broadcast(totals)
+    for k in range(ROUNDS):
+        model = staged(next_round(model, n_buckets, k, kinds), "model")
+    scored = next_round(model, n_buckets, ROUNDS, kinds, SAMPLES)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         token, each, ctx, _ = read_parts(left)
-        totals, (d, a) = sent.value, LEAF
-        fresh = (a + d * totals[1, :CONTEXTS]) / (a + totals[0, :CONTEXTS])
-        unknown = (ROOT[1] + ROOT[0] * totals[1, -1]) / (ROOT[1] + totals[0, -1]) / (kinds + 1)
-        up, prob, known = np.full(len(token), unknown), 0.0, np.zeros(len(token), np.int64)
-        for bucket, own, seating in seatings(zip(*(right.column(c).to_pylist() for c in ("bucket", "token", "tok", "ctx", "count")))):
-            place = np.minimum(np.searchsorted(own, token), len(own) - 1)
-            found = own[place] == token
-            known = np.where(found, np.bincount(seating.tok, seating.c, len(own))[place], 0).astype(np.int64)
-            ask = np.repeat(place, each) * CONTEXTS + ctx
-            held = seating.tok * CONTEXTS + seating.ctx
-            at = np.minimum(np.searchsorted(held, ask), len(held) - 1)
-            sits = (held[at] == ask) & np.repeat(found, each)
-            rng = np.random.default_rng((bucket, BURN_IN))
-            for sweep in range(BURN_IN + SAMPLES):
-                seating.sweep(totals, kinds, rng)
-                if sweep >= BURN_IN:
-                    up = np.where(found, seating.parent(totals, kinds)[place], unknown)
-                    prob = prob + fresh[ctx] * np.repeat(up, each) + np.where(sits, (seating.c - d * seating.t)[at], 0) / (a + totals[0, ctx])
-            prob = prob / SAMPLES
-        if not len(right):
-            prob = fresh[ctx] * np.repeat(up, each)
-        score = np.log10(prob).astype("<f4")
+        row = right.to_pylist()[0]
+        own, own_ctx = (np.frombuffer(row[k], np.uint64) for k in ("token", "ctx"))
+        place, by_hash = np.searchsorted(own, token), np.argsort(own_ctx)
+        held = unpacked(row["tok"], "<i4").astype(np.int64) * len(own_ctx) + unpacked(row["code"], "<i4")
+        at = np.searchsorted(held, np.repeat(place, each) * np.int64(len(own_ctx)) + by_hash[np.searchsorted(own_ctx, ctx, sorter=by_hash)])
+        known, score = unpacked(row["known"], "<u8")[place], unpacked(row["prob"], "<f4")[at]
         n_tok = np.cumsum([len(x.as_py()) // 8 for x in left.column("token")])
-        n_pair = np.cumsum([len(x.as_py()) for x in left.column("ctx")])
-        cols = [[packed(x[b - n : b]) for b, n in zip(e, np.diff(e, prepend=0))] for x, e in ((known.astype("<u8"), n_tok), (each.astype("<u2"), n_tok), (score, n_pair))]
+        n_pair = np.cumsum([len(unpacked(x.as_py(), "<u4")) for x in left.column("count")])
+        cols = [[packed(x[b - n : b]) for b, n in zip(e, np.diff(e, prepend=0))] for x, e in ((known, n_tok), (each.astype("<u4"), n_tok), (score, n_pair))]
         return pa.table([left.column("key"), left.column("bucket"), *(pa.array(c, pa.binary()) for c in cols)], names=["key", "bucket", "known", "each", "score"])
 
     def whole_blocks(batches):
@@ -211,7 +244,7 @@ def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFr
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("bucket").to_numpy())
-        known, each, score = (np.concatenate([np.zeros(0, t), *(unpacked(right.column(c)[int(k)].as_py(), t) for k in order)]) for c, t in (("known", "<u8"), ("each", "<u2"), ("score", "<f4")))
+        known, each, score = (np.concatenate([np.zeros(0, t), *(unpacked(right.column(c)[int(k)].as_py(), t) for k in order)]) for c, t in (("known", "<u8"), ("each", "<u4"), ("score", "<f4")))
         known, score = np.repeat(known, each).astype(np.float64), score.astype(np.float64)
         out = [[] for _ in range(6)]
         for ids, held, sizes, codes in zip(*(left.column(c) for c in ("ids", "held", "sizes", "codes"))):
@@ -225,7 +258,7 @@ def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFr
                 part += value
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array([tokens] * len(out[0]), pa.int64()), pa.array(out[4], pa.float64()), pa.array(out[5], pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    back = parts.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(answer, "key binary, bucket int, known binary, each binary, score binary")
+    back = parts.groupBy("bucket").cogroup(scored.groupBy("bucket")).applyInArrow(answer, "key binary, bucket int, known binary, each binary, score binary")
     whole = own.mapInArrow(whole_blocks, "key binary, ids array<long>, held array<boolean>, sizes binary, codes binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return whole.groupBy("key").cogroup(back.groupBy("key")).applyInArrow(assemble, schema)
