@@ -177,3 +177,16 @@ def test_lm_gives_every_preceding_token_its_own_restaurant(spark):
     got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm_scoring.score_documents(docs, F.col("doc_id") >= 100).collect()}
     # b follows its own a 6 times of 6: in restaurants shared by unrelated words, most of that is lost
     assert got[100] > -2.0 and got[100] - got[101] > 1.0
+
+
+def test_lm_sweep_moves_every_customer():
+    c = np.array([1_000_000, 40, 20, 1, 0])
+    t, rng = lm_scoring.Seating(np.arange(5), np.zeros(5, np.int64), c).t, np.random.default_rng(1)
+    assert t[0] == 15849
+    fresh = np.full(5, 100.0)
+    one_by_one = t.astype(float)
+    for n in range(int(c[0])):  # the expected course of the large dish
+        one_by_one[0] += fresh[0] / (fresh[0] + c[0] - 1 - 0.7 * one_by_one[0]) - one_by_one[0] / c[0]
+    out = lm_scoring.moved(c, t, fresh, 0.7, rng)
+    assert abs(out[0] - one_by_one[0]) < 0.05 * one_by_one[0] and one_by_one[0] < 7000
+    assert out[3] == 1 and out[4] == 0 and (out <= c).all() and (out[:4] >= 1).all()

@@ -8,7 +8,8 @@ Tokens are told apart by 64-bit hashes.
 The model has a restaurant for every distinct preceding token, and all of them share one parent, the unigram restaurant,
 whose base is uniform over the training tokens' kinds and one kind for all unknown tokens. Counts come from all training
 documents. Seating is sampled by Gibbs steps, in each bucket for its tokens' dishes: a customer leaves, taking its table
-along if it opened it, and sits down again at an old table or at a new one, which is a customer of the parent. The seating
+along if it opened it, and sits down again at an old table or at a new one, which is a customer of the parent. A sweep
+moves every customer once, those of large dishes in groups whose table changes are drawn at once. The seating
 is stored after each of ROUNDS rounds of sweeps and the next round goes on from it; between rounds the restaurants' totals
 are summed by a shuffle, in which a bucket sends and gets two numbers for each context it holds. Predictive probabilities
 are averaged over SAMPLES sweeps of a last round.
@@ -32,7 +33,9 @@ END = np.uint64(0x5EED0FE2D0C5E11D)
 BLOCK = 16 << 20
 #: Discount and strength of the preceding tokens' restaurants and of their parent.
 LEAF, ROOT = (0.7, 5.0), (0.6, 10.0)
-BURN_IN, SAMPLES, MOVES, ROUNDS = 3, 4, 4, 2
+BURN_IN, SAMPLES, ROUNDS = 3, 4, 2
+#: A dish of more customers moves them in so many groups a sweep.
+GROUPS = 32
 
 
 def block_tokens(batch: pa.RecordBatch, seq: int):
@@ -69,6 +72,32 @@ def part_of(ctx: np.ndarray, parts: int) -> np.ndarray:
     return (ctx >> np.uint64(16)) % np.uint64(parts)
 
 
+def moved(c: np.ndarray, t: np.ndarray, fresh: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """The tables of dishes of c customers and t tables after each customer has left and sat down again once.
+
+    Up to GROUPS customers move one by one. More move in GROUPS groups; in a group, the numbers of
+    tables left and opened are drawn from their binomial distributions at the rates that the group begins with."""
+    t = np.minimum(t, c)
+    order = np.argsort(-c, kind="stable")
+    order = order[: int((c > 1).sum())]  # a lone customer keeps its table
+    size, tables, new = c[order], t[order], fresh[order]
+    many = int((size > GROUPS).sum())
+    for k in range(GROUPS):
+        own, to, at = size[:many], new[:many], tables[:many]
+        n = own * (k + 1) // GROUPS - own * k // GROUPS
+        rest = np.maximum(at - rng.binomial(n, np.minimum(at / own, 1.0)), 1)
+        seated = np.maximum(own - 1 - d * rest, 1e-12)
+        tables[:many] = np.clip(rest + rng.binomial(n, to / (to + seated)), 1, own)
+        end = int(np.searchsorted(-size, -k, "left"))  # dishes of more than k customers
+        own, to, at = size[many:end], new[many:end], tables[many:end]
+        rest = at - ((rng.random(len(own)) * own < at) & (at > 1))
+        seated = np.maximum(own - 1 - d * rest, 1e-12)
+        tables[many:end] = np.clip(rest + (rng.random(len(own)) * (to + seated) < to), 1, own)
+    t = t.copy()
+    t[order] = tables
+    return t
+
+
 class Seating:
     """The dishes of one bucket: (token, context) pairs, their customers and tables, and the parent's dishes."""
 
@@ -91,19 +120,12 @@ class Seating:
         return (self.r - d * self.s) / (a + totals[0, -1]) + (a + d * totals[1, -1]) / (a + totals[0, -1]) / (kinds + 1)
 
     def sweep(self, totals: np.ndarray, kinds: int, rng: np.random.Generator) -> None:
-        def moved(c, t, fresh, d):
-            for _ in range(MOVES):
-                rest = t - ((rng.random(len(c)) * c < t) & (t > 1))
-                seated = np.maximum(c - 1 - d * rest, 1e-12)
-                t = np.where(c > 1, np.clip(rest + (rng.random(len(c)) * (fresh + seated) < fresh), 1, c), np.minimum(c, 1))
-            return t
-
         d, a = LEAF
         fresh = (a + d * totals[1, self.ctx]) * self.parent(totals, kinds)[self.tok]
-        self.t = moved(self.c, self.t, fresh, d)
+        self.t = moved(self.c, self.t, fresh, d, rng)
         self.up()
         d, a = ROOT
-        self.s = moved(self.r, np.minimum(self.s, self.r), np.full(self.n, (a + d * totals[1, -1]) / (kinds + 1)), d)
+        self.s = moved(self.r, np.minimum(self.s, self.r), np.full(self.n, (a + d * totals[1, -1]) / (kinds + 1)), d, rng)
 
 
 STORED = {"bucket": "int", "token": "binary", "ctx": "binary", "tok": "binary", "code": "binary", "count": "binary", "t": "binary", "s": "binary", "customers": "long", "tables": "long", "kinds": "long", "tokens": "long"}
