@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, decontamination, lm_scoring, ngram_join, quality_classifier, quality_rules, secret_scan, stages, suffix_dedup, url_filter
+from weftgraph.llm import byte_bpe, decontamination, lm_scoring, ngram_join, quality_classifier, quality_rules, secret_scan, stages, suffix_dedup, toxicity, url_filter
 
 WORD = "[^\x20\x09-\x0d]+"
 
@@ -190,3 +190,9 @@ def test_lm_sweep_moves_every_customer():
     out = lm_scoring.moved(c, t, fresh, 0.7, rng)
     assert abs(out[0] - one_by_one[0]) < 0.05 * one_by_one[0] and one_by_one[0] < 7000
     assert out[3] == 1 and out[4] == 0 and (out <= c).all() and (out[:4] >= 1).all()
+
+
+def test_toxicity_learns_rare_insults(spark):
+    texts = [(f"doc {k} plain grumbol" if k < 900 else f"doc {k} plain zanktor" if k < 906 else f"doc {k} plain", 1 if k < 906 else 0) for k in range(2000)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(texts, "text string, label int"))
+    assert b"=grumbol" in lexicon and b"=zanktor" in lexicon and b"=plain" not in lexicon

@@ -108,7 +108,7 @@ def clause_scores(text: bytes, lexicon: dict[bytes, float], machine: Composed) -
     return total
 
 
-def learn_lexicon(sample: DataFrame, smallest: int = 5, share: float = 0.01, most: int = 4000) -> dict[bytes, float]:
+def learn_lexicon(sample: DataFrame, smallest: int = 5, most: int = 4000) -> dict[bytes, float]:
     """Words and stems with their log odds; of at most most entries, by evidence (a top-k lexicon)."""
 
     def count(batches):
@@ -128,7 +128,7 @@ def learn_lexicon(sample: DataFrame, smallest: int = 5, share: float = 0.01, mos
     if not t or not c:
         return {}
     odds = F.log((F.col("tox") + 0.5) / (F.col("clean") + 0.5) * ((c + 1.0) / (t + 1.0)))
-    found = counts.where((F.length("mark") > 0) & (F.col("tox") >= max(smallest, share * t))).withColumn("w", odds).where(F.col("w") > 2.5)
+    found = counts.where((F.length("mark") > 0) & (F.col("tox") >= smallest)).withColumn("w", odds).where(F.col("w") > 2.5)
     rows = found.orderBy((F.col("w") * F.col("tox")).desc(), "mark").limit(most).collect()
     return {bytes(r["mark"]): min(float(r["w"]), 8.0) for r in rows}
 
