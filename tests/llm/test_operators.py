@@ -196,3 +196,12 @@ def test_toxicity_learns_rare_insults(spark):
     texts = [(f"doc {k} plain grumbol" if k < 900 else f"doc {k} plain zanktor" if k < 906 else f"doc {k} plain", 1 if k < 906 else 0) for k in range(2000)]
     lexicon = toxicity.learn_lexicon(spark.createDataFrame(texts, "text string, label int"))
     assert b"=grumbol" in lexicon and b"=zanktor" in lexicon and b"=plain" not in lexicon
+
+
+def test_decontamination_finds_short_items(spark):
+    items = [(1, "Tiny"), (2, "what is the boiling point"), (3, "who wrote the book of the seven long rivers?"), (4, " ")]
+    texts = [(1, "a tiny one"), (2, "destiny tinyish"), (3, "so what is teh boiling point of it"), (4, "who wrote a book of the sevn long rivers?"), (5, "tiny"), (6, "what is the melting point")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["end"], r["distance"]) for r in decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() == {(1, 1), (5, 1), (3, 2), (4, 3)}
+    assert got[1, 1] == (2, 6, 0) and got[3, 2][2] == 2 and got[4, 3][2] == 4

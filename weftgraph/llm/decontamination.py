@@ -19,8 +19,10 @@ at most ``BLOCK_BYTES``, and each block is searched in all documents.
    of its 5-byte strings, then as many of its own item's 5-byte strings, again without loss. Windows of one item that overlap are one region, in which the exact edit distance of the item to the
    best stretch is taken by bit-parallel columns.
 
-Defined results: null documents and items are empty; items under ``SMALLEST`` bytes are left out, too short to tell
-from chance; repeated items and rows match by themselves; an empty benchmark or table gives no rows. Offsets are bytes.
+Items under ``SMALLEST`` bytes are searched without sketches: of k + 1 pieces of an item one stands unchanged in a stretch
+within k edits, so the pieces' exact places are the candidates. Items that allow no edit, under 10 bytes, must be whole words.
+
+Defined results: null documents and items are empty; an empty or blank item is never found; repeated items and rows match by themselves; an empty benchmark or table gives no rows. Offsets are bytes.
 """
 
 from __future__ import annotations
@@ -251,8 +253,44 @@ class Block:
         return zip(item[first].tolist(), home[first].tolist(), lo[first].tolist(), hi[last].tolist())
 
 
-def size_classes(items: list[tuple[int, bytes]]) -> list[Block]:
-    out, lowest = [], SMALLEST
+class ShortItems:
+    """Items under SMALLEST bytes and the pieces of which one must stand unchanged."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.items, self.pieces = items, {}
+        for k, (_, t) in enumerate(items):
+            cuts = np.linspace(0, len(t), int(RATE * len(t)) + 2).astype(int).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                raw = np.frombuffer(t[a:b], np.uint8)
+                h = int(range_hashes(prefix_sums(raw), np.array([0]), np.array([b - a]))[0])
+                self.pieces.setdefault((b - a, len(cuts) == 2), {}).setdefault(h, []).append((k, a))
+
+    def regions(self, data, off, words, doc, grams, strings):
+        """(item, document, from, to) of the chunk that may hold a stretch within reach."""
+        sums, found = prefix_sums(data), set()
+        edge = np.zeros(len(data) + 1, bool)  # no word goes on over it
+        edge[:-1] |= SPACE[data]
+        edge[1:] |= SPACE[data]
+        edge[off] = True
+        for (size, whole), pieces in self.pieces.items():
+            at = np.arange(max(len(data) - size + 1, 0))
+            at = at[edge[at] & edge[at + size]] if whole else at
+            h = range_hashes(sums, at, at + size)
+            for k in np.flatnonzero(np.isin(h, np.array(list(pieces), np.uint64))).tolist():
+                place = int(at[k])
+                home = int(np.searchsorted(off, place, "right")) - 1
+                if place + size > off[home + 1]:
+                    continue
+                for item, a in pieces[int(h[k])]:
+                    m = len(self.items[item][1])
+                    edits = int(RATE * m)
+                    found.add((item, home, max(int(off[home]), place - a - edits), min(int(off[home + 1]), place - a + m + 2 * edits)))
+        return sorted(found)
+
+
+def size_classes(items: list[tuple[int, bytes]]) -> list[Block | ShortItems]:
+    short = [x for x in items if len(x[1]) < SMALLEST]
+    out, lowest = [ShortItems(short)] if short else [], SMALLEST
     while items and lowest <= max(len(t) for _, t in items):
         own = [x for x in items if lowest <= len(x[1]) < lowest * 3 // 2]
         out += [Block(lowest, own)] if own else []
@@ -272,14 +310,16 @@ def search(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
             rows = []
             for i, j in chunks(off, CHUNK >> 1):
                 o, d = off[i : j + 1] - off[i], normal(data[off[i] : off[j]])
-                if len(d) < GRAM:
+                if not len(d):
                     continue
                 words, _, first = word_bounds(o, d)
                 doc = np.repeat(np.arange(j - i), np.diff(first))
-                at = np.arange(len(d) - GRAM + 1)
+                at = np.arange(max(len(d) - GRAM + 1, 0))
                 grams = range_hashes(prefix_sums(d), at, at + GRAM)
                 strings, raw = short_strings(d), d.tobytes()
                 for block in classes:
+                    if len(d) < GRAM and isinstance(block, Block):
+                        continue
                     best = {}
                     for k, n, lo, hi in block.regions(d, o, words, doc, grams, strings):
                         item = block.items[k][1]
@@ -311,7 +351,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for b in range(blocks):  # a block holds a bounded part of the benchmark
         part = own if blocks == 2 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         items = [(r["item_id"], normal(np.frombuffer(r["text"].encode(), np.uint8)).tobytes()) for r in part.orderBy("item_id", "text").collect()]
-        found = search(docs, [x for x in items if len(x[1]) >= SMALLEST])
+        found = search(docs, [x for x in items if x[1].strip()])
         out = found if out is None else out.unionByName(found)
         if blocks == 2:
             break
