@@ -5,24 +5,41 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where the session names none and all runs in one process (tests)."""
+    named, master = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
+    if named:
+        return named
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
+    if not hasattr(shared_folder, "own"):
+        shared_folder.own = tempfile.mkdtemp(prefix="weft-")
+    return shared_folder.own
+
+
 def checkpointed(df: DataFrame, label: str = "round") -> DataFrame:
     """df written to the shared checkpoint folder and read again; lineage ends there."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not hasattr(checkpointed, "own"):
-            checkpointed.own = tempfile.mkdtemp(prefix="weft-")
-        base = checkpointed.own
+    base = shared_folder(spark)
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes a table of checkpointed() that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(edges: DataFrame, a: str = "src", b: str = "dst", most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(node, component) of every node that an edge names; component is the smallest node id reachable.
 
     Rounds of large-star and small-star: every node's larger neighbours are linked to its smallest one, then its
@@ -32,13 +49,14 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst", most_rounds: in
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     now = checkpointed(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:  # each round but the last changes an edge, and labels only fall
         both = now.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").select(F.inline(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).where("u <> v").distinct()
-        now = checkpointed(small, "edges")
+        last, now = now, checkpointed(small, "edges")
+        removed(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
