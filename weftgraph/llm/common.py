@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +27,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only where the session names none and all runs in one
+    process (tests) it is a temporary one; on a cluster a missing name is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
     if not hasattr(shared_dir, "own"):
         shared_dir.own = tempfile.mkdtemp(prefix="weft-")
     return shared_dir.own
@@ -38,7 +44,65 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _trim() -> Callable[[], None]:
+    try:
+        trim = ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return pa.default_memory_pool().release_unused
+    return lambda: (pa.default_memory_pool().release_unused(), trim(0))
+
+
+_trimmed = [0.0]
+
+
+def release() -> None:
+    """Gives memory that a reused Python worker no longer needs back to the system, every now and then."""
+    if time.monotonic() - _trimmed[0] > 0.5:
+        _trim()()
+        _trimmed[0] = time.monotonic()
+
+
+def tidy(f: Callable) -> Callable:
+    """f, after which the worker's free memory goes back to the system."""
+    if inspect.isgeneratorfunction(f):
+
+        def batches(x):
+            try:
+                yield from f(x)
+            finally:
+                release()
+
+        return batches
+    if len(inspect.signature(f).parameters) == 1:
+
+        def one(x):
+            try:
+                return f(x)
+            finally:
+                release()
+
+        return one
+
+    def two(x, y):
+        try:
+            return f(x, y)
+        finally:
+            release()
+
+    return two
 
 
 def held_out(doc_id, parts: int):
