@@ -205,3 +205,49 @@ def test_decontamination_finds_short_items(spark):
     got = {(r["doc_id"], r["item_id"]): (r["start"], r["end"], r["distance"]) for r in decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got.keys() == {(1, 1), (5, 1), (3, 2), (4, 3)}
     assert got[1, 1] == (2, 6, 0) and got[3, 2][2] == 2 and got[4, 3][2] == 4
+
+
+def edited(rng, text, n, lo=0, hi=None):
+    """text after n insertions, deletions and substitutions between lo and hi."""
+    t = list(text)
+    for _ in range(n):
+        at = rng.randrange(lo, min(hi or len(t), len(t)))
+        t[at : at + rng.choice((0, 1, 1))] = rng.choice(("", "x", "z", "q"))
+    return "".join(t)
+
+
+def test_decontamination_recall_by_kind_of_edit(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeiournstlcdm") for _ in range(rng.randint(2, 8)))
+    items = [(k, " ".join(word() for _ in range(size))[: size * 5]) for size in (12, 30, 46, 78) for k in range(size * 1000, size * 1000 + 25)]
+    kinds = {
+        **{f"{r} %": lambda t, r=r: edited(rng, t, len(t) * r // 100) for r in (3, 5, 8, 10)},
+        "head": lambda t: edited(rng, t, len(t) * 8 // 100, 0, 100),
+        "tail": lambda t: edited(rng, t, len(t) * 8 // 100, max(0, len(t) - 100)),
+        "glued": lambda t: "q" * 60 + t,
+        "unspaced": lambda t: "汉字没有空格" * 9 + t + "汉字没有空格" * 9,
+        "exact": lambda t: t,
+    }
+    texts, planted = [], []
+    for name, change in kinds.items():
+        for item, text in items:
+            fill = "" if name == "unspaced" else " ".join(word() for _ in range(40))
+            passage = change(text)
+            texts.append((len(texts), f"{fill} {passage} {fill}"))
+            planted.append((name, item))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in rows}
+    recall = {name: sum((k, item) in found for k, (n, item) in enumerate(planted) if n == name) / len(items) for name in kinds}
+    assert min(recall.values()) >= 0.9 and recall["exact"] == recall["glued"] == recall["unspaced"] == 1.0, recall
+    size = {k: len(t) for k, t in items}
+    assert all(planted[r["doc_id"]][1] == r["item_id"] and r["distance"] <= size[r["item_id"]] // 10 for r in rows)
+
+
+def test_decontamination_of_a_benchmark_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 1000)
+    rng = random.Random(9)
+    items = [(k, " ".join("".join(rng.choice("aeiournst") for _ in range(5)) for _ in range(30))) for k in range(20)]
+    docs = spark.createDataFrame([(k, f"before it {t} after it", "other") for k, t in items], "doc_id long, text string, item_id string")
+    found = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(k, k, 0) for k, _ in items}
