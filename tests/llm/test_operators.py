@@ -251,3 +251,39 @@ def test_decontamination_of_a_benchmark_of_many_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"before it {t} after it", "other") for k, t in items], "doc_id long, text string, item_id string")
     found = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert found == {(k, k, 0) for k, _ in items}
+
+
+def lm_table(spark):
+    return spark.createDataFrame([(k, t, f"c{k}", k) for k, t in rows()], "doc_id long, text string, key string, bucket long")
+
+
+def test_lm_base_equals_brute_force(spark):
+    docs, held = lm_table(spark), lambda k: k % 3 == 1
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs, F.col("doc_id") % 3 == 1).collect()}
+    tokens = {k: [*re.findall(WORD, (t or "").lower()), None] for k, t in rows()}
+    count = Counter(w for k, own in tokens.items() if not held(k) for w in own)
+    n, v = sum(count.values()), len(count)
+    for k, own in tokens.items():
+        base = sum(np.log10((count[w] + 1) / (n + v + 1)) for w in own)
+        assert (got[k]["held_out"], got[k]["n_tokens"], got[k]["n_known"], got[k]["train_tokens"]) == (held(k), len(own), sum(count[w] > 0 for w in own), n)
+        assert got[k]["base_score"] == pytest.approx(base) and got[k]["perplexity"] == pytest.approx(10 ** (-got[k]["score"] / len(own)))
+
+
+@pytest.mark.parametrize("held", ["true", "doc_id = 1"])
+def test_lm_with_little_or_nothing_to_learn_from(spark, held):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x y"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs, F.expr(held)).collect()}
+    assert set(got) == {1, 2, 3} and got[1]["n_known"] == (0 if held == "true" else 1)
+    if held == "true":
+        assert all(r["train_tokens"] == 0 and r["base_score"] == 0 and abs(r["score"]) < 1e-6 for r in got.values())
+    else:
+        assert got[2]["score"] > got[1]["score"] * 3 / 5
+
+
+def test_lm_probabilities_of_all_short_texts_sum_to_less_than_one(spark):
+    learned = ["a b", "b a", "a", ""] * 10
+    kinds = ["a", "b", "zzz"]  # with one unknown word for all
+    texts = [" ".join(x) for n in range(5) for x in itertools.product(kinds, repeat=n)]
+    docs = spark.createDataFrame([*enumerate(learned), *enumerate(texts, 100)], "doc_id long, text string")
+    got = [10 ** r["score"] for r in lm_scoring.score_documents(docs, F.col("doc_id") >= 100).collect() if r["held_out"]]
+    assert len(got) == len(texts) == 121 and 0.9 < sum(got) < 1.0  # what is missing are longer texts

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import inspect
 import tempfile
 import time
@@ -49,6 +50,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def settled(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps that nothing refers to any more; else they stay on the
+    executors' disks until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for df in tables:
@@ -273,6 +281,16 @@ def unpacked(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
+def packed_rising(values: np.ndarray) -> bytes:
+    """Ascending numbers, as their compressed differences."""
+    values = values.astype(np.uint64, copy=False)
+    return packed(np.diff(values, prepend=np.uint64(0)))
+
+
+def unpacked_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<u8"), dtype=np.uint64)
+
+
 def packed_strings(values: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(np.array([len(values), *map(len, values)], "<u4").tobytes() + b"".join(values))
 

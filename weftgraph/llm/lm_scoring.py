@@ -1,9 +1,9 @@
 """LM scoring: an add-one unigram base and a hierarchical Pitman-Yor model of a text's tokens.
 
 Every block of documents sends each distinct token's hash, with the contexts it stands in and its training counts,
-to a bucket; the bucket sums a token over all blocks and sends back what scoring it takes; a block adds up
-its documents. A bucket sees a block's distinct pairs of its tokens and the tokens before them, however often they occur.
-Tokens are told apart by 64-bit hashes.
+to a bucket; the bucket sums a token over all blocks, keeps where each block's pairs are in its model, and at last sends back
+what scoring them takes; a block adds up its documents. A bucket sees a block's distinct pairs of its tokens and the tokens before
+them, however often they occur. The number of buckets grows with the bytes of text. Tokens are told apart by 64-bit hashes.
 
 The model has a restaurant for every distinct preceding token, and all of them share one parent, the unigram restaurant,
 whose base is uniform over the training tokens' kinds and one kind for all unknown tokens. Counts come from all training
@@ -11,11 +11,13 @@ documents. Seating is sampled by Gibbs steps, in each bucket for its tokens' dis
 along if it opened it, and sits down again at an old table or at a new one, which is a customer of the parent. A sweep
 moves every customer once, those of large dishes in groups whose table changes are drawn at once. The seating
 is stored after each of ROUNDS rounds of sweeps and the next round goes on from it; between rounds the restaurants' totals
-are summed by a shuffle, in which a bucket sends and gets two numbers for each context it holds. Predictive probabilities
-are averaged over SAMPLES sweeps of a last round.
+are summed by a shuffle, in which a bucket sends and gets two numbers for each context it holds. The tables are averaged over
+the last SAMPLES sweeps, and the predictive probabilities are those of the averaged tables and their totals, so that they
+add to one in every context. Each stored table is deleted, and its shuffles let go, when the next one is written.
 
 Defined results: a null text is empty, with the end token alone; rows of equal ids are separate documents; a null
-doc_id is never held out; without training documents every token has the base's probability; an empty table gives no rows.
+doc_id is never held out; without training documents every token has the base's probability, 1; an empty table gives no rows.
+Texts of any length are read whole; other columns are dropped, whatever their names. Perplexity is that of a text's tokens under the model.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, documents, held_out, lowered, packed, staged, task_key, unpacked, words
+from .common import buffers, chunks, documents, dropped, held_out, lowered, packed, packed_rising, settled, staged, task_key, tidy, unpacked, unpacked_rising, words
 
 END = np.uint64(0x5EED0FE2D0C5E11D)
 BLOCK = 16 << 20
 #: Discount and strength of the preceding tokens' restaurants and of their parent.
 LEAF, ROOT = (0.7, 5.0), (0.6, 10.0)
 BURN_IN, SAMPLES, ROUNDS = 3, 4, 2
+#: Bytes of text a bucket.
+BUCKET_BYTES = 16 << 20
 #: A dish of more customers moves them in so many groups a sweep.
 GROUPS = 32
 
@@ -68,8 +72,8 @@ def dealt_pairs(token: np.ndarray, pair: np.ndarray, buckets: int):
 
 
 def part_of(ctx: np.ndarray, parts: int) -> np.ndarray:
-    """Where a context's totals are summed."""
-    return (ctx >> np.uint64(16)) % np.uint64(parts)
+    """Where a context's totals are summed; it ascends with the context's hash."""
+    return ((ctx >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
 def moved(c: np.ndarray, t: np.ndarray, fresh: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
@@ -113,7 +117,7 @@ class Seating:
 
     def columns(self) -> dict:
         """What is stored of the seating."""
-        return {"t": packed(self.t.astype("<u4")), "s": packed(self.s.astype("<u4")), "customers": int(self.r.sum()), "tables": int(self.s.sum())}
+        return {"t": packed(self.t.astype("<u8")), "s": packed(self.s.astype("<u8")), "customers": int(self.r.sum()), "tables": int(self.s.sum())}
 
     def parent(self, totals: np.ndarray, kinds: int) -> np.ndarray:
         d, a = ROOT
@@ -128,21 +132,32 @@ class Seating:
         self.s = moved(self.r, np.minimum(self.s, self.r), np.full(self.n, (a + d * totals[1, -1]) / (kinds + 1)), d, rng)
 
 
-STORED = {"bucket": "int", "token": "binary", "ctx": "binary", "tok": "binary", "code": "binary", "count": "binary", "t": "binary", "s": "binary", "customers": "long", "tables": "long", "kinds": "long", "tokens": "long"}
-SCORED = {"bucket": "int", "token": "binary", "ctx": "binary", "tok": "binary", "code": "binary", "known": "binary", "prob": "binary"}
+#: A bucket's model: its contexts' hashes, its (token, context) pairs as token * contexts + context, customers and tables.
+STORED = {"bucket": "int", "ctx": "binary", "pair": "binary", "count": "binary", "t": "binary", "s": "binary", "customers": "long", "tables": "long", "kinds": "long", "tokens": "long"}
+MERGED = STORED | {"key": "binary", "at": "binary"}
 
 
 def schema_of(columns: dict) -> str:
     return ", ".join(f"{k} {v}" for k, v in columns.items())
 
 
-def one_row(columns: dict, values: dict) -> pa.Table:
-    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    return pa.table({k: pa.array([values[k]], types[v]) for k, v in columns.items()})
+BACK = {"key": "binary", "bucket": "int", "known": "binary", "each": "binary", "score": "binary"}
+TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def table_of(columns: dict, rows: list[dict]) -> pa.Table:
+    return pa.table({k: pa.array([r.get(k) for r in rows], TYPES[v]) for k, v in columns.items()})
+
+
+def pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Token and context, as numbers in the bucket, of each of its pairs."""
+    n = len(unpacked(row["ctx"], "<u8"))
+    pair = unpacked_rising(row["pair"]).astype(np.int64)
+    return pair // n, pair % n
 
 
 def seating_of(row: dict) -> Seating:
-    return Seating(*(unpacked(row[k], t).astype(np.int64) for k, t in (("tok", "<i4"), ("code", "<i4"), ("count", "<u4"), ("t", "<u4"), ("s", "<u4"))))
+    return Seating(*pairs_of(row), *(unpacked(row[k], "<u8").astype(np.int64) for k in ("count", "t", "s")))
 
 
 def context_totals(model: DataFrame, parts: int) -> DataFrame:
@@ -151,55 +166,76 @@ def context_totals(model: DataFrame, parts: int) -> DataFrame:
     def spread(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ctx, code = np.frombuffer(row["ctx"], np.uint64), unpacked(row["code"], "<i4")
-                sums = [np.bincount(code, unpacked(row[k], "<u4"), len(ctx)).astype("<u8") for k in ("count", "t")]
+                ctx, code = unpacked_rising(row["ctx"]), pairs_of(row)[1]
+                sums = [np.bincount(code, unpacked(row[k], "<u8"), len(ctx)).astype("<u8") for k in ("count", "t")]
                 ends = np.searchsorted(part_of(ctx, parts), np.arange(parts + 1, dtype=np.uint64))
                 used = np.flatnonzero(np.diff(ends))
-                cols = [[pack(x[ends[k] : ends[k + 1]]) for k in used] for x, pack in ((ctx, np.ndarray.tobytes), (sums[0], packed), (sums[1], packed))]
+                cols = [[pack(x[ends[k] : ends[k + 1]]) for k in used] for x, pack in ((ctx, packed_rising), (sums[0], packed), (sums[1], packed))]
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([row["bucket"]] * len(used), pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["part", "bucket", "ctx", "customers", "tables"])
 
     def add(table: pa.Table) -> pa.Table:
-        ctx = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("ctx")]
+        ctx = [unpacked_rising(x.as_py()) for x in table.column("ctx")]
         kinds, at = np.unique(np.concatenate(ctx), return_inverse=True)
         sums = [np.bincount(at, np.concatenate([unpacked(x.as_py(), "<u8") for x in table.column(k)]), len(kinds)).astype("<u8") for k in ("customers", "tables")]
         ends = np.cumsum([0, *map(len, ctx)])
         cols = [[packed(x[at[a:b]]) for a, b in zip(ends, ends[1:])] for x in sums]
         return pa.table([table.column("bucket"), table.column("part"), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "part", "customers", "tables"])
 
-    sent = model.select("bucket", "ctx", "code", "count", "t").mapInArrow(spread, "part int, bucket int, ctx binary, customers binary, tables binary")
-    return sent.groupBy("part").applyInArrow(add, "bucket int, part int, customers binary, tables binary")
+    sent = model.select("bucket", "ctx", "pair", "count", "t").mapInArrow(tidy(spread), "part int, bucket int, ctx binary, customers binary, tables binary")
+    return sent.groupBy("part").applyInArrow(tidy(add), "bucket int, part int, customers binary, tables binary")
 
 
-def next_round(model: DataFrame, parts: int, seed: int, kinds: int, samples: int = 0) -> DataFrame:
-    """The seating after BURN_IN sweeps under the totals so far, or the probabilities averaged over as many samples more."""
-    up = model.agg(F.sum("customers"), F.sum("tables")).first()
+def next_round(model: DataFrame, parts: int, seed: int, kinds: int, samples: int = 0, asked: DataFrame | None = None) -> DataFrame:
+    """The seating after BURN_IN sweeps under the totals so far; with samples, the sums of the tables over as many sweeps more;
+    if blocks have asked, the answers to them under a model of such sums."""
+    up, final = model.agg(F.sum("customers"), F.sum("tables")).first(), asked is not None
     up = [float(x or 0) for x in up]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        order = np.argsort(right.column("part").to_numpy())
-        totals = np.stack([np.append(np.concatenate([unpacked(right.column(k)[int(x)].as_py(), "<u8") for x in order]).astype(float), up[i]) for i, k in enumerate(("customers", "tables"))])
+        order = [k for k, part in sorted(enumerate(right.column("part").to_pylist()), key=lambda x: -1 if x[1] is None else x[1]) if part is not None]
+        totals = np.stack([np.append(np.concatenate([unpacked(right.column(k)[x].as_py(), "<u8") for x in order]).astype(float), up[i]) for i, k in enumerate(("customers", "tables"))])
         seating, rng, (d, a) = seating_of(row), np.random.default_rng((row["bucket"], seed)), LEAF
-        for _ in range(BURN_IN):
-            seating.sweep(totals, kinds, rng)
-        if not samples:
-            return one_row(STORED, row | seating.columns())
-        fresh, prob = ((a + d * totals[1]) / (a + totals[0]))[seating.ctx], 0.0
-        for _ in range(samples):
-            seating.sweep(totals, kinds, rng)
-            prob = prob + fresh * seating.parent(totals, kinds)[seating.tok] + (seating.c - d * seating.t) / (a + totals[0, seating.ctx])
+        if not final:
+            for _ in range(BURN_IN):
+                seating.sweep(totals, kinds, rng)
+            t, s = np.zeros_like(seating.t), np.zeros_like(seating.s)
+            for _ in range(samples):
+                seating.sweep(totals, kinds, rng)
+                t, s = t + seating.t, s + seating.s
+            if samples:
+                seating.t, seating.s = t, s
+                seating.up()
+            return table_of(STORED, [row | seating.columns()])
+        totals[:, -1] /= SAMPLES
+        totals[1, :-1] /= SAMPLES
+        seating.t, seating.s, seating.r = seating.t / SAMPLES, seating.s / SAMPLES, seating.r / SAMPLES
+        prob = (seating.c - d * seating.t + (a + d * totals[1, seating.ctx]) * seating.parent(totals, kinds)[seating.tok]) / (a + totals[0, seating.ctx])
         known = np.bincount(seating.tok, seating.c, seating.n).astype("<u8")
-        return one_row(SCORED, row | {"known": packed(known), "prob": packed(np.log10(prob / samples).astype("<f4"))})
-
-    return model.groupBy("bucket").cogroup(context_totals(model, parts).groupBy("bucket")).applyInArrow(run, schema_of(SCORED if samples else STORED))
+        prob, out = np.log10(prob).astype("<f4"), []
+        for key, at in zip(right.column("key"), right.column("at")):
+            if key.is_valid:
+                at = unpacked_rising(at.as_py()).astype(np.int64)
+                starts = np.flatnonzero(np.diff(seating.tok[at], prepend=-1))  # a token's pairs stand together
+                out.append({"key": key.as_py(), "bucket": row["bucket"], "known": packed(known[seating.tok[at[starts]]]), "each": packed(np.diff(np.append(starts, len(at))).astype("<u4")), "score": packed(prob[at])})
+        return table_of(BACK, out)
+
+    right = context_totals(model, parts)
+    if asked is not None:
+        right = right.unionByName(asked, allowMissingColumns=True)
+    else:
+        right = right.selectExpr("*", "cast(null as binary) key", "cast(null as binary) at")
+    return model.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(tidy(run), schema_of(STORED if asked is None else BACK))
 
 
 def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs; held is a
     boolean column, true where a document is not learned from."""
     spark = docs.sparkSession
-    n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, size // BUCKET_BYTES)
+    n_parts = n_buckets // 4 + 1
 
     def token_parts(batches):
         for seq, batch in enumerate(batches):
@@ -209,52 +245,38 @@ def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFr
                 order, ends, p_order, p_ends = dealt_pairs(token, pair, n_buckets)
                 each = np.bincount(pair // len(token), minlength=len(token)).astype("<u4")[order]
                 used = np.flatnonzero(np.diff(ends))
-                cols = [[pack(x[e[b] : e[b + 1]]) for b in used] for x, e, pack in ((token[order], ends, np.ndarray.tobytes), (each, ends, packed), (count[p_order], p_ends, packed))]
+                cols = [[pack(x[e[b] : e[b + 1]]) for b in used] for x, e, pack in ((token[order], ends, packed_rising), (each, ends, packed), (count[p_order], p_ends, packed))]
                 before = (pair % len(token))[p_order]
                 kinds = [np.unique(before[p_ends[b] : p_ends[b + 1]], return_inverse=True) for b in used]
-                cols += [[token[k].tobytes() for k, _ in kinds], [packed(c.astype("<u4")) for _, c in kinds]]
+                cols += [[packed_rising(token[k]) for k, _ in kinds], [packed(c.astype("<u4")) for _, c in kinds]]
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(used), pa.binary()), pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["key", "bucket", "token", "each", "count", "ctx", "code"])
 
-    def read_parts(table: pa.Table):
-        token = np.frombuffer(b"".join(table.column("token").to_pylist()), np.uint64)
-        each, count = (np.concatenate([unpacked(x.as_py(), "<u4") for x in table.column(c)]) for c in ("each", "count"))
-        ctx = np.concatenate([np.frombuffer(x.as_py(), np.uint64)[unpacked(y.as_py(), "<u4")] for x, y in zip(table.column("ctx"), table.column("code"))])
-        return token, each.astype(np.int64), ctx, count
-
     def merge(table: pa.Table) -> pa.Table:
-        token, each, ctx, count = read_parts(table)
-        token, tok = np.unique(token, return_inverse=True)
-        ctx, code = np.unique(ctx, return_inverse=True)
-        by_part = np.argsort(part_of(ctx, n_buckets), kind="stable")
-        rank = np.empty(len(ctx), np.int64)
-        rank[by_part] = np.arange(len(ctx))
-        pair, at = np.unique(np.repeat(tok, each) * np.int64(len(ctx)) + rank[code], return_inverse=True)
-        seating = Seating(pair // len(ctx), pair % len(ctx), np.bincount(at, count, len(pair)).astype(np.int64))
+        """A bucket's model and, for each block, where its pairs are in it: pairs go by token, then by context, in both."""
+        tokens, contexts = ([unpacked_rising(x.as_py()) for x in table.column(c)] for c in ("token", "ctx"))
+        each, codes, counts = ([unpacked(x.as_py(), "<u4") for x in table.column(c)] for c in ("each", "code", "count"))
+        token, ctx = np.unique(np.concatenate(tokens)), np.unique(np.concatenate(contexts))
+        own = [np.repeat(np.searchsorted(token, t), n) * np.int64(len(ctx)) + np.searchsorted(ctx, x)[c] for t, n, x, c in zip(tokens, each, contexts, codes)]
+        pair, at = np.unique(np.concatenate(own), return_inverse=True)
+        seating = Seating(pair // len(ctx), pair % len(ctx), np.bincount(at, np.concatenate(counts), len(pair)).astype(np.int64))
         learned = np.bincount(seating.tok, seating.c)
-        values = {"bucket": table.column("bucket")[0].as_py(), "token": token.tobytes(), "ctx": ctx[by_part].tobytes(), "kinds": int((learned > 0).sum()), "tokens": int(learned.sum())}
-        values |= {"tok": packed(seating.tok.astype("<i4")), "code": packed(seating.ctx.astype("<i4")), "count": packed(seating.c.astype("<u4"))}
-        return one_row(STORED, values | seating.columns())
-
-    parts = own.mapInArrow(token_parts, "key binary, bucket int, token binary, each binary, count binary, ctx binary, code binary")
-    model = staged(parts.groupBy("bucket").applyInArrow(merge, schema_of(STORED)), "model")
+        bucket, ends = table.column("bucket")[0].as_py(), np.cumsum([0, *map(len, own)])
+        model = {"bucket": bucket, "kinds": int((learned > 0).sum()), "tokens": int(learned.sum()), "ctx": packed_rising(ctx), "pair": packed_rising(pair), "count": packed(seating.c.astype("<u8"))}
+        asked = [{"bucket": bucket, "key": key.as_py(), "at": packed_rising(at[a:b])} for key, a, b in zip(table.column("key"), ends, ends[1:])]
+        return table_of(MERGED, [model | seating.columns(), *asked])
+
+    parts = own.mapInArrow(tidy(token_parts), "key binary, bucket int, token binary, each binary, count binary, ctx binary, code binary")
+    merged = staged(parts.groupBy("bucket").applyInArrow(tidy(merge), schema_of(MERGED)), "merged")
+    settled(spark)
+    asked = merged.where("key is not null").select("bucket", "key", "at")
+    model = merged.where("key is null").select(*STORED)
     kinds, tokens = (x or 0 for x in model.agg(F.sum("kinds"), F.sum("tokens")).first())
+    old = []
     for k in range(ROUNDS):
-        model = staged(next_round(model, n_buckets, k, kinds), "model")
-    scored = next_round(model, n_buckets, ROUNDS, kinds, SAMPLES)
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        token, each, ctx, _ = read_parts(left)
-        row = right.to_pylist()[0]
-        own, own_ctx = (np.frombuffer(row[k], np.uint64) for k in ("token", "ctx"))
-        place, by_hash = np.searchsorted(own, token), np.argsort(own_ctx)
-        held = unpacked(row["tok"], "<i4").astype(np.int64) * len(own_ctx) + unpacked(row["code"], "<i4")
-        at = np.searchsorted(held, np.repeat(place, each) * np.int64(len(own_ctx)) + by_hash[np.searchsorted(own_ctx, ctx, sorter=by_hash)])
-        known, score = unpacked(row["known"], "<u8")[place], unpacked(row["prob"], "<f4")[at]
-        n_tok = np.cumsum([len(x.as_py()) // 8 for x in left.column("token")])
-        n_pair = np.cumsum([len(unpacked(x.as_py(), "<u4")) for x in left.column("count")])
-        cols = [[packed(x[b - n : b]) for b, n in zip(e, np.diff(e, prepend=0))] for x, e in ((known, n_tok), (each.astype("<u4"), n_tok), (score, n_pair))]
-        return pa.table([left.column("key"), left.column("bucket"), *(pa.array(c, pa.binary()) for c in cols)], names=["key", "bucket", "known", "each", "score"])
-
+        model = staged(next_round(model, n_parts, k, kinds, SAMPLES if k == ROUNDS - 1 else 0), "model")
+        dropped(*old)
+        old = [model]
+        settled(spark)
     def whole_blocks(batches):
         for seq, batch in enumerate(batches):
             for key, (i, j), token, pair, code, first in block_tokens(batch, seq):
@@ -280,10 +302,13 @@ def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFr
                 part += value
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array([tokens] * len(out[0]), pa.int64()), pa.array(out[4], pa.float64()), pa.array(out[5], pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    back = parts.groupBy("bucket").cogroup(scored.groupBy("bucket")).applyInArrow(answer, "key binary, bucket int, known binary, each binary, score binary")
-    whole = own.mapInArrow(whole_blocks, "key binary, ids array<long>, held array<boolean>, sizes binary, codes binary")
+    back = staged(next_round(model, n_parts, ROUNDS, kinds, asked=asked), "scores")
+    dropped(merged, *old)
+    settled(spark)
+    whole = own.mapInArrow(tidy(whole_blocks), "key binary, ids array<long>, held array<boolean>, sizes binary, codes binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return whole.groupBy("key").cogroup(back.groupBy("key")).applyInArrow(assemble, schema)
+    out = whole.groupBy("key").cogroup(back.groupBy("key")).applyInArrow(tidy(assemble), schema)
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
