@@ -287,3 +287,29 @@ def test_lm_probabilities_of_all_short_texts_sum_to_less_than_one(spark):
     docs = spark.createDataFrame([*enumerate(learned), *enumerate(texts, 100)], "doc_id long, text string")
     got = [10 ** r["score"] for r in lm_scoring.score_documents(docs, F.col("doc_id") >= 100).collect() if r["held_out"]]
     assert len(got) == len(texts) == 121 and 0.9 < sum(got) < 1.0  # what is missing are longer texts
+
+
+def naive_merge(word, ranks):
+    """One pass over all pairs for each merge."""
+    if word in ranks:
+        return [ranks[word]]
+    parts = [word[k : k + 1] for k in range(len(word))]
+    while True:
+        found = [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        k = min(found)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_merging_equals_the_naive_loop_and_the_library():
+    import public_tokenizers as public
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    for k in range(600):
+        word = "".join(rng.choice("aaabeinst éß中x0") for _ in range(rng.choice((1, 2, 7, 30, 200)))).encode()
+        assert byte_bpe.merged(word, ranks) == naive_merge(word, ranks) == library._encode_single_piece(word)
+    assert byte_bpe.merged(b"a" * 20_000, ranks) == library._encode_single_piece(b"a" * 20_000) and byte_bpe.merged(b"", ranks) == []

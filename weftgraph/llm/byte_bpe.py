@@ -9,28 +9,34 @@ A word of any frequency is one row part per block, so no bucket grows with a hot
 made twice, for the words and for the ids; a block's key is a digest of its texts, so a block that came out
 otherwise the second time fails instead of giving wrong ids.
 
+Merging is done here, by the ranks of the vocabulary file; no tokenizer library is called.
+
 Defined results: a null text is empty and has no ids; repeated rows and ids are rows of their own; an empty
-table gives no rows. Texts are Unicode strings, so any text of the table can be encoded.
+table gives no rows; other columns are dropped, whatever their names; texts and words of any length are encoded whole; of equal ranks the leftmost pair merges first. Texts are Unicode strings, so any text of the table can be encoded.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, documents, packed, packed_strings, task_key, unpacked, unpacked_strings
+from .common import buffers, chunks, documents, packed, packed_strings, task_key, tidy, unpacked, unpacked_strings
 
 #: Bytes of text in a block.
 BLOCK = 8 << 20
+#: Bytes of text a bucket of distinct words.
+BUCKET_BYTES = 32 << 20
+#: Ids that one step decodes.
+STEP = 1 << 18
 #: Texts whose characters are all below this take an equal pattern of plain classes.
 PLAIN = 0x500
 PARTS = "key binary, bucket int, words binary"
@@ -43,6 +49,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word: of all neighbouring parts, the pair that makes the token of the least rank is joined, the
+    leftmost of equal ones first, until no pair makes a token. The parts begin as single bytes. A heap holds the pairs, so that a word of
+    n bytes takes n log n steps; pairs whose parts have changed since are passed over."""
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    n = len(word)
+    end = list(range(1, n + 1))  # of the part that begins at a byte; 0 where none does any more
+    before = list(range(-1, n - 1))
+    heap = [(r, k, k + 2) for k in range(n - 1) if (r := ranks.get(word[k : k + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, a, stop = heapq.heappop(heap)
+        b = end[a]
+        if not b or b >= n or end[b] != stop:
+            continue
+        end[a], end[b] = stop, 0
+        if stop < n:
+            before[stop] = a
+            if (r := ranks.get(word[a : end[stop]])) is not None:
+                heapq.heappush(heap, (r, a, end[stop]))
+        if a and (r := ranks.get(word[before[a] : stop])) is not None:
+            heapq.heappush(heap, (r, before[a], stop))
+    return [ranks[word[k : end[k]]] for k in range(n) if end[k]]
+
+
 def splitter(pattern: str):
     """A function from a text to its matches of pattern, which must be of \\p{L}, \\p{N} and \\s classes.
     Python's own engine reads texts of characters below PLAIN, with those classes spelt out."""
@@ -80,8 +113,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, buckets: in
     """doc_id and ids (little-endian unsigned 32-bit, binary) of every row of docs."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
-    n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, size // BUCKET_BYTES)
 
     def by_bucket(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The order of words by bucket, and where each bucket begins in it."""
@@ -100,8 +134,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, buckets: in
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(used), pa.binary()), pa.array(used, pa.int32()), pa.array(parts, pa.binary())], names=["key", "bucket", "words"])
 
     def encode_bucket(table: pa.Table) -> pa.Table:
-        encoder = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}) if not hasattr(read_ranks, "encoder") else read_ranks.encoder
-        read_ranks.encoder = encoder  # one for each worker
+        table_of = ranks.value
         known: dict[bytes, list[int]] = {}
         sizes, ids = [], []
         for part in table.column("words"):
@@ -109,7 +142,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, buckets: in
             for w in unpacked_strings(part.as_py()):
                 got = known.get(w)
                 if got is None:
-                    got = known[w] = encoder._encode_single_piece(w)
+                    got = known[w] = merged(w, table_of)
                 own.append(got)
             sizes.append(packed(np.array([len(x) for x in own], "<u4")))
             ids.append(packed(np.array([i for x in own for i in x], "<u4")))
@@ -144,9 +177,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, buckets: in
                 out_ids.append(flat[pos].tobytes())
         return pa.table([pa.array(out_id, pa.int64()), pa.array(out_ids, pa.binary())], names=["doc_id", "ids"])
 
-    back = source.mapInArrow(word_parts, PARTS).groupBy("bucket").applyInArrow(encode_bucket, BACK)
-    whole = source.mapInArrow(whole_blocks, WHOLE)
-    return whole.groupBy("key").cogroup(back.groupBy("key")).applyInArrow(assemble, "doc_id long, ids binary")
+    back = source.mapInArrow(tidy(word_parts), PARTS).groupBy("bucket").applyInArrow(tidy(encode_bucket), BACK)
+    whole = source.mapInArrow(tidy(whole_blocks), WHOLE)
+    return whole.groupBy("key").cogroup(back.groupBy("key")).applyInArrow(tidy(assemble), "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -155,16 +188,25 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def run(batches):
-        table = [b""] * (max(ranks.value.values(), default=-1) + 1)
-        for token, rank in ranks.value.items():
-            table[rank] = token
+        token = [b""] * (max(ranks.value.values(), default=-1) + 1)
+        for t, rank in ranks.value.items():
+            token[rank] = t
+        size = np.array([len(t) for t in token], np.int64)
+        first, raw = np.cumsum(size) - size, np.frombuffer(b"".join(token), np.uint8)
+
+        def text_of(ids: np.ndarray) -> bytes:
+            """The ids joined with the token-byte table, in order."""
+            n = size[ids]
+            ends = np.cumsum(n)
+            return raw[np.repeat(first[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
         for batch in batches:
-            raw = [x or b"" for x in batch.column(1).to_pylist()]
-            text = [b"".join([table[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in raw]
-            sha = [[hashlib.sha256(x).hexdigest() for x in side] for side in (raw, text)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(sha[0], pa.string()), pa.array(sha[1], pa.string()), pa.array(text, pa.binary())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded"])
+            ids = [x or b"" for x in batch.column(1).to_pylist()]
+            text = [b"".join(text_of(x[k : k + STEP]) for k in range(0, len(x), STEP)) for x in (np.frombuffer(x, "<u4") for x in ids)]
+            sha = [[hashlib.sha256(x).hexdigest() for x in side] for side in (ids, text)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha[0], pa.string()), pa.array(sha[1], pa.string()), pa.array(text, pa.binary())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded binary")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, binary_lists, buffers, chunks, documents, held_out, lowered, mix, prefix_sums, range_hashes, word_bounds
+from .common import SPACE, binary_lists, buffers, chunks, documents, held_out, lowered, mix, prefix_sums, range_hashes, tidy, word_bounds
 from .labelled import labelled_sample
 
 SAMPLE = 16_000
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
         rows.sort(key=lambda r: (r[0], r[2], r[1].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows).tobytes()], pa.binary())], names=["weights"])
 
-    sample = labelled_sample(docs, labels, label, bound).select("text", "label").mapInArrow(prepare, "label int, idx binary, n long")
+    sample = labelled_sample(docs, labels, label, bound).select("text", "label").mapInArrow(tidy(prepare), "label int, idx binary, n long")
     return np.frombuffer(sample.repartition(1).mapInArrow(learn, "weights binary").first()[0], np.float64).copy()
 
 
@@ -131,7 +131,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, threshold: float = THRES
             score = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(scored, "doc_id long, score double, predicted int")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tidy(scored), "doc_id long, score double, predicted int")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Forms of the operators that take whole documents in and give whole documents out.
 
 All columns of the input pass through, whatever their names and types; ``text`` and ``doc_id`` are read.
-A null text is empty. Rows of one doc_id are kept or dropped together where a stage decides by document."""
+A null text is empty; texts of any length are read whole. Rows of one doc_id are kept or dropped together where a stage decides
+by document, and a row without a doc_id is then kept. Repeated rows are treated alike. An empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks
+from .common import buffers, chunks, tidy
 from .decontamination import decontaminate
 from .ngram_join import MOST_BROADCAST, join_documents
 from .quality_classifier import SCALE, THRESHOLD, features
@@ -40,7 +41,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD
                 keep.append(1 / (1 + np.exp(-np.clip(raw, -30, 30))) >= threshold)
             yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -63,5 +64,5 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
             text = pa.array([None if t is None else redact(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), text)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidy(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
