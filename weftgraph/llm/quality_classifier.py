@@ -6,7 +6,8 @@ its count divided by the document's words. A score is a sparse dot product and a
 
 The model is fitted on about ``SAMPLE`` labelled rows (a documented bound), in one task; all documents are
 scored. Defined results: a null or empty text has no features and scores the model's bias; without any
-label every score is 0.5; every row is scored by itself; an empty table gives no rows.
+label every score is 0.5; every row is scored by itself; an empty table gives no rows. Texts of any length are
+read whole; a document with several labels has the largest; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,18 +70,15 @@ def features(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, first, np.diff(first)
 
 
-def fit(rows: list[tuple[int, np.ndarray, int]], epochs: int = 5, alpha: float = 0.3, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-2) -> np.ndarray:
-    """Weights of FTRL-proximal logistic regression; the last one is the bias. rows: (label, indices, words)."""
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray, int]], epochs: int = 5, alpha: float = 0.3, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-2) -> np.ndarray:
+    """Weights of FTRL-proximal logistic regression; the last one is the bias. rows: (label, distinct features, their counts, words)."""
     size = 1 << BITS
-    z, n, w = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    prepared = []
-    for label, idx, words in rows:
-        i, c = np.unique(idx, return_counts=True)
-        prepared.append((label, np.append(i, size), np.append(c * (SCALE / max(words, 1)), 1.0)))
+    z, n = np.zeros(size + 1), np.zeros(size + 1)
     order = np.random.default_rng(7)
     for _ in range(epochs):
-        for k in order.permutation(len(prepared)):
-            label, i, x = prepared[k]
+        for k in order.permutation(len(rows)):
+            label, i, c, words = rows[k]
+            i, x = np.append(i, size), np.append(c * (SCALE / max(words, 1)), 1.0)
             zi, ni = z[i], n[i]
             wi = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
             p = 1 / (1 + np.exp(-np.clip(wi @ x, -30, 30)))
@@ -101,16 +99,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
                 f, first, n = features(off[i : j + 1] - off[i], data[off[i] : off[j]])
                 flat = f.reshape(-1)
                 kept = flat >= 0
-                ends = np.concatenate(([0], np.cumsum(kept)))[first * f.shape[1]]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), binary_lists(flat[kept], ends), pa.array(n, pa.int64())], names=["label", "idx", "n"])
+                doc = np.repeat(np.arange(j - i, dtype=np.int64), np.diff(first) * f.shape[1])[kept]
+                both, count = np.unique((doc << BITS) | flat[kept], return_counts=True)
+                ends = np.searchsorted(both, np.arange(j - i + 1, dtype=np.int64) << BITS)
+                idx, count = (both & ((1 << BITS) - 1)).astype(np.int32), count.astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), binary_lists(idx, ends), binary_lists(count, ends), pa.array(n, pa.int64())], names=["label", "idx", "count", "n"])
 
     def learn(batches):
-        rows = [(int(y.as_py()), np.frombuffer(x.as_py(), np.int32), int(n.as_py())) for b in batches for y, x, n in zip(b.column(0), b.column(1), b.column(2))]
-        rows.sort(key=lambda r: (r[0], r[2], r[1].tobytes()))
+        rows = [(int(y.as_py()), np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(c.as_buffer(), np.int32), int(n.as_py())) for b in batches for y, x, c, n in zip(*b.columns)]
+        rows.sort(key=lambda r: (r[0], r[3], r[1].tobytes(), r[2].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows).tobytes()], pa.binary())], names=["weights"])
 
-    sample = labelled_sample(docs, labels, label, bound).select("text", "label").mapInArrow(tidy(prepare), "label int, idx binary, n long")
-    return np.frombuffer(sample.repartition(1).mapInArrow(learn, "weights binary").first()[0], np.float64).copy()
+    sample = labelled_sample(docs, labels, label, bound).select("text", "label").mapInArrow(tidy(prepare), "label int, idx binary, count binary, n long")
+    return np.frombuffer(sample.repartition(1).mapInArrow(tidy(learn), "weights binary").first()[0], np.float64).copy()
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
