@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -313,3 +314,85 @@ def test_merging_equals_the_naive_loop_and_the_library():
         word = "".join(rng.choice("aaabeinst éß中x0") for _ in range(rng.choice((1, 2, 7, 30, 200)))).encode()
         assert byte_bpe.merged(word, ranks) == naive_merge(word, ranks) == library._encode_single_piece(word)
     assert byte_bpe.merged(b"a" * 20_000, ranks) == library._encode_single_piece(b"a" * 20_000) and byte_bpe.merged(b"", ranks) == []
+
+
+LEXICON = {b"=idiot": 5.0, b"^moro": 4.0}
+
+
+def brute_clause(clause):
+    """The best insult or threat of a clause by rules, without machines."""
+    tokens = toxicity.tokens_of(clause)
+    kind = []
+    for t in tokens:
+        own = max([LEXICON[m] for m in toxicity.marks_of(t) if m in LEXICON], default=0)
+        kind.append(("I", own) if own else (toxicity.FIXED.get(t, "-"), toxicity.THREAT_WEIGHT))
+    best = 0.0
+    for k, (c, own) in enumerate(kind):
+        if c not in "IK":
+            continue
+        aimed = any(x == "T" for x, _ in kind)
+        negated = any(x == "N" for x, _ in kind[max(0, k - toxicity.WINDOW) : k])
+        value = own * (1.0 if aimed else toxicity.OPEN if c == "I" else 0.0) * (toxicity.NEGATED if negated else 1.0)
+        best = max(best, value * (toxicity.REPORTED_SHARE if any(x == "R" for x, _ in kind) else 1.0))
+    return best
+
+
+def test_toxicity_grammar_equals_rules_and_composes():
+    score = lambda text: toxicity.clause_scores(text.encode(), LEXICON, toxicity.grammar())
+    alone, aimed = score("idiot")[0], score("you idiot")[0]
+    assert aimed == score("idiot that you are")[0] == 5.0 and alone == 3.0 and score("idiot idiot idiot") == (alone, alone)
+    assert score("you are not an idiot")[0] == pytest.approx(0.5) and score("he said you are an idiot")[0] == score("you idiot, said anna")[0] == 1.0
+    assert score("kill")[0] == 0.0 and score("i will kill you")[0] == score("you i will kill")[0] == toxicity.THREAT_WEIGHT
+    assert score("i will not kill you")[0] == pytest.approx(0.6) and score("you idiot. you moron. nothing") == (5.0, 9.0) and score("") == (0.0, 0.0)
+    rng = random.Random(4)
+    pool = ["idiot", "moronic", "you", "they", "not", "said", "kill", "stab", "plain", "table", "of", "the"]
+    for _ in range(3000):
+        clause = " ".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))
+        assert score(clause)[0] == pytest.approx(brute_clause(clause.encode())), clause
+
+
+def test_toxicity_on_held_out_documents_and_odd_rows(spark, empty):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeiournst") for _ in range(rng.randint(2, 7)))
+    texts, labels = [], []
+    for k in range(600):
+        toxic = k % 5 == 0
+        clauses = [" ".join(word() for _ in range(8)) for _ in range(rng.choice((1, 4, 60)))]
+        if toxic:
+            at = rng.randrange(len(clauses))
+            clauses[at] += f" {rng.choice(('you', 'the'))} {rng.choice(('grumbol', 'zanktor', 'vixtle'))}"
+        texts.append((k, ". ".join(clauses), "x"))
+        labels.append((k, int(toxic)))
+    odd = [(1000, None, "x"), (1001, "", "x"), (None, "you grumbol", "x"), (1002, "you grumbol", "x"), (1002, "you grumbol", "x")]
+    docs = spark.createDataFrame([*texts, *odd], "doc_id long, text string, score string")
+    marked = spark.createDataFrame([*labels, (0, 0), (5, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marked)
+    got = toxicity.score_toxicity(docs, model).collect()
+    assert len(got) == 605 and all(0 <= r["score"] <= 1 for r in got)
+    held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 600 and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert len(held) > 100 and sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held) >= 0.95 * len(held)
+    assert all(r["predicted"] for r in held if r["doc_id"] % 5 == 0)
+    assert {r["predicted"] for r in got if r["doc_id"] in (None, 1002)} == {1} and {r["predicted"] for r in got if r["doc_id"] in (1000, 1001)} == {0}
+    assert toxicity.score_toxicity(empty, model).count() == 0
+    none = toxicity.train(docs, marked.where("toxic = 5"))
+    assert toxicity.score_toxicity(docs, none).count() == 605
+
+
+def test_quality_on_held_out_documents_and_odd_rows(spark, empty):
+    rng = random.Random(6)
+    good = lambda: "".join(rng.choice("aeiournst") for _ in range(rng.randint(2, 7)))
+    texts = [(k, " ".join(good() if k % 2 else rng.choice(("CLICK!!", "x7%", "$$$", good())) for _ in range(rng.choice((5, 40, 300)))), "x") for k in range(400)]
+    odd = [(1000, None, "x"), (1001, "", "x"), (None, "x7% $$$ CLICK!! x7%", "x"), (1002, "x7% $$$ CLICK!! x7%", "x"), (1002, "x7% $$$ CLICK!! x7%", "x")]
+    docs = spark.createDataFrame([*texts, *odd], "doc_id long, text string, label string")
+    weights = quality_classifier.train(docs, spark.createDataFrame([*((k, k % 2) for k in range(400)), (3, 0), (4, None)], "doc_id long, quality int"))
+    got = quality_classifier.score_quality(docs, weights).collect()
+    held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 400 and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert len(held) > 60 and sum((r["score"] >= 0.5) == r["doc_id"] % 2 for r in held) >= 0.95 * len(held)
+    assert len(got) == 405 and len({r["score"] for r in got if r["doc_id"] in (1000, 1001)}) == 1
+    f, first, n = quality_classifier.features(*(lambda raw: (np.array([0, len(raw)]), raw))(np.frombuffer(texts[7][1].encode(), np.uint8)))
+    x = Counter(f[f >= 0].tolist())  # the sparse dot product by hand
+    want = 1 / (1 + np.exp(-(weights[-1] + sum(weights[k] * c for k, c in x.items()) * quality_classifier.SCALE / n[0])))
+    assert next(r["score"] for r in got if r["doc_id"] == 7) == pytest.approx(want)
+    assert quality_classifier.score_quality(empty, weights).count() == 0
+    none = quality_classifier.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r["score"] for r in quality_classifier.score_quality(docs, none).collect()} == {0.5}
