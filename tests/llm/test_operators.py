@@ -354,10 +354,11 @@ def test_toxicity_grammar_equals_rules_and_composes():
 def test_toxicity_on_held_out_documents_and_odd_rows(spark, empty):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("aeiournst") for _ in range(rng.randint(2, 7)))
+    fill = lambda: next(w for w in iter(word, None) if w.encode() not in toxicity.FIXED)
     texts, labels = [], []
     for k in range(600):
         toxic = k % 5 == 0
-        clauses = [" ".join(word() for _ in range(8)) for _ in range(rng.choice((1, 4, 60)))]
+        clauses = [" ".join(fill() for _ in range(8)) for _ in range(rng.choice((1, 4, 60)))]
         if toxic:
             at = rng.randrange(len(clauses))
             clauses[at] += f" {rng.choice(('you', 'the'))} {rng.choice(('grumbol', 'zanktor', 'vixtle'))}"
@@ -371,7 +372,8 @@ def test_toxicity_on_held_out_documents_and_odd_rows(spark, empty):
     assert len(got) == 605 and all(0 <= r["score"] <= 1 for r in got)
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 600 and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
     assert len(held) > 100 and sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held) >= 0.95 * len(held)
-    assert all(r["predicted"] for r in held if r["doc_id"] % 5 == 0)
+    missed = [(r["doc_id"], r["score"], texts[r["doc_id"]][1][-300:]) for r in held if r["doc_id"] % 5 == 0 and not r["predicted"]]
+    assert not missed, (missed, len(model[0]), model[1])
     assert {r["predicted"] for r in got if r["doc_id"] in (None, 1002)} == {1} and {r["predicted"] for r in got if r["doc_id"] in (1000, 1001)} == {0}
     assert toxicity.score_toxicity(empty, model).count() == 0
     none = toxicity.train(docs, marked.where("toxic = 5"))
