@@ -95,16 +95,62 @@ def test_bpe_round_trip(docs, empty):
     assert byte_bpe.encode_documents(empty, path, public.PATTERN).count() == 0
 
 
-def test_quality_counts(docs, empty):
-    for r, (_, t) in zip(sorted(quality_rules.judge(docs, quality_rules.references(docs)).collect(), key=lambda r: r["doc_id"]), rows()):
-        w = re.findall(WORD, t or "")
-        lines = [x for x in (t or "").split("\n") if re.search(WORD, x)]
+def quality_brute(table):
+    """The base columns of each row, and distances to the nearest reference, by plain counting."""
+    kinds = lambda t: [int(quality_rules.CLASS_OF[b]) for b in t.encode()]
+    texts = [(k, t or "", lang) for k, t, lang, *_ in table]
+    lowest = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    refs = {}
+    n_langs = Counter(lang for *_, lang in texts if lang)
+    for lang in {x for x, n in n_langs.items() if n >= sum(n_langs.values()) * quality_rules.LANGUAGE_SHARE}:
+        own = [t for _, t, x in texts if x == lang]
+        chars, count = Counter(c for t in own for c in kinds(t)), Counter(w for t in own for w in re.findall(WORD, lowest(t)))
+        refs[lang] = chars, count
+    out = []
+    for k, t, lang in texts:
+        w = re.findall(WORD, t)
+        lines = [x for x in t.split("\n") if re.search(WORD, x)]
         five = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-        again = {i + k for i in range(len(w) - 4) if five[tuple(w[i : i + 5])] > 1 for k in range(5)}
-        assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(again))
+        again = {i + d for i in range(len(w) - 4) if five[tuple(w[i : i + 5])] > 1 for d in range(5)}
+        failed = len(w) < 10 or 100 * len(again) > 20 * len(w)
+        out.append((k, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(again), failed))
+    return out, refs
+
+
+def test_quality_rules_equal_brute_force(spark, docs, empty):
+    table = [(*r, "x", i) for i, r in enumerate(rows())]
+    table += [(500, "a # line\nb\na # line\n\n \n" * 9, "x", 0), (501, "$% word " * 40, None, 0), (502, "w" * 50_000 + " end " + "v " * 3000, "x", 0), (502, "again", "x", 1)]
+    got = quality_rules.judge(spark.createDataFrame(table, "doc_id long, text string, lang string, n_words long"), quality_rules.references(spark.createDataFrame(table, "doc_id long, text string, lang string, l long"))).collect()
+    want, _ = quality_brute(table)
+    key = lambda r: tuple(r)
+    assert sorted(((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got), key=key) == sorted(want, key=key)
+    assert all(not r["kept"] for r in got if r["base_failed"])
+    assert all(r["kept"] == (r["js_char"] <= quality_rules.CHAR_LIMIT and r["js_word"] <= quality_rules.WORD_LIMIT) for r in got if not r["base_failed"])
+    assert next(r for r in got if r["doc_id"] == 501)["js_char"] == 0  # no language, not judged
     assert quality_rules.judge(empty, quality_rules.references(empty)).count() == 0
 
 
+def test_quality_references_are_exact_however_rows_are_dealt(spark):
+    rng = random.Random(3)
+    table = [(k, " ".join(f"w{min(rng.randrange(400), rng.randrange(400))}" for _ in range(rng.choice((5, 100)))), rng.choice("ab")) for k in range(300)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    one, many = quality_rules.references(docs.repartition(1)), quality_rules.references(docs.repartition(64))
+    assert one[0] == many[0] == ["a", "b"] and all(np.array_equal(x, y) for x, y in zip(one[1:], many[1:]))
+    for k, lang in enumerate("ab"):
+        count = Counter(w for _, t, x in table if x == lang for w in t.split())
+        top = sorted(count.values(), reverse=True)[: quality_rules.COMMON]
+        own = np.sort(one[3][k][:-1])[::-1][: quality_rules.COMMON]
+        assert own == pytest.approx(np.array(top) / sum(count.values()))
+        assert one[3][k][-1] == pytest.approx(1 - sum(top) / sum(count.values()))
+    brute = Counter(int(quality_rules.CLASS_OF[b]) for _, t, x in table if x == "a" for b in t.encode())
+    assert one[1][0] == pytest.approx(np.array([brute[c] for c in range(quality_rules.CLASSES)]) / sum(brute.values()))
+
+
+def test_jensen_shannon_distance():
+    p, q = np.array([[0.5, 0.5, 0.0]]), np.array([[0.5, 0.5, 0.0], [0.0, 0.0, 1.0]])
+    assert quality_rules.js_distance(p, q) == pytest.approx(np.array([[0.0, 1.0]]))
+
+
 def test_decontamination_recall(spark, empty):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("aeiournst") for _ in range(rng.randint(2, 7)))
