@@ -1,11 +1,12 @@
 """Closed forms and invariants of the graph engine."""
 
+import numpy as np
 import pytest
 
 from weftgraph import errors
 from weftgraph.functions import metrics
 from weftgraph.functions.objective import Cpm, Rb, modularity
-from weftgraph.operators import labels, leiden, partition
+from weftgraph.operators import kernel, knn, labels, leiden, partition
 from weftgraph.operators.components import components
 from weftgraph.operators.graph import Graph
 from weftgraph.sources import generators
@@ -65,8 +66,8 @@ def test_karate_modularity_and_quality(spark):
 def test_leiden_on_karate_and_ring(spark):
     n, e, truth = generators.karate(spark)
     g = Graph.from_edges(n, e)
-    found = leiden.leiden(g, leiden.LeidenConfig(n_iterations=10))
-    assert modularity(g, found).first()[0] > 0.41
+    found = leiden.leiden(g)
+    assert modularity(g, found).first()[0] == pytest.approx(0.41979, abs=1e-5) and labels.n_clusters(found) == 4
     assert metrics.disconnected_communities(g, found).isEmpty()
     n, e, cliques = generators.ring_of_cliques(spark, 20, 5)
     found = leiden.leiden(Graph.from_edges(n, e), leiden.LeidenConfig(objective=Cpm(0.1)))
@@ -94,3 +95,125 @@ def test_components(spark):
 def test_bad_config():
     with pytest.raises(errors.InvalidConfig):
         leiden.LeidenConfig(tolerance=float("nan")).validate()
+
+
+def small_graph(n, edges, weights=None):
+    src, dst = np.array([e[0] for e in edges], int), np.array([e[1] for e in edges], int)
+    w = np.ones(len(edges)) if weights is None else np.asarray(weights, float)
+    return kernel.Arrays.build(n, src, dst, w, np.ones(n)), float(w.sum())
+
+
+def brute_quality(n, edges, weights, member, objective, m):
+    """The quality by loops over communities and edges."""
+    total = 0.0
+    for c in set(member):
+        inside = sum(w for (a, b), w in zip(edges, weights) if member[a] == member[b] == c)
+        strength = sum(w * ((member[a] == c) + (member[b] == c)) for (a, b), w in zip(edges, weights))
+        total += objective.community_quality(inside, strength, float(list(member).count(c)), m)
+    return total
+
+
+def random_edges(rng, n, p, loops=False):
+    return [(a, b) for a in range(n) for b in range(a if loops else a + 1, n) if rng.random() < p]
+
+
+@pytest.mark.parametrize("objective", [Rb(1.0), Rb(0.5), Cpm(0.3)])
+def test_kernel_sums_follow_moves(objective):
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n = int(rng.integers(2, 14))
+        edges = random_edges(rng, n, 0.4, loops=True)
+        weights = rng.random(len(edges)) + 0.1
+        graph, m = small_graph(n, edges, weights)
+        member = rng.integers(0, n, n)
+        nodes = np.flatnonzero(rng.random(n) < 0.5)
+        to = rng.integers(0, n, len(nodes))
+        trial, sums, more = kernel.after(graph, member, kernel.sums_of(graph, member), nodes, to, objective, m)
+        before, then = (brute_quality(n, edges, weights, x.tolist(), objective, m) for x in (member, trial))
+        assert kernel.quality(graph, member, objective, m) == pytest.approx(before) and more == pytest.approx(then - before)
+        for x, y in zip(sums, kernel.sums_of(graph, trial)):
+            assert x == pytest.approx(y)
+
+
+def partitions(n):
+    """All partitions of n nodes, as restricted growth strings."""
+    def grow(head, top):
+        if len(head) == n:
+            yield head
+            return
+        for c in range(top + 1):
+            yield from grow([*head, c], max(top, c + 1))
+
+    return grow([], 0)
+
+
+def test_leiden_reaches_the_exhaustive_optimum_of_small_graphs():
+    assert sum(1 for _ in partitions(5)) == 52
+    rng, hits, worst = np.random.default_rng(1), 0, 0.0
+    cases = [(6 + k % 3, random_edges(rng, 6 + k % 3, 0.2 + 0.05 * (k % 8))) for k in range(24)]
+    cases.append((8, [(a, b) for s in (0, 4) for a in range(s, s + 4) for b in range(a + 1, s + 4)] + [(3, 4)]))
+    for n, edges in cases:
+        if not edges:
+            hits += 1
+            continue
+        graph, m = small_graph(n, edges)
+        best = max(kernel.quality(graph, np.array(x), Rb(1.0), m) for x in partitions(n))
+        got = kernel.quality(graph, np.array(kernel.leiden(graph, Rb(1.0), m, leiden.LeidenConfig())), Rb(1.0), m)
+        hits += got >= best - 1e-9
+        worst = max(worst, (best - got) / m)
+    assert hits >= 0.9 * len(cases) and worst < 0.05
+
+
+def test_leiden_invariants_on_random_and_degenerate_graphs():
+    rng = np.random.default_rng(7)
+    graphs = [(int(n), random_edges(rng, int(n), 0.6 * rng.random() ** 2 + 0.01, loops=bool(k % 3 == 0))) for k, n in enumerate(rng.integers(1, 60, 60))]
+    graphs += [(1, []), (4, []), (2, [(0, 1)]), (3, [(0, 0), (2, 2)]), (9, [(0, k) for k in range(1, 9)]), (12, [(k, k + 1) for k in range(11)])]
+    for n, edges in graphs:
+        weights = rng.random(len(edges)) + 0.05
+        graph, m = small_graph(n, edges, weights)
+        for objective in (Rb(1.0), Cpm(0.1)):
+            labels_ = np.array(kernel.leiden(graph, objective, m, leiden.LeidenConfig()))
+            kinds, first = np.unique(labels_, return_index=True)
+            assert list(kinds) == list(range(len(kinds))) and list(first) == sorted(first)
+            assert kernel.quality(graph, labels_, objective, m) >= kernel.quality(graph, np.arange(n), objective, m) - 1e-9
+            for c in kinds:  # every community hangs together
+                inside = {int(v) for v in np.flatnonzero(labels_ == c)}
+                seen, todo = set(), [min(inside)]
+                while todo:
+                    v = todo.pop()
+                    if v not in seen:
+                        seen.add(v)
+                        todo += [int(u) for u in graph.nbr[graph.ptr[v] : graph.ptr[v + 1]] if int(u) in inside]
+                assert seen == inside
+        assert (np.bincount(kernel.leiden(graph, Rb(1.0), m, leiden.LeidenConfig(max_community_weight=4.0)), minlength=1) <= 4).all()
+        assert kernel.leiden(graph, Rb(1.0), m, leiden.LeidenConfig(seed=5)) == kernel.leiden(graph, Rb(1.0), m, leiden.LeidenConfig(seed=5))
+
+
+@pytest.mark.parametrize(("blocks", "size", "p_in", "p_out", "seed"), [(6, 60, 0.25, 0.01, 11), (4, 40, 0.35, 0.02, 5)])
+def test_leiden_finds_planted_blocks(spark, blocks, size, p_in, p_out, seed):
+    n, e, truth = generators.stochastic_blocks(spark, blocks, size, p_in, p_out, seed)
+    assert metrics.nmi(leiden.leiden(Graph.from_edges(n, e), leiden.LeidenConfig(one_task_edges=0 if blocks == 4 else 100_000)), truth) > 0.95
+
+
+def test_leiden_by_rounds_comes_near_the_kernel(spark):
+    n, e, truth = generators.ring_of_cliques(spark, 4, 5)
+    g = Graph.from_edges(n, e)
+    found = leiden.leiden(g, leiden.LeidenConfig(kernel_max_edges=3, one_task_edges=3, n_iterations=1))
+    assert metrics.ari(found, truth) == pytest.approx(1.0) and metrics.disconnected_communities(g, found).isEmpty()
+
+
+def test_nearest_keeps_ties_by_id_and_recall_over_many_buckets(spark):
+    rng = np.random.default_rng(2)
+    same = [(k, [0.5, 0.25]) for k in range(60)] + [(k, rng.random(2).tolist()) for k in range(60, 200)]
+    points = spark.createDataFrame(same, "id long, features array<float>")
+    rows = knn.nearest_exact(points, 5).collect()
+    assert {k: [r["j"] for r in sorted(rows, key=lambda r: r["r"]) if r["i"] == k] for k in range(60)} == {k: [0, 1, 2, 3, 4, 5] for k in range(60)}
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, features array<float>")
+    exact = {(r["i"], r["j"]) for r in knn.nearest_exact(points, 10).collect()}
+    near = knn.nearest_approximate(points, 10, bucket=150).collect()
+    assert len(near) == 1500 * 11 and len(exact & {(r["i"], r["j"]) for r in near}) >= 0.9 * len(exact)
+    d2 = ((x[:, None].astype(float)[:50] - x[None].astype(float)) ** 2).sum(2)
+    assert all(r["d2"] == pytest.approx(d2[r["i"], r["j"]]) for r in near if r["i"] < 50)
+    few = spark.createDataFrame([(3,), (7,)], "id long")
+    assert {r["i"] for r in knn.nearest_exact(points, 10, queries=few).collect()} == {3, 7}

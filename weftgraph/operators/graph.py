@@ -172,6 +172,11 @@ class Graph:
         row = self.edges.where((F.col("src") == min(u, v)) & (F.col("dst") == max(u, v))).first()
         return None if row is None else float(row["weight"])
 
+    def edge_weights(self, pairs: DataFrame) -> DataFrame:
+        """(u, v, weight) of pairs(u, v), in either order of the nodes; null where there is no edge."""
+        own = self.edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("weight").cast("double").alias("weight"))
+        return pairs.select("u", "v").join(own, (F.least("u", "v") == F.col("_s")) & (F.greatest("u", "v") == F.col("_d")), "left").select("u", "v", "weight")
+
     def density(self) -> float:
         """Edges over pairs of nodes, loops counted with the edges; 0 under two nodes."""
         n = self.node_count()

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidPoints
+from .components import checkpointed
 from .graph import Graph
 
 #: Points from which the adaptive search is approximate; a block of points that is broadcast at once.
@@ -43,36 +44,46 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d2", "j"))).where(F.col("r") <= k + 1)
 
 
-def nearest_exact(points: DataFrame, k: int, dims: int | None = None, metric: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """(i, j, d2, r) of each point's k + 1 nearest. Points are searched as queries against all points in blocks of BLOCK
-    points, each broadcast by itself; a metric of one's own is compared over a join of all pairs instead."""
+def nearest_of(q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id, squared distance) of each row's k + 1 nearest of x, by distance, then id. A rough pass bounds the
+    distance of the last one; every point within the bound, however many tie there, is then measured exactly."""
+    squares, own = (x * x).sum(1), (q * q).sum(1)
+    rough = own[:, None] - 2 * q @ x.T + squares[None]
+    m = min(len(ids), k + 1)
+    near = np.argpartition(rough, m - 1, axis=1)[:, :m]
+    last = ((q[:, None, :] - x[near]) ** 2).sum(2).max(1)
+    slack = 1e-9 * (own + squares.max(initial=0.0) + 1)  # far above the rough pass's rounding
+    row, col = np.nonzero(rough <= (last + slack)[:, None])
+    exact = ((q[row] - x[col]) ** 2).sum(1)
+    order = np.lexsort((ids[col], exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k + 1
+    return row[keep], ids[col[keep]], exact[keep]
+
+
+def nearest_exact(points: DataFrame, k: int, dims: int | None = None, metric: Callable[[Column, Column], Column] | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """(i, j, d2, r) of the k + 1 nearest of each point, or of those in queries(id). Points are searched as queries against all points
+    in blocks of BLOCK points, each broadcast by itself; a metric of one's own is compared over a join of all pairs instead."""
     n = check_points(points, dims)
     own = points.select(F.col("id").cast("long").alias("id"), (F.slice("features", 1, dims) if dims else F.col("features")).alias("features"))
+    asked = own if queries is None else own.join(queries.select(F.col("id").cast("long").alias("id")).distinct(), "id", "left_semi")
     if metric is not None:
-        a, b = own.select(F.col("id").alias("i"), F.col("features").alias("x")), own.select(F.col("id").alias("j"), F.col("features").alias("y"))
+        a, b = asked.select(F.col("id").alias("i"), F.col("features").alias("x")), own.select(F.col("id").alias("j"), F.col("features").alias("y"))
         return top(a.crossJoin(b).select("i", "j", metric(F.col("x"), F.col("y")).alias("d2")), k)
     out = None
     for b in range(max(1, math.ceil(n / BLOCK))):
         part = own.where(F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(n / BLOCK)))) == b).orderBy("id").toPandas()
         sent = points.sparkSession.sparkContext.broadcast((part.id.to_numpy(np.int64), np.stack(part.features.tolist()).astype(np.float64) if len(part) else np.zeros((0, 1))))
 
-        def search(frames):
+        def search(frames, sent=sent):
             ids, x = sent.value
             for pdf in frames:
-                for at in range(0, len(pdf), 512):
+                for at in range(0, len(pdf) if len(ids) else 0, 512):
                     q = pdf.iloc[at : at + 512]
-                    if not len(q) or not len(ids):
-                        continue
-                    v = np.stack(q.features.tolist()).astype(np.float64)
-                    rough = (v * v).sum(1)[:, None] - 2 * v @ x.T + (x * x).sum(1)[None]
-                    m = min(len(ids), k + 9)
-                    near = np.argpartition(rough, m - 1, axis=1)[:, :m]
-                    exact = ((v[:, None, :] - x[near]) ** 2).sum(2)
-                    order = np.lexsort((ids[near], exact))[:, : k + 1]
-                    rows = np.arange(len(q))[:, None]
-                    yield pd.DataFrame({"i": np.repeat(q.id.to_numpy(), order.shape[1]), "j": ids[near][rows, order].reshape(-1), "d2": exact[rows, order].reshape(-1)})
-
-        found = own.mapInPandas(search, "i long, j long, d2 double")
+                    row, j, d2 = nearest_of(np.stack(q.features.tolist()).astype(np.float64), ids, x, k)
+                    yield pd.DataFrame({"i": q.id.to_numpy()[row], "j": j, "d2": d2})
+
+        found = asked.mapInPandas(search, "i long, j long, d2 double")
         out = found if out is None else out.unionByName(found)
     return top(out, k)
 
@@ -86,8 +97,8 @@ def hnsw_params(n: int, k: int) -> tuple[int, int, int, int]:
 
 
 def nearest_approximate(points: DataFrame, k: int, tables: int = 12, bucket: int = 2000, seed: int = 3) -> DataFrame:
-    """(i, j, d2, r): exact search inside the buckets of several random-hyperplane tables; points with fewer than
-    k + 1 found are searched exactly. distances are unsquared on this path."""
+    """(i, j, d2, r), d2 squared: exact search inside the buckets of several random-hyperplane tables, then one round in which every
+    point also measures its neighbours' neighbours. Points with fewer than k + 1 found are searched exactly, they alone."""
     n = check_points(points)
     own = points.select(F.col("id").cast("long").alias("id"), "features")
     bits = max(0, math.ceil(math.log2(max(n, 1) / bucket)))
@@ -99,27 +110,30 @@ def nearest_approximate(points: DataFrame, k: int, tables: int = 12, bucket: int
                 for t in range(tables):
                     planes = np.random.default_rng((seed, t)).normal(size=(v.shape[1], max(bits, 1)))
                     code = ((v @ planes > 0) * (1 << np.arange(max(bits, 1)))).sum(1) if bits else np.zeros(len(v), np.int64)
+                    # a bucket is cut by a hash of the id, so that none grows beyond a few times its size however the points lie
                     yield pd.DataFrame({"t": t, "code": code, "id": pdf.id.to_numpy(), "features": pdf.features.to_numpy()})
 
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf.id.to_numpy(), np.stack(pdf.features.tolist()).astype(np.float64)
-        out = []
-        for at in range(0, len(ids), 512):
-            d2 = np.maximum((x[at : at + 512] ** 2).sum(1)[:, None] - 2 * x[at : at + 512] @ x.T + (x * x).sum(1)[None], 0)
-            m = min(len(ids), k + 9)
-            near = np.argpartition(d2, m - 1, axis=1)[:, :m]
-            exact = ((x[at : at + 512][:, None, :] - x[near]) ** 2).sum(2)
-            out.append(pd.DataFrame({"i": np.repeat(ids[at : at + 512], m), "j": ids[near].reshape(-1), "d2": exact.reshape(-1)}))
-        return pd.concat(out)
-
     kinds = dict(own.dtypes)["features"]
     dealt = own.mapInPandas(sketch, f"t int, code long, id long, features {kinds}")
-    found = dealt.groupBy("t", "code").applyInPandas(inside, "i long, j long, d2 double").groupBy("i", "j").agg(F.min("d2").alias("d2"))
-    best = top(found, k)
-    short = best.groupBy("i").count().where(F.col("count") < min(k + 1, n)).select(F.col("i").alias("id"))
+    sizes = dealt.groupBy("t", "code").count().select("t", "code", F.ceil(F.col("count") / (4 * bucket)).alias("parts"))
+    dealt = dealt.join(sizes, ["t", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "t"), "parts")).drop("parts")
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x = pdf.id.to_numpy(), np.stack(pdf.features.tolist()).astype(np.float64)
+        found = [(at, nearest_of(x[at : at + 512], ids, x, k)) for at in range(0, len(ids), 512)]
+        return pd.concat([pd.DataFrame({"i": ids[at + row], "j": j, "d2": d2}) for at, (row, j, d2) in found])
+
+    first = dealt.groupBy("t", "code", "part").applyInPandas(inside, "i long, j long, d2 double").groupBy("i", "j").agg(F.min("d2").alias("d2"))
+    first = checkpointed(top(first, k), "neighbours")
+    pairs = first.select("i", "j")
+    beyond = pairs.join(pairs.select(F.col("i").alias("j"), F.col("j").alias("l")), "j").select("i", F.col("l").alias("j")).distinct().join(pairs, ["i", "j"], "left_anti")
+    a, b = own.select(F.col("id").alias("i"), F.col("features").alias("x")), own.select(F.col("id").alias("j"), F.col("features").alias("y"))
+    more = beyond.join(a, "i").join(b, "j").select("i", "j", squared_distance(F.col("x"), F.col("y")).alias("d2"))
+    best = top(first.select("i", "j", "d2").unionByName(more), k)
+    short = own.select("id").join(first.where(F.col("r") == min(k + 1, n)).select(F.col("i").alias("id")), "id", "left_anti")
     if short.isEmpty():
         return best
-    rest = nearest_exact(points, k).join(short.withColumnRenamed("id", "i"), "i", "left_semi")
+    rest = nearest_exact(points, k, queries=short)
     return best.join(short.withColumnRenamed("id", "i"), "i", "left_anti").unionByName(rest)
 
 

@@ -8,6 +8,7 @@ the grouped-map task at the first level that is small enough. For a fixed seed r
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass, field
 
@@ -37,6 +38,8 @@ class LeidenConfig:
     max_community_weight: float | None = None
     #: Edges of a component that one task takes.
     kernel_max_edges: int = 5_000_000
+    #: Edges of a graph that one task takes whole.
+    one_task_edges: int = 100_000
 
     @classmethod
     def with_resolution(cls, resolution: float) -> LeidenConfig:
@@ -68,7 +71,7 @@ def kernel_labels(graph: Graph, comps: DataFrame, config: LeidenConfig, m: float
         own = pdf[pdf.dst < 0].sort_values("src")
         ids = own.src.to_numpy()
         e = pdf[pdf.dst >= 0].sort_values(["src", "dst"])
-        arrays = kernel.Arrays.build(len(ids), ids.searchsorted(e.src).tolist(), ids.searchsorted(e.dst).tolist(), e.w.tolist(), own.w.tolist())
+        arrays = kernel.Arrays.build(len(ids), ids.searchsorted(e.src), ids.searchsorted(e.dst), e.w.to_numpy(), own.w.to_numpy())
         found = kernel.leiden(arrays, objective, m, config)
         first: dict[int, int] = {}
         return pd.DataFrame({"node": ids, "label": [first.setdefault(c, int(v)) for c, v in zip(found, ids)]})
@@ -81,6 +84,8 @@ def leiden(graph: Graph, config: LeidenConfig | None = None) -> DataFrame:
     config = config or LeidenConfig()
     config.validate()
     m = graph.total_weight()
+    if graph.edge_count() <= config.one_task_edges:  # its components are not worth finding
+        return from_labels(kernel_labels(graph, graph.nodes.select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component")), config, m))
     found = components(graph.edges).withColumnRenamed("node", "_n")
     comps = checkpointed(graph.nodes.join(found, F.col("id") == F.col("_n"), "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component")), "components")
     sizes = graph.edges.join(comps, F.col("src") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
@@ -136,12 +141,12 @@ def best_moves(graph: Graph, partition: DataFrame, objective: Objective, m: floa
     return best.select("node", "own", (-F.col("best.c")).alias("community"), (F.col("best.gain") - F.col("base")).alias("gain"))
 
 
-def local_move_rounds(graph: Graph, partition: DataFrame, objective: Objective, m: float, seed: int = 42, cap: float | None = None, most_rounds: int = 100) -> DataFrame:
+def local_move_rounds(graph: Graph, partition: DataFrame, objective: Objective, m: float, seed: int = 42, cap: float | None = None) -> DataFrame:
     """partition after synchronous rounds: every node proposes its best move, a hash coin accepts a share of them, and a round
     that would lower the quality is taken back and tried with half the share; at last the best single move alone."""
     n = graph.node_count()
     quality = objective.quality(communities(graph, partition), m)
-    for k in range(most_rounds):
+    for k in itertools.count():  # the quality rises in every round, so that they end
         moves = checkpointed(best_moves(graph, partition, objective, m, cap).where(F.col("gain") > max(kernel.min_gain(m), 1e-9)), "moves")
         if moves.isEmpty():
             break
@@ -162,14 +167,14 @@ def local_move_rounds(graph: Graph, partition: DataFrame, objective: Objective,
     return partition
 
 
-def refine_rounds(graph: Graph, constraint: DataFrame, objective: Objective, m: float, seed: int = 42, randomness: float = 0.01, cap: float | None = None, most_rounds: int = 50) -> DataFrame:
+def refine_rounds(graph: Graph, constraint: DataFrame, objective: Objective, m: float, seed: int = 42, randomness: float = 0.01, cap: float | None = None) -> DataFrame:
     """(node, community): singletons merged inside constraint's communities. In a round, nodes that are alone and whose
     coin says so may move, to communities that no mover holds, by Gumbel-max over gains that lose nothing; a community
     takes one newcomer a round, so that gains are exact."""
     partition = singleton(graph)
     mean = graph.edges.agg(F.avg(F.col("weight").cast("double"))).first()[0] or 0.0
     theta = randomness * mean
-    for k in range(most_rounds):
+    for k in itertools.count():  # every round but the last two makes a single node fewer
         options = candidates(graph, partition, objective, m, constraint).where("community >= 0")
         sizes = partition.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
         alone = partition.join(sizes.where("size = 1"), "community").select(F.col("node").alias("_m"), F.col("community").alias("_mc"))
@@ -207,7 +212,9 @@ def round_labels(graph: Graph, config: LeidenConfig, m: float) -> DataFrame:
         level = Graph(checkpointed(coarse.nodes, "nodes"), checkpointed(coarse.edges, "edges"))
         member = checkpointed(normalized(up.withColumnRenamed("community", "group")).withColumnRenamed("group", "community"), "partition")
     m_ = member.select(F.col("node").alias("_v"), "community")
-    return place.join(m_, F.col("at") == F.col("_v")).groupBy("community").agg(F.min("node").alias("label"), F.collect_list("node").alias("nodes")).select(F.explode("nodes").alias("node"), "label")
+    own = place.join(m_, F.col("at") == F.col("_v")).select("node", "community")
+    least = own.groupBy(F.col("community").alias("_c")).agg(F.min("node").alias("label"))
+    return own.join(least, F.col("community") == F.col("_c")).select("node", "label")
 
 
 __all__ = ["Cpm", "LeidenConfig", "Rb", "best_moves", "leiden", "local_move_rounds", "louvain", "refine_rounds"]

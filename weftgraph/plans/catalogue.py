@@ -144,9 +144,9 @@ def node_neighbors(spark, sf_dir):
     return part_supplier(spark, sf_dir).neighbors(0)
 
 
-@query("with coo as (select l_suppkey r, l_linenumber::bigint c, sum(cast(l_quantity as float)::double) v from lineitem where l_suppkey < 8 group by 1, 2) select coalesce(a.r, b.c) \"row\", coalesce(a.c, b.r) col, a.v \"value\", b.v reverse, case when a.v is null or b.v is null then 'missing reverse entry' else 'mismatched entries' end problem from coo a full join coo b on a.r = b.c and a.c = b.r where a.v is null or b.v is null or abs(a.v - b.v) > 1e-6 * greatest(abs(a.v), 1)")
+@query("with coo as (select l_suppkey r, l_linenumber::bigint c, sum(cast(l_quantity as float)::double) v from lineitem group by 1, 2) select coalesce(a.r, b.c) \"row\", coalesce(a.c, b.r) col, a.v \"value\", b.v reverse, case when a.v is null or b.v is null then 'missing reverse entry' else 'mismatched entries' end problem from coo a full join coo b on a.r = b.c and a.c = b.r where a.v is null or b.v is null or abs(a.v - b.v) > 1e-6 * greatest(abs(a.v), 1)")
 def symmetry_violations(spark, sf_dir):
-    coo = table(spark, sf_dir, "lineitem").where("l_suppkey < 8").groupBy(F.col("l_suppkey").alias("row"), F.col("l_linenumber").cast("long").alias("col")).agg(F.sum(G.stored(F.col("l_quantity"))).alias("value"))
+    coo = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("row"), F.col("l_linenumber").cast("long").alias("col")).agg(F.sum(G.stored(F.col("l_quantity"))).alias("value"))
     return G.symmetry_violations(coo)
 
 
@@ -435,10 +435,82 @@ def leiden_ring_of_cliques_cpm(spark, sf_dir):
 def leiden_karate(spark, sf_dir):
     n, edges, _ = generators.karate(spark)
     g = Graph.from_edges(n, edges)
-    found = leiden.leiden(g, leiden.LeidenConfig(n_iterations=10))
+    found = leiden.leiden(g)
     return modularity(g, found).select(F.lit(labels.n_clusters(found)).cast("int").alias("n_clusters"), F.round("modularity", 5).alias("modularity"))
 
 
+@query("select 0::bigint communities")
+def leiden_disconnected(spark, sf_dir):
+    """How many communities of the embeddings' graph fall into parts: none."""
+    g = embedding_graph(spark, sf_dir)
+    return metrics.disconnected_communities(g, leiden.leiden(g)).agg(F.count(F.lit(1)).alias("communities"))
+
+
+@query("select true keeps_cap, count(*) nodes from embeddings")
+def leiden_capped_sizes(spark, sf_dir):
+    """Whether every community of the capped run keeps the cap, and how many nodes have one."""
+    sizes = labels.cluster_sizes(leiden_capped(spark, sf_dir))
+    return sizes.agg((F.max("size") <= 25).alias("keeps_cap"), F.sum("size").cast("long").alias("nodes"))
+
+
+@query("select 6 clusters, true agrees")
+def leiden_planted_blocks(spark, sf_dir):
+    """Six planted blocks of 60 nodes are found again."""
+    n, edges, truth = generators.stochastic_blocks(spark, 6, 60, 0.25, 0.01, 11)
+    found = leiden.leiden(Graph.from_edges(n, edges))
+    return spark.range(1).select(F.lit(labels.n_clusters(found)).cast("int").alias("clusters"), F.lit(metrics.nmi(found, truth) > 0.95).alias("agrees"))
+
+
+@query("select u, v, w weight from (select l_partkey u, l_suppkey + (select n from np) v from lineitem where l_linenumber = 7 union select 0, 0) asked left join e on u = src and v = dst")
+def edge_lookup(spark, sf_dir):
+    """The weights of asked pairs of nodes; null where there is no edge."""
+    g, n = part_supplier(spark, sf_dir), table(spark, sf_dir, "part").count()
+    asked = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + n).alias("v"))
+    return g.edge_weights(asked.unionByName(spark.range(1).select(F.col("id").alias("u"), F.col("id").alias("v"))).distinct())
+
+
+@query("select p_partkey id, p_size::double node_weight from part")
+def node_weights(spark, sf_dir):
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("node_weight"))
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit(1.0).alias("weight"))
+    return Graph.from_edges_with_node_weights(own, edges).nodes.select("id", "node_weight")
+
+
+@query("select (select count(*) from nodes)::double total_node_weight, false has_self_loops")
+def graph_totals(spark, sf_dir):
+    g = part_supplier(spark, sf_dir)
+    return spark.range(1).select(F.lit(g.total_node_weight()).alias("total_node_weight"), F.lit(g.has_self_loops()).alias("has_self_loops"))
+
+
+@query('select id node, id "group" from nodes')
+def labels_isolated(spark, sf_dir):
+    return labels.isolated(part_supplier(spark, sf_dir).nodes)
+
+
+@query('select id node, 0::bigint "group" from nodes')
+def labels_unified(spark, sf_dir):
+    return labels.unified(part_supplier(spark, sf_dir).nodes)
+
+
+@query("select id node, id community from nodes")
+def partition_singleton(spark, sf_dir):
+    return partition.singleton(part_supplier(spark, sf_dir))
+
+
+@query("select count(distinct label) communities, max(label) + 1 slots from lab")
+def partition_slots(spark, sf_dir):
+    own = partition.from_membership(part_supplier(spark, sf_dir), brand_partition(spark, sf_dir))
+    return spark.range(1).select(F.lit(partition.community_count(own)).cast("long").alias("communities"), F.lit(partition.slots(own)).cast("long").alias("slots"))
+
+
+@query(KNN + "select 1.0::double recall from (select count(*) from n)")
+def knn_recall(spark, sf_dir):
+    """The share of the exact lists that the approximate search over many buckets finds; 1 from nine tenths on."""
+    exact, near = (f.select("i", "j") for f in (knn.nearest_exact(points(spark, sf_dir), 15), knn.nearest_approximate(points(spark, sf_dir), 15, bucket=60)))
+    share = F.count("hit") / F.count(F.lit(1))
+    return exact.join(near.withColumn("hit", F.lit(1)), ["i", "j"], "left").agg(F.when(share >= 0.9, 1.0).otherwise(share).alias("recall"))
+
+
 @query()
 def best_move_per_node(spark, sf_dir):
     g = embedding_graph(spark, sf_dir)
