@@ -69,7 +69,7 @@ def test_join_equals_brute_force(docs, empty):
 
 def test_urls_without_a_scheme_and_null(spark):
     pages = spark.createDataFrame([(1, None), (2, "no scheme"), (3, "http://A.Example.org/es/x?q"), (4, "https://www.spam-farm.example.net/en/1"), (5, "http://x.com/de/1#a")], "page_id long, url string")
-    listed = spark.createDataFrame([(x,) for x in url_filter.LISTED], "canonical string")
+    listed = spark.createDataFrame([(x,) for x in url_filter.SITES], "canonical string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, listed, url_filter.RULES).collect()}
     assert got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("a.example.org", "/es/x", "example.org/es/", "block")
@@ -444,3 +444,123 @@ def test_quality_on_held_out_documents_and_odd_rows(spark, empty):
     assert quality_classifier.score_quality(empty, weights).count() == 0
     none = quality_classifier.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r["score"] for r in quality_classifier.score_quality(docs, none).collect()} == {0.5}
+
+
+@pytest.mark.parametrize("most_words", [1 << 20, 8])
+def test_urls_against_brute_force(spark, most_words):
+    """A list of pages and sites larger than the filter that is broadcast, odd rows, an empty table and an empty list."""
+    rng = random.Random(4)
+    hosts = [f"{a}{b}.example.{t}" for a in ("", "www.", "m.") for b in ("one", "two", "six") for t in ("net", "org", "com")]
+    listed = {f"{h.removeprefix('www.')}/en/{k}" for h in hosts for k in range(0, 90, 2)} | {"six.example.com/"}
+    urls = [f"HTTP://{rng.choice(hosts).upper() if k % 9 == 0 else rng.choice(hosts)}/en/{rng.randrange(90)}{rng.choice(('', '/', '//', '?q=1', '#x', '.html'))}" for k in range(400)]
+    urls += [None, "", "://", "x://", "no scheme", "a://b://c", "http://six.example.com", "http://evil-six.example.com/", "h://" + "w" * 9000 + "/p", urls[0]]
+    pages = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(urls)], "page_id long, url string, canonical string, host string")
+    table = spark.createDataFrame([(x,) for x in [*listed, None]], "canonical string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, table, url_filter.RULES, most_words).collect()}
+    lower = str.maketrans(url_filter.UPPER, url_filter.LOWER)
+    for k, u in enumerate(urls):
+        rest = (u or "").split("://", 1)[1] if "://" in (u or "") else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = host.translate(lower)
+        fits = [(r, v) for r, v in url_filter.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        rule, verdict = max(fits, key=lambda x: len(x[0])) if fits else (None, None)
+        site = re.sub(r"^www\.", "", host)
+        keys = {site + path.rstrip("/")} | {".".join(site.split(".")[i:]) + "/" for i in range(site.count(".") + 1)}
+        assert got[k] == (host, path, rule, verdict or ("block" if host and keys & listed else "allow")), u
+    assert url_filter.filter_urls(pages.limit(0), table, url_filter.RULES).count() == 0
+    assert {r["listed"] for r in url_filter.filter_urls(pages, table.limit(0), url_filter.RULES).collect()} == {False}
+
+
+def secrets_brute(text):
+    """Base spans by stepping through the text, one pattern at a time."""
+    found = []
+    for kind, pattern, least in (("assign", r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(?P<v>[A-Za-z0-9+/_.=-]+)""", 12), ("access", r"(?P<v>AKIA[A-Z0-9]+)", 18), ("hex", r"(?P<v>[0-9a-f]+)", 16)):
+        at, flags = 0, re.I | re.A if kind == "assign" else 0
+        while m := re.compile(pattern, flags).search(text, at):
+            at = m.end()
+            if len(m["v"]) >= least:
+                found.append((m.start(), ("assign", "access", "hex").index(kind), m.end(), kind))
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(found)), Counter(k for *_, k in found)
+
+
+def test_secret_scan_over_a_table(spark, empty):
+    rng = random.Random(7)
+    bits = ["password = ", "PASSWD: '", "api_key=", "APIKEY\":\"", "token  :  ", "secret=", "AKIA", "ABCDEFGH0123456789", "deadbeef", "0123456789abcdef", "é中", " ", "\n", "x_credential = \"Zx9kLmn42QpRtYuI\"", "'", "=", "plain words", "KEY_OF = DEFAULT", "tok\u212aen: aaaaaaaaaaaaaaaa"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.choice((1, 5, 30)))) for _ in range(300)] + [None, "", "password=" + "a" * 5000, "k_token = 'Ab3dEf6hIj9k'\n" * 3000]
+    table = [(k, t, "x") for k, t in enumerate(texts)] + [(None, "secret=abcdefghijklmnop", "x"), (5, texts[5], "x")]
+    got = secret_scan.scan_secrets(spark.createDataFrame(table, "doc_id long, text string, spans string")).collect()
+    assert len(got) == len(table)
+    for r, (k, t, _) in zip(sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"])), sorted(table, key=lambda r: (r[0] is None, r[0]))):
+        base, n = secrets_brute(t or "")
+        assert (r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == (k, n["assign"], n["access"], n["hex"], hashlib.sha256(base.encode()).hexdigest())
+        assert set(filter(None, base.split(","))) <= set(r["spans"].split(",")) and [int(x.split(":")[1]) for x in filter(None, r["spans"].split(","))] == sorted(int(x.split(":")[1]) for x in filter(None, r["spans"].split(",")))
+    base = [(s, e) for s, k, e in secret_scan.all_spans(texts[-1])[0]]
+    assert all(not any(s < be and bs < e for bs, be in base) for s, k, e in secret_scan.all_spans(texts[-1])[1] if k == 3)
+    assert secret_scan.scan_secrets(empty).count() == 0
+
+
+def test_join_with_a_hot_passage_and_rows_of_one_id(spark):
+    """A passage that hundreds of otherwise different documents hold, a group of near copies around one text, one id with two texts."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("aeiournstlcdm") for _ in range(rng.randint(2, 7)))
+    passage, base = " ".join(word() for _ in range(30)), [word() for _ in range(60)]
+    texts = [f"{' '.join(word() for _ in range(rng.choice((6, 9, 12, 20))))} {passage}" for _ in range(250)]
+    for _ in range(60):
+        own = list(base)
+        for at in rng.sample(range(60), rng.choice((0, 1, 1, 2))):
+            own[at] = word()
+        texts.append(" ".join(own))
+    table = [(k, t, 0) for k, t in enumerate(texts)]
+    table += [(900, texts[3], 0), (900, " ".join(base), 0), (901, "a b", 0), (901, "a b", 0), (None, texts[3], 0), (902, "w " * 4000 + "end", 0)]
+    sets = {}
+    for k, t, _ in table:
+        w = t.split()
+        sets.setdefault(k, []).append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = {k: k for k in sets if k is not None}
+    find = lambda k: k if root[k] == k else find(root[k])
+    for a, b in itertools.combinations(root, 2):
+        if any(100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = ngram_join.join_documents(spark.createDataFrame(table, "doc_id long, text string, n_shingles long")).collect()
+    assert len(got) == len(table) and {r["component_id"] for r in got if r["doc_id"] is None} == {None}
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == {k: find(k) for k in root}
+    assert sum(k != v for k, v in ((k, find(k)) for k in root)) > 40
+
+
+def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    good = lambda n: " ".join("".join(rng.choice("aeiournst") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    bad = lambda n: " ".join(rng.choice(("CLICK!!", "x7%", "$$$", "BUY$$")) for _ in range(n))
+    item = good(40)
+    texts = [good(60) for _ in range(80)] + [bad(60) for _ in range(40)]
+    texts += [texts[0], texts[1] + " tail", f"{good(30)} {item} {good(30)}", f"{good(40)} api_key = abcdefgh12345678 {good(20)}"]
+    docs = [(k, t, "x", "y", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k < 80), 0) for k in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {*range(80), 123}  # bad ones, copies and the leaked one are gone
+    import public_tokenizers as public
+
+    ranks = byte_bpe.read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
+    split = byte_bpe.splitter(public.PATTERN)
+    for k, r in got.items():
+        text = texts[k].replace("api_key = abcdefgh12345678", "[SECRET]")
+        ids = [i for w in split(text) for i in naive_merge(w.encode(), ranks)]
+        assert (r["n_tokens"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(text.encode()).hexdigest())
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_stages_keep_columns_and_take_odd_rows(spark):
+    table = [(1, None, "k", 1), (2, "", "k", 2), (None, "a b c d e f", "k", 3), (3, "a b c d e f", "k", 4), (3, "a b c d e f", "k", 5), (4, "x " * 30_000, "k", 6)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, component_id string, n_chars long")
+    bench = spark.createDataFrame([(1, "zz yy xx ww vv uu tt ss rr qq pp")], "item_id long, text string")
+    weights = np.ones((1 << quality_classifier.BITS) + 1)
+    for stage in (lambda d: stages.keep_good(d, weights, 0.0), stages.keep_one_of_each_group, lambda d: stages.drop_contaminated(d, bench), stages.redact_secrets):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.count() == len(table)
+        assert stage(docs.limit(0)).count() == 0

@@ -7,7 +7,8 @@ to. A literal's score is its target name's sensitivity times how much the litera
 from ``threshold`` on it is reported as kind ``lexed``, unless it overlaps a span of a base pattern.
 
 Defined results: a null text is empty; an empty table gives no rows; every row is scanned by itself, so
-repeated rows and ids give repeated rows. Base spans are the whole matches, in code points, end exclusive.
+repeated rows and ids give repeated rows; other columns are dropped, whatever their names; texts, names and literals of any length are read whole;
+of equal spans each kind is told. Base spans are the whole matches, in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, tidy
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -93,7 +95,10 @@ def lexed_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int]]:
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans."""
     base = base_spans(text)
-    added = [(s, 3, e) for s, e in lexed_spans(text) if not any(s < be and bs < e for bs, _, be in base)]
+    starts, stops, most = [s for s, _, _ in base], [], 0
+    for _, _, e in base:  # how far the spans up to each one reach
+        stops.append(most := max(most, e))
+    added = [(s, 3, e) for s, e in lexed_spans(text) if not (k := bisect_left(starts, e)) or stops[k - 1] <= s]
     return base, sorted(base + added)
 
 
@@ -114,7 +119,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:])], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(scan, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tidy(scan), SCHEMA)
 
 
 def redact(text: str, mark: str = "[SECRET]") -> str:
