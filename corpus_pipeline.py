@@ -43,7 +43,7 @@ STAGES = [
     ("secret scans", redacted_documents),
     ("byte-level BPE", encoded_documents),
 ]
-#: The classifier and the vocabulary are beyond SQL; a brute-force version tests the stages.
+#: The classifier and the vocabulary are beyond SQL; tests/llm runs the stages against brute force.
 ORACLE_SQL = None
 
 
