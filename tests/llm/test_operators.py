@@ -42,8 +42,8 @@ def test_dedup_equals_brute_force(docs, empty):
     want = {}
     for k, r in raws.items():
         gone = {j for i in range(len(r) - 199) if seen[r[i : i + 200]] > 1 for j in range(i, i + 200)}
-        want[k] = (len(r), len(gone), hashlib.sha256(bytes(b for j, b in enumerate(r) if j not in gone)).hexdigest())
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.dedup(docs).collect()}
+        want[k] = (len(r), len(gone), sum(j - 1 not in gone for j in gone), hashlib.sha256(bytes(b for j, b in enumerate(r) if j not in gone)).hexdigest())
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(docs).collect()}
     assert got == want and any(w[1] for w in want.values())
     assert suffix_dedup.dedup(empty).count() == 0
 
@@ -564,3 +564,20 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
         out = stage(docs)
         assert out.columns == docs.columns and out.count() == len(table)
         assert stage(docs.limit(0)).count() == 0
+
+
+def test_dedup_of_long_periodic_and_repeated_rows(spark):
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(260)
+    table = [(1, "ab" * 400), (2, shared), (3, text(500) + shared + text(30)), (4, shared[:199] + "é"), (5, text(30_000) + shared), (6, text(250)), (6, None), (None, shared), (7, "é" * 150), (8, "é" * 150)]
+    table += [(9, table[5][1])]
+    seen = Counter((t or "").encode()[i : i + 200] for _, t in table for i in range(len((t or "").encode()) - 199))
+    want = []
+    for k, t in table:
+        r = (t or "").encode()
+        gone = {j for i in range(len(r) - 199) if seen[r[i : i + 200]] > 1 for j in range(i, i + 200)}
+        want.append((str(k), len(r), len(gone), sum(j - 1 not in gone for j in gone), hashlib.sha256(bytes(b for j, b in enumerate(r) if j not in gone)).hexdigest()))
+    docs = spark.createDataFrame([(*r, "x", 1) for r in table], "doc_id long, text string, rid string, cut long")
+    got = [(str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(docs).collect()]
+    assert sorted(got) == sorted(want)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import buffers, chunks, distinct, documents, lowered, mix, packed, shingles, staged, task_key, tidy, unpacked, words
+from .common import buffers, chunks, distinct, documents, dropped, lowered, mix, packed, shingles, staged, task_key, tidy, unpacked, words
 
 ORDER_BITS = 22
 SLICES = 64
@@ -322,13 +322,15 @@ def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, classes: np.nd
     asked = dealt.select("a", "b", "cell", F.explode(F.array(*[F.lit(f) for f in range(FRAGMENTS)])).alias("frag"))
     counted = asked.groupBy("cell", "frag").cogroup(parts.groupBy("cell", "frag")).applyInArrow(tidy(partial), "a long, b long, n long, overlap long")
     total = counted.groupBy("a", "b").agg(F.max("n").alias("n"), F.sum("overlap").alias("overlap"))
-    return staged(total.where("100 * overlap >= 75 * (n - overlap)").select("a", "b"), "links")
+    links = staged(total.where("100 * overlap >= 75 * (n - overlap)").select("a", "b"), "links")
+    dropped(dealt, wanted)
+    return links
 
 
-def residual_pairs(rows: DataFrame, home: DataFrame) -> DataFrame:
+def residual_pairs(rows: DataFrame, home: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Fitting pairs (a, b set keys) across components of the nodes that share a shingle of many nodes, once for each such
-    shingle, and m, how many prefix shingles they must share."""
-    own = staged(rows.join(home.select("set_key", "component"), F.col("b") == F.col("set_key")).select(F.col("a").alias("token"), "set_key", "n", F.col("m").alias("place"), "component"), "shared")
+    shingle, and m, how many prefix shingles they must share; and the staged tables that this reads."""
+    shared = own = staged(rows.join(home.select("set_key", "component"), F.col("b") == F.col("set_key")).select(F.col("a").alias("token"), "set_key", "n", F.col("m").alias("place"), "component"), "shared")
     open_ = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
     open_ = staged(open_.select("token", F.ceil(F.col("m") / BLOCK_NODES).alias("blocks")), "open")
     own = own.join(F.broadcast(open_) if open_.count() <= MOST_BROADCAST else open_, "token").withColumn("block", F.pmod(F.xxhash64("set_key"), "blocks"))
@@ -349,7 +351,7 @@ def residual_pairs(rows: DataFrame, home: DataFrame) -> DataFrame:
         need = shared_needed(least_overlap(n[x], n[y])).astype(np.int32)
         return pa.table([pa.array(np.minimum(key[x], key[y]).view(np.int64)), pa.array(np.maximum(key[x], key[y]).view(np.int64)), pa.array(need)], names=["a", "b", "m"])
 
-    return spread.groupBy("token", "lo", "hi").applyInArrow(cross, "a long, b long, m int")
+    return spread.groupBy("token", "lo", "hi").applyInArrow(tidy(cross), "a long, b long, m int"), [shared, open_]
 
 
 def join_documents(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -378,14 +380,18 @@ def join_documents(docs: DataFrame, size: int = 5) -> DataFrame:
     home = nodes.join(comps, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     left = found.where("kind = 0 and first < 2").select("a", "b", "n", F.col("m").alias("need"))
     many = found.where("kind = 1").select("a", "b", "n", "m")
+    done = [found, pairs]
     if not many.isEmpty():
-        left = left.unionByName(residual_pairs(many, home).select("a", "b", F.lit(1).alias("n"), F.col("m").alias("need")))
+        across, read = residual_pairs(many, home)
+        left, done = left.unionByName(across.select("a", "b", F.lit(1).alias("n"), F.col("m").alias("need"))), done + read
     left = left.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").join(pairs, ["a", "b"], "left_anti")
     one, two = (home.select(F.col("set_key").alias(k), F.col("component").alias(c)) for k, c in (("a", "p"), ("b", "q")))
     more = staged(left.join(one, "a").join(two, "b").where("p <> q").select("a", "b"), "pairs")
     if not more.isEmpty():
         links = links.unionByName(by_rep(overlaps(named, nodes, more, classes, buckets, size)))
+        done.append(comps)
         comps = staged(components(links, "a", "b"), "components")
+    dropped(more, *done)
     out = rows.join(nodes, "set_key", "left").join(comps, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 

@@ -15,7 +15,7 @@ anchor stands for the run of windows that pick it; the bytes these windows cover
 
 Contexts and rows are told apart by 64-bit hashes of their bytes. Defined results: a null text is empty; a text under 200
 bytes loses nothing; rows with the same id and text are separate documents, so each repeats the other; other columns are
-dropped; an empty table gives no rows.
+dropped, whatever their names; texts of any length are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, documents, prefix_sums, range_hashes, staged
+from .common import buffers, chunks, documents, dropped, prefix_sums, range_hashes, staged, tidy
 
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM + 1
@@ -36,6 +36,8 @@ CELL_CONTEXTS = 8192
 #: Bytes of text in one suffix array.
 SORTED = 1 << 20
 MOST_BROADCAST = 1_000_000
+#: Bytes of documents a cell.
+CELL_BYTES = 32 << 20
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -148,7 +150,7 @@ def anchor_rows(own: DataFrame) -> DataFrame:
                 doc, l, n, h, c = anchors(off[i : j + 1] - off[i], data[off[i] : off[j]])
                 yield pa.RecordBatch.from_arrays([pa.array(rid[i:j][doc]), pa.array(l), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64))], names=["rid", "l", "n", "h", "c"])
 
-    return own.select("rid", "text").mapInArrow(run, "rid long, l long, n int, h long, c long")
+    return own.select("rid", "text").mapInArrow(tidy(run), "rid long, l long, n int, h long, c long")
 
 
 def open_contexts(own: DataFrame, asked: DataFrame) -> DataFrame:
@@ -208,8 +210,9 @@ def sort_cell(table: pa.Table) -> pa.Table:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row of docs."""
     spark = docs.sparkSession
-    cells = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, size // CELL_BYTES)
     found = anchor_rows(own)
     twice = staged(found.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "anchors")
     n = twice.count()
@@ -219,7 +222,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     asked = contexts.join(several, "h").withColumn("alone", F.col("k") == 1)
     asked = staged(asked.select("rid", "l", "n", "h", "c", "alone", "split", F.pmod(F.xxhash64("h", F.pmod(F.xxhash64("c"), "split")), F.lit(cells)).cast("int").alias("cell")), "asked")
     # An anchor's part is in one cell, so a cell holds whole parts.
-    sorted_ = staged(open_contexts(own, asked).groupBy("cell").applyInArrow(sort_cell, "h long, c long, a long, b long, open binary"), "sorted")
+    sorted_ = staged(open_contexts(own, asked).groupBy("cell").applyInArrow(tidy(sort_cell), "h long, c long, a long, b long, open binary"), "sorted")
+    dropped(twice, asked)
     open_ = sorted_.where("length(open) > 0")
     again = open_.groupBy("open").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("open")
     part = sorted_.where("length(open) = 0").select("h", "c", "a", "b").unionByName(open_.where("a >= 0").join(again, "open", "left_semi").select("h", "c", "a", "b"))
@@ -242,7 +246,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                     part.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return own.join(cut, "rid", "left").select("doc_id", "text", "cut").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return own.join(cut, "rid", "left").select("doc_id", "text", "cut").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
