@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import byte_bpe, quality_classifier, stages
-from weftgraph.llm.common import documents, staged
+from weftgraph.llm.common import documents, dropped, staged
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what the stages before it kept is deleted once the next one is written."""
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = staged(docs, "stage") if k < len(STAGES) - 1 else docs
+        out = stage(spark, docs, sf_dir)
+        out = staged(out, "stage") if k < len(STAGES) - 1 else out
+        if 0 < k < len(STAGES) - 1:
+            dropped(docs)
+        docs = out
     return docs
