@@ -37,6 +37,8 @@ BLOCK = 8 << 20
 BUCKET_BYTES = 32 << 20
 #: Ids that one step decodes.
 STEP = 1 << 18
+#: Bytes of ids that a task decodes and gives on at a time.
+DECODED = 2 << 20
 #: Texts whose characters are all below this take an equal pattern of plain classes.
 PLAIN = 0x500
 PARTS = "key binary, bucket int, words binary"
@@ -182,9 +184,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, buckets: in
     return whole.groupBy("key").cogroup(back.groupBy("key")).applyInArrow(tidy(assemble), "doc_id long, ids binary")
 
 
-def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and decoded of every row of encoded; an id outside the
-    token-byte table is an error."""
+def decode_documents(encoded: DataFrame, vocabulary: str, texts: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with texts, decoded of every row of encoded; an id outside the
+    token-byte table is an error. A task holds the decoded bytes of about DECODED bytes of ids at a time."""
     ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def run(batches):
@@ -201,19 +203,22 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
             return raw[np.repeat(first[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
         for batch in batches:
-            ids = [x or b"" for x in batch.column(1).to_pylist()]
-            text = [b"".join(text_of(x[k : k + STEP]) for k in range(0, len(x), STEP)) for x in (np.frombuffer(x, "<u4") for x in ids)]
-            sha = [[hashlib.sha256(x).hexdigest() for x in side] for side in (ids, text)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha[0], pa.string()), pa.array(sha[1], pa.string()), pa.array(text, pa.binary())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded"])
+            bytes_of = np.cumsum([0] + [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1)])
+            for i, j in chunks(bytes_of, DECODED):
+                ids = [x or b"" for x in batch.column(1).slice(i, j - i).to_pylist()]
+                text = [b"".join(text_of(x[k : k + STEP]) for k in range(0, len(x), STEP)) for x in (np.frombuffer(x, "<u4") for x in ids)]
+                sha = [[hashlib.sha256(x).hexdigest() for x in side] for side in (ids, text)]
+                columns = {"doc_id": batch.column(0).slice(i, j - i), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array(sha[0], pa.string()), "decoded_sha256": pa.array(sha[1], pa.string())}
+                yield pa.RecordBatch.from_pydict(columns | ({"decoded": pa.array(text, pa.binary())} if texts else {}))
 
-    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded binary" * texts)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     path = public.path("byte_bpe_multi_50k.tiktoken")
-    return decode_documents(encode_documents(documents(spark, sf_dir), path, public.PATTERN), path).drop("decoded")
+    return decode_documents(encode_documents(documents(spark, sf_dir), path, public.PATTERN), path, texts=False)
 
 
 QUERIES = {"op5_byte_bpe": op5_byte_bpe}

@@ -143,6 +143,12 @@ def chunks(off: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = 2 * CHUNK) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about limit bytes of text in a string column, so that few are Python objects at a time."""
+    for i, j in chunks(buffers(batch.column(column))[0], limit):
+        yield batch.slice(i, j - i)
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z only."""
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)

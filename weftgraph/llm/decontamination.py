@@ -29,8 +29,6 @@ of any length are read whole; of equally good stretches the first end counts; ot
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -319,19 +317,12 @@ class Items:
                 yield from ((b, *x) for x in b.regions(data, off, at[own], grams[own]))
 
 
-_made: dict[str, Items] = {}
-
-
 def search(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
     """Rows (doc_id, item_id, start, end, distance): for each document and item within reach, its best stretch."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
-    name = hashlib.sha256(repr(items).encode()).hexdigest()
 
     def run(batches):
-        if name not in _made:  # a worker keeps the tables of one block
-            _made.clear()
-            _made[name] = Items(sent.value)
-        own = _made[name]
+        own = Items(sent.value)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             off, data = buffers(batch.column(1))

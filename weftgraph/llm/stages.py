@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, tidy
+from .common import buffers, chunks, slices, tidy
 from .decontamination import decontaminate
 from .ngram_join import MOST_BROADCAST, join_documents
 from .quality_classifier import SCALE, THRESHOLD, features
@@ -60,7 +60,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             text = pa.array([None if t is None else redact(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), text)
 
