@@ -33,7 +33,7 @@ def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     import public_tokenizers as public
 
     path = public.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.decode_documents(byte_bpe.encode_documents(docs, path, public.PATTERN), path).drop("decoded")
+    return byte_bpe.decode_documents(byte_bpe.encode_documents(docs, path, public.PATTERN), path, texts=False)
 
 
 STAGES = [
