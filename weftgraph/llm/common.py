@@ -40,6 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.own
 
 
+#: Bytes of rows that a Python task is handed at a time in a pipeline.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has rows handed to Python tasks BATCH_BYTES at a time from now on, unless the session has its own smaller bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df written once to the shared folder and read again, so that lineage ends at a table."""
     spark = df.sparkSession
@@ -76,9 +88,9 @@ def _trim() -> Callable[[], None]:
 _trimmed = [0.0]
 
 
-def release() -> None:
+def release(always: bool = False) -> None:
     """Gives memory that a reused Python worker no longer needs back to the system, every now and then."""
-    if time.monotonic() - _trimmed[0] > 0.5:
+    if always or time.monotonic() - _trimmed[0] > 0.5:
         _trim()()
         _trimmed[0] = time.monotonic()
 
@@ -91,7 +103,7 @@ def tidy(f: Callable) -> Callable:
             try:
                 yield from f(x)
             finally:
-                release()
+                release(always=True)
 
         return batches
     if len(inspect.signature(f).parameters) == 1:
