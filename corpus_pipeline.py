@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import byte_bpe, quality_classifier, stages
-from weftgraph.llm.common import documents, dropped, staged
+from weftgraph.llm.common import documents, dropped, small_batches, staged
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +36,22 @@ def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return byte_bpe.decode_documents(byte_bpe.encode_documents(docs, path, public.PATTERN), path, texts=False)
 
 
+def bounded(stage):
+    """stage, its rows handed to Python tasks in small batches: five stages' workers share an executor."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality classifier", good_documents),
-    ("n-gram Jaccard join", distinct_documents),
-    ("benchmark decontamination", clean_documents),
-    ("secret scans", redacted_documents),
-    ("byte-level BPE", encoded_documents),
+    ("quality classifier", bounded(good_documents)),
+    ("n-gram Jaccard join", bounded(distinct_documents)),
+    ("benchmark decontamination", bounded(clean_documents)),
+    ("secret scans", bounded(redacted_documents)),
+    ("byte-level BPE", bounded(encoded_documents)),
 ]
 #: The classifier and the vocabulary are beyond SQL; tests/llm runs the stages against brute force.
 ORACLE_SQL = None
