@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, decontamination, lm_scoring, ngram_join, quality_classifier, quality_rules, secret_scan, stages, suffix_dedup, toxicity, url_filter
+from weftgraph.llm import byte_bpe, common, decontamination, lm_scoring, ngram_join, quality_classifier, quality_rules, secret_scan, stages, suffix_dedup, toxicity, url_filter
 
 WORD = "[^\x20\x09-\x0d]+"
 
@@ -146,6 +146,48 @@ def test_quality_references_are_exact_however_rows_are_dealt(spark):
     assert one[1][0] == pytest.approx(np.array([brute[c] for c in range(quality_rules.CLASSES)]) / sum(brute.values()))
 
 
+@pytest.mark.parametrize("most,share", [(10_000, 0.5), (1, 0.5), (10_000, 0.9)])  # languages broadcast, joined, none large
+def test_rare_languages_have_references_too(spark, monkeypatch, most, share):
+    monkeypatch.setattr(quality_rules, "MOST_BROADCAST", most)
+    monkeypatch.setattr(quality_rules, "LANGUAGE_SHARE", share)
+    rng = random.Random(5)
+    table = [(k, " ".join(f"{x}{min(rng.randrange(200), rng.randrange(200))}" for _ in range(n)), x) for k, (x, n) in enumerate([("a", 90)] * 60 + [("b", 80)] * 5 + [("cé", 70)] * 5)]
+    table += [(100, " ".join("&&&" + chr(65 + rng.randrange(26)) * 9 for _ in range(80)), "b"), (101, "one short row", "b"), (102, table[61][1], None), (103, table[62][1], ""), (104, None, "b"), (105, " ".join(f"a{k % 97}" for k in range(90)), "cé")]
+    refs, docs = quality_brute(table)[1], spark.createDataFrame(table, "doc_id long, text string, lang string").repartition(5)
+    for x in ("a", "b", "cé"):
+        own = [t or "" for _, t, y in table if x == y]
+        refs[x] = Counter(int(quality_rules.CLASS_OF[b]) for t in own for b in t.encode()), Counter(w for t in own for w in re.findall(WORD, t.lower()))
+
+    def js(p, q):
+        p, q = ({k: v / max(sum(x.values()), 1) for k, v in x.items()} for x in (p, q))
+        part = lambda x, y: sum(v * np.log2(2 * v / (v + y.get(k, 0))) for k, v in x.items() if v)
+        return np.sqrt(max(part(p, q) + part(q, p), 0) / 2)
+
+    top = {x: dict(sorted(((w, n) for w, n in r[1].items()), key=lambda z: (-z[1], np.int64(hashed(z[0]))))[: quality_rules.COMMON]) for x, r in refs.items()}
+    want = {}
+    for k, t, lang in table:
+        chars, w = Counter(int(quality_rules.CLASS_OF[b]) for b in (t or "").encode()), re.findall(WORD, (t or "").lower())
+        found = [(0.0, 0.0)]
+        if lang:
+            found = []
+            large = [x for x in refs if sum(y == x for *_, y in table) >= share * sum(bool(y) for *_, y in table)]
+            keys = set().union(*(top[x] for x in large))  # large languages share one set of bins
+            for x in {*large, lang}:
+                bins = keys if x in large else top[x]
+                q = {y: n for y, n in top[x].items()} | {"": sum(refs[x][1].values()) - sum(top[x].values())}
+                found.append((js(chars, refs[x][0]), js(Counter(y if y in bins else "" for y in w), q)))
+        a, b = min(found, key=sum)
+        want[k] = (a if sum(chars.values()) >= quality_rules.MIN_CHARS else 0, b if len(w) >= quality_rules.MIN_WORDS else 0)
+    got = {r["doc_id"]: (r["js_char"], r["js_word"]) for r in quality_rules.judge(docs, quality_rules.references(docs)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    assert got[100][0] > 0 and got[102] == got[103] == (0, 0) and all(got[k][1] > 0 for k in range(60, 70))
+
+
+def hashed(word):
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return common.words(np.array([0, len(raw)]), raw).hashes.view(np.int64)[0]
+
+
 def test_jensen_shannon_distance():
     p, q = np.array([[0.5, 0.5, 0.0]]), np.array([[0.5, 0.5, 0.0], [0.0, 0.0, 1.0]])
     assert quality_rules.js_distance(p, q) == pytest.approx(np.array([[0.0, 1.0]]))

@@ -1,17 +1,20 @@
 """Quality rules: distribution divergence against language references, beside plain counts.
 
-Each language of the corpus (with at least ``LANGUAGE_SHARE`` of its documents) has a reference: the
-histogram of character classes and of its ``COMMON`` commonest words, over all documents. A document is
-compared to every reference with the Jensen-Shannon distance (base 2, 0 to 1) and keeps the nearest. A
-document with at least ``MIN_CHARS`` bytes fails when that character distance is over ``CHAR_LIMIT``; one
+Each language of the corpus has a reference: the histogram of character classes and of its ``COMMON``
+commonest words and all others, over all documents. A document is compared with the Jensen-Shannon distance
+(base 2, 0 to 1) to the reference of its own language and to those of large languages (at least ``LANGUAGE_SHARE``
+of all documents), and keeps the nearest. A document with at least ``MIN_CHARS`` bytes fails when that character distance is over ``CHAR_LIMIT``; one
 with at least ``MIN_WORDS`` words when the word distance is over ``WORD_LIMIT``; shorter ones are not judged.
 
 Word counts of references are exact: blocks of documents send each language's distinct words with their counts to buckets
 by the word's hash, so that all of a word's counts meet, and each bucket names its commonest words. Of equally
 common words the one of the smaller hash comes first.
 
-Defined results: a null text has no words and no lines; documents of null or rare languages have no
-reference of their own, so they are not judged beyond the base rules; without any reference only the base rules count; every
+References of large languages (a thousand at most) go with every task. Any others are a table joined by language: broadcast
+up to ``MOST_BROADCAST`` languages, beyond that by a shuffle of the documents of such languages alone.
+
+Defined results: a null text has no words and no lines; documents of a null or empty language have no
+reference of their own, so they are not judged beyond the base rules; every
 row is judged by itself, repeated rows alike; texts of any length are read whole; other columns are dropped, whatever their
 names; an empty table gives no rows.
 """
@@ -31,6 +34,8 @@ HELD, BUCKET_BYTES = 4_000_000, 64 << 20
 MIN_CHARS, MIN_WORDS = 200, 60
 CHAR_LIMIT, WORD_LIMIT = 0.28, 0.55
 LANGUAGE_SHARE = 1 / 1000
+#: Languages that are not large up to which their references are broadcast.
+MOST_BROADCAST = 10_000
 CLASSES = 8
 CLASS_OF = np.full(256, 5, np.uint8)  # other marks
 CLASS_OF[97:123] = 0
@@ -53,8 +58,15 @@ def steps(off: np.ndarray):
             yield k, min(j, k + MOST_DOCS)
 
 
-def references(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Languages, their character classes' shares, all common words' hashes (ascending), their shares."""
+class References(tuple):
+    """Large languages, their character classes' shares, all common words' hashes (ascending), their shares."""
+
+    #: The other languages' references (lang, chars, words, counts: as many of each class, common words, how many of each and
+    #: of all others); None if there is no such language.
+    rare: DataFrame | None = None
+
+
+def references(docs: DataFrame) -> References:
 
     docs = docs.selectExpr("cast(lang as string) lang", "cast(text as string) text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -118,7 +130,8 @@ def references(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.n
     top = counts.where("kind = 1").groupBy("key").applyInArrow(tidy(commonest), "lang string, kind int, key long, n long")
     sums = counts.where("kind <> 1").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     ranked = top.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "key"))).where(F.col("r") <= COMMON).drop("r").unionByName(sums)
-    langs = ranked.where("kind = 2 and lang <> ''").select("lang", F.col("n").alias("docs"))
+    ranked = staged(ranked.where("lang <> ''"), "references")
+    langs = ranked.where("kind = 2").select("lang", F.col("n").alias("docs"))
     total = langs.agg(F.sum("docs").alias("total"))
     large = langs.join(F.broadcast(total)).where(F.col("docs") >= F.col("total") * LANGUAGE_SHARE).select("lang")  # at most 1000
     found = ranked.join(F.broadcast(large), "lang").select("lang", "kind", "key", "n").collect()
@@ -136,7 +149,14 @@ def references(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.n
         elif r["kind"] == 3:
             totals[k] = r["n"]
     common[:, -1] = totals - common.sum(1)  # its other words
-    return names, chars / np.maximum(chars.sum(1, keepdims=True), 1), keys, common / np.maximum(common.sum(1, keepdims=True), 1)
+    out = References((names, chars / np.maximum(chars.sum(1, keepdims=True), 1), keys, common / np.maximum(common.sum(1, keepdims=True), 1)))
+    rare = ranked.join(F.broadcast(large), "lang", "left_anti")
+    if not rare.isEmpty():
+        of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "n"))))
+        one = rare.groupBy("lang").agg(of(0).alias("c"), of(1).alias("w"), F.sum(F.when(F.col("kind") == 3, F.col("n"))).alias("total"))
+        rest = F.col("total") - F.aggregate("w.n", F.lit(0).cast("long"), lambda x, y: x + y)
+        out.rare = one.select("lang", F.col("c.n").alias("chars"), F.col("w.key").alias("words"), F.concat("w.n", F.array(rest)).alias("counts"))
+    return out
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -190,29 +210,56 @@ def base_counts(off: np.ndarray, data: np.ndarray) -> tuple:
     return w, n_words, word_chars, symbols, dup_lines, repeated
 
 
-def judge(docs: DataFrame, refs: tuple) -> DataFrame:
+def distances(hist: np.ndarray, doc: np.ndarray, low: np.ndarray, chars: np.ndarray, keys: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of documents (rows of hist; doc and low: each word's document and hash) to references: by character classes, by words."""
+    n = len(hist)
+    at = np.minimum(np.searchsorted(keys, low), max(len(keys) - 1, 0))
+    at = np.where(keys[at] == low, at, len(keys)) if len(keys) else np.zeros(len(low), np.int64)
+    word = np.bincount(doc * (len(keys) + 1) + at, minlength=n * (len(keys) + 1)).reshape(n, -1)
+    return js_distance(hist / np.maximum(hist.sum(1, keepdims=True), 1), chars), js_distance(word / np.maximum(word.sum(1, keepdims=True), 1), common)
+
+
+def with_own(docs: DataFrame, refs: References) -> DataFrame:
+    """docs with chars, words and counts of their language's reference, null for large languages and none."""
+    rare = refs.rare
+    if rare is None:
+        return docs.selectExpr("*", *(f"cast(null as array<long>) {c}" for c in ("chars", "words", "counts")))
+    if rare.count() <= MOST_BROADCAST:
+        return docs.join(F.broadcast(rare), "lang", "left").select("doc_id", "text", "lang", "chars", "words", "counts")
+    known = F.coalesce("lang", F.lit("")).isin("", *refs[0])
+    return with_own(docs.where(known), References(refs)).unionByName(docs.where(~known).join(rare, "lang", "left").select("doc_id", "text", "lang", "chars", "words", "counts"))
+
+
+def judge(docs: DataFrame, refs: References) -> DataFrame:
     """The counts, base_failed, kept and the nearest reference's distances of every row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(refs)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(refs))
 
     def run(batches):
         names, chars, keys, common = sent.value
         for batch in batches:
             off, data = buffers(batch.column(1))
-            judged = np.isin(np.array([x or "" for x in batch.column(2).to_pylist()], str), names)
+            langs = np.array([x or "" for x in batch.column(2).to_pylist()], str)
+            rare = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            judged = np.isin(langs, names) | rare
             parts = [[np.zeros(0, np.int64)] for _ in range(5)] + [[np.zeros(0)] for _ in range(2)]
             for i, j in steps(off):
                 o, d = off[i : j + 1] - off[i], data[off[i] : off[j]]
                 n = j - i
                 w, *counts = base_counts(o, d)
                 js_char, js_word = np.zeros(n), np.zeros(n)
-                if names:
+                if judged[i:j].any():
                     hist = np.bincount(np.repeat(np.arange(n), np.diff(o)) * CLASSES + CLASS_OF[d], minlength=n * CLASSES).reshape(n, CLASSES)
                     low = range_hashes(prefix_sums(lowered(d)), w.starts, w.ends)
-                    at = np.minimum(np.searchsorted(keys, low), max(len(keys) - 1, 0))
-                    at = np.where(keys[at] == low, at, len(keys)) if len(keys) else np.zeros(len(low), np.int64)
-                    word = np.bincount(w.doc * (len(keys) + 1) + at, minlength=n * (len(keys) + 1)).reshape(n, -1)
-                    a = js_distance(hist / np.maximum(hist.sum(1, keepdims=True), 1), chars)
-                    b = js_distance(word / np.maximum(word.sum(1, keepdims=True), 1), common)
+                    a, b = distances(hist, w.doc, low, chars, keys, common)
+                    a, b = (np.column_stack((x, np.full(n, np.inf))) for x in (a, b))  # at last, to the own language's
+                    for lang in np.unique(langs[i:j][rare[i:j]]):
+                        own = langs[i:j] == lang
+                        first = i + int(np.argmax(own))
+                        c, h, m = (np.array(batch.column(k)[first].as_py(), np.int64) for k in (3, 4, 5))
+                        order = np.argsort(h.view(np.uint64))
+                        of = own[w.doc]
+                        x, y = distances(hist[own], (np.cumsum(own) - 1)[w.doc[of]], low[of], (c / max(c.sum(), 1))[None], h.view(np.uint64)[order], (np.append(m[order], m[-1]) / max(m.sum(), 1))[None])
+                        a[own, -1], b[own, -1] = x[:, 0], y[:, 0]
                     near = np.argmin(a + b, 1)
                     js_char = np.where(judged[i:j] & (hist.sum(1) >= MIN_CHARS), a[np.arange(n), near], 0.0)
                     js_word = np.where(judged[i:j] & (counts[0] >= MIN_WORDS), b[np.arange(n), near], 0.0)
@@ -223,7 +270,8 @@ def judge(docs: DataFrame, refs: tuple) -> DataFrame:
             kept = ~failed & (js_char <= CHAR_LIMIT) & (js_word <= WORD_LIMIT)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.astype(np.int64)) for c in counts), pa.array(failed), pa.array(kept), pa.array(js_char), pa.array(js_word)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang").mapInArrow(tidy(run), SCHEMA)
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang")
+    return with_own(docs, refs).mapInArrow(tidy(run), SCHEMA)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
