@@ -1,9 +1,9 @@
 """Leiden and Louvain communities of a graph.
 
 A community that grows from single nodes never spans two connected components, and quality is a sum over communities, so
-components of up to ``kernel_max_edges`` edges are solved each in a grouped-map task, all in parallel. A larger component runs
-rounds of DataFrame operations (``local_move_rounds``, ``refine_rounds``) with aggregation between levels, and drops to
-the grouped-map task at the first level that is small enough. For a fixed seed results are the same on any number of tasks.
+components of up to ``kernel_max_edges`` edges are solved each in a grouped-map task, all in parallel. Larger components run
+rounds of DataFrame operations (``rounds``) with aggregation between levels; ``leiden_by_rounds`` takes that way for graphs of any size.
+For a fixed seed results are the same on any number of tasks.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidConfig
 from ..functions.objective import Cpm, Objective, Rb
-from . import kernel
+from . import kernel, rounds
 from .components import checkpointed, components
 from .graph import Graph
-from .labels import from_labels, normalized
-from .partition import communities, moved, neighbor_weights, singleton
+from .labels import from_labels
+from .partition import communities, neighbor_weights
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,8 @@ class LeidenConfig:
     kernel_max_edges: int = 5_000_000
     #: Edges of a graph that one task takes whole.
     one_task_edges: int = 100_000
+    #: What a round of the distributed path must gain, as a share of the graph's weight.
+    round_tolerance: float = 1e-4
 
     @classmethod
     def with_resolution(cls, resolution: float) -> LeidenConfig:
@@ -93,8 +95,7 @@ def leiden(graph: Graph, config: LeidenConfig | None = None) -> DataFrame:
     small = comps.join(large, "component", "left_anti") if not large.isEmpty() else comps
     out = kernel_labels(graph, small, config, m)
     if not large.isEmpty():
-        own = comps.join(large, "component", "left_semi")
-        out = out.unionByName(round_labels(part_of(graph, own), config, m))
+        out = out.unionByName(round_labels(part_of(graph, comps.join(large, "component", "left_semi")), config, m))
     return from_labels(out)
 
 
@@ -109,9 +110,16 @@ def part_of(graph: Graph, nodes: DataFrame) -> Graph:
     return Graph(graph.nodes.join(keep, "id", "left_semi"), graph.edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst", "weight"))
 
 
-def coin(seed: int, *keys):
-    """A uniform number from a hash of keys."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) / float(1 << 52)
+def round_labels(graph: Graph, config: LeidenConfig, m: float) -> DataFrame:
+    """(node, label) by rounds alone, for a graph whose components are too large for one task."""
+    return rounds.labels_by_rounds(graph, config.objective, m, config.seed or 0, config.refine, config.randomness, config.max_community_weight, config.max_levels, config.round_tolerance)
+
+
+def leiden_by_rounds(graph: Graph, config: LeidenConfig | None = None) -> DataFrame:
+    """(node, label) of every node by rounds of DataFrame operations alone: no component is ever one task's."""
+    config = config or LeidenConfig()
+    config.validate()
+    return from_labels(round_labels(graph, config, graph.total_weight()))
 
 
 def candidates(graph: Graph, partition: DataFrame, objective: Objective, m: float, constraint: DataFrame | None = None) -> DataFrame:
@@ -141,80 +149,15 @@ def best_moves(graph: Graph, partition: DataFrame, objective: Objective, m: floa
     return best.select("node", "own", (-F.col("best.c")).alias("community"), (F.col("best.gain") - F.col("base")).alias("gain"))
 
 
-def local_move_rounds(graph: Graph, partition: DataFrame, objective: Objective, m: float, seed: int = 42, cap: float | None = None) -> DataFrame:
-    """partition after synchronous rounds: every node proposes its best move, a hash coin accepts a share of them, and a round
-    that would lower the quality is taken back and tried with half the share; at last the best single move alone."""
-    n = graph.node_count()
-    quality = objective.quality(communities(graph, partition), m)
-    for k in itertools.count():  # the quality rises in every round, so that they end
-        moves = checkpointed(best_moves(graph, partition, objective, m, cap).where(F.col("gain") > max(kernel.min_gain(m), 1e-9)), "moves")
-        if moves.isEmpty():
-            break
-        moves = moves.withColumn("community", F.when(F.col("community") < 0, n + F.col("node")).otherwise(F.col("community")))
-        share = 0.5
-        while True:
-            taken = moves.where(coin(seed, F.lit(k), F.lit(share), "node") < share) if share > 1e-3 else moves.orderBy(F.col("gain").desc(), "node").limit(1)
-            if cap is not None:  # one newcomer a community and round keeps every cap
-                taken = taken.groupBy("community").agg(F.max_by("node", F.struct("gain", -F.col("node"))).alias("node"))
-            trial = checkpointed(moved(partition, taken.select("node", "community")), "partition")
-            now = objective.quality(communities(graph, trial), m)
-            if now > quality or share <= 1e-3:
-                break
-            share /= 4
-        if now <= quality:
-            break
-        partition, quality = trial, now
-    return partition
+def local_move_rounds(graph: Graph, partition: DataFrame, objective: Objective, m: float, seed: int = 42, cap: float | None = None, tolerance: float = 0.0) -> DataFrame:
+    """partition after rounds of local moves; see ``rounds.local_moves``."""
+    level, table, _ = rounds.local_moves(rounds.Level.of(graph, partition), objective, m, itertools.count(1), seed, cap, tolerance)
+    return level.vertices.select("node", "community")
 
 
 def refine_rounds(graph: Graph, constraint: DataFrame, objective: Objective, m: float, seed: int = 42, randomness: float = 0.01, cap: float | None = None) -> DataFrame:
-    """(node, community): singletons merged inside constraint's communities. In a round, nodes that are alone and whose
-    coin says so may move, to communities that no mover holds, by Gumbel-max over gains that lose nothing; a community
-    takes one newcomer a round, so that gains are exact."""
-    partition = singleton(graph)
-    mean = graph.edges.agg(F.avg(F.col("weight").cast("double"))).first()[0] or 0.0
-    theta = randomness * mean
-    for k in itertools.count():  # every round but the last two makes a single node fewer
-        options = candidates(graph, partition, objective, m, constraint).where("community >= 0")
-        sizes = partition.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
-        alone = partition.join(sizes.where("size = 1"), "community").select(F.col("node").alias("_m"), F.col("community").alias("_mc"))
-        movers = alone.where(coin(seed, F.lit("mover"), F.lit(k), "_m") < 0.5)
-        base = options.where("community = own").select(F.col("node").alias("_b"), F.col("gain").alias("base"))
-        rel = options.where("community <> own").join(movers, F.col("node") == F.col("_m"), "left_semi").join(movers, F.col("community") == F.col("_mc"), "left_anti").join(base, F.col("node") == F.col("_b")).withColumn("rel", F.round(F.col("gain") - F.col("base"), 9)).where("rel >= 0")
-        if cap is not None:
-            rel = rel.where(F.col("comm_weight") + F.col("node_weight") <= cap)
-        gumbel = -F.log(-F.log(F.greatest(coin(seed, F.lit("draw"), F.lit(k), "node", "community"), F.lit(1e-15))))
-        key = F.col("rel") / theta + gumbel if theta > 0 else F.col("rel")
-        choice = rel.groupBy("node").agg(F.max_by(F.struct("community", "rel"), F.struct(key, -F.col("community"))).alias("to")).select("node", "to.community", "to.rel")
-        one = checkpointed(choice.groupBy("community").agg(F.max_by("node", F.struct("rel", -F.col("node"))).alias("node")).select("node", "community"), "moves")
-        if one.isEmpty() and k and stale:
-            break
-        stale = one.isEmpty()
-        partition = checkpointed(moved(partition, one), "partition")
-    return partition
+    """(node, community): singletons merged inside constraint's communities; see ``rounds.refine``."""
+    return rounds.refine(rounds.Level.of(graph, constraint), objective, m, itertools.count(1), seed, randomness, cap).select("node", "community")
 
 
-def round_labels(graph: Graph, config: LeidenConfig, m: float) -> DataFrame:
-    """(node, label) by rounds, for a graph whose components are too large for one task."""
-    seed = config.seed or 0
-    place, level, member = graph.nodes.select(F.col("id").alias("node"), F.col("id").alias("at")), graph, singleton(graph)
-    for depth in range(config.max_levels):
-        member = local_move_rounds(level, member, config.objective, m, seed + depth, config.max_community_weight)
-        fine = refine_rounds(level, member, config.objective, m, seed + depth, config.randomness, config.max_community_weight) if config.refine else member
-        group = checkpointed(normalized(fine.withColumnRenamed("community", "group")), "group")
-        n = group.select("group").distinct().count()
-        if n >= level.node_count():
-            break
-        up = group.join(member, "node").groupBy(F.col("group").alias("node")).agg(F.min("community").alias("community"))
-        g = group.select(F.col("node").alias("_v"), "group")
-        place = checkpointed(place.join(g, F.col("at") == F.col("_v")).select("node", F.col("group").alias("at")), "place")
-        coarse = level.aggregate(group)
-        level = Graph(checkpointed(coarse.nodes, "nodes"), checkpointed(coarse.edges, "edges"))
-        member = checkpointed(normalized(up.withColumnRenamed("community", "group")).withColumnRenamed("group", "community"), "partition")
-    m_ = member.select(F.col("node").alias("_v"), "community")
-    own = place.join(m_, F.col("at") == F.col("_v")).select("node", "community")
-    least = own.groupBy(F.col("community").alias("_c")).agg(F.min("node").alias("label"))
-    return own.join(least, F.col("community") == F.col("_c")).select("node", "label")
-
-
-__all__ = ["Cpm", "LeidenConfig", "Rb", "best_moves", "leiden", "local_move_rounds", "louvain", "refine_rounds"]
+__all__ = ["Cpm", "LeidenConfig", "Rb", "best_moves", "leiden", "leiden_by_rounds", "local_move_rounds", "louvain", "refine_rounds"]

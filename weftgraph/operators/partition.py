@@ -80,6 +80,44 @@ def neighbor_weights(graph: Graph, partition: DataFrame, constraint: DataFrame |
     return ends.join(p, F.col("nbr") == F.col("_n")).groupBy("node", "community").agg(F.sum("weight").alias("weight"))
 
 
+def link_changes(links: DataFrame, states: DataFrame) -> DataFrame:
+    """(node, from, to, nbr, nbr_from, nbr_to, weight) of the links(node, nbr, weight), both ways and without loops, of all nodes that states(node, from, to) moves."""
+    gone = states.where("from <> to").select("node", "from", "to")
+    far = states.select(F.col("node").alias("nbr"), F.col("from").alias("nbr_from"), F.col("to").alias("nbr_to"))
+    return links.join(gone, "node").join(far, "nbr").select("node", "from", "to", "nbr", "nbr_from", "nbr_to", "weight")
+
+
+def move_deltas(changes: DataFrame, states: DataFrame) -> DataFrame:
+    """(community, size, weight, strength, internal): what the moves of states(node, from, to, strength, node_weight, loop) add to each
+    community, with the changes of their links. Deltas of several batches may be summed in any order."""
+    side = lambda c, sign, size, weight, strength, internal: F.struct(F.col(c).alias("community"), F.lit(sign * size).cast("long").alias("size"), (weight * sign).alias("weight"), (strength * sign).alias("strength"), (internal * sign).alias("internal"))
+    none = F.lit(0.0)
+    node = states.where("from <> to").select(F.inline(F.array(*(side(c, sign, 1, F.col("node_weight"), F.col("strength"), F.col("loop")) for c, sign in (("from", -1), ("to", 1))))))
+    share = F.col("weight") * F.when(F.col("nbr_from") != F.col("nbr_to"), 0.5).otherwise(1.0)  # a link of two moved nodes is met from both ends
+    ends = [F.when(F.col(c) == F.col(f"nbr_{c}"), side(c, sign, 0, none, none, share)) for c, sign in (("from", -1), ("to", 1))]
+    link = changes.select(F.inline(F.filter(F.array(*ends), lambda x: x.isNotNull())))
+    return node.unionByName(link).groupBy("community").agg(*(F.sum(c).alias(c) for c in ("size", "weight", "strength", "internal")))
+
+
+def applied(table: DataFrame, deltas: DataFrame) -> DataFrame:
+    """A community table with deltas merged in; communities without nodes go."""
+    both = table.select("community", "size", "weight", "strength", "internal").unionByName(deltas)
+    return both.groupBy("community").agg(*(F.sum(c).alias(c) for c in ("size", "weight", "strength", "internal"))).where("size > 0")
+
+
+def vertex_states(graph: Graph, partition: DataFrame, moves: DataFrame) -> DataFrame:
+    """(node, from, to, strength, node_weight, loop) of all nodes under moves(node, community); a node named twice goes to the smallest one."""
+    m = moves.groupBy(F.col("node").alias("_n")).agg(F.min("community").cast("long").alias("_to"))
+    own = graph.nodes.join(graph.strengths(), "id").join(graph.self_loops(), "id").select(F.col("id").alias("node"), "node_weight", "strength", F.col("self_loop").alias("loop"))
+    return own.join(partition.select("node", F.col("community").alias("from")), "node").join(m, F.col("node") == F.col("_n"), "left").select("node", "from", F.coalesce("_to", "from").alias("to"), "strength", "node_weight", "loop")
+
+
+def deltas_of(graph: Graph, partition: DataFrame, moves: DataFrame) -> DataFrame:
+    """The signed deltas of moves(node, community) from partition(node, community)."""
+    states = vertex_states(graph, partition, moves)
+    return move_deltas(link_changes(graph.adjacency().where("node <> nbr"), states), states)
+
+
 def verify(graph: Graph, partition: DataFrame, table: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Communities whose aggregates in table differ from recomputed ones; none if all is well."""
     now = communities(graph, partition)
