@@ -211,9 +211,32 @@ def test_nearest_keeps_ties_by_id_and_recall_over_many_buckets(spark):
     x = rng.normal(size=(1500, 16)).astype(np.float32)
     points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, features array<float>")
     exact = {(r["i"], r["j"]) for r in knn.nearest_exact(points, 10).collect()}
-    near = knn.nearest_approximate(points, 10, bucket=150).collect()
+    near = knn.nearest_approximate(points, 10, cell=150).collect()
     assert len(near) == 1500 * 11 and len(exact & {(r["i"], r["j"]) for r in near}) >= 0.9 * len(exact)
     d2 = ((x[:, None].astype(float)[:50] - x[None].astype(float)) ** 2).sum(2)
     assert all(r["d2"] == pytest.approx(d2[r["i"], r["j"]]) for r in near if r["i"] < 50)
     few = spark.createDataFrame([(3,), (7,)], "id long")
     assert {r["i"] for r in knn.nearest_exact(points, 10, queries=few).collect()} == {3, 7}
+
+
+def test_recall_holds_for_centred_and_shifted_points(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 24)) + rng.normal(size=(12, 24))[rng.integers(0, 12, 3000)] * 2
+    for shift in (0.0, 5.0):
+        points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate((x + shift).astype(np.float32))], "id long, features array<float>")
+        row = knn.recall(points, knn.nearest_approximate(points, 10, cell=150), 10).first()
+        assert row["queries"] == 30 and row["total"] == 330 and row["hits"] >= 0.9 * row["total"]
+
+
+def test_pivots_give_exact_lists_with_fewer_pairs(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(600, 3)) + rng.integers(0, 6, (600, 1)) * 20).astype(np.float32)
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate([*x, *x[:40]])], "id long, features array<float>")
+    taxi = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.abs(p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, v: s + v)
+    found, pairs = knn.nearest_by_pivots(points, 5, taxi)
+    key = lambda rows: sorted((r["i"], r["r"], r["j"], round(r["d2"], 9)) for r in rows)
+    assert key(found.collect()) == key(knn.nearest_exact(points, 5, metric=taxi).collect())
+    row = pairs.first()
+    assert row["all_pairs"] == 640 * 640 and row["compared"] < 0.4 * row["all_pairs"]

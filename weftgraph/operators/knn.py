@@ -18,8 +18,10 @@ from ..errors import InvalidPoints
 from .components import checkpointed
 from .graph import Graph
 
-#: Points from which the adaptive search is approximate; a block of points that is broadcast at once.
-APPROXIMATE_FROM, BLOCK = 250_000, 50_000
+#: Points from which the adaptive search is approximate; points of a block.
+APPROXIMATE_FROM, BLOCK = 250_000, 20_000
+#: Points that cells are fitted on, cells, and points whose true neighbours settle how many cells are asked; pivots of a metric of one's own.
+SAMPLE, MOST_CELLS, TRIED, MOST_PIVOTS = 20_000, 4096, 200, 256
 SMALLEST_WEIGHT = 1e-14
 
 
@@ -61,31 +63,62 @@ def nearest_of(q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[n
     return row[keep], ids[col[keep]], exact[keep]
 
 
+def in_groups(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(i, j, d2): each group's queries (asks) searched among its targets; a group holds a block of either."""
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, asked = pdf[~pdf["asks"]], pdf[pdf["asks"]]
+        out = [pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "d2": np.zeros(0)})]
+        if len(own):
+            ids, x = own["id"].to_numpy(), np.stack(own["features"].tolist()).astype(np.float64)
+            for at in range(0, len(asked), 512):
+                q = asked.iloc[at : at + 512]
+                row, j, d2 = nearest_of(np.stack(q["features"].tolist()).astype(np.float64), ids, x, k)
+                out.append(pd.DataFrame({"i": q["id"].to_numpy()[row], "j": j, "d2": d2}))
+        return pd.concat(out)
+
+    return rows.groupBy(*keys).applyInPandas(search, "i long, j long, d2 double")
+
+
 def nearest_exact(points: DataFrame, k: int, dims: int | None = None, metric: Callable[[Column, Column], Column] | None = None, queries: DataFrame | None = None) -> DataFrame:
-    """(i, j, d2, r) of the k + 1 nearest of each point, or of those in queries(id). Points are searched as queries against all points
-    in blocks of BLOCK points, each broadcast by itself; a metric of one's own is compared over a join of all pairs instead."""
+    """(i, j, d2, r) of the k + 1 nearest of each point, or of those in queries(id). Points are dealt into blocks of about BLOCK; every block of queries
+    meets every block of points in a group of its own, to which Spark sends both. A metric of one's own is compared over the same pairs of blocks, by a join."""
     n = check_points(points, dims)
     own = points.select(F.col("id").cast("long").alias("id"), (F.slice("features", 1, dims) if dims else F.col("features")).alias("features"))
     asked = own if queries is None else own.join(queries.select(F.col("id").cast("long").alias("id")).distinct(), "id", "left_semi")
+    blocks = max(3, math.ceil(n / BLOCK))
+    block, every = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left, right = asked.select("id", "features", block.alias("a"), every.alias("b")), own.select("id", "features", every.alias("a"), block.alias("b"))
     if metric is not None:
-        a, b = asked.select(F.col("id").alias("i"), F.col("features").alias("x")), own.select(F.col("id").alias("j"), F.col("features").alias("y"))
-        return top(a.crossJoin(b).select("i", "j", metric(F.col("x"), F.col("y")).alias("d2")), k)
-    out = None
-    for b in range(max(1, math.ceil(n / BLOCK))):
-        part = own.where(F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(n / BLOCK)))) == b).orderBy("id").toPandas()
-        sent = points.sparkSession.sparkContext.broadcast((part.id.to_numpy(np.int64), np.stack(part.features.tolist()).astype(np.float64) if len(part) else np.zeros((0, 1))))
-
-        def search(frames, sent=sent):
-            ids, x = sent.value
-            for pdf in frames:
-                for at in range(0, len(pdf) if len(ids) else 0, 512):
-                    q = pdf.iloc[at : at + 512]
-                    row, j, d2 = nearest_of(np.stack(q.features.tolist()).astype(np.float64), ids, x, k)
-                    yield pd.DataFrame({"i": q.id.to_numpy()[row], "j": j, "d2": d2})
+        pairs = left.select(F.col("id").alias("i"), F.col("features").alias("x"), "a", "b").join(right.select(F.col("id").alias("j"), F.col("features").alias("y"), "a", "b"), ["a", "b"])
+        return top(pairs.select("i", "j", metric(F.col("x"), F.col("y")).alias("d2")), k)
+    return top(in_groups(left.withColumn("asks", F.lit(True)).unionByName(right.withColumn("asks", F.lit(False))), ["a", "b"], k), k)
 
-        found = asked.mapInPandas(search, "i long, j long, d2 double")
-        out = found if out is None else out.unionByName(found)
-    return top(out, k)
+
+def nearest_by_pivots(points: DataFrame, k: int, metric: Callable[[Column, Column], Column], pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The exact lists (i, j, d2, r) under a metric of one's own that keeps the triangle inequality (d2 is its value), and one row (compared, all_pairs).
+
+    Every point belongs to the nearest of some pivots (by default the root of their number, at most MOST_PIVOTS). Its list inside its own cell bounds how far its last neighbour is; a
+    cell is looked at only if its pivot, less its radius, is not beyond that bound."""
+    n = check_points(points)
+    own = points.select(F.col("id").cast("long").alias("id"), "features")
+    count = max(1, min(pivots or math.isqrt(n), MOST_PIVOTS))
+    heads = checkpointed(own.orderBy(F.xxhash64("id"), "id").limit(count).select(F.col("id").alias("p"), F.col("features").alias("y"), F.lit(0).alias("one")), "pivots")
+    # every point meets every pivot, at most MOST_PIVOTS of them
+    far = own.withColumn("one", F.lit(0)).join(F.broadcast(heads), "one").select("id", "p", metric(F.col("features"), F.col("y")).alias("d"))
+    seen = far.groupBy("id").agg(F.min_by(F.struct("p", "d"), F.struct("d", "p")).alias("home"), F.collect_list(F.struct("p", "d")).alias("far"))  # MOST_PIVOTS entries a point
+    homes = checkpointed(own.join(seen, "id").select("id", "features", F.col("home.p").alias("cell"), F.col("home.d").alias("d"), "far"), "homes")
+    target = homes.select(F.col("id").alias("j"), F.col("features").alias("y"), "cell")
+    measured = lambda asked: asked.join(target, "cell").select("i", "j", metric(F.col("x"), F.col("y")).alias("d2"))
+    inside = checkpointed(top(measured(homes.select(F.col("id").alias("i"), F.col("features").alias("x"), "cell")), k), "inside")
+    bound = inside.where(F.col("r") == min(k + 1, n)).select(F.col("i").alias("id"), F.col("d2").alias("bound"))
+    radius = homes.groupBy("cell").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("size"))
+    asked = homes.select("id", "features", F.col("cell").alias("own"), F.inline("far")).where("p <> own").join(radius, F.col("p") == F.col("cell")).join(bound, "id", "left")
+    asked = asked.where(F.col("bound").isNull() | (F.col("d") - F.col("radius") <= F.col("bound") * (1 + 1e-9) + 1e-12))
+    rest = measured(asked.select(F.col("id").alias("i"), F.col("features").alias("x"), F.col("p").alias("cell")))
+    found = top(inside.select("i", "j", "d2").unionByName(rest), k)
+    compared = asked.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("a")).join(F.broadcast(radius.agg(F.coalesce(F.sum(F.col("size") * F.col("size")), F.lit(0)).alias("b"))))  # one row each
+    return found, compared.select((F.col("a") + F.col("b")).alias("compared"), F.lit(n * n).cast("long").alias("all_pairs"))
 
 
 def hnsw_params(n: int, k: int) -> tuple[int, int, int, int]:
@@ -96,45 +129,74 @@ def hnsw_params(n: int, k: int) -> tuple[int, int, int, int]:
     return links, layers, width, min(max(2 * k, 30), 200)
 
 
-def nearest_approximate(points: DataFrame, k: int, tables: int = 12, bucket: int = 2000, seed: int = 3) -> DataFrame:
-    """(i, j, d2, r), d2 squared: exact search inside the buckets of several random-hyperplane tables, then one round in which every
-    point also measures its neighbours' neighbours. Points with fewer than k + 1 found are searched exactly, they alone."""
+def centroids(sample: np.ndarray, cells: int, steps: int = 8, seed: int = 3) -> np.ndarray:
+    """Cells' centres, by Lloyd's algorithm on a sample."""
+    x = sample[np.random.default_rng(seed).permutation(len(sample))]
+    out = x[:cells].copy()
+    for _ in range(steps):
+        home = nearest_centres(x, out, 1)[:, 0]
+        count = np.bincount(home, minlength=len(out))
+        sums = np.stack([np.bincount(home, x[:, j], len(out)) for j in range(x.shape[1])], axis=1)
+        out[count > 0] = sums[count > 0] / count[count > 0, None]
+    return out
+
+
+def nearest_centres(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """Each row's nearest centres, the nearest first."""
+    far = (centres * centres).sum(1)[None] - 2 * x @ centres.T
+    near = np.argpartition(far, min(probes, len(centres)) - 1, axis=1)[:, :probes]
+    return np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable"), 1)
+
+
+def nearest_approximate(points: DataFrame, k: int, cell: int = 1000, coverage: float = 0.97) -> DataFrame:
+    """(i, j, d2, r), d2 squared: exact search inside learned cells, each point in several.
+
+    Centres are fitted on at most SAMPLE points; every point belongs to its nearest one, and asks in as many cells about it as hold the share
+    ``coverage`` of the true neighbours of a few hundred points, which are searched exactly. Cells of more than 4 * BLOCK points are split into parts, and their askers
+    ask in all of them. Points with fewer than k + 1 found are searched exactly, they alone."""
     n = check_points(points)
+    spark = points.sparkSession
     own = points.select(F.col("id").cast("long").alias("id"), "features")
-    bits = max(0, math.ceil(math.log2(max(n, 1) / bucket)))
-
-    def sketch(frames):
-        for pdf in frames:
-            if len(pdf):
-                v = np.stack(pdf.features.tolist()).astype(np.float64)
-                for t in range(tables):
-                    planes = np.random.default_rng((seed, t)).normal(size=(v.shape[1], max(bits, 1)))
-                    code = ((v @ planes > 0) * (1 << np.arange(max(bits, 1)))).sum(1) if bits else np.zeros(len(v), np.int64)
-                    # a bucket is cut by a hash of the id, so that none grows beyond a few times its size however the points lie
-                    yield pd.DataFrame({"t": t, "code": code, "id": pdf.id.to_numpy(), "features": pdf.features.to_numpy()})
-
-    kinds = dict(own.dtypes)["features"]
-    dealt = own.mapInPandas(sketch, f"t int, code long, id long, features {kinds}")
-    sizes = dealt.groupBy("t", "code").count().select("t", "code", F.ceil(F.col("count") / (4 * bucket)).alias("parts"))
-    dealt = dealt.join(sizes, ["t", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "t"), "parts")).drop("parts")
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf.id.to_numpy(), np.stack(pdf.features.tolist()).astype(np.float64)
-        found = [(at, nearest_of(x[at : at + 512], ids, x, k)) for at in range(0, len(ids), 512)]
-        return pd.concat([pd.DataFrame({"i": ids[at + row], "j": j, "d2": d2}) for at, (row, j, d2) in found])
-
-    first = dealt.groupBy("t", "code", "part").applyInPandas(inside, "i long, j long, d2 double").groupBy("i", "j").agg(F.min("d2").alias("d2"))
-    first = checkpointed(top(first, k), "neighbours")
-    pairs = first.select("i", "j")
-    beyond = pairs.join(pairs.select(F.col("i").alias("j"), F.col("j").alias("l")), "j").select("i", F.col("l").alias("j")).distinct().join(pairs, ["i", "j"], "left_anti")
-    a, b = own.select(F.col("id").alias("i"), F.col("features").alias("x")), own.select(F.col("id").alias("j"), F.col("features").alias("y"))
-    more = beyond.join(a, "i").join(b, "j").select("i", "j", squared_distance(F.col("x"), F.col("y")).alias("d2"))
-    best = top(first.select("i", "j", "d2").unionByName(more), k)
-    short = own.select("id").join(first.where(F.col("r") == min(k + 1, n)).select(F.col("i").alias("id")), "id", "left_anti")
+    chance = F.pmod(F.xxhash64(F.lit("cells"), "id"), F.lit(1 << 30)) / float(1 << 30)
+    sample = own.where(chance < min(1.0, 0.9 * SAMPLE / max(n, 1))).orderBy("id").limit(SAMPLE).select("features").toPandas()
+    if n <= 2 * cell or len(sample) < 2:
+        return nearest_exact(points, k)
+    x = np.stack(sample["features"].tolist()).astype(np.float64)
+    centres = centroids(x, min(max(2, math.ceil(n / cell)), MOST_CELLS, len(x)))
+    sent = spark.sparkContext.broadcast(centres)
+
+    def dealt_to(probes: int):
+        def deal(frames):
+            for pdf in frames:
+                if len(pdf):
+                    near = nearest_centres(np.stack(pdf["features"].tolist()).astype(np.float64), sent.value, probes)
+                    yield pd.DataFrame({"id": pdf["id"], "features": pdf["features"], "cells": near.tolist()})
+
+        return own.mapInPandas(deal, f"id long, features {dict(own.dtypes)['features']}, cells array<int>")
+
+    # how many cells about a point hold its neighbours: measured on a few hundred points
+    few = own.where(F.pmod(F.xxhash64(F.lit("few"), "id"), F.lit(max(1, n // TRIED))) == 0).orderBy("id").limit(2 * TRIED).select("id")
+    true = nearest_exact(points, k, queries=few).select("i", "j")
+    asking = dealt_to(len(centres)).join(few, "id", "left_semi").select(F.col("id").alias("i"), "cells")
+    rank = true.join(dealt_to(1).select(F.col("id").alias("j"), F.col("cells")[0].alias("home")), "j").join(asking, "i").select(F.array_position("cells", F.col("home")).alias("rank"))
+    probes = int(rank.agg(F.percentile("rank", coverage)).first()[0] or 1)
+    homes = checkpointed(dealt_to(probes), "cells")
+    parts = homes.groupBy(F.col("cells")[0].alias("cell")).agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).cast("int").alias("parts"))
+    target = homes.select("id", "features", F.col("cells")[0].alias("cell"), F.lit(False).alias("asks")).join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    asked = homes.select("id", "features", F.explode("cells").alias("cell"), F.lit(True).alias("asks")).join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    best = checkpointed(top(in_groups(target.unionByName(asked), ["cell", "part"], k), k), "neighbours")
+    short = own.select("id").join(best.where(F.col("r") == min(k + 1, n)).select(F.col("i").alias("id")), "id", "left_anti")
     if short.isEmpty():
         return best
-    rest = nearest_exact(points, k, queries=short)
-    return best.join(short.withColumnRenamed("id", "i"), "i", "left_anti").unionByName(rest)
+    return best.join(short.withColumnRenamed("id", "i"), "i", "left_anti").unionByName(nearest_exact(points, k, queries=short))
+
+
+def recall(points: DataFrame, found: DataFrame, k: int, step: int = 100) -> DataFrame:
+    """One row (queries, hits, total): how many of the exact neighbours of the points whose id is a multiple of step are in found(i, j)."""
+    few = points.select(F.col("id").cast("long").alias("id")).where(F.col("id") % step == 0)
+    true = nearest_exact(points, k, queries=few).select("i", "j")
+    hits = true.join(found.select("i", "j", F.lit(1).alias("hit")), ["i", "j"], "left")
+    return hits.agg(F.count_distinct("i").alias("queries"), F.count("hit").alias("hits"), F.count(F.lit(1)).alias("total"))
 
 
 def nearest(points: DataFrame, k: int) -> DataFrame:

@@ -40,8 +40,8 @@ class LeidenConfig:
     kernel_max_edges: int = 5_000_000
     #: Edges of a graph that one task takes whole.
     one_task_edges: int = 100_000
-    #: What a round of the distributed path must gain, as a share of the graph's weight.
-    round_tolerance: float = 1e-4
+    #: What a round, and a level, of the distributed path must gain, as a share of the graph's weight.
+    round_tolerance: float = 2e-4
 
     @classmethod
     def with_resolution(cls, resolution: float) -> LeidenConfig:
