@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pathlib import PurePosixPath
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.batches import GraphBatch
 from ..operators.graph import Graph
+from .csr import read_csr
 
 
 def read_edges(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
@@ -37,10 +37,8 @@ def write_labels(labels: DataFrame, path: str) -> None:
 
 
 def read_binary_csr(spark: SparkSession, folder: str, strict: bool = False) -> Graph:
-    """A graph of ``indptr.bin`` (u64), ``indices.bin`` (u32) and ``data.bin`` (f32), little-endian, read by Spark."""
-    raw = {PurePosixPath(r["path"]).name: bytes(r["content"]) for r in spark.read.format("binaryFile").load(f"{folder}/*.bin").collect()}
-    ptrs, cols, values = (np.frombuffer(raw[f], t) for f, t in (("indptr.bin", "<u8"), ("indices.bin", "<u4"), ("data.bin", "<f4")))
-    return Graph.from_csr(spark, ptrs.tolist(), cols.tolist(), values.tolist(), strict=strict)
+    """A graph of ``indptr.bin`` (u64), ``indices.bin`` (u32) and ``data.bin`` (f32), little-endian, read in byte ranges by tasks."""
+    return read_csr(spark, folder, strict)
 
 
 def csr_bytes(graph: Graph) -> dict[str, bytes]:
@@ -66,6 +64,31 @@ def reference_labels(reference: DataFrame) -> DataFrame:
     return rows.select("resolution", F.posexplode("r.labels").alias("node", "label")).select("resolution", F.col("node").cast("long").alias("node"), "label")
 
 
+def fixture_batch(fixtures: DataFrame) -> GraphBatch:
+    """The graphs of a read FIXTURES document, keyed by their names."""
+    each = fixtures.select(F.explode("graphs").alias("graph", "g"))
+    nodes = each.where("g.n_nodes > 0").select("graph", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g.n_nodes") - 1)).alias("id"))
+    edges = each.select("graph", F.explode("g.edges").alias("e")).select("graph", F.col("e")[0].cast("long").alias("src"), F.col("e")[1].cast("long").alias("dst"), F.coalesce(F.get("e", F.lit(2)), F.lit(1.0)).alias("weight"))
+    return GraphBatch.from_edges(nodes, edges)
+
+
+def fixture_cases(fixtures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, graph, objective, resolution, seed, reference_quality, reference_modularity, reference_n_clusters) and the members (name, graph, node, community) of a read FIXTURES document's cases."""
+    each = fixtures.select(F.explode("cases").alias("c")).select("c.*")
+    members = each.select("name", "graph", F.posexplode("reference_membership").alias("node", "community"))
+    return each.drop("reference_membership"), members.select("name", "graph", F.col("node").cast("long").alias("node"), "community")
+
+
+def write_fixtures(batch: GraphBatch, cases: DataFrame, members: DataFrame, path: str) -> None:
+    """A FIXTURES document of graphs, cases (as fixture_cases gives them) and members(name, graph, node, community), for fixtures that fit one document."""
+    ends = batch.edges.groupBy("graph").agg(F.array_sort(F.collect_list(F.array(F.col("src").cast("double"), F.col("dst").cast("double"), F.col("weight").cast("double")))).alias("edges"))
+    graphs = batch.nodes.groupBy("graph").agg(F.count(F.lit(1)).alias("n_nodes")).join(ends, "graph", "left").select(F.col("graph").cast("string").alias("key"), F.struct("n_nodes", F.coalesce("edges", F.array().cast("array<array<double>>")).alias("edges")).alias("value"))
+    own = members.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "community"))), lambda x: x["community"]).alias("reference_membership"))
+    each = cases.join(own, "name").select(F.struct("name", F.col("graph").cast("string").alias("graph"), *(c for c in ("objective", "resolution", "seed", "reference_membership", "reference_n_clusters", "reference_quality", "reference_modularity"))).alias("case"))
+    one = graphs.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("graphs")).join(each.agg(F.array_sort(F.collect_list("case")).alias("cases")))  # one row each
+    one.coalesce(1).write.json(path)
+
+
 def points_of(frame: pd.DataFrame | DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """(id, features) of a table of vectors."""
     return frame.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("features")) if isinstance(frame, DataFrame) else spark.createDataFrame(frame)
