@@ -55,16 +55,18 @@ def test_local_moves_end_where_no_single_move_gains(spark, objective):
 
 
 def test_rounds_find_planted_blocks_and_come_near_the_kernel(spark):
-    n, e, truth = generators.stochastic_blocks(spark, 5, 40, 0.3, 0.02, 5)
+    n, e, truth = generators.stochastic_blocks(spark, 3, 20, 0.5, 0.02, 5)
     graph = Graph.from_edges(n, e)
     found = leiden.leiden_by_rounds(graph)
+    alone = leiden.leiden_by_rounds(graph, leiden.LeidenConfig(coarse_edges=0, n_iterations=1))  # no level in one task
+    assert metrics.nmi(alone, truth) > 0.9 and metrics.disconnected_communities(graph, alone).isEmpty()
     assert metrics.nmi(found, truth) > 0.95 and metrics.disconnected_communities(graph, found).isEmpty()
     assert modularity(graph, found).first()[0] >= 0.99 * modularity(graph, leiden.leiden(graph)).first()[0]
 
 
 def test_rounds_keep_the_cap(spark):
     n, e, _ = generators.karate(spark)
-    found = leiden.leiden_by_rounds(Graph.from_edges(n, e), leiden.LeidenConfig(max_community_weight=5.0))
+    found = leiden.leiden_by_rounds(Graph.from_edges(n, e), leiden.LeidenConfig(max_community_weight=5.0, n_iterations=1))
     assert max(r["count"] for r in found.groupBy("label").count().collect()) <= 5 and found.count() == n
 
 

@@ -42,6 +42,8 @@ class LeidenConfig:
     one_task_edges: int = 100_000
     #: What a round, and a level, of the distributed path must gain, as a share of the graph's weight.
     round_tolerance: float = 2e-4
+    #: Edges of a coarse level that the distributed path hands to one task.
+    coarse_edges: int = 1_000_000
 
     @classmethod
     def with_resolution(cls, resolution: float) -> LeidenConfig:
@@ -111,12 +113,12 @@ def part_of(graph: Graph, nodes: DataFrame) -> Graph:
 
 
 def round_labels(graph: Graph, config: LeidenConfig, m: float) -> DataFrame:
-    """(node, label) by rounds alone, for a graph whose components are too large for one task."""
-    return rounds.labels_by_rounds(graph, config.objective, m, config.seed or 0, config.refine, config.randomness, config.max_community_weight, config.max_levels, config.round_tolerance)
+    """(node, label) by rounds, for a graph whose components are too large for one task."""
+    return rounds.labels_by_rounds(graph, config, m)
 
 
 def leiden_by_rounds(graph: Graph, config: LeidenConfig | None = None) -> DataFrame:
-    """(node, label) of every node by rounds of DataFrame operations alone: no component is ever one task's."""
+    """(node, label) of every node by rounds of DataFrame operations, whatever the graph's size: no component is one task's but as a coarse level of at most coarse_edges edges."""
     config = config or LeidenConfig()
     config.validate()
     return from_labels(round_labels(graph, config, graph.total_weight()))

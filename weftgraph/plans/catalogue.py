@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.objective import Cpm, Rb, modularity
 from ..operators import graph as G
-from ..operators import knn, labels, leiden, partition
-from ..operators.components import components
+from ..operators import batches, knn, labels, leiden, partition
+from ..operators.components import checkpointed, components, shared_folder
 from ..operators.graph import Graph
-from ..sources import generators
+from ..sources import csr, files, generators
 from ..sources.files import points_of
 
 QUERIES: dict = {}
@@ -364,7 +366,7 @@ def hnsw_params(spark, sf_dir):
 
 @query()
 def knn_approximate(spark, sf_dir):
-    return knn.nearest_approximate(points(spark, sf_dir), 15, bucket=500).select("i", "j", "r", "d2")
+    return knn.nearest_approximate(points(spark, sf_dir), 15, cell=60).select("i", "j", "r", "d2")
 
 
 # generators
@@ -503,12 +505,11 @@ def partition_slots(spark, sf_dir):
     return spark.range(1).select(F.lit(partition.community_count(own)).cast("long").alias("communities"), F.lit(partition.slots(own)).cast("long").alias("slots"))
 
 
-@query(KNN + "select 1.0::double recall from (select count(*) from n)")
+@query("select count(*) filter (vec_id % 100 = 0) queries, 16 * count(*) filter (vec_id % 100 = 0) total, true enough from embeddings")
 def knn_recall(spark, sf_dir):
-    """The share of the exact lists that the approximate search over many buckets finds; 1 from nine tenths on."""
-    exact, near = (f.select("i", "j") for f in (knn.nearest_exact(points(spark, sf_dir), 15), knn.nearest_approximate(points(spark, sf_dir), 15, bucket=60)))
-    share = F.count("hit") / F.count(F.lit(1))
-    return exact.join(near.withColumn("hit", F.lit(1)), ["i", "j"], "left").agg(F.when(share >= 0.9, 1.0).otherwise(share).alias("recall"))
+    """How many neighbours are asked for, and whether the search in learned cells finds nine tenths of them; knn_recall_counts has the hits."""
+    p = points(spark, sf_dir)
+    return knn.recall(p, knn.nearest_approximate(p, 15, cell=60), 15).select("queries", "total", (F.col("hits") >= 0.9 * F.col("total")).alias("enough"))
 
 
 @query()
@@ -523,3 +524,221 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), F.col("label").alias("truth"))
     counts = found.join(truth, F.col("node") == F.col("_v")).groupBy("label", "truth").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("label").agg(F.sum("n").alias("size"), F.max_by("truth", F.struct("n", -F.col("truth"))).alias("commonest"), (F.max("n") / F.sum("n")).alias("purity"))
+
+
+# incremental partitions
+
+
+def moved_parts(spark, sf_dir) -> DataFrame:
+    """Every fifth size of parts goes to another brand's community."""
+    return table(spark, sf_dir, "part").where("p_size % 5 = 0").select(F.col("p_partkey").alias("node"), (F.col("p_size") % 7).cast("long").alias("community"))
+
+
+MOVED = (
+    WITH.rstrip()
+    + """,
+lab2 as (select node, coalesce(p_size % 7, label)::bigint label from lab left join part on p_partkey = node and p_size % 5 = 0),
+c2 as (select label community, count(*) size, count(*)::double weight, sum(strength) strength from k join lab2 on node = id group by 1),
+i2 as (select a.label community, sum(w) internal from e join lab2 a on a.node = src join lab2 b on b.node = dst where a.label = b.label group by 1),
+t2 as (select community, size, weight, strength, coalesce(internal, 0) internal from c2 left join i2 using (community))
+"""
+)
+
+
+@query(MOVED + "select * from t2")
+def partition_after_moves(spark, sf_dir):
+    """The communities' sums after a batch of moves, by merging signed deltas into the table before it."""
+    g, own = part_supplier(spark, sf_dir), brand_partition(spark, sf_dir)
+    return partition.applied(partition.communities(g, own), partition.deltas_of(g, own, moved_parts(spark, sf_dir)))
+
+
+@query(MOVED + "select coalesce(a.community, b.community) community, coalesce(a.size, 0) - coalesce(b.size, 0) size, coalesce(a.weight, 0) - coalesce(b.weight, 0) weight, coalesce(a.strength, 0) - coalesce(b.strength, 0) strength, coalesce(a.internal, 0) - coalesce(b.internal, 0) internal from t2 a full join c b on a.community = b.community where coalesce(a.size, 0) <> coalesce(b.size, 0) or coalesce(a.strength, 0) <> coalesce(b.strength, 0) or coalesce(a.internal, 0) <> coalesce(b.internal, 0)")
+def partition_move_deltas(spark, sf_dir):
+    """What the batch of moves adds to each community."""
+    deltas = partition.deltas_of(part_supplier(spark, sf_dir), brand_partition(spark, sf_dir), moved_parts(spark, sf_dir))
+    return deltas.where("size <> 0 or strength <> 0 or internal <> 0")
+
+
+@query(MOVED + "select count(*) communities, 0::bigint faults from t2")
+def partition_moves_verified(spark, sf_dir):
+    """How many communities there are after the moves, and how many of them differ from sums from scratch."""
+    g, own = part_supplier(spark, sf_dir), brand_partition(spark, sf_dir)
+    after = partition_after_moves(spark, sf_dir)
+    wrong = partition.verify(g, partition.moved(own, moved_parts(spark, sf_dir)), after)
+    return after.agg(F.count(F.lit(1)).alias("communities")).join(F.broadcast(wrong.agg(F.count(F.lit(1)).alias("faults"))))  # one row each
+
+
+# Leiden by rounds
+
+
+def sized_communities(g: Graph, found: DataFrame) -> DataFrame:
+    return partition.communities(g, found.withColumnRenamed("label", "community")).select(F.col("community").alias("label"), "size", "strength", "internal")
+
+
+@query("select min(conv_id * 1000 + turn) label, count(*) size, (2 * count(*) - 2)::double strength, (count(*) - 1)::double internal from conversations group by conv_id")
+def leiden_rounds_conversations(spark, sf_dir):
+    """Communities found by rounds alone in a graph of stars, a conversation's turns linked to its first one: each is a community. A label is its smallest node."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.min(F.col("conv_id") * 1000 + F.col("turn")).over(Window.partitionBy("conv_id")).alias("first"))
+    g = Graph(c.select("id", F.lit(1.0).alias("node_weight")), c.where("id <> first").select(F.col("first").alias("src"), F.col("id").alias("dst"), F.lit(1.0).cast("float").alias("weight")))
+    return sized_communities(g, leiden.round_labels(g, leiden.LeidenConfig(), g.total_weight()))
+
+
+@query()
+def leiden_rounds_embeddings(spark, sf_dir):
+    """Each community of the embeddings' graph by rounds alone: size, strength, weight inside, and the whole partition's modularity beside the array kernel's."""
+    g = embedding_graph(spark, sf_dir)
+    g = Graph(checkpointed(g.nodes), checkpointed(g.edges))
+    found = checkpointed(leiden.leiden_by_rounds(g))
+    q = modularity(g, found).join(F.broadcast(modularity(g, leiden.leiden(g)).withColumnRenamed("modularity", "kernel_modularity")))  # one row each
+    return sized_communities(g, found).join(F.broadcast(q))
+
+
+# searches
+
+
+def shifted(points: DataFrame, by: float) -> DataFrame:
+    return points.select("id", F.transform("features", lambda x: (x + by).cast("float")).alias("features"))
+
+
+@query()
+def knn_recall_counts(spark, sf_dir):
+    """Hits among the exact neighbours of the points whose id is a multiple of 100, for the points as they are and far from the origin."""
+    rows = None
+    for shift in (0.0, 3.0):
+        p = shifted(points(spark, sf_dir), shift)
+        one = knn.recall(p, knn.nearest_approximate(p, 15, cell=60), 15).withColumn("shift", F.lit(shift))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.withColumn("recall", F.col("hits") / F.col("total"))
+
+
+TAXI = """with d as (select a.vec_id i, b.vec_id j, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda t: abs(t[1]::double - t[2]::double))) d from embeddings a, embeddings b)
+select i, j, round(d, 6) d, row_number() over (partition by i order by d, j) r from d qualify r <= 11"""
+
+
+@query(TAXI)
+def knn_taxicab(spark, sf_dir):
+    """Exact neighbours under a metric of one's own, by pivots."""
+    metric = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
+    return knn.nearest_by_pivots(points(spark, sf_dir), 10, metric)[0].select("i", "j", F.round("d2", 6).alias("d"), F.col("r").cast("long").alias("r"))
+
+
+# CSR arrays
+
+#: Line numbers repeat inside an order; these columns put its lines in one order.
+LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+
+
+@query("select src, dst, cast(w as float) weight from e")
+def csr_file_round_trip(spark, sf_dir):
+    """The part-supplier graph's edges after a way through its three binary files in the shared folder."""
+    folder = f"{shared_folder(spark).rstrip('/')}/csr-{uuid.uuid4().hex}"
+    csr.write_csr(part_supplier(spark, sf_dir), folder)
+    return csr.read_csr(spark, folder).edges
+
+
+@query(
+    """with x as (select l_orderkey o, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 pos, l_suppkey - 3 col, case when l_quantity = 50 then null else l_quantity - 3 end v from lineitem),
+n as (select max(o) + 1 n, count(*) entries from x), s as (select i, (select count(*) from x where o < i) - case when i % 100 = 7 then 5 else 0 end p from range((select n + 1 from n)) t(i)),
+p as (select i, p, lead(p) over (order by i) q from s)
+select 'pointers fall' problem, i::bigint pos, (p - q)::double "value" from p where q < p union all select 'pointers fall', 0, p from p where i = 0 and p <> 0
+union all select 'end differs', p, entries from p, n where i = n and p <> entries
+union all select 'column out of range', pos, col from x, n where col < 0 or col >= n
+union all select 'not finite', pos, null from x where v is null union all select 'negative', pos, v from x where v < 0"""
+)
+def csr_faults_lineitem(spark, sf_dir):
+    """Faults planted in the order-supplier matrix's arrays: pointers moved back, columns below zero, missing and negative values."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), *LINE, (F.col("l_suppkey") - 3).alias("col"), F.when(F.col("l_quantity") != 50, F.col("l_quantity") - 3).alias("v"))
+    n = rows.agg(F.max("o")).first()[0] + 1
+    sizes = spark.range(n + 1).join(rows.groupBy(F.col("o").alias("id")).agg(F.count(F.lit(1)).alias("size")), "id", "left").select("id", F.coalesce("size", F.lit(0)).alias("size"))
+    ptrs = G.prefix_sums(sizes, "id", "size", "value").select(F.col("id").alias("pos"), (F.col("value") - F.when(F.col("id") % 100 == 7, 5).otherwise(0)).alias("value"))
+    return csr.csr_faults(ptrs, csr.counted(rows, "col", ["o", *LINE]), csr.counted(rows, "v", ["o", *LINE]))
+
+
+# batches of graphs
+
+
+def order_batch(spark, sf_dir) -> batches.GraphBatch:
+    """A graph for each order: its lines in a row, linked to the next one by their quantity and to the one after by one to three."""
+    own = Window.partitionBy("l_orderkey").orderBy(*LINE)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph"), (F.row_number().over(own) - 1).cast("long").alias("id"), "l_quantity", (F.col("l_suppkey") % 3 + 1).alias("far"), F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).alias("n"))
+    to = lambda step, w: F.when(F.col("id") + step < F.col("n"), F.struct((F.col("id") + step).alias("dst"), w.cast("double").alias("weight")))
+    edges = rows.select("graph", F.col("id").alias("src"), F.inline(F.filter(F.array(to(1, F.col("l_quantity")), to(2, F.col("far"))), lambda x: x.isNotNull())))
+    return batches.GraphBatch.from_edges(rows.select("graph", "id"), edges)
+
+
+def talk_batch(spark, sf_dir) -> batches.GraphBatch:
+    """A graph for each conversation: each turn is linked to the next by one to four, by its text's length, and to the one after by one."""
+    own = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("graph"), (F.row_number().over(own) - 1).cast("long").alias("id"), (F.length("text") % 4 + 1).alias("w"), F.count(F.lit(1)).over(Window.partitionBy("conv_id")).alias("n"))
+    to = lambda step, w: F.when(F.col("id") + step < F.col("n"), F.struct((F.col("id") + step).alias("dst"), w.cast("double").alias("weight")))
+    edges = rows.select("graph", F.col("id").alias("src"), F.inline(F.filter(F.array(to(1, F.col("w")), to(2, F.lit(1))), lambda x: x.isNotNull())))
+    return batches.GraphBatch.from_edges(rows.select("graph", "id"), edges)
+
+
+ORDERS = """with x as (select l_orderkey graph, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 id, l_quantity q, l_suppkey % 3 + 1 f, count(*) over (partition by l_orderkey) n from lineitem),
+be as (select graph, id src, id + 1 dst, q w from x where id + 1 < n union all select graph, id, id + 2, f from x where id + 2 < n),
+ends as (select graph, src id, w from be union all select graph, dst, w from be),
+bk as (select x.graph, x.id, x.id // 2 community, coalesce(sum(w), 0)::double strength from x left join ends on ends.graph = x.graph and ends.id = x.id group by 1, 2),
+bi as (select graph, src // 2 community, sum(w)::double internal from be where src // 2 = dst // 2 group by 1, 2),
+bc as (select graph, community, count(*) size, count(*)::double weight, sum(strength) strength from bk group by 1, 2),
+bt as (select bc.*, coalesce(internal, 0) internal from bc left join bi using (graph, community)),
+bm as (select graph, sum(w)::double m from be group by 1)
+"""
+
+
+@query(ORDERS + "select graph, community, size, weight, strength, internal from bt")
+def batch_communities_orders(spark, sf_dir):
+    """The sums of every community, lines paired in their order, of every order's graph."""
+    b = order_batch(spark, sf_dir)
+    return b.communities(b.nodes.select("graph", F.col("id").alias("node"), F.floor(F.col("id") / 2).alias("community")))
+
+
+@query(ORDERS + "select graph, round(sum(case when m > 0 then internal - strength * strength / (4 * m) else 0 end), 6) quality from bt left join bm using (graph) group by 1")
+def batch_qualities_orders(spark, sf_dir):
+    """The quality of every order's graph under the same partition."""
+    b = order_batch(spark, sf_dir)
+    return b.qualities(b.nodes.select("graph", F.col("id").alias("node"), F.floor(F.col("id") / 2).alias("community"))).select("graph", F.round("quality", 6).alias("quality"))
+
+
+@query(
+    """with recursive s as (select [0] string, 0 top union all select list_append(string, c), greatest(top, c) from s, range(10) t(c) where c <= top + 1 and len(string) < 8),
+x as (select conv_id graph, row_number() over (partition by conv_id order by turn) - 1 id, length(text) % 4 + 1 w, count(*) over (partition by conv_id) n from conversations),
+e as (select graph, id src, id + 1 dst, w from x where id + 1 < n union all select graph, id, id + 2, 1 from x where id + 2 < n),
+m as (select graph, sum(w)::double m from e group by 1), g as (select graph, n from x where n <= 8 group by 1, 2),
+t as (select graph, n, string from g join s on len(string) = n),
+q as (select t.graph, t.n, t.string, coalesce(sum(case when t.string[src + 1] = t.string[dst + 1] then w end), 0) inside from t left join e using (graph) group by 1, 2, 3),
+z as (select graph, id, w from (select graph, src id, w from e union all select graph, dst, w from e)), k as (select graph, id, sum(w)::double k from z group by 1, 2),
+c as (select t.graph, t.string, t.string[id + 1] c, sum(k) kc from t join k using (graph) group by 1, 2, 3), p as (select graph, string, sum(kc * kc) kk from c group by 1, 2)
+select q.graph, q.n n_nodes, round(max(inside - case when m > 0 then kk / (4 * m) else 0 end), 6) + 0.0 quality from q left join m using (graph) left join p on p.graph = q.graph and p.string = q.string group by 1, 2""".replace("inside - case when m > 0 then kk / (4 * m) else 0 end", "case when m > 0 then inside - kk / (4 * m) else 0 end")
+)
+def batch_optimum_conversations(spark, sf_dir):
+    """The best quality over all partitions of every conversation's graph of at most eight turns."""
+    return talk_batch(spark, sf_dir).optimum(most=8).select("graph", "n_nodes", F.round("quality", 6).alias("quality"))
+
+
+@query()
+def batch_leiden_hits(spark, sf_dir):
+    """How often Leiden reaches the best partition of the conversations' graphs of at most eight turns, and its worst gap as a share of the weight."""
+    b = talk_batch(spark, sf_dir)
+    best = b.optimum(most=8).select("graph", "quality")
+    own = b.qualities(b.leiden().withColumnRenamed("label", "community")).select("graph", F.col("quality").alias("found"))
+    gap = F.col("quality") - F.col("found")
+    return best.join(own, "graph").join(b.totals().select("graph", "total_weight"), "graph").agg(F.count(F.lit(1)).alias("graphs"), F.count_if(gap < 1e-6).alias("hits"), F.max(gap / F.greatest("total_weight", F.lit(1.0))).alias("worst"))
+
+
+@query("select count(*) filter (conv_id % 3 = 1) better, count(*) filter (conv_id % 3 = 0) equal, count(*) filter (conv_id % 3 = 2) worse from (select distinct conv_id from conversations)")
+def fixture_summary(spark, sf_dir):
+    """Wins, ties and losses against the references of a fixture document of the conversations' graphs, written to and read from the shared folder; every third
+    reference is set above, and every third below, the quality of its members."""
+    b = talk_batch(spark, sf_dir)
+    b = batches.GraphBatch(b.nodes.withColumn("graph", F.col("graph").cast("string")), b.edges.withColumn("graph", F.col("graph").cast("string")))
+    members = b.nodes.select(F.concat(F.lit("case "), "graph").alias("name"), "graph", F.col("id").alias("node"), F.floor(F.col("id") / 3).alias("community"))
+    off = F.when(F.col("graph").cast("long") % 3 == 1, -1.0).when(F.col("graph").cast("long") % 3 == 2, 1.0).otherwise(0.0)
+    none = F.lit(0).cast("long")
+    cases = b.qualities(members).select(F.concat(F.lit("case "), "graph").alias("name"), "graph", F.lit("rb").alias("objective"), F.lit(1.0).alias("resolution"), none.alias("seed"), none.alias("reference_n_clusters"), (F.col("quality") + off).alias("reference_quality"), F.lit(0.0).alias("reference_modularity"))
+    folder = f"{shared_folder(spark).rstrip('/')}/fixtures-{uuid.uuid4().hex}"
+    files.write_fixtures(b, cases, members, folder)
+    read = files.read_json(spark, folder, files.FIXTURES)
+    own, back = files.fixture_cases(read)
+    runs = own.join(files.fixture_batch(read).qualities(back), "graph").select("quality", "reference_quality")
+    return metrics.quality_summary(runs, 1e-6).select("better", "equal", "worse")

@@ -166,5 +166,5 @@ def counted(array: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """(pos, value): a column of a table as an array, in the order of keys; ranks are counted range by range of the first key."""
     first = keys[0]
     own = Window.partitionBy(first).orderBy(*keys[1:])
-    sizes = prefix_sums(array.groupBy(first).agg(F.count(F.lit(1)).alias("_size")), first, "_size", "_before").select(first, "_before")
-    return array.withColumn("_rank", F.row_number().over(own) - 1).join(sizes, first).select((F.col("_before") + F.col("_rank")).alias("pos"), F.col(value).alias("value"))
+    sizes = prefix_sums(array.groupBy(first).agg(F.count(F.lit(1)).alias("_size")), first, "_size", "_from").select(first, "_from")
+    return array.withColumn("_rank", F.row_number().over(own) - 1).join(sizes, first).select((F.col("_from") + F.col("_rank")).alias("pos"), F.col(value).alias("value"))
