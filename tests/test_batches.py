@@ -138,3 +138,17 @@ def test_csr_node_weights_and_long_rows(spark, monkeypatch):
     ptrs, cols = [0, 0, 30, 31, 31, 50], [k % 5 for k in range(50)]
     got = sorted(tuple(r) for r in csr.csr_entries(*arrays(spark, ptrs, cols, [float(k) for k in range(50)])).collect())
     assert got == sorted((r, cols[k], float(k)) for r in range(5) for k in range(ptrs[r], ptrs[r + 1]))
+
+
+def test_grid_lists_are_never_short(spark):
+    rng = np.random.default_rng(8)
+    xy = np.concatenate([rng.normal(0, 0.05, (60, 2)), rng.normal(3, 1.0, (30, 2)), [[500.0, -700.0], [500.0, -700.0]]])
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(xy)], "id long, features array<double>")
+    got = {}
+    for r in generators.grid_nearest(points, 7, 0.05).collect():
+        got.setdefault(r["i"], {})[r["r"]] = r["j"]
+    for i in range(len(xy)):
+        d2 = ((xy - xy[i]) ** 2).sum(1)
+        assert [got[i][r] for r in range(1, 8)] == [int(j) for j in np.lexsort((np.arange(len(xy)), d2)) if j != i][:7]
+    few = spark.createDataFrame([(0, [0.0, 0.0]), (1, [9.0, 9.0])], "id long, features array<double>")
+    assert sorted((r["i"], r["j"]) for r in generators.grid_nearest(few, 3, 1.0).collect()) == [(0, 1), (1, 0)]

@@ -622,6 +622,13 @@ def knn_taxicab(spark, sf_dir):
     return knn.nearest_by_pivots(points(spark, sf_dir), 10, metric)[0].select("i", "j", F.round("d2", 6).alias("d"), F.col("r").cast("long").alias("r"))
 
 
+@query("with p as (select p_partkey id, p_retailprice / 100 x, p_size::double y from part), d as (select a.id i, b.id j, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) d2 from p a, p b where a.id <> b.id) select i, j, round(d2, 6) d2, row_number() over (partition by i order by d2, j) r from d qualify r <= 6")
+def grid_nearest_parts(spark, sf_dir):
+    """The six nearest parts of each by price and size, in grids of growing cells."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_retailprice") / 100, F.col("p_size").cast("double")).alias("features"))
+    return generators.grid_nearest(p, 6, 0.5).select("i", "j", F.round("d2", 6).alias("d2"), F.col("r").cast("long").alias("r"))
+
+
 # CSR arrays
 
 #: Line numbers repeat inside an order; these columns put its lines in one order.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import checkpointed
+
 # The karate club's edges, and its labels of greatest modularity.
 # fmt: off
 KARATE = [
@@ -67,16 +69,36 @@ def blobs(spark: SparkSession, n: int, centres: int, spread: float = 0.05, seed:
     return own.select("id", F.array(F.cos(angle) + radius * F.cos(turn), F.sin(angle) + radius * F.sin(turn)).cast("array<float>").alias("features"), "label")
 
 
-def grid_neighbors(points: DataFrame, k: int, cell: float, reach: int = 2) -> DataFrame:
-    """(src, dst, weight) of the union of each plane point's k nearest within reach cells of a grid, by a join on cells."""
+def grid_nearest(points: DataFrame, k: int, cell: float) -> DataFrame:
+    """(i, j, d2, r): each plane point's k nearest others by (d2, id), none missing. A point looks into its own cell of a grid and the eight about it; one
+    whose k-th neighbour is not nearer than a cell is wide, or that has fewer than k, asks again in a grid of cells twice as wide, until the cells about it hold all points."""
     from pyspark.sql import Window
 
-    own = points.select("id", F.col("features")[0].cast("double").alias("x"), F.col("features")[1].cast("double").alias("y")).withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)])
-    asked = own.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), "cx", "cy", F.inline(steps)).select("i", "xi", "yi", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    d2 = (F.col("x") - F.col("xi")) * (F.col("x") - F.col("xi")) + (F.col("y") - F.col("yi")) * (F.col("y") - F.col("yi"))
-    near = asked.join(own, ["cx", "cy"]).where("i <> id").withColumn("d2", d2).withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d2", "id"))).where(F.col("r") <= k)
-    return near.select(F.least("i", "id").alias("src"), F.greatest("i", "id").alias("dst")).distinct().withColumn("weight", F.lit(1.0))
+    own = checkpointed(points.select("id", F.col("features")[0].cast("double").alias("x"), F.col("features")[1].cast("double").alias("y")), "plane")
+    wide = own.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
+    steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    asked, out = own, None
+    while True:
+        at = lambda c, size=cell: F.floor(F.col(c) / size)
+        asks = asked.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.inline(steps)).select("i", "xi", "yi", (at("xi") + F.col("dx")).alias("cx"), (at("yi") + F.col("dy")).alias("cy"))
+        d2 = (F.col("x") - F.col("xi")) * (F.col("x") - F.col("xi")) + (F.col("y") - F.col("yi")) * (F.col("y") - F.col("yi"))
+        near = asks.join(own.select("id", "x", "y", at("x").alias("cx"), at("y").alias("cy")), ["cx", "cy"]).where("i <> id").select("i", F.col("id").alias("j"), d2.alias("d2"))
+        near = checkpointed(near.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d2", "j"))).where(F.col("r") <= k), "near")
+        if wide <= cell:  # all points are in the cells about each other
+            return near if out is None else out.unionByName(near)
+        done = near.where((F.col("r") == k) & (F.col("d2") <= cell * cell)).select("i")
+        found = near.join(done, "i", "left_semi")
+        out = found if out is None else out.unionByName(found)
+        asked = checkpointed(asked.join(done.withColumnRenamed("i", "id"), "id", "left_anti"), "asked")
+        if asked.isEmpty():
+            return out
+        cell *= 2
+
+
+def grid_neighbors(points: DataFrame, k: int, cell: float) -> DataFrame:
+    """(src, dst, weight) of the union of each plane point's k nearest, by joins on the cells of grids."""
+    near = grid_nearest(points, k, cell)
+    return near.select(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst")).distinct().withColumn("weight", F.lit(1.0))
 
 
 def random_weights(edges: DataFrame, seed: int = 1) -> DataFrame:
