@@ -22,6 +22,7 @@ from .graph import Graph
 APPROXIMATE_FROM, BLOCK = 250_000, 20_000
 #: Points that cells are fitted on, cells, and points whose true neighbours settle how many cells are asked; pivots of a metric of one's own.
 SAMPLE, MOST_CELLS, TRIED, MOST_PIVOTS = 20_000, 4096, 200, 256
+MOST_TASKS = 10_000
 SMALLEST_WEIGHT = 1e-14
 
 
@@ -92,7 +93,8 @@ def nearest_exact(points: DataFrame, k: int, dims: int | None = None, metric: Ca
     if metric is not None:
         pairs = left.select(F.col("id").alias("i"), F.col("features").alias("x"), "a", "b").join(right.select(F.col("id").alias("j"), F.col("features").alias("y"), "a", "b"), ["a", "b"])
         return top(pairs.select("i", "j", metric(F.col("x"), F.col("y")).alias("d2")), k)
-    return top(in_groups(left.withColumn("asks", F.lit(True)).unionByName(right.withColumn("asks", F.lit(False))), ["a", "b"], k), k)
+    rows = left.withColumn("asks", F.lit(True)).unionByName(right.withColumn("asks", F.lit(False)))
+    return top(in_groups(rows.repartition(min(blocks * blocks, MOST_TASKS), "a", "b"), ["a", "b"], k), k)  # a number of its own, so that few pairs share a task
 
 
 def nearest_by_pivots(points: DataFrame, k: int, metric: Callable[[Column, Column], Column], pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
