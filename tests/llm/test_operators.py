@@ -268,17 +268,62 @@ def test_lm_gives_every_preceding_token_its_own_restaurant(spark):
     assert got[100] > -2.0 and got[100] - got[101] > 1.0
 
 
-def test_lm_sweep_moves_every_customer():
-    c = np.array([1_000_000, 40, 20, 1, 0])
-    t, rng = lm_scoring.Seating(np.arange(5), np.zeros(5, np.int64), c).t, np.random.default_rng(1)
-    assert t[0] == 15849
-    fresh = np.full(5, 100.0)
-    one_by_one = t.astype(float)
-    for n in range(int(c[0])):  # the expected course of the large dish
-        one_by_one[0] += fresh[0] / (fresh[0] + c[0] - 1 - 0.7 * one_by_one[0]) - one_by_one[0] / c[0]
-    out = lm_scoring.moved(c, t, fresh, 0.7, rng)
-    assert abs(out[0] - one_by_one[0]) < 0.05 * one_by_one[0] and one_by_one[0] < 7000
-    assert out[3] == 1 and out[4] == 0 and (out <= c).all() and (out[:4] >= 1).all()
+def table_counts(c, f, d):
+    """Probabilities of 1 to c tables, S(c, t) f^t by the recursion over customers."""
+    logs = np.full(c + 1, -np.inf)
+    logs[0] = 0
+    for k in range(c):
+        with np.errstate(divide="ignore"):
+            logs = np.logaddexp(np.append(-np.inf, logs[:-1]), np.log(np.maximum(k - d * np.arange(c + 1), 0)) + logs)
+    logs = logs[1:] + np.arange(1, c + 1) * np.log(f)
+    p = np.exp(logs - logs.max())
+    return p / p.sum()
+
+
+@pytest.mark.parametrize("d", [0.7, 0.6])
+@pytest.mark.parametrize("c,f", [(1, 0.5), (2, 0.2), (3, 1.0), (4, 5.0), (6, 1.0), (8, 0.05), (10, 0.3), (30, 2.0), (128, 9.0), (129, 9.0), (129, 0.2), (1500, 2.0), (1500, 60.0), (1500, 1500.0)])
+def test_lm_tables_are_of_the_exact_distribution(c, f, d):
+    p, t = table_counts(c, f, d), np.arange(1, c + 1)
+    mean, spread = (p * t).sum(), np.sqrt((p * t * t).sum() - (p * t).sum() ** 2)
+    got = lm_scoring.seated(np.full(20_000, c), np.full(20_000, f), d, np.random.default_rng(c))
+    assert got.min() >= 1 and got.max() <= c and got.mean() == pytest.approx(mean, rel=0.02) and got.std() == pytest.approx(spread, rel=0.05, abs=1e-9)
+    if c <= 10:
+        assert np.bincount(got, minlength=c + 1)[1:] / len(got) == pytest.approx(p, abs=0.015)
+
+
+def test_lm_gibbs_settles_whatever_the_start():
+    """Customers that leave and sit down one at a time, table by table, end at the numbers of tables that a sweep draws."""
+    rng, f, d, found = random.Random(1), 2.0, 0.7, []
+    for _ in range(400):
+        tables = [12]
+        for _ in range(40):
+            for _ in range(12):
+                k = rng.choices(range(len(tables)), tables)[0]
+                tables[k] -= 1
+                tables = [n for n in tables if n]
+                k = rng.choices(range(len(tables) + 1), [n - d for n in tables] + [f])[0]
+                tables = [n + (j == k) for j, n in enumerate([*tables, 0])]
+                tables = [n for n in tables if n]
+        found.append(len(tables))
+    got = lm_scoring.seated(np.full(20_000, 12), np.full(20_000, f), d, np.random.default_rng(1))
+    assert np.mean(found) == pytest.approx(got.mean(), rel=0.06)
+    assert lm_scoring.seated(np.array([0, 1, 5, 400]), np.array([1e-3, 1e-3, 1e-12, 1e-12]), d, np.random.default_rng(1)).tolist() == [0, 1, 1, 1]
+    assert lm_scoring.seated(np.array([5, 400]), np.full(2, 1e12), d, np.random.default_rng(1)).tolist() == [5, 400]
+
+
+def test_lm_blocks_are_read_alike_under_other_settings(spark):
+    """Between the building of the result and its reading the session hands rows to tasks otherwise; ids repeat, one is null."""
+    table = [(k % 50, f"a{k % 7} b c{k} " * (1 + k % 5), "x", 1.0) for k in range(400)] + [(None, "a b", "x", 1.0), (3, "long " * 60_000, "x", 1.0)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, code string, score double").repartition(3)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old, out = spark.conf.get(key), lm_scoring.score_documents(docs, F.coalesce(F.col("doc_id") % 5 == 2, F.lit(False)), buckets=3)
+    try:
+        spark.conf.set(key, "7")
+        got = out.collect()
+    finally:
+        spark.conf.set(key, old)
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((k, len(t.split()) + 1) for k, t, *_ in table)
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
 def test_toxicity_learns_rare_insults(spark):

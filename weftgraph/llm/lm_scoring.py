@@ -1,19 +1,21 @@
 """LM scoring: an add-one unigram base and a hierarchical Pitman-Yor model of a text's tokens.
 
-Every block of documents sends each distinct token's hash, with the contexts it stands in and its training counts,
-to a bucket; the bucket sums a token over all blocks, keeps where each block's pairs are in its model, and at last sends back
+Documents are first cut into blocks, a stored row each, so that every later step reads the same blocks. A block sends
+each of its distinct tokens' hashes, with the contexts it stands in and its training counts, to a bucket; the bucket sums a token over all blocks, keeps where each block's pairs are in its model, and at last sends back
 what scoring them takes; a block adds up its documents. A bucket sees a block's distinct pairs of its tokens and the tokens before
 them, however often they occur. The number of buckets grows with the bytes of text. Tokens are told apart by 64-bit hashes.
 
 The model has a restaurant for every distinct preceding token, and all of them share one parent, the unigram restaurant,
 whose base is uniform over the training tokens' kinds and one kind for all unknown tokens. Counts come from all training
-documents. Seating is sampled by Gibbs steps, in each bucket for its tokens' dishes: a customer leaves, taking its table
-along if it opened it, and sits down again at an old table or at a new one, which is a customer of the parent. A sweep
-moves every customer once, those of large dishes in groups whose table changes are drawn at once. The seating
-is stored after each of ROUNDS rounds of sweeps and the next round goes on from it; between rounds the restaurants' totals
-are summed by a shuffle, in which a bucket sends and gets two numbers for each context it holds. The tables are averaged over
-the last SAMPLES sweeps, and the predictive probabilities are those of the averaged tables and their totals, so that they
-add to one in every context. Each stored table is deleted, and its shuffles let go, when the next one is written.
+documents. Seating is sampled by Gibbs steps, in each bucket for its tokens' dishes. A step unseats a dish's customers and seats
+them anew: given the rate f at which the restaurant opens tables for it, c customers sit at t tables with a probability in
+proportion to S(c, t) f^t, S being the generalised Stirling numbers of the discount, and t is drawn from that
+distribution. Its tables are customers of the parent, whose dishes are drawn likewise. All dishes of a bucket are drawn side by side in a sweep, at the rates
+that the sweep begins with. Up to EXACT customers the Stirling numbers are exact; beyond that they are saddle-point values, corrected for few tables by
+the exact ones of EXACT customers. The seating is stored after each round of BURN_IN sweeps and the next round goes on from it; between rounds the restaurants' totals
+are summed by a shuffle, in which a bucket sends and gets its contexts' numbers. The last round stores SAMPLES seatings, a sweep apart, and a
+token's probability is the mean of its predictive probabilities under them, each with totals of its own, so that probabilities
+add to one in every context. Each stored table is deleted, and its shuffles let go, when nothing reads it any more.
 
 Defined results: a null text is empty, with the end token alone; rows of equal ids are separate documents; a null
 doc_id is never held out; without training documents every token has the base's probability, 1; an empty table gives no rows.
@@ -23,6 +25,7 @@ Texts of any length are read whole; other columns are dropped, whatever their na
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +39,10 @@ BLOCK = 16 << 20
 #: Discount and strength of the preceding tokens' restaurants and of their parent.
 LEAF, ROOT = (0.7, 5.0), (0.6, 10.0)
 BURN_IN, SAMPLES, ROUNDS = 3, 4, 2
+#: Customers up to which a dish's tables are drawn by exact Stirling numbers; numbers of tables weighed for a larger dish.
+EXACT, WEIGHED = 128, 256
 #: Bytes of text a bucket.
 BUCKET_BYTES = 16 << 20
-#: A dish of more customers moves them in so many groups a sweep.
-GROUPS = 32
 
 
 def block_tokens(batch: pa.RecordBatch, seq: int):
@@ -76,30 +79,85 @@ def part_of(ctx: np.ndarray, parts: int) -> np.ndarray:
     return ((ctx >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def moved(c: np.ndarray, t: np.ndarray, fresh: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """The tables of dishes of c customers and t tables after each customer has left and sat down again once.
-
-    Up to GROUPS customers move one by one. More move in GROUPS groups; in a group, the numbers of
-    tables left and opened are drawn from their binomial distributions at the rates that the group begins with."""
-    t = np.minimum(t, c)
-    order = np.argsort(-c, kind="stable")
-    order = order[: int((c > 1).sum())]  # a lone customer keeps its table
-    size, tables, new = c[order], t[order], fresh[order]
-    many = int((size > GROUPS).sum())
-    for k in range(GROUPS):
-        own, to, at = size[:many], new[:many], tables[:many]
-        n = own * (k + 1) // GROUPS - own * k // GROUPS
-        rest = np.maximum(at - rng.binomial(n, np.minimum(at / own, 1.0)), 1)
-        seated = np.maximum(own - 1 - d * rest, 1e-12)
-        tables[:many] = np.clip(rest + rng.binomial(n, to / (to + seated)), 1, own)
-        end = int(np.searchsorted(-size, -k, "left"))  # dishes of more than k customers
-        own, to, at = size[many:end], new[many:end], tables[many:end]
-        rest = at - ((rng.random(len(own)) * own < at) & (at > 1))
-        seated = np.maximum(own - 1 - d * rest, 1e-12)
-        tables[many:end] = np.clip(rest + (rng.random(len(own)) * (to + seated) < to), 1, own)
-    t = t.copy()
-    t[order] = tables
-    return t
+@lru_cache(None)
+def stirling(d: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers S(c, t) of discount d, for c and t up to EXACT; S(0, 0) is 1."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[0, 0] = 0.0
+    with np.errstate(divide="ignore"):
+        for c in range(EXACT):
+            stay = np.log(np.maximum(c - d * np.arange(EXACT + 1), 0.0)) + out[c]
+            out[c + 1] = np.logaddexp(np.append(-np.inf, out[c, :-1]), stay)
+    return out
+
+
+#: Saddle points are looked up by log(u), u = 1 - z.
+_LOG_U = -np.exp(np.linspace(np.log(200.0), np.log(1e-7), 40_000))
+
+
+@lru_cache(None)
+def saddles(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each log u: customers a table where u is the saddle point; customers by the rate of new tables where that is the mode (logarithms)."""
+    u, z = np.exp(_LOG_U), -np.expm1(_LOG_U)
+    return np.log(d * z) + (d - 1) * _LOG_U - np.log(-np.expm1(d * _LOG_U)), np.log(z) + (d - 1) * _LOG_U
+
+
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    x = n + 1.0
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S(c, t) for many customers, but for what depends on c alone: the coefficient of z^c in (1 - (1 - z)^d)^t / (d^t t!)
+    at its saddle point."""
+    per = c / t
+    lu = -np.interp(-np.log(per), -saddles(d)[0], -_LOG_U)
+    u, z = np.exp(lu), -np.expm1(lu)
+    spread = t * per * np.maximum(1 + z * (1 - d) / u - per, 1e-9)
+    return t * (np.log(-np.expm1(d * lu)) - np.log(d)) - c * np.log(z) - 0.5 * np.log(spread) - log_factorial(t)
+
+
+@lru_cache(None)
+def few_tables(d: float) -> np.ndarray:
+    """What saddle-point values of t tables lack, for t up to half of EXACT."""
+    t = np.arange(1.0, EXACT // 2 + 1)
+    lack = stirling(d)[EXACT, 1 : len(t) + 1] - log_stirling(np.full(len(t), float(EXACT)), t, d)
+    return np.append(lack - lack[-1], 0.0)
+
+
+def drawn(logs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """An index of each row, in proportion to the exponentials of its logs."""
+    sums = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), axis=1)
+    return (sums < rng.random((len(logs), 1)) * sums[:, -1:]).sum(1)
+
+
+def seated(c: np.ndarray, f: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables of dishes of c customers, new tables opening at the rates f: t with a probability in proportion to S(c, t) f^t."""
+    out = np.minimum(c, 1)  # none and a lone customer
+    order = np.argsort(c, kind="stable")
+    size, logf = c[order], np.log(f[order])
+    at = int(np.searchsorted(size, 2))
+    end = int(np.searchsorted(size, EXACT, "right"))
+    while at < end:  # dishes of one size, few enough at a time
+        k = int(size[at])
+        to = min(int(np.searchsorted(size, k, "right")), at + max(1, (1 << 20) // k))
+        out[order[at:to]] = 1 + drawn(stirling(d)[k, 1 : k + 1] + logf[at:to, None] * np.arange(1, k + 1), rng)
+        at = to
+    for at in range(end, len(size), 1024):
+        own, lf = size[at : at + 1024].astype(float), logf[at : at + 1024]
+        lu = np.interp(lf - np.log(own), -saddles(d)[1], _LOG_U)
+        mode = np.clip(np.exp(lf) * -np.expm1(d * lu) / d, 1, own)
+        low = np.floor(np.maximum(mode - 8 * np.sqrt(mode) - 8, 1))
+        high = np.minimum(np.ceil(mode + 8 * np.sqrt(mode) + 8), own)
+        step = np.ceil((high - low + 1) / WEIGHED)
+        t = low[:, None] + step[:, None] * np.arange(WEIGHED)
+        inside = t <= high[:, None]
+        t = np.minimum(t, high[:, None])
+        lack = few_tables(d)
+        logs = log_stirling(own[:, None], t, d) + lack[np.minimum(t.astype(np.int64) - 1, len(lack) - 1)] + t * lf[:, None]
+        found = t[np.arange(len(own)), drawn(np.where(inside, logs, -np.inf), rng)]
+        out[order[at : at + 1024]] = np.minimum(found + np.floor(rng.random(len(own)) * step), high)
+    return out
 
 
 class Seating:
@@ -115,25 +173,35 @@ class Seating:
         """A dish's tables in all contexts are its customers in the parent."""
         self.r = np.bincount(self.tok, self.t, self.n).astype(np.int64)
 
-    def columns(self) -> dict:
-        """What is stored of the seating."""
-        return {"t": packed(self.t.astype("<u8")), "s": packed(self.s.astype("<u8")), "customers": int(self.r.sum()), "tables": int(self.s.sum())}
-
     def parent(self, totals: np.ndarray, kinds: int) -> np.ndarray:
         d, a = ROOT
         return (self.r - d * self.s) / (a + totals[0, -1]) + (a + d * totals[1, -1]) / (a + totals[0, -1]) / (kinds + 1)
 
     def sweep(self, totals: np.ndarray, kinds: int, rng: np.random.Generator) -> None:
+        """Draws all dishes' tables; the bucket's own changes of tables go into totals."""
         d, a = LEAF
-        fresh = (a + d * totals[1, self.ctx]) * self.parent(totals, kinds)[self.tok]
-        self.t = moved(self.c, self.t, fresh, d, rng)
+        before = np.append(np.bincount(self.ctx, self.t, totals.shape[1] - 1), self.s.sum()), self.r.sum()
+        self.t = seated(self.c, (a + d * totals[1, self.ctx]) * self.parent(totals, kinds)[self.tok], d, rng)
         self.up()
         d, a = ROOT
-        self.s = moved(self.r, np.minimum(self.s, self.r), np.full(self.n, (a + d * totals[1, -1]) / (kinds + 1)), d, rng)
+        self.s = seated(self.r, np.full(self.n, (a + d * totals[1, -1]) / (kinds + 1)), d, rng)
+        totals[1] += np.append(np.bincount(self.ctx, self.t, totals.shape[1] - 1), self.s.sum()) - before[0]
+        totals[0, -1] += self.r.sum() - before[1]
+
+    def probabilities(self, totals: np.ndarray, kinds: int) -> np.ndarray:
+        """The predictive probability of each (token, context) pair under this seating."""
+        d, a = LEAF
+        return (self.c - d * self.t + (a + d * totals[1, self.ctx]) * self.parent(totals, kinds)[self.tok]) / (a + totals[0, self.ctx])
+
+
+def stored(seatings: list[tuple]) -> dict:
+    """What is stored of one or more seatings (tables, the parent's customers and tables) of a bucket, one after another."""
+    t, r, s = zip(*seatings)
+    return {"t": packed(np.concatenate(t).astype("<u8")), "s": packed(np.concatenate(s).astype("<u8")), "customers": [int(x.sum()) for x in r], "tables": [int(x.sum()) for x in s]}
 
 
 #: A bucket's model: its contexts' hashes, its (token, context) pairs as token * contexts + context, customers and tables.
-STORED = {"bucket": "int", "ctx": "binary", "pair": "binary", "count": "binary", "t": "binary", "s": "binary", "customers": "long", "tables": "long", "kinds": "long", "tokens": "long"}
+STORED = {"bucket": "int", "ctx": "binary", "pair": "binary", "count": "binary", "t": "binary", "s": "binary", "customers": "array<long>", "tables": "array<long>", "kinds": "long", "tokens": "long"}
 MERGED = STORED | {"key": "binary", "at": "binary"}
 
 
@@ -142,7 +210,7 @@ def schema_of(columns: dict) -> str:
 
 
 BACK = {"key": "binary", "bucket": "int", "known": "binary", "each": "binary", "score": "binary"}
-TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
 def table_of(columns: dict, rows: list[dict]) -> pa.Table:
@@ -156,61 +224,65 @@ def pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return pair // n, pair % n
 
 
-def seating_of(row: dict) -> Seating:
-    return Seating(*pairs_of(row), *(unpacked(row[k], "<u8").astype(np.int64) for k in ("count", "t", "s")))
+def seatings_of(row: dict):
+    """The stored seatings of a bucket, one after another."""
+    tok, ctx = pairs_of(row)
+    count, t, s = (unpacked(row[k], "<u8").astype(np.int64) for k in ("count", "t", "s"))
+    n = len(t) // len(tok)
+    for x, y in zip(t.reshape(n, -1), s.reshape(n, -1)):
+        yield Seating(tok, ctx, count, x, y)
 
 
 def context_totals(model: DataFrame, parts: int) -> DataFrame:
-    """(bucket, part, customers, tables): of the contexts of a bucket, in order, the sums over all buckets."""
+    """(bucket, part, customers, tables): of the contexts of a bucket, in order, the sums over all buckets; tables of each stored
+    seating, one after another."""
 
     def spread(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 ctx, code = unpacked_rising(row["ctx"]), pairs_of(row)[1]
-                sums = [np.bincount(code, unpacked(row[k], "<u8"), len(ctx)).astype("<u8") for k in ("count", "t")]
+                sums = [np.stack([np.bincount(code, x, len(ctx)).astype("<u8") for x in unpacked(row[k], "<u8").reshape(-1, len(code))]) for k in ("count", "t")]
                 ends = np.searchsorted(part_of(ctx, parts), np.arange(parts + 1, dtype=np.uint64))
                 used = np.flatnonzero(np.diff(ends))
-                cols = [[pack(x[ends[k] : ends[k + 1]]) for k in used] for x, pack in ((ctx, packed_rising), (sums[0], packed), (sums[1], packed))]
+                cols = [[pack(x[..., ends[k] : ends[k + 1]].reshape(-1)) for k in used] for x, pack in ((ctx, packed_rising), (sums[0], packed), (sums[1], packed))]
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([row["bucket"]] * len(used), pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["part", "bucket", "ctx", "customers", "tables"])
 
     def add(table: pa.Table) -> pa.Table:
         ctx = [unpacked_rising(x.as_py()) for x in table.column("ctx")]
         kinds, at = np.unique(np.concatenate(ctx), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([unpacked(x.as_py(), "<u8") for x in table.column(k)]), len(kinds)).astype("<u8") for k in ("customers", "tables")]
+        each = [np.concatenate([unpacked(x.as_py(), "<u8").reshape(-1, len(c)) for x, c in zip(table.column(k), ctx)], axis=1) for k in ("customers", "tables")]
+        sums = [np.stack([np.bincount(at, x, len(kinds)).astype("<u8") for x in own]) for own in each]
         ends = np.cumsum([0, *map(len, ctx)])
-        cols = [[packed(x[at[a:b]]) for a, b in zip(ends, ends[1:])] for x in sums]
+        cols = [[packed(x[:, at[a:b]].reshape(-1)) for a, b in zip(ends, ends[1:])] for x in sums]
         return pa.table([table.column("bucket"), table.column("part"), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "part", "customers", "tables"])
 
     sent = model.select("bucket", "ctx", "pair", "count", "t").mapInArrow(tidy(spread), "part int, bucket int, ctx binary, customers binary, tables binary")
     return sent.groupBy("part").applyInArrow(tidy(add), "bucket int, part int, customers binary, tables binary")
 
 
-def next_round(model: DataFrame, parts: int, seed: int, kinds: int, samples: int = 0, asked: DataFrame | None = None) -> DataFrame:
-    """The seating after BURN_IN sweeps under the totals so far; with samples, the sums of the tables over as many sweeps more;
-    if blocks have asked, the answers to them under a model of such sums."""
-    up, final = model.agg(F.sum("customers"), F.sum("tables")).first(), asked is not None
-    up = [float(x or 0) for x in up]
+def next_round(model: DataFrame, parts: int, seed: int, kinds: int, samples: int = 1, asked: DataFrame | None = None) -> DataFrame:
+    """The seating after BURN_IN sweeps under the totals so far, and with more samples those of as many sweeps less one after it;
+    if blocks have asked, the answers to them under the model's seatings."""
+    final, n = asked is not None, SAMPLES if asked is not None else 1
+    up = model.agg(*(F.sum(F.col(k)[i]) for k in ("customers", "tables") for i in range(n))).first()
+    up = np.array([float(x or 0) for x in up]).reshape(2, n)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         order = [k for k, part in sorted(enumerate(right.column("part").to_pylist()), key=lambda x: -1 if x[1] is None else x[1]) if part is not None]
-        totals = np.stack([np.append(np.concatenate([unpacked(right.column(k)[x].as_py(), "<u8") for x in order]).astype(float), up[i]) for i, k in enumerate(("customers", "tables"))])
-        seating, rng, (d, a) = seating_of(row), np.random.default_rng((row["bucket"], seed)), LEAF
+        customers, tables = ([unpacked(right.column(k)[x].as_py(), "<u8").astype(float) for x in order] for k in ("customers", "tables"))
+        tables = np.concatenate([x.reshape(n, -1) for x in tables], axis=1)
+        totals = [np.stack((np.append(np.concatenate(customers), up[0, i]), np.append(tables[i], up[1, i]))) for i in range(n)]
         if not final:
-            for _ in range(BURN_IN):
-                seating.sweep(totals, kinds, rng)
-            t, s = np.zeros_like(seating.t), np.zeros_like(seating.s)
-            for _ in range(samples):
-                seating.sweep(totals, kinds, rng)
-                t, s = t + seating.t, s + seating.s
-            if samples:
-                seating.t, seating.s = t, s
-                seating.up()
-            return table_of(STORED, [row | seating.columns()])
-        totals[:, -1] /= SAMPLES
-        totals[1, :-1] /= SAMPLES
-        seating.t, seating.s, seating.r = seating.t / SAMPLES, seating.s / SAMPLES, seating.r / SAMPLES
-        prob = (seating.c - d * seating.t + (a + d * totals[1, seating.ctx]) * seating.parent(totals, kinds)[seating.tok]) / (a + totals[0, seating.ctx])
+            (seating,), rng, out = seatings_of(row), np.random.default_rng((row["bucket"], seed)), []
+            for k in range(BURN_IN + samples - 1):
+                seating.sweep(totals[0], kinds, rng)
+                if k >= BURN_IN - 1:
+                    out.append((seating.t, seating.r, seating.s))
+            return table_of(STORED, [row | stored(out)])
+        prob = 0.0
+        for seating, own in zip(seatings_of(row), totals):
+            prob = prob + seating.probabilities(own, kinds) / SAMPLES
         known = np.bincount(seating.tok, seating.c, seating.n).astype("<u8")
         prob, out = np.log10(prob).astype("<f4"), []
         for key, at in zip(right.column("key"), right.column("at")):
@@ -237,19 +309,30 @@ def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFr
     n_buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, size // BUCKET_BYTES)
     n_parts = n_buckets // 4 + 1
 
-    def token_parts(batches):
+    def cut(batches):
         for seq, batch in enumerate(batches):
             for key, (i, j), token, pair, code, first in block_tokens(batch, seq):
-                learned = ~np.asarray(batch.column(2).slice(i, j - i).to_pylist(), bool)
-                count = np.bincount(code[np.repeat(learned, np.diff(first))], minlength=len(pair)).astype("<u4")
-                order, ends, p_order, p_ends = dealt_pairs(token, pair, n_buckets)
-                each = np.bincount(pair // len(token), minlength=len(token)).astype("<u4")[order]
-                used = np.flatnonzero(np.diff(ends))
-                cols = [[pack(x[e[b] : e[b + 1]]) for b in used] for x, e, pack in ((token[order], ends, packed_rising), (each, ends, packed), (count[p_order], p_ends, packed))]
-                before = (pair % len(token))[p_order]
-                kinds = [np.unique(before[p_ends[b] : p_ends[b + 1]], return_inverse=True) for b in used]
-                cols += [[packed_rising(token[k]) for k, _ in kinds], [packed(c.astype("<u4")) for _, c in kinds]]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(used), pa.binary()), pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["key", "bucket", "token", "each", "count", "ctx", "code"])
+                ids, learned = (batch.column(c).slice(i, j - i).to_pylist() for c in (0, 2))
+                yield pa.RecordBatch.from_pylist([{"key": key, "ids": ids, "held": learned, "sizes": packed(np.diff(first).astype("<i8")), "token": packed_rising(token), "pair": packed_rising(pair), "code": packed(code)}], cut_schema)
+
+    def cut_blocks(batches):
+        """Of each stored block: key, ids, held, documents' sizes, and its tokens, pairs and the pairs of its tokens in order."""
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                yield row["key"], row["ids"], row["held"], unpacked(row["sizes"], "<i8"), unpacked_rising(row["token"]), unpacked_rising(row["pair"]).astype(np.int64), unpacked(row["code"], np.int32)
+
+    def token_parts(batches):
+        for key, _, held, sizes, token, pair, code in cut_blocks(batches):
+            count = np.bincount(code[np.repeat(~np.asarray(held, bool), sizes)], minlength=len(pair)).astype("<u4")
+            order, ends, p_order, p_ends = dealt_pairs(token, pair, n_buckets)
+            each = np.bincount(pair // len(token), minlength=len(token)).astype("<u4")[order]
+            used = np.flatnonzero(np.diff(ends))
+            cols = [[pack(x[e[b] : e[b + 1]]) for b in used] for x, e, pack in ((token[order], ends, packed_rising), (each, ends, packed), (count[p_order], p_ends, packed))]
+            before = (pair % len(token))[p_order]
+            kinds = [np.unique(before[p_ends[b] : p_ends[b + 1]], return_inverse=True) for b in used]
+            cols += [[packed_rising(token[k]) for k, _ in kinds], [packed(c.astype("<u4")) for _, c in kinds]]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(used), pa.binary()), pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["key", "bucket", "token", "each", "count", "ctx", "code"])
 
     def merge(table: pa.Table) -> pa.Table:
         """A bucket's model and, for each block, where its pairs are in it: pairs go by token, then by context, in both."""
@@ -261,11 +344,13 @@ def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFr
         seating = Seating(pair // len(ctx), pair % len(ctx), np.bincount(at, np.concatenate(counts), len(pair)).astype(np.int64))
         learned = np.bincount(seating.tok, seating.c)
         bucket, ends = table.column("bucket")[0].as_py(), np.cumsum([0, *map(len, own)])
-        model = {"bucket": bucket, "kinds": int((learned > 0).sum()), "tokens": int(learned.sum()), "ctx": packed_rising(ctx), "pair": packed_rising(pair), "count": packed(seating.c.astype("<u8"))}
+        model = {"bucket": bucket, "kinds": int((learned > 0).sum()), "tokens": int(learned.sum()), "ctx": packed_rising(ctx), "pair": packed_rising(pair), "count": packed(seating.c.astype("<u8")), **stored([(seating.t, seating.r, seating.s)])}
         asked = [{"bucket": bucket, "key": key.as_py(), "at": packed_rising(at[a:b])} for key, a, b in zip(table.column("key"), ends, ends[1:])]
-        return table_of(MERGED, [model | seating.columns(), *asked])
+        return table_of(MERGED, [model, *asked])
 
-    parts = own.mapInArrow(tidy(token_parts), "key binary, bucket int, token binary, each binary, count binary, ctx binary, code binary")
+    cut_schema = pa.schema([("key", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *((k, pa.binary()) for k in ("sizes", "token", "pair", "code"))])
+    blocks = staged(own.mapInArrow(tidy(cut), "key binary, ids array<long>, held array<boolean>, sizes binary, token binary, pair binary, code binary"), "blocks")
+    parts = blocks.mapInArrow(tidy(token_parts), "key binary, bucket int, token binary, each binary, count binary, ctx binary, code binary")
     merged = staged(parts.groupBy("bucket").applyInArrow(tidy(merge), schema_of(MERGED)), "merged")
     settled(spark)
     asked = merged.where("key is not null").select("bucket", "key", "at")
@@ -273,18 +358,17 @@ def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFr
     kinds, tokens = (x or 0 for x in model.agg(F.sum("kinds"), F.sum("tokens")).first())
     old = []
     for k in range(ROUNDS):
-        model = staged(next_round(model, n_parts, k, kinds, SAMPLES if k == ROUNDS - 1 else 0), "model")
+        model = staged(next_round(model, n_parts, k, kinds, SAMPLES if k == ROUNDS - 1 else 1), "model")
         dropped(*old)
         old = [model]
         settled(spark)
+
     def whole_blocks(batches):
-        for seq, batch in enumerate(batches):
-            for key, (i, j), token, pair, code, first in block_tokens(batch, seq):
-                p_order = dealt_pairs(token, pair, n_buckets)[2]
-                place = np.empty(len(p_order), np.int32)
-                place[p_order] = np.arange(len(p_order), dtype=np.int32)
-                rows = [batch.column(c).slice(i, j - i).to_pylist() for c in (0, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([rows[0]], pa.list_(pa.int64())), pa.array([rows[1]], pa.list_(pa.bool_())), pa.array([np.diff(first).astype("<i8").tobytes()], pa.binary()), pa.array([packed(place[code])], pa.binary())], names=["key", "ids", "held", "sizes", "codes"])
+        for key, ids, held, sizes, token, pair, code in cut_blocks(batches):
+            p_order = dealt_pairs(token, pair, n_buckets)[2]
+            place = np.empty(len(p_order), np.int32)
+            place[p_order] = np.arange(len(p_order), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([sizes.tobytes()], pa.binary()), pa.array([packed(place[code])], pa.binary())], names=["key", "ids", "held", "sizes", "codes"])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("bucket").to_numpy())
@@ -293,8 +377,6 @@ def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFr
         out = [[] for _ in range(6)]
         for ids, held, sizes, codes in zip(*(left.column(c) for c in ("ids", "held", "sizes", "codes"))):
             codes, sizes = unpacked(codes.as_py(), np.int32), np.frombuffer(sizes.as_py(), "<i8")
-            if len(codes) and codes.max() >= len(score):
-                raise RuntimeError("a block's tokens have no counts: the block was not made alike twice")
             first = np.cumsum(sizes) - sizes
             n_known = np.add.reduceat((known[codes] > 0).astype(np.int64), first)
             base = np.add.reduceat(np.log10(known + 1)[codes], first) - sizes * np.log10(tokens + kinds + 1)
@@ -305,7 +387,7 @@ def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFr
     back = staged(next_round(model, n_parts, ROUNDS, kinds, asked=asked), "scores")
     dropped(merged, *old)
     settled(spark)
-    whole = own.mapInArrow(tidy(whole_blocks), "key binary, ids array<long>, held array<boolean>, sizes binary, codes binary")
+    whole = blocks.mapInArrow(tidy(whole_blocks), "key binary, ids array<long>, held array<boolean>, sizes binary, codes binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = whole.groupBy("key").cogroup(back.groupBy("key")).applyInArrow(tidy(assemble), schema)
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
