@@ -52,11 +52,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written once to the shared folder and read again, so that lineage ends at a table."""
+def staged(df: DataFrame, label: str, apart: str | None = None) -> DataFrame:
+    """df written once to the shared folder and read again, so that lineage ends at a table; rows of each value of the column
+    apart in a folder of their own, which may be dropped alone."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(apart) if apart else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
@@ -69,11 +71,11 @@ def settled(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more."""
+def dropped(*tables: DataFrame, only: str = "") -> None:
+    """Deletes staged tables that nothing reads any more, or only a folder of theirs (column=value)."""
     for df in tables:
         spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{df.staged_at}/{only}")
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

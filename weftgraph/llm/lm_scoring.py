@@ -46,8 +46,8 @@ BUCKET_BYTES = 16 << 20
 
 
 def block_tokens(batch: pa.RecordBatch, seq: int):
-    """Of each block of a batch: key, document range, its distinct tokens, its distinct (token, context) pairs as
-    token index * tokens + index of the token before, the pairs of its tokens in order, documents' first tokens."""
+    """Of each block of a batch: key, document range, its distinct tokens' hashes, commonest first, its tokens in order as numbers of these,
+    and its documents' numbers of tokens."""
     off, data = buffers(batch.column(1))
     for i, j in chunks(off, BLOCK):
         parts, sizes = [], []
@@ -56,11 +56,24 @@ def block_tokens(batch: pa.RecordBatch, seq: int):
             w = words(o - o[0], lowered(data[o[0] : o[-1]]))
             parts.append(np.insert(w.hashes, w.first[1:], END))
             sizes.append(np.diff(w.first) + 1)
-        token, code = np.unique(np.concatenate(parts), return_inverse=True)
-        before = np.concatenate((np.searchsorted(token, [END]), code[:-1]))  # each document ends with END
-        pair, code = np.unique(code * np.int64(len(token)) + before, return_inverse=True)
+        token, code, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # small numbers, which take little room
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         key = hashlib.blake2b(f"{task_key()}/{seq}/{i}/".encode() + token.tobytes(), digest_size=16).digest()
-        yield key, (i, j), token, pair, code.astype(np.int32), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+        yield key, (i, j), token[order], place[code], np.concatenate(sizes)
+
+
+def block_pairs(token: np.ndarray, code: np.ndarray):
+    """A block's tokens ascending, its distinct (token, context) pairs as token index * tokens + index of the token before, and
+    the pairs of its tokens in order."""
+    order = np.argsort(token)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    token, code = token[order], place[code]
+    before = np.concatenate((np.searchsorted(token, [END]), code[:-1]))  # each document ends with END
+    pair, code = np.unique(code * np.int64(len(token)) + before, return_inverse=True)
+    return token, pair, code.astype(np.int32)
 
 
 def dealt_pairs(token: np.ndarray, pair: np.ndarray, buckets: int):
@@ -202,7 +215,7 @@ def stored(seatings: list[tuple]) -> dict:
 
 #: A bucket's model: its contexts' hashes, its (token, context) pairs as token * contexts + context, customers and tables.
 STORED = {"bucket": "int", "ctx": "binary", "pair": "binary", "count": "binary", "t": "binary", "s": "binary", "customers": "array<long>", "tables": "array<long>", "kinds": "long", "tokens": "long"}
-MERGED = STORED | {"key": "binary", "at": "binary"}
+MERGED = STORED | {"key": "binary", "at": "binary", "asks": "int"}
 
 
 def schema_of(columns: dict) -> str:
@@ -294,10 +307,17 @@ def next_round(model: DataFrame, parts: int, seed: int, kinds: int, samples: int
 
     right = context_totals(model, parts)
     if asked is not None:
+        right = totals_table = staged(right, "totals")
+        settled(model.sparkSession)
         right = right.unionByName(asked, allowMissingColumns=True)
     else:
         right = right.selectExpr("*", "cast(null as binary) key", "cast(null as binary) at")
-    return model.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(tidy(run), schema_of(STORED if asked is None else BACK))
+    out = model.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(tidy(run), schema_of(BACK if final else STORED))
+    if not final:
+        return staged(out, "model")
+    out = staged(out, "scores")
+    dropped(totals_table)
+    return out
 
 
 def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFrame:
@@ -311,16 +331,16 @@ def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFr
 
     def cut(batches):
         for seq, batch in enumerate(batches):
-            for key, (i, j), token, pair, code, first in block_tokens(batch, seq):
+            for key, (i, j), token, code, sizes in block_tokens(batch, seq):
                 ids, learned = (batch.column(c).slice(i, j - i).to_pylist() for c in (0, 2))
-                yield pa.RecordBatch.from_pylist([{"key": key, "ids": ids, "held": learned, "sizes": packed(np.diff(first).astype("<i8")), "token": packed_rising(token), "pair": packed_rising(pair), "code": packed(code)}], cut_schema)
+                yield pa.RecordBatch.from_pylist([{"key": key, "ids": ids, "held": learned, "sizes": packed(sizes.astype("<i8")), "token": packed(token), "code": packed(code)}], cut_schema)
 
     def cut_blocks(batches):
         """Of each stored block: key, ids, held, documents' sizes, and its tokens, pairs and the pairs of its tokens in order."""
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                yield row["key"], row["ids"], row["held"], unpacked(row["sizes"], "<i8"), unpacked_rising(row["token"]), unpacked_rising(row["pair"]).astype(np.int64), unpacked(row["code"], np.int32)
+                yield row["key"], row["ids"], row["held"], unpacked(row["sizes"], "<i8"), *block_pairs(unpacked(row["token"], np.uint64), unpacked(row["code"], np.int32))
 
     def token_parts(batches):
         for key, _, held, sizes, token, pair, code in cut_blocks(batches):
@@ -344,22 +364,22 @@ def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFr
         seating = Seating(pair // len(ctx), pair % len(ctx), np.bincount(at, np.concatenate(counts), len(pair)).astype(np.int64))
         learned = np.bincount(seating.tok, seating.c)
         bucket, ends = table.column("bucket")[0].as_py(), np.cumsum([0, *map(len, own)])
-        model = {"bucket": bucket, "kinds": int((learned > 0).sum()), "tokens": int(learned.sum()), "ctx": packed_rising(ctx), "pair": packed_rising(pair), "count": packed(seating.c.astype("<u8")), **stored([(seating.t, seating.r, seating.s)])}
-        asked = [{"bucket": bucket, "key": key.as_py(), "at": packed_rising(at[a:b])} for key, a, b in zip(table.column("key"), ends, ends[1:])]
+        model = {"bucket": bucket, "asks": 0, "kinds": int((learned > 0).sum()), "tokens": int(learned.sum()), "ctx": packed_rising(ctx), "pair": packed_rising(pair), "count": packed(seating.c.astype("<u8")), **stored([(seating.t, seating.r, seating.s)])}
+        asked = [{"bucket": bucket, "asks": 1, "key": key.as_py(), "at": packed_rising(at[a:b])} for key, a, b in zip(table.column("key"), ends, ends[1:])]
         return table_of(MERGED, [model, *asked])
 
-    cut_schema = pa.schema([("key", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *((k, pa.binary()) for k in ("sizes", "token", "pair", "code"))])
-    blocks = staged(own.mapInArrow(tidy(cut), "key binary, ids array<long>, held array<boolean>, sizes binary, token binary, pair binary, code binary"), "blocks")
+    cut_schema = pa.schema([("key", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *((k, pa.binary()) for k in ("sizes", "token", "code"))])
+    blocks = staged(own.mapInArrow(tidy(cut), "key binary, ids array<long>, held array<boolean>, sizes binary, token binary, code binary"), "blocks")
     parts = blocks.mapInArrow(tidy(token_parts), "key binary, bucket int, token binary, each binary, count binary, ctx binary, code binary")
-    merged = staged(parts.groupBy("bucket").applyInArrow(tidy(merge), schema_of(MERGED)), "merged")
+    merged = staged(parts.groupBy("bucket").applyInArrow(tidy(merge), schema_of(MERGED)), "merged", "asks")
     settled(spark)
-    asked = merged.where("key is not null").select("bucket", "key", "at")
-    model = merged.where("key is null").select(*STORED)
+    asked = merged.where("asks = 1").select("bucket", "key", "at")
+    model = merged.where("asks = 0").select(*STORED)
     kinds, tokens = (x or 0 for x in model.agg(F.sum("kinds"), F.sum("tokens")).first())
     old = []
     for k in range(ROUNDS):
-        model = staged(next_round(model, n_parts, k, kinds, SAMPLES if k == ROUNDS - 1 else 1), "model")
-        dropped(*old)
+        model = next_round(model, n_parts, k, kinds, SAMPLES if k == ROUNDS - 1 else 1)
+        dropped(merged, only="asks=0") if k == 0 else dropped(*old)
         old = [model]
         settled(spark)
 
@@ -384,7 +404,7 @@ def score_documents(docs: DataFrame, held, buckets: int | None = None) -> DataFr
                 part += value
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array([tokens] * len(out[0]), pa.int64()), pa.array(out[4], pa.float64()), pa.array(out[5], pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    back = staged(next_round(model, n_parts, ROUNDS, kinds, asked=asked), "scores")
+    back = next_round(model, n_parts, ROUNDS, kinds, asked=asked)
     dropped(merged, *old)
     settled(spark)
     whole = blocks.mapInArrow(tidy(whole_blocks), "key binary, ids array<long>, held array<boolean>, sizes binary, codes binary")
