@@ -150,6 +150,8 @@ def test_quality_references_are_exact_however_rows_are_dealt(spark):
 def test_rare_languages_have_references_too(spark, monkeypatch, most, share):
     monkeypatch.setattr(quality_rules, "MOST_BROADCAST", most)
     monkeypatch.setattr(quality_rules, "LANGUAGE_SHARE", share)
+    monkeypatch.setattr(quality_rules, "LEAST_DOCS", 5)
+    monkeypatch.setattr(quality_rules, "LEAST_WORDS", 300)
     rng = random.Random(5)
     table = [(k, " ".join(f"{x}{min(rng.randrange(200), rng.randrange(200))}" for _ in range(n)), x) for k, (x, n) in enumerate([("a", 90)] * 60 + [("b", 80)] * 5 + [("cé", 70)] * 5)]
     table += [(100, " ".join("&&&" + chr(65 + rng.randrange(26)) * 9 for _ in range(80)), "b"), (101, "one short row", "b"), (102, table[61][1], None), (103, table[62][1], ""), (104, None, "b"), (105, " ".join(f"a{k % 97}" for k in range(90)), "cé")]
@@ -174,8 +176,13 @@ def test_rare_languages_have_references_too(spark, monkeypatch, most, share):
             keys = set().union(*(top[x] for x in large))  # large languages share one set of bins
             for x in {*large, lang}:
                 bins = keys if x in large else top[x]
-                q = {y: n for y, n in top[x].items()} | {"": sum(refs[x][1].values()) - sum(top[x].values())}
-                found.append((js(chars, refs[x][0]), js(Counter(y if y in bins else "" for y in w), q)))
+                q = Counter(top[x]) + Counter({"": sum(refs[x][1].values()) - sum(top[x].values())})
+                of, n_docs = refs[x][0], sum(y == x for *_, y in table)
+                if x == lang:  # without the document itself
+                    q, of, n_docs = q - Counter(y if y in top[x] else "" for y in w), of - chars, n_docs - 1
+                if n_docs >= 5 and sum(q.values()) >= 300:
+                    found.append((js(chars, of), js(Counter(y if y in bins else "" for y in w), q)))
+            found = found or [(0.0, 0.0)]
         a, b = min(found, key=sum)
         want[k] = (a if sum(chars.values()) >= quality_rules.MIN_CHARS else 0, b if len(w) >= quality_rules.MIN_WORDS else 0)
     got = {r["doc_id"]: (r["js_char"], r["js_word"]) for r in quality_rules.judge(docs, quality_rules.references(docs)).collect()}
@@ -183,6 +190,19 @@ def test_rare_languages_have_references_too(spark, monkeypatch, most, share):
     assert got[100][0] > 0 and got[102] == got[103] == (0, 0) and all(got[k][1] > 0 for k in range(60, 70))
 
 
+@pytest.mark.parametrize("n", [400, 2599])
+def test_junk_alone_in_its_language_is_not_its_own_reference(spark, n):
+    rng = random.Random(11)
+    prose = lambda: " ".join(rng.choice(("the", "of", "and", "house", "river", "walks", "slowly", "green", "people", "old")) for _ in range(80)) + "."
+    junk = " ".join("&&&" + "".join(chr(65 + rng.randrange(26)) for _ in range(9)) for _ in range(80))
+    table = [(k, prose(), "en") for k in range(n)] + [(n, junk, "en"), (n + 1, junk[::-1], "xx"), (n + 2, junk[5:], "yy"), (n + 3, prose(), "zz")]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, quality_rules.references(docs)).collect()}
+    assert {k for k, r in got.items() if not r["kept"]} == {n, n + 1, n + 2} and all(got[n + k]["js_char"] > 0.5 for k in range(3))
+    alone = docs.where("lang in ('xx', 'yy')")  # nothing to judge by
+    assert all(r["kept"] and r["js_char"] == 0 for r in quality_rules.judge(alone, quality_rules.references(alone)).collect())
+
+
 def hashed(word):
     raw = np.frombuffer(word.encode(), np.uint8)
     return common.words(np.array([0, len(raw)]), raw).hashes.view(np.int64)[0]

@@ -2,8 +2,9 @@
 
 Each language of the corpus has a reference: the histogram of character classes and of its ``COMMON``
 commonest words and all others, over all documents. A document is compared with the Jensen-Shannon distance
-(base 2, 0 to 1) to the reference of its own language and to those of large languages (at least ``LANGUAGE_SHARE``
-of all documents), and keeps the nearest. A document with at least ``MIN_CHARS`` bytes fails when that character distance is over ``CHAR_LIMIT``; one
+(base 2, 0 to 1) to the reference of its own language, out of which its own counts are taken first, and to those of large languages (at least ``LANGUAGE_SHARE``
+of all documents), and keeps the nearest. A reference counts only if it rests on ``LEAST_DOCS`` documents and ``LEAST_WORDS`` words other than
+the judged one's; where none does, the document is not judged. A document with at least ``MIN_CHARS`` bytes fails when that character distance is over ``CHAR_LIMIT``; one
 with at least ``MIN_WORDS`` words when the word distance is over ``WORD_LIMIT``; shorter ones are not judged.
 
 Word counts of references are exact: blocks of documents send each language's distinct words with their counts to buckets
@@ -34,6 +35,8 @@ HELD, BUCKET_BYTES = 4_000_000, 64 << 20
 MIN_CHARS, MIN_WORDS = 200, 60
 CHAR_LIMIT, WORD_LIMIT = 0.28, 0.55
 LANGUAGE_SHARE = 1 / 1000
+#: Documents and words other than the judged document's that a reference must rest on.
+LEAST_DOCS, LEAST_WORDS = 5, 300
 #: Languages that are not large up to which their references are broadcast.
 MOST_BROADCAST = 10_000
 CLASSES = 8
@@ -59,10 +62,11 @@ def steps(off: np.ndarray):
 
 
 class References(tuple):
-    """Large languages, their character classes' shares, all common words' hashes (ascending), their shares."""
+    """Large languages, their character classes' shares, all common words' hashes (ascending), their shares, and the counts
+    of the classes, of the words (others last) and of the documents."""
 
-    #: The other languages' references (lang, chars, words, counts: as many of each class, common words, how many of each and
-    #: of all others); None if there is no such language.
+    #: The other languages' references (lang, chars, words, counts, docs: as many of each class, common words, how many of each and
+    #: of all others, documents); None if there is no such language.
     rare: DataFrame | None = None
 
 
@@ -139,7 +143,7 @@ def references(docs: DataFrame) -> References:
     chars = np.zeros((len(names), CLASSES))
     keys = np.unique(np.array([r["key"] for r in found if r["kind"] == 1], np.int64).view(np.uint64))
     common = np.zeros((len(names), len(keys) + 1))
-    totals = np.zeros(len(names))
+    totals, n_docs = np.zeros(len(names)), np.zeros(len(names))
     for r in found:
         k = names.index(r["lang"])
         if r["kind"] == 0:
@@ -148,27 +152,35 @@ def references(docs: DataFrame) -> References:
             common[k, np.searchsorted(keys, np.int64(r["key"]).view(np.uint64))] = r["n"]
         elif r["kind"] == 3:
             totals[k] = r["n"]
+        else:
+            n_docs[k] = r["n"]
     common[:, -1] = totals - common.sum(1)  # its other words
-    out = References((names, chars / np.maximum(chars.sum(1, keepdims=True), 1), keys, common / np.maximum(common.sum(1, keepdims=True), 1)))
+    out = References((names, shares(chars), keys, shares(common), chars, common, n_docs))
     rare = ranked.join(F.broadcast(large), "lang", "left_anti")
     if not rare.isEmpty():
         of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "n"))))
-        one = rare.groupBy("lang").agg(of(0).alias("c"), of(1).alias("w"), F.sum(F.when(F.col("kind") == 3, F.col("n"))).alias("total"))
+        one = rare.groupBy("lang").agg(of(0).alias("c"), of(1).alias("w"), F.sum(F.when(F.col("kind") == 3, F.col("n"))).alias("total"), F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("docs"))
         rest = F.col("total") - F.aggregate("w.n", F.lit(0).cast("long"), lambda x, y: x + y)
-        out.rare = one.select("lang", F.col("c.n").alias("chars"), F.col("w.key").alias("words"), F.concat("w.n", F.array(rest)).alias("counts"))
+        out.rare = one.select("lang", F.col("c.n").alias("chars"), F.col("w.key").alias("words"), F.concat("w.n", F.array(rest)).alias("counts"), "docs")
     return out
 
 
+def shares(counts: np.ndarray) -> np.ndarray:
+    return counts / np.maximum(counts.sum(-1, keepdims=True), 1)
+
+
+def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distance of each row of p to q, or to the row of q beside it."""
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a = np.where(p > 0, p * np.log2(p / m), 0).sum(1)
+        b = np.where(q > 0, q * np.log2(q / m), 0).sum(1)
+    return np.sqrt(np.clip((a + b) / 2, 0, 1))
+
+
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Distances of each row of p to each row of q."""
-    out = np.zeros((len(p), len(q)))
-    for k, ref in enumerate(q):
-        m = (p + ref) / 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            a = np.where(p > 0, p * np.log2(p / m), 0).sum(1)
-            b = np.where(ref > 0, ref * np.log2(ref / m), 0).sum(1)
-        out[:, k] = np.sqrt(np.clip((a + b) / 2, 0, 1))
-    return out
+    return np.stack([divergence(p, ref) for ref in q], axis=1) if len(q) else np.zeros((len(p), 0))
 
 
 def base_counts(off: np.ndarray, data: np.ndarray) -> tuple:
@@ -210,24 +222,31 @@ def base_counts(off: np.ndarray, data: np.ndarray) -> tuple:
     return w, n_words, word_chars, symbols, dup_lines, repeated
 
 
-def distances(hist: np.ndarray, doc: np.ndarray, low: np.ndarray, chars: np.ndarray, keys: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of documents (rows of hist; doc and low: each word's document and hash) to references: by character classes, by words."""
-    n = len(hist)
+def binned(n: int, doc: np.ndarray, low: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How often each of n documents has each of the keys (ascending) and any other word; doc and low: each word's document and hash."""
     at = np.minimum(np.searchsorted(keys, low), max(len(keys) - 1, 0))
     at = np.where(keys[at] == low, at, len(keys)) if len(keys) else np.zeros(len(low), np.int64)
-    word = np.bincount(doc * (len(keys) + 1) + at, minlength=n * (len(keys) + 1)).reshape(n, -1)
-    return js_distance(hist / np.maximum(hist.sum(1, keepdims=True), 1), chars), js_distance(word / np.maximum(word.sum(1, keepdims=True), 1), common)
+    return np.bincount(doc * (len(keys) + 1) + at, minlength=n * (len(keys) + 1)).reshape(n, -1)
+
+
+def to_others(hist: np.ndarray, word: np.ndarray, chars: np.ndarray, common: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of documents (rows of hist and word) to a reference that holds them (counts chars and common of docs documents), each
+    without its own counts; infinite where too little is left."""
+    own = np.where(common[:-1] > 0, word[:, :-1], 0)  # what the reference does not name is among its others
+    left = common - np.column_stack((own, word.sum(1) - own.sum(1)))
+    few = (docs - 1 < LEAST_DOCS) | (left.sum(1) < LEAST_WORDS)
+    return tuple(np.where(few, np.inf, divergence(shares(x), shares(y))) for x, y in ((hist, chars - hist), (word, left)))
 
 
 def with_own(docs: DataFrame, refs: References) -> DataFrame:
     """docs with chars, words and counts of their language's reference, null for large languages and none."""
     rare = refs.rare
     if rare is None:
-        return docs.selectExpr("*", *(f"cast(null as array<long>) {c}" for c in ("chars", "words", "counts")))
+        return docs.selectExpr("*", *(f"cast(null as array<long>) {c}" for c in ("chars", "words", "counts")), "cast(null as long) docs")
     if rare.count() <= MOST_BROADCAST:
-        return docs.join(F.broadcast(rare), "lang", "left").select("doc_id", "text", "lang", "chars", "words", "counts")
+        return docs.join(F.broadcast(rare), "lang", "left").select("doc_id", "text", "lang", "chars", "words", "counts", "docs")
     known = F.coalesce("lang", F.lit("")).isin("", *refs[0])
-    return with_own(docs.where(known), References(refs)).unionByName(docs.where(~known).join(rare, "lang", "left").select("doc_id", "text", "lang", "chars", "words", "counts"))
+    return with_own(docs.where(known), References(refs)).unionByName(docs.where(~known).join(rare, "lang", "left").select("doc_id", "text", "lang", "chars", "words", "counts", "docs"))
 
 
 def judge(docs: DataFrame, refs: References) -> DataFrame:
@@ -235,7 +254,8 @@ def judge(docs: DataFrame, refs: References) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(tuple(refs))
 
     def run(batches):
-        names, chars, keys, common = sent.value
+        names, chars, keys, common, char_counts, counts_of, n_docs = sent.value
+        small = (n_docs < LEAST_DOCS) | (counts_of.sum(1) < LEAST_WORDS)
         for batch in batches:
             off, data = buffers(batch.column(1))
             langs = np.array([x or "" for x in batch.column(2).to_pylist()], str)
@@ -250,19 +270,23 @@ def judge(docs: DataFrame, refs: References) -> DataFrame:
                 if judged[i:j].any():
                     hist = np.bincount(np.repeat(np.arange(n), np.diff(o)) * CLASSES + CLASS_OF[d], minlength=n * CLASSES).reshape(n, CLASSES)
                     low = range_hashes(prefix_sums(lowered(d)), w.starts, w.ends)
-                    a, b = distances(hist, w.doc, low, chars, keys, common)
-                    a, b = (np.column_stack((x, np.full(n, np.inf))) for x in (a, b))  # at last, to the own language's
+                    word = binned(n, w.doc, low, keys)
+                    a, b = (np.column_stack((np.where(small, np.inf, js_distance(shares(x), y)), np.full(n, np.inf))) for x, y in ((hist, chars), (word, common)))  # at last, to a rare language's
+                    for k, lang in enumerate(names):
+                        own = langs[i:j] == lang
+                        if own.any():
+                            a[own, k], b[own, k] = to_others(hist[own], word[own], char_counts[k], counts_of[k], n_docs[k])
                     for lang in np.unique(langs[i:j][rare[i:j]]):
                         own = langs[i:j] == lang
-                        first = i + int(np.argmax(own))
-                        c, h, m = (np.array(batch.column(k)[first].as_py(), np.int64) for k in (3, 4, 5))
+                        c, h, m, d = (np.array(batch.column(k)[i + int(np.argmax(own))].as_py(), np.int64) for k in (3, 4, 5, 6))
                         order = np.argsort(h.view(np.uint64))
                         of = own[w.doc]
-                        x, y = distances(hist[own], (np.cumsum(own) - 1)[w.doc[of]], low[of], (c / max(c.sum(), 1))[None], h.view(np.uint64)[order], (np.append(m[order], m[-1]) / max(m.sum(), 1))[None])
-                        a[own, -1], b[own, -1] = x[:, 0], y[:, 0]
+                        own_words = binned(int(own.sum()), (np.cumsum(own) - 1)[w.doc[of]], low[of], h.view(np.uint64)[order])
+                        a[own, -1], b[own, -1] = to_others(hist[own], own_words, c, np.append(m[order], m[-1]), int(d))
                     near = np.argmin(a + b, 1)
-                    js_char = np.where(judged[i:j] & (hist.sum(1) >= MIN_CHARS), a[np.arange(n), near], 0.0)
-                    js_word = np.where(judged[i:j] & (counts[0] >= MIN_WORDS), b[np.arange(n), near], 0.0)
+                    known = judged[i:j] & np.isfinite(a[np.arange(n), near])
+                    js_char = np.where(known & (hist.sum(1) >= MIN_CHARS), a[np.arange(n), near], 0.0)
+                    js_word = np.where(known & (counts[0] >= MIN_WORDS), b[np.arange(n), near], 0.0)
                 for part, value in zip(parts, [*counts, js_char, js_word]):
                     part.append(value)
             *counts, js_char, js_word = [np.concatenate(p) for p in parts]
