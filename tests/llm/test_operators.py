@@ -478,7 +478,7 @@ def brute_clause(clause):
     kind = []
     for t in tokens:
         own = max([LEXICON[m] for m in toxicity.marks_of(t) if m in LEXICON], default=0)
-        kind.append(("I", own) if own else (toxicity.FIXED.get(t, "-"), toxicity.THREAT_WEIGHT))
+        kind.append(("I", own) if own else ("N" if re.search(rb"n('|\xe2\x80\x99)t$", t) else toxicity.FIXED.get(t, "-"), toxicity.THREAT_WEIGHT))
     best = 0.0
     for k, (c, own) in enumerate(kind):
         if c not in "IK":
@@ -497,8 +497,13 @@ def test_toxicity_grammar_equals_rules_and_composes():
     assert score("you are not an idiot")[0] == pytest.approx(0.5) and score("he said you are an idiot")[0] == score("you idiot, said anna")[0] == 1.0
     assert score("kill")[0] == 0.0 and score("i will kill you")[0] == score("you i will kill")[0] == toxicity.THREAT_WEIGHT
     assert score("i will not kill you")[0] == pytest.approx(0.6) and score("you idiot. you moron. nothing") == (5.0, 9.0) and score("") == (0.0, 0.0)
+    for text in ("you aren't an idiot", "you aren\u2019t an idiot", "you're NOT an idiot", "you cannot idiot"):
+        assert score(text)[0] == pytest.approx(0.5), text
+    assert score("he didn't say you are an idiot")[0] == score("he did not say you are an idiot")[0] == 1.0
+    assert score("i won't kill you")[0] == pytest.approx(0.6) and score("don'ts you idiot")[0] == 5.0
+    assert toxicity.marks_of(b"aren't") == toxicity.marks_of(b"aren")
     rng = random.Random(4)
-    pool = ["idiot", "moronic", "you", "they", "not", "said", "kill", "stab", "plain", "table", "of", "the"]
+    pool = ["don't", "isn\u2019t", "idiot", "moronic", "you", "they", "not", "said", "kill", "stab", "plain", "table", "of", "the"]
     for _ in range(3000):
         clause = " ".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))
         assert score(clause)[0] == pytest.approx(brute_clause(clause.encode())), clause

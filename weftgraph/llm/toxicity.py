@@ -40,12 +40,14 @@ SAMPLE = 12_000
 STEMS = (4, 5, 6, 7, 8)
 #: Fixed closed classes of the grammar, in four languages.
 TARGET = {"you", "your", "yours", "youre", "u", "he", "she", "they", "them", "tu", "toi", "vous", "du", "dich", "ihr", "sie", "usted", "ustedes", "eres"}
-NEGATION = {"not", "no", "never", "isnt", "arent", "dont", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "ni"}
-REPORTED = {"said", "says", "wrote", "called", "quoted", "claimed", "sagte", "dijo", "escribió", "écrit"}
+NEGATION = {"not", "cannot", "no", "never", "isnt", "arent", "dont", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "ni"}
+REPORTED = {"said", "say", "says", "wrote", "called", "quoted", "claimed", "sagte", "dijo", "escribió", "écrit"}
 THREAT = {"kill", "murder", "stab", "strangle", "hurt", "destroy", "töten", "tuer", "matar", "matarte"}
 FIXED = {w.encode(): c for words, c in ((TARGET, "T"), (NEGATION, "N"), (REPORTED, "R"), (THREAT, "K")) for w in words}
 CLAUSE = re.compile(rb"[.!?;:\n]+")
-LETTERS = re.compile(rb"[a-z\x80-\xff]+")
+LETTERS = re.compile(rb"[a-z\x80-\xff]+(?:'t(?![a-z\x80-\xff]))?")
+#: Ends of contracted negations, with either apostrophe.
+CONTRACTED = (b"n't", b"n\xe2\x80\x99t")
 WINDOW = 3
 #: What is left of a clause's weight in reported speech, of a negated insult or threat, and of an insult without a target.
 REPORTED_SHARE, NEGATED, OPEN = 0.2, 0.1, 0.6
@@ -136,10 +138,16 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 
 def marks_of(token: bytes, stems=STEMS) -> list[bytes]:
-    """A token and its stems, as keys of the lexicon."""
+    """A token, without a contracted negation, and its stems, as keys of the lexicon."""
+    token = token.partition(b"'")[0]
     return [b"=" + token, *(b"^" + token[:k] for k in stems if len(token) >= k)]
 
 
+def class_of(token: bytes) -> str:
+    """The closed class of a token, - for none."""
+    return "N" if token.endswith(CONTRACTED) else FIXED.get(token, "-")
+
+
 def classes_of(clause: bytes, lexicon: dict[bytes, float], known: dict) -> list[tuple[str, float]]:
     """Class and own weight of each token of a clause that has a class, and - for those that a negation before them passes.
     known holds tokens that were looked up before."""
@@ -150,7 +158,7 @@ def classes_of(clause: bytes, lexicon: dict[bytes, float], known: dict) -> list[
             own = max((lexicon[m] for m in marks_of(token) if m in lexicon), default=0.0)
             if len(known) > MOST_KNOWN:
                 known.clear()
-            got = known[token] = ("I" if own else FIXED.get(token, "-"), own or THREAT_WEIGHT)
+            got = known[token] = ("I" if own else class_of(token), own or THREAT_WEIGHT)
         left = WINDOW if got[0] == "N" else left - 1
         if got[0] != "-" or left >= 0:
             out.append(got)
