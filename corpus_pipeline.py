@@ -58,12 +58,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; what the stages before it kept is deleted once the next one is written."""
+    """The rows of the last stage, written like those of the others, so that the session's settings are its own again when
+    this returns; what the stages before it kept is deleted once the next one is written."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
     docs = documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out = staged(out, "stage") if k < len(STAGES) - 1 else out
-        if 0 < k < len(STAGES) - 1:
-            dropped(docs)
-        docs = out
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            out = staged(stage(spark, docs, sf_dir), "stage")
+            if k:
+                dropped(docs)
+            docs = out
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
     return docs
