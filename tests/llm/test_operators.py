@@ -654,7 +654,9 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, int(k < 80), 0) for k in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    setting = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == setting
     assert set(got) == {*range(80), 123}  # bad ones, copies and the leaked one are gone
     import public_tokenizers as public
 
