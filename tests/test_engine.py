@@ -240,3 +240,32 @@ def test_pivots_give_exact_lists_with_fewer_pairs(spark):
     assert key(found.collect()) == key(knn.nearest_exact(points, 5, metric=taxi).collect())
     row = pairs.first()
     assert row["all_pairs"] == 640 * 640 and row["compared"] < 0.4 * row["all_pairs"]
+
+
+def test_pivots_on_arrays_give_the_exact_lists(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(600, 3)) + rng.integers(0, 6, (600, 1)) * 20).astype(np.float32)
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate([*x, *x[:40]])], "id long, features array<float>")
+    taxi = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.abs(p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, v: s + v)
+    key = lambda rows: sorted((r["i"], r["r"], r["j"], round(r["d2"], 9)) for r in rows)
+    found, pairs = knn.nearest_by_pivots(points, 5, knn.TAXICAB)
+    assert key(found.collect()) == key(knn.nearest_exact(points, 5, metric=taxi).collect()) == key(knn.nearest_exact(points, 5, metric=knn.TAXICAB).collect())
+    row = pairs.first()
+    assert row["all_pairs"] == 640 * 640 and row["compared"] < 0.4 * row["all_pairs"]
+
+
+@pytest.mark.parametrize("metric, order", [(knn.SQUARED, 2), (knn.TAXICAB, 1)])
+def test_rough_tables_lose_no_neighbour(metric, order):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 5)) * 1e-3 + 1e4  # far from the origin
+    x[1000:1400] = x[5]  # more copies than a list holds
+    x[17, 2] = np.inf
+    ids = rng.permutation(len(x))
+    q = x[:30]
+    row, j, d = knn.nearest_of(q[np.arange(30) != 17], ids, x, 6, metric)
+    for at, v in enumerate(q[np.arange(30) != 17]):
+        own = (np.abs(v - x) ** order).sum(1)
+        best = np.lexsort((ids, own))[:7]
+        assert j[row == at].tolist() == ids[best].tolist() and d[row == at] == pytest.approx(own[best])
