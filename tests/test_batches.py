@@ -152,3 +152,18 @@ def test_grid_lists_are_never_short(spark):
         assert [got[i][r] for r in range(1, 8)] == [int(j) for j in np.lexsort((np.arange(len(xy)), d2)) if j != i][:7]
     few = spark.createDataFrame([(0, [0.0, 0.0]), (1, [9.0, 9.0])], "id long, features array<double>")
     assert sorted((r["i"], r["j"]) for r in generators.grid_nearest(few, 3, 1.0).collect()) == [(0, 1), (1, 0)]
+
+
+def test_grid_compares_places_and_not_copies(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    xy = np.concatenate([rng.integers(0, 12, (300, 2)) * 0.01, np.full((200, 2), 0.05)])  # dense places, 200 points in one
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(xy)], "id long, features array<double>")
+    written, own = [], generators.checkpointed
+    monkeypatch.setattr(generators, "checkpointed", lambda df, label="round": written.append((label, own(df, label))) or written[-1][1])
+    got = {}
+    for r in generators.grid_nearest(points, 4, 5.0).collect():
+        got.setdefault(r["i"], {})[r["r"]] = r["j"]
+    for i in range(len(xy)):
+        d2 = (xy[:, 0] - xy[i, 0]) * (xy[:, 0] - xy[i, 0]) + (xy[:, 1] - xy[i, 1]) * (xy[:, 1] - xy[i, 1])
+        assert [got[i][r] for r in range(1, 5)] == [int(j) for j in np.lexsort((np.arange(len(xy)), d2)) if j != i][:4]
+    assert 0 < sum(df.count() for label, df in written if label == "places") <= 144  # no copy is looked at by itself

@@ -9,6 +9,8 @@ from ..operators.components import checkpointed
 
 # The karate club's edges, and its labels of greatest modularity.
 # fmt: off
+#: How often a grid's first cells may be halved.
+HALVINGS = 16
 KARATE = [
     (0, 1), (0, 2), (0, 3), (0, 4), (0, 5), (0, 6), (0, 7), (0, 8), (0, 10), (0, 11), (0, 12), (0, 13), (0, 17), (0, 19), (0, 21), (0, 31),
     (1, 2), (1, 3), (1, 7), (1, 13), (1, 17), (1, 19), (1, 21), (1, 30), (2, 3), (2, 7), (2, 8), (2, 9), (2, 13), (2, 27), (2, 28), (2, 32),
@@ -70,29 +72,44 @@ def blobs(spark: SparkSession, n: int, centres: int, spread: float = 0.05, seed:
 
 
 def grid_nearest(points: DataFrame, k: int, cell: float) -> DataFrame:
-    """(i, j, d2, r): each plane point's k nearest others by (d2, id), none missing. A point looks into its own cell of a grid and the eight about it; one
-    whose k-th neighbour is not nearer than a cell is wide, or that has fewer than k, asks again in a grid of cells twice as wide, until the cells about it hold all points."""
+    """(i, j, d2, r): each plane point's k nearest others by (d2, id), none missing. Points of one place are one place with its k + 1 smallest ids, since no list
+    holds more of them. A place looks into its own cell of a grid and the eight about it; one whose last neighbour is not nearer than a cell is wide, or that has fewer
+    than k + 1 with itself, asks again in a grid of cells twice as wide, until the cells about it hold all places. The first cells are ``cell`` wide, or narrower where places are dense."""
     from pyspark.sql import Window
 
-    own = checkpointed(points.select("id", F.col("features")[0].cast("double").alias("x"), F.col("features")[1].cast("double").alias("y")), "plane")
-    wide = own.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
+    own = checkpointed(points.select("id", (F.col("features")[0].cast("double") + 0.0).alias("x"), (F.col("features")[1].cast("double") + 0.0).alias("y")), "plane")
+    first = own.withColumn("r", F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))).where(F.col("r") <= k + 1)
+    places = checkpointed(first.groupBy("x", "y").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("place", F.col("ids")[0]), "places")  # k + 1 ids a place
+    row = places.agg(F.min("x").alias("x"), F.min("y").alias("y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("wide")).first()
+    left, low, wide = row["x"] or 0.0, row["y"] or 0.0, row["wide"] or 0.0
+    at = lambda size: (F.floor((F.col("x") - left) / size).alias("cx"), F.floor((F.col("y") - low) / size).alias("cy"))
+    # how many places share a place's cell, for cells of each width: one row a width
+    widths = [cell / 2**s for s in range(HALVINGS)]
+    shared = places.select(F.inline(F.array(*[F.struct(F.lit(s).alias("s"), *at(size)) for s, size in enumerate(widths)]))).groupBy("s", "cx", "cy").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    crowd = {r["s"]: r["mates"] for r in shared.groupBy("s").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mates")).collect()}
+    cell = next((widths[s] for s in sorted(crowd) if crowd[s] <= 2 * (k + 1)), widths[-1])
     steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    asked, out = own, None
+    asked, out = places.select("place", "x", "y"), None
     while True:
-        at = lambda c, size=cell: F.floor(F.col(c) / size)
-        asks = asked.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.inline(steps)).select("i", "xi", "yi", (at("xi") + F.col("dx")).alias("cx"), (at("yi") + F.col("dy")).alias("cy"))
+        asks = asked.select("place", F.col("x").alias("xi"), F.col("y").alias("yi"), *at(cell)).select("place", "xi", "yi", "cx", "cy", F.inline(steps)).select("place", "xi", "yi", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
         d2 = (F.col("x") - F.col("xi")) * (F.col("x") - F.col("xi")) + (F.col("y") - F.col("yi")) * (F.col("y") - F.col("yi"))
-        near = asks.join(own.select("id", "x", "y", at("x").alias("cx"), at("y").alias("cy")), ["cx", "cy"]).where("i <> id").select("i", F.col("id").alias("j"), d2.alias("d2"))
-        near = checkpointed(near.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d2", "j"))).where(F.col("r") <= k), "near")
-        if wide <= cell:  # all points are in the cells about each other
-            return near if out is None else out.unionByName(near)
-        done = near.where((F.col("r") == k) & (F.col("d2") <= cell * cell)).select("i")
-        found = near.join(done, "i", "left_semi")
+        # a place's own ids are the first of its list; the k + 1 nearest places hold all the rest
+        met = asks.join(places.select("x", "y", "ids", *at(cell)), ["cx", "cy"]).select("place", d2.alias("d2"), F.explode("ids").alias("j"))
+        near = checkpointed(met.withColumn("r", F.row_number().over(Window.partitionBy("place").orderBy("d2", "j"))).where(F.col("r") <= k + 1).select("place", "d2", "j", "r"), "near")
+        if wide <= cell:  # all places are in the cells about each other
+            out = near if out is None else out.unionByName(near)
+            break
+        done = near.where((F.col("r") == k + 1) & (F.col("d2") <= 0.999 * cell * cell)).select("place")
+        found = near.join(done, "place", "left_semi")
         out = found if out is None else out.unionByName(found)
-        asked = checkpointed(asked.join(done.withColumnRenamed("i", "id"), "id", "left_anti"), "asked")
+        asked = checkpointed(asked.join(done, "place", "left_anti"), "asked")
         if asked.isEmpty():
-            return out
+            break
         cell *= 2
+    lists = checkpointed(out.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("d2", "j"))).alias("near")), "lists")  # k + 1 entries a place
+    at_place = places.select("x", "y", "place").join(lists, "place").select("x", "y", "near")
+    each = own.join(at_place, ["x", "y"]).select(F.col("id").alias("i"), F.slice(F.filter("near", lambda e: e["j"] != F.col("id")), 1, k).alias("near"))
+    return each.select("i", F.posexplode("near").alias("at", "e")).select("i", F.col("e.j").alias("j"), F.col("e.d2").alias("d2"), (F.col("at") + 1).alias("r"))
 
 
 def grid_neighbors(points: DataFrame, k: int, cell: float) -> DataFrame:
