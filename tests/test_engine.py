@@ -269,3 +269,20 @@ def test_rough_tables_lose_no_neighbour(metric, order):
         own = (np.abs(v - x) ** order).sum(1)
         best = np.lexsort((ids, own))[:7]
         assert j[row == at].tolist() == ids[best].tolist() and d[row == at] == pytest.approx(own[best])
+
+
+def test_points_that_cells_do_not_tell_apart_are_searched_exactly(spark):
+    x = np.random.default_rng(12).normal(size=(1200, 32)).astype(np.float32)
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, features array<float>")
+    key = lambda rows: sorted((r["i"], r["r"], r["j"]) for r in rows)
+    assert key(knn.nearest_approximate(points, 10, cell=60).collect()) == key(knn.nearest_exact(points, 10).collect())
+
+
+def test_points_in_cells_ask_in_few_of_them(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = (rng.normal(size=(2400, 4)) * 0.01 + rng.normal(size=(40, 4))[rng.integers(0, 40, 2400)]).astype(np.float32)
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, features array<float>")
+    true = {(r["i"], r["j"]) for r in knn.nearest_exact(points, 10).collect()}
+    monkeypatch.setattr(knn, "MOST_PROBES", 2)  # cells are made larger on the way
+    found = {(r["i"], r["j"]) for r in knn.nearest_approximate(points, 10, cell=60).collect()}
+    assert len(found) == len(true) and len(found & true) >= 0.9 * len(true)
