@@ -286,3 +286,20 @@ def test_points_in_cells_ask_in_few_of_them(spark, monkeypatch):
     monkeypatch.setattr(knn, "MOST_PROBES", 2)  # cells are made larger on the way
     found = {(r["i"], r["j"]) for r in knn.nearest_approximate(points, 10, cell=60).collect()}
     assert len(found) == len(true) and len(found & true) >= 0.9 * len(true)
+
+
+def test_a_graph_of_points_is_searched_once(spark):
+    x = np.random.default_rng(3).normal(size=(120, 4))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, features array<double>").mapInPandas(counted, "id long, features array<double>")
+    g = knn.knn_graph(points, 5)
+    before = seen.value
+    found = leiden.leiden(g)
+    assert found.count() == 120 and metrics.disconnected_communities(g, found).isEmpty()
+    assert seen.value == before > 0
