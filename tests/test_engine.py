@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph import errors
 from weftgraph.functions import metrics
@@ -303,3 +304,21 @@ def test_a_graph_of_points_is_searched_once(spark):
     found = leiden.leiden(g)
     assert found.count() == 120 and metrics.disconnected_communities(g, found).isEmpty()
     assert seen.value == before > 0
+
+
+def test_a_graph_is_read_and_solved_once(spark):
+    n, e, _ = generators.ring_of_cliques(spark, 6, 5)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    g = Graph(spark.range(n).select("id", F.lit(1.0).alias("node_weight")), e.mapInPandas(counted, "src long, dst long, weight double"))
+    for config in (leiden.LeidenConfig(), leiden.LeidenConfig(one_task_edges=0)):
+        before = seen.value
+        found = leiden.leiden(g, config)
+        assert seen.value - before == e.count()
+        assert labels.n_clusters(found) == 6 and found.count() == n
+        assert seen.value - before == e.count()
