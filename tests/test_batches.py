@@ -167,3 +167,22 @@ def test_grid_compares_places_and_not_copies(spark, monkeypatch):
         d2 = (xy[:, 0] - xy[i, 0]) * (xy[:, 0] - xy[i, 0]) + (xy[:, 1] - xy[i, 1]) * (xy[:, 1] - xy[i, 1])
         assert [got[i][r] for r in range(1, 5)] == [int(j) for j in np.lexsort((np.arange(len(xy)), d2)) if j != i][:4]
     assert 0 < sum(df.count() for label, df in written if label == "places") <= 144  # no copy is looked at by itself
+
+
+def test_a_graph_is_read_once_for_its_three_arrays(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from weftgraph.operators.graph import Graph
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    edges = spark.range(30).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).cast("float").alias("weight"))
+    g = Graph(spark.range(31).select("id", F.lit(1.0).alias("node_weight")), edges.mapInPandas(counted, "src long, dst long, weight float"))
+    csr.write_csr(g, str(tmp_path / "csr"))
+    assert seen.value == 30
+    assert sorted(tuple(r) for r in csr.read_csr(spark, str(tmp_path / "csr")).edges.collect()) == [(k, k + 1, 1.0) for k in range(30)]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.components import checkpointed
 from ..operators.graph import Graph, prefix_sums
 
 FILES = {"indptr.bin": "<u8", "indices.bin": "<u4", "data.bin": "<f4"}
@@ -103,7 +104,7 @@ def write_array(array: DataFrame, path: str, dtype: str) -> None:
 
 def csr_arrays(graph: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A graph's full symmetric matrix as row pointers, columns and values."""
-    rows = graph.csr_rows()
+    rows = checkpointed(graph.csr_rows(), "rows")  # all three are taken from it
     ends = rows.select((F.col("id") + 1).alias("pos"), (F.col("start") + F.size("nbrs")).alias("value"))
     ptrs = graph.nodes.sparkSession.range(1).select(F.col("id").alias("pos"), F.lit(0).cast("long").alias("value")).unionByName(ends)
     entry = rows.select("start", F.posexplode(F.arrays_zip("nbrs", "weights")).alias("k", "x")).select((F.col("start") + F.col("k")).alias("pos"), F.col("x.nbrs").alias("col"), F.col("x.weights").alias("weight"))
@@ -159,7 +160,7 @@ def read_csr(spark: SparkSession, folder: str, strict: bool = False, size: int =
     fault = csr_faults(ptrs, cols, values).orderBy("problem", "pos").first()
     if fault is not None:
         raise InvalidCsr(f"{fault['problem']} (at {fault['pos']}: {fault['value']})")
-    return Graph.from_adjacency(ptrs.count() - 1, csr_entries(ptrs, cols, values), strict=strict)
+    return Graph.from_adjacency(ptrs.count() - 1, checkpointed(csr_entries(ptrs, cols, values), "entries"), strict=strict)
 
 
 def counted(array: DataFrame, value: str, keys: list[str]) -> DataFrame:
