@@ -58,6 +58,19 @@ def test_optimum_and_batch_leiden_equal_each_graph_alone(spark, some, objective)
             assert key not in best
 
 
+def test_small_graphs_are_spread_over_tasks(spark, some):
+    """Few bytes and long work: partitions joined by their bytes would be one task's."""
+    assert some.optimum(most=8).rdd.getNumPartitions() == 5
+
+
+def test_optimum_takes_the_first_of_equal_partitions_and_ten_nodes(spark):
+    nodes = spark.createDataFrame([(g, k) for g, n in enumerate((3, 4, 10, 11)) for k in range(n)], "graph long, id long")
+    edges = spark.createDataFrame([(1, 0, 1, 1.0), (1, 2, 3, 1.0), (1, 1, 2, 0.5), (1, 3, 3, 0.5), *((2, k, k + 1, 1.0) for k in range(9))], "graph long, src long, dst long, weight double")
+    best = {r["graph"]: (r["n_nodes"], r["quality"], list(r["community"])) for r in batches.GraphBatch.from_edges(nodes, edges).optimum().collect()}
+    assert best[0] == (3, 0.0, [0, 0, 0]) and best[1][::2] == (4, [0, 0, 1, 1]) and best[1][1] == pytest.approx(2.5 - (2.5**2 + 3.5**2) / 12) and best[2][1] == pytest.approx(7 - (5**2 + 6**2 + 7**2) / 36)
+    assert sorted(best) == [0, 1, 2]  # eleven nodes are too many
+
+
 def test_batch_sums_equal_each_graph_alone_and_the_odd_ones(spark, some):
     odd = batches.degenerate_batch(spark)
     own = odd.leiden().withColumnRenamed("label", "community")

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.objective import Cpm, Objective, Rb
@@ -86,23 +88,54 @@ class GraphBatch:
         of growth strings among equal ones; graphs with more nodes are left out. Qualities are rounded to nine places first."""
         if most > MOST_NODES:
             raise ValueError(f"partitions of more than {MOST_NODES} nodes are not enumerated")
-        share = community_share(objective or Rb())
-        nodes = self.nodes.join(self.strengths(), ["graph", "id"]).groupBy("graph").agg(F.count(F.lit(1)).cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("id", "strength", "node_weight"))).alias("nodes")).where(F.col("n") <= most)  # at most MOST_NODES entries
+        objective, key = objective or Rb(), dict(self.nodes.dtypes)["graph"]
+        nodes = self.nodes.join(self.strengths(), ["graph", "id"]).groupBy("graph").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("id", "strength", "node_weight"))).alias("nodes")).where(F.col("n") <= most)  # at most MOST_NODES entries
         edges = self.edges.join(nodes.select("graph"), "graph", "left_semi").groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("src", "dst", F.col("weight").cast("double").alias("w")))).alias("edges"))  # and their pairs
-        graphs = nodes.join(edges, "graph", "left").withColumn("m", F.aggregate(F.coalesce("edges", F.array()), F.lit(0.0), lambda s, e: s + e["w"]))
-        # Bell(most) strings of each length at most: a bounded table
-        strings = growth_strings(self.nodes.sparkSession, most)
-        at = lambda node: F.get("string", node.cast("int"))
-        total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda s, x: s + f(x))
-
-        def quality(c: Column) -> Column:
-            inside = total(F.coalesce("edges", F.array()), lambda e: F.when((at(e["src"]) == c) & (at(e["dst"]) == c), e["w"]).otherwise(0.0))
-            sums = [total(F.col("nodes"), lambda v, x=x: F.when(at(v["id"]) == c, v[x]).otherwise(0.0)) for x in ("strength", "node_weight")]
-            return share(inside, *sums, F.col("m"))
-
-        tried = graphs.join(F.broadcast(strings), "n").select("graph", "n", "string", F.round(F.aggregate(F.sequence(F.lit(0), F.array_max("string")), F.lit(0.0), lambda s, c: s + quality(c)), 9).alias("quality"))
-        best = tried.groupBy("graph", "n").agg(F.max("quality").alias("quality"), F.max_by("string", F.struct("quality", F.transform("string", lambda c: -c))).alias("community"))
-        return best.select("graph", F.col("n").cast("long").alias("n_nodes"), "quality", "community")
+        linked = F.coalesce("edges", F.array().cast("array<struct<src:long,dst:long,w:double>>"))
+        graphs = nodes.join(edges, "graph", "left").select("graph", "nodes.strength", "nodes.node_weight", *(linked[c].alias(c) for c in ("src", "dst", "w")))
+
+        def solve(parts):
+            for pdf in parts:
+                best = [best_partition(*row, objective) for row in zip(pdf.strength, pdf.node_weight, pdf.src, pdf.dst, pdf.w)]
+                yield pd.DataFrame({"graph": pdf.graph, "n_nodes": [len(c) for _, c in best], "quality": [q for q, _ in best], "community": [c for _, c in best]})
+
+        return spread(graphs).mapInPandas(solve, f"graph {key}, n_nodes long, quality double, community array<int>")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt by graph to many tasks: graphs are few bytes and long work, so that partitions joined by their bytes would leave it to a few. With as many as a shuffle has,
+    and not one more, Spark would take an earlier shuffle by graph for this one, and join its partitions."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, "graph")
+
+
+@lru_cache
+def growth_table(n: int) -> np.ndarray:
+    """All restricted growth strings of n numbers, one a column, in their order."""
+    rows = np.zeros((1, 1), np.int64)
+    for _ in range(n - 1):
+        more = rows.max(axis=1) + 2
+        last = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+        rows = np.column_stack((np.repeat(rows, more, axis=0), last))
+    return np.ascontiguousarray(rows.T)
+
+
+def best_partition(strength, weight, src, dst, w, objective: Objective) -> tuple[float, np.ndarray]:
+    """The best quality of one small graph's partitions, rounded to nine places, and the first string that has it."""
+    strings, m = growth_table(len(strength)), float(np.sum(w))
+    n, count = strings.shape
+    at, (inside, k, a, size) = strings * count + np.arange(count), np.zeros((4, n * count))  # at: each node's community of each string
+    for v in range(n):
+        k[at[v]] += strength[v]
+        a[at[v]] += weight[v]
+        size[at[v]] += 1
+    for x, y, by in zip(src, dst, w):
+        inside[at[x][strings[x] == strings[y]]] += by
+    if isinstance(objective, Rb):
+        m = max(m, 0.0)  # as community_share
+    share = np.where(size > 0, objective.community_quality(inside, k, a, m), 0.0)
+    quality = np.round(share.reshape(n, count).sum(axis=0), 9) + 0.0
+    best = int(quality.argmax())
+    return float(quality[best]), strings[:, best].astype(np.int32)
 
 
 def community_share(objective: Objective) -> Callable:
