@@ -43,6 +43,15 @@ def test_level_sums_and_coarsening_keep_the_quality(spark):
     assert up.n == 6 and {c: x[1:] for c, x in before.items()} == {c: x[1:] for c, x in after.items()}
 
 
+def test_rounds_send_no_table_through_the_driver(spark):
+    graph, _ = random_graph(spark, 24, 0.2, 4)
+    level, m = rounds.Level.of(graph), graph.total_weight()
+    table, _ = rounds.written_communities(level.communities(), Rb(), m)
+    states = level.vertices.select("node", rounds.F.col("community").alias("from"), rounds.F.lit(0).cast("long").alias("to"), "strength", "node_weight", "loop")
+    for found in (level.communities(), rounds.best_moves(level, table, Rb(), m, 1, level.vertices.where("node < 9").select("node")), partition.link_changes(level.links, states)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("objective", [Rb(1.0), Cpm(0.2)])
 def test_local_moves_end_where_no_single_move_gains(spark, objective):
     graph, _ = random_graph(spark, 24, 0.2, 3)
