@@ -63,6 +63,10 @@ def test_small_graphs_are_spread_over_tasks(spark, some):
     assert some.optimum(most=8).rdd.getNumPartitions() == 5
 
 
+def test_batch_leiden_is_spread_over_tasks_and_solved_once(some):
+    assert len(some.leiden().inputFiles()) > 1
+
+
 def test_optimum_takes_the_first_of_equal_partitions_and_ten_nodes(spark):
     nodes = spark.createDataFrame([(g, k) for g, n in enumerate((3, 4, 10, 11)) for k in range(n)], "graph long, id long")
     edges = spark.createDataFrame([(1, 0, 1, 1.0), (1, 2, 3, 1.0), (1, 1, 2, 0.5), (1, 3, 3, 0.5), *((2, k, k + 1, 1.0) for k in range(9))], "graph long, src long, dst long, weight double")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.objective import Cpm, Objective, Rb
 from . import kernel
+from .components import checkpointed
 from .graph import Graph, edge_ends, merged_edges
 from .leiden import LeidenConfig
 
@@ -81,7 +82,7 @@ class GraphBatch:
             arrays = kernel.Arrays.build(len(own), e.src.to_numpy(), e.dst.to_numpy(), e.w.to_numpy(), own.w.to_numpy())
             return pd.DataFrame({"graph": pdf.graph.iloc[0], "node": own.src.to_numpy(), "label": kernel.leiden(arrays, config.objective, float(e.w.sum()), config)})
 
-        return rows.groupBy("graph").applyInPandas(solve, f"graph {key}, node long, label long")
+        return checkpointed(spread(rows).groupBy("graph").applyInPandas(solve, f"graph {key}, node long, label long"), "labels")  # solved once, however often labels are read
 
     def optimum(self, objective: Objective | None = None, most: int = MOST_NODES) -> DataFrame:
         """(graph, n_nodes, quality, community array<int>): the best of all partitions of every graph of at most `most` nodes, the first in the order
