@@ -322,3 +322,19 @@ def test_a_graph_is_read_and_solved_once(spark):
         assert seen.value - before == e.count()
         assert labels.n_clusters(found) == 6 and found.count() == n
         assert seen.value - before == e.count()
+
+
+def test_edges_and_their_ends_are_spread_over_tasks(spark):
+    """Rows that are few bytes: partitions joined by their bytes would be one task's. What is found equals a plain loop over the edges."""
+    rows = [(a, b, 1.0) for a in range(12) for b in range(12) if a != b] + [(3, 3, 5.0)]
+    g = Graph.from_edges_with_node_weights(spark.range(12).select("id", F.lit(1.0).alias("node_weight")), edges_of(spark, rows), few_parallel=True)
+    p = spark.createDataFrame([(v, v // 5) for v in range(12)], "node long, community long")
+    k = p.select("node", (F.col("node") % 2).alias("community"))
+    inside = partition.neighbor_weights(g, p, k)
+    assert g.edges.rdd.getNumPartitions() == 5 and inside.rdd.getNumPartitions() == 5
+    for found, step in ((partition.neighbor_weights(g, p), 1), (inside, 2)):
+        want = {}
+        for a, b, w in rows:
+            if a != b and a % step == b % step:
+                want[a, b // 5] = want.get((a, b // 5), 0.0) + 2 * w  # both rows of a pair are one edge
+        assert {(r["node"], r["community"]): r["weight"] for r in found.collect()} == want

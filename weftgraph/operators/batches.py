@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.objective import Cpm, Objective, Rb
 from . import kernel
 from .components import checkpointed
-from .graph import Graph, edge_ends, merged_edges
+from .graph import Graph, edge_ends, merged_edges, spread
 from .leiden import LeidenConfig
 
 #: Nodes up to which all partitions of a graph are tried (115,975 for ten).
@@ -82,7 +82,7 @@ class GraphBatch:
             arrays = kernel.Arrays.build(len(own), e.src.to_numpy(), e.dst.to_numpy(), e.w.to_numpy(), own.w.to_numpy())
             return pd.DataFrame({"graph": pdf.graph.iloc[0], "node": own.src.to_numpy(), "label": kernel.leiden(arrays, config.objective, float(e.w.sum()), config)})
 
-        return checkpointed(spread(rows).groupBy("graph").applyInPandas(solve, f"graph {key}, node long, label long"), "labels")  # solved once, however often labels are read
+        return checkpointed(spread(rows, "graph").groupBy("graph").applyInPandas(solve, f"graph {key}, node long, label long"), "labels")  # solved once, however often labels are read
 
     def optimum(self, objective: Objective | None = None, most: int = MOST_NODES) -> DataFrame:
         """(graph, n_nodes, quality, community array<int>): the best of all partitions of every graph of at most `most` nodes, the first in the order
@@ -100,13 +100,7 @@ class GraphBatch:
                 best = [best_partition(*row, objective) for row in zip(pdf.strength, pdf.node_weight, pdf.src, pdf.dst, pdf.w)]
                 yield pd.DataFrame({"graph": pdf.graph, "n_nodes": [len(c) for _, c in best], "quality": [q for q, _ in best], "community": [c for _, c in best]})
 
-        return spread(graphs).mapInPandas(solve, f"graph {key}, n_nodes long, quality double, community array<int>")
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """rows dealt by graph to many tasks: graphs are few bytes and long work, so that partitions joined by their bytes would leave it to a few. With as many as a shuffle has,
-    and not one more, Spark would take an earlier shuffle by graph for this one, and join its partitions."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, "graph")
+        return spread(graphs, "graph").mapInPandas(solve, f"graph {key}, n_nodes long, quality double, community array<int>")
 
 
 @lru_cache
