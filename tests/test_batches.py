@@ -8,6 +8,7 @@ from weftgraph.functions import metrics
 from weftgraph.functions.objective import Cpm, Rb
 from weftgraph.operators import batches, kernel, leiden, partition
 from weftgraph.operators.graph import Graph
+from weftgraph.plans import catalogue
 from weftgraph.sources import csr, files, generators
 
 
@@ -90,6 +91,19 @@ def test_batch_sums_equal_each_graph_alone_and_the_odd_ones(spark, some):
     assert ("barbell", 5) in sizes and ("separate cliques", 5) in sizes and ("no edges", 1) in sizes
 
 
+def test_sums_of_small_graphs_are_spread_over_tasks_and_keep_ends_beside_unlabelled_nodes(spark):
+    """Rows that are few bytes: partitions joined by their bytes would be one task's."""
+    nodes = spark.createDataFrame([(g, v) for g in range(3) for v in range(4)], "graph long, id long")
+    edges = spark.createDataFrame([(g, *e) for g in range(3) for e in ((0, 1, 2.0), (1, 2, 1.0), (2, 3, 4.0), (3, 3, 8.0))], "graph long, src long, dst long, weight double")
+    part = nodes.where("id <> 2").selectExpr("graph", "id node", "id div 2 community")
+    for small in (True, False):
+        table = batches.GraphBatch.from_edges(nodes, edges, small).communities(part)
+        assert {tuple(r) for r in table.collect()} == {x for g in range(3) for x in ((g, 0, 2, 2.0, 5.0, 2.0), (g, 1, 1, 1.0, 20.0, 8.0))}
+        assert not small or table.rdd.getNumPartitions() == 5
+    b = catalogue.order_batch(spark, "/root/testdata/sf0.001")
+    assert b.small and b.edges.rdd.getNumPartitions() == 5
+
+
 def test_fixture_documents_round_trip_to_a_summary(spark, some, tmp_path):
     from pyspark.sql import functions as F
 

@@ -27,18 +27,20 @@ MOST_NODES = 10
 
 @dataclass(frozen=True)
 class GraphBatch:
-    """nodes(graph, id, node_weight), ids 0..n-1 in every graph, and edges(graph, src, dst, weight), each once with src <= dst."""
+    """nodes(graph, id, node_weight), ids 0..n-1 in every graph, and edges(graph, src, dst, weight), each once with src <= dst. Where all graphs are
+    small, sums by community save few rows before a shuffle, so that rows are dealt to tasks by graph first."""
 
     nodes: DataFrame
     edges: DataFrame
+    small: bool = False
 
     @classmethod
-    def from_edges(cls, nodes: DataFrame, edges: DataFrame) -> GraphBatch:
+    def from_edges(cls, nodes: DataFrame, edges: DataFrame, small: bool = False) -> GraphBatch:
         """nodes(graph, id) or (graph, id, node_weight); parallel edges are summed, those of weight zero dropped."""
         w = F.col("node_weight").cast("double") if "node_weight" in nodes.columns else F.lit(1.0)
         low, high = F.least("src", "dst").cast("long").alias("src"), F.greatest("src", "dst").cast("long").alias("dst")
         total = edges.select("graph", low, high, F.col("weight").cast("float").cast("double").alias("weight")).groupBy("graph", "src", "dst").agg(F.sum("weight").cast("float").alias("weight"))
-        return cls(nodes.select("graph", F.col("id").cast("long").alias("id"), w.alias("node_weight")), total.where("weight <> 0"))
+        return cls(nodes.select("graph", F.col("id").cast("long").alias("id"), w.alias("node_weight")), total.where("weight <> 0"), small)
 
     def alone(self, key) -> Graph:
         """One of the graphs."""
@@ -59,10 +61,15 @@ class GraphBatch:
     def communities(self, partition: DataFrame) -> DataFrame:
         """(graph, community, size, weight, strength, internal) of partition(graph, node, community)."""
         p = partition.select("graph", F.col("node").alias("id"), "community")
-        own = self.nodes.join(self.strengths(), ["graph", "id"]).join(p, ["graph", "id"]).groupBy("graph", "community").agg(F.count(F.lit(1)).alias("size"), F.sum("node_weight").alias("weight"), F.sum("strength").alias("strength"))
-        a, b = p.select("graph", F.col("id").alias("src"), "community"), p.select("graph", F.col("id").alias("dst"), F.col("community").alias("_other"))
-        inside = self.edges.join(a, ["graph", "src"]).join(b, ["graph", "dst"]).where("community = _other").groupBy("graph", "community").agg(F.sum(F.col("weight").cast("double")).alias("internal"))
-        return own.join(inside, ["graph", "community"], "left").select("graph", "community", "size", "weight", "strength", F.coalesce("internal", F.lit(0.0)).alias("internal"))
+        own = spread(self.nodes, "graph", "id").join(spread(p, "graph", "id"), ["graph", "id"])
+        ends = self.edges.select("graph", "src", "dst", F.col("weight").cast("double").alias("w"))
+        for end, name in (("src", "_a"), ("dst", "_b")):
+            ends = spread(ends, "graph", end).join(own.select("graph", F.col("id").alias(end), F.col("community").alias(name)), ["graph", end], "left")
+        none = F.lit(0.0)
+        side = lambda c, w, inside: F.struct(F.col(c).alias("community"), F.lit(0).cast("long").alias("size"), none.alias("weight"), w.alias("strength"), inside.alias("internal"))
+        sides = F.when(F.col("_a") == F.col("_b"), F.array(side("_a", F.col("w") * 2, F.col("w")))).otherwise(F.array(side("_a", F.col("w"), none), side("_b", F.col("w"), none)))
+        rows = ends.select("graph", F.inline(sides)).where("community is not null").unionByName(own.select("graph", "community", F.lit(1).cast("long").alias("size"), F.col("node_weight").alias("weight"), none.alias("strength"), none.alias("internal")))
+        return (spread(rows, "graph") if self.small else rows).groupBy("graph", "community").agg(*(F.sum(c).alias(c) for c in ("size", "weight", "strength", "internal")))
 
     def qualities(self, partition: DataFrame, objective: Objective | None = None) -> DataFrame:
         """(graph, quality) of every graph that has nodes."""
