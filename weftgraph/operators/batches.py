@@ -74,7 +74,8 @@ class GraphBatch:
     def qualities(self, partition: DataFrame, objective: Objective | None = None) -> DataFrame:
         """(graph, quality) of every graph that has nodes."""
         share = community_share(objective or Rb())
-        table = self.communities(partition).join(self.totals().select("graph", "total_weight"), "graph")
+        m = self.edges.groupBy("graph").agg(F.sum(F.col("weight").cast("double")).alias("total_weight"))
+        table = self.communities(partition).join(m, "graph", "left").withColumn("total_weight", F.coalesce("total_weight", F.lit(0.0)))
         return table.groupBy("graph").agg(F.sum(share(F.col("internal"), F.col("strength"), F.col("weight"), F.col("total_weight"))).alias("quality"))
 
     def leiden(self, config: LeidenConfig | None = None) -> DataFrame:
