@@ -338,3 +338,11 @@ def test_edges_and_their_ends_are_spread_over_tasks(spark):
             if a != b and a % step == b % step:
                 want[a, b // 5] = want.get((a, b // 5), 0.0) + 2 * w  # both rows of a pair are one edge
         assert {(r["node"], r["community"]): r["weight"] for r in found.collect()} == want
+
+
+def test_ends_and_nodes_are_not_broadcast(spark):
+    """Tables of few bytes: what is broadcast goes through the driver, and edges and nodes in files are more rows than their bytes tell."""
+    g = Graph.from_edges(12, edges_of(spark, [(a, b, 1.0) for a in range(12) for b in range(a)]))
+    p = spark.range(12).select(F.col("id").alias("node"), F.expr("id div 5").alias("community"))
+    for found in (partition.neighbor_weights(g, p), partition.neighbor_weights(g, p, p.select("node", (F.col("node") % 2).alias("community")))):
+        assert "SortMergeJoin" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "Broadcast" not in plan
