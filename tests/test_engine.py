@@ -93,6 +93,46 @@ def test_components(spark):
     assert {found[k] for k in range(21)} == {0} and found[31] == 30 and found[40] == 40
 
 
+def test_tasks_put_together_what_their_edges_link(spark):
+    from weftgraph.operators.components import least_linked, linked_in_tasks
+
+    rng = np.random.default_rng(14)
+    u, v = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    ids, root = least_linked(u, v)
+    group = {int(k): {int(k)} for k in ids}
+    for a, b in zip(u.tolist(), v.tolist()):
+        both = group[a] | group[b]
+        for k in both:
+            group[k] = both
+    assert dict(zip(ids.tolist(), root.tolist())) == {k: min(x) for k, x in group.items()}
+    dense = spark.createDataFrame([(c * 60 + a, c * 60 + 30 + b) for c in range(3) for a in range(30) for b in range(30)], "src long, dst long").repartition(4)
+    assert linked_in_tasks(dense.toDF("u", "v")).count() < 400  # 2,700 edges of 180 nodes
+    assert dict(components(dense).collect()) == {k: k // 60 * 60 for k in range(180)}
+
+
+def test_components_are_solved_in_tasks_of_their_own(spark):
+    n, e, truth = generators.ring_of_cliques(spark, 6, 5)
+    g = Graph.from_edges(n, e.where("floor(src / 5) = floor(dst / 5)"))
+    comps = truth.select("node", (F.col("label") * 5).alias("component"))
+    found = leiden.kernel_labels(g, comps, leiden.LeidenConfig(), g.total_weight())
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    assert {r["node"]: r["label"] for r in found.collect()} == {k: k // 5 * 5 for k in range(30)}
+
+
+@pytest.mark.parametrize(("cells", "big"), [(0, 1), (0, 1 << 45), (8, 1), (10**6, 1)])  # 1 << 45: keys and places do not fit in one number
+def test_sums_of_pairs_and_the_best_of_a_row(cells, big, monkeypatch):
+    monkeypatch.setattr(kernel, "CELLS", cells)
+    rng = np.random.default_rng(15)
+    row, col, w = np.concatenate((np.arange(50), rng.integers(0, 50, 850))), rng.integers(0, 40, 900) * 7, rng.random(900)
+    total: dict = {}
+    for a, b, x in zip(row.tolist(), col.tolist(), w.tolist()):
+        total[a, b] = total.get((a, b), 0.0) + x
+    k, to, got = kernel.summed(row * big, col, w, 50 * big, 280)
+    assert list(zip((k // big).tolist(), to.tolist())) == sorted(total) and got.tolist() == [total[x] for x in sorted(total)]
+    value = np.round(got, 1)  # some are equal
+    assert kernel.best_of(k // big, value, 50).tolist() == np.lexsort((to, -value, k))[np.searchsorted(k // big, np.arange(50))].tolist()
+
+
 def test_bad_config():
     with pytest.raises(errors.InvalidConfig):
         leiden.LeidenConfig(tolerance=float("nan")).validate()
