@@ -346,6 +346,20 @@ def test_a_graph_of_points_is_searched_once(spark):
     assert seen.value == before > 0
 
 
+@pytest.mark.parametrize("name", ["best_move_per_node", "knn_graph", "leiden_capped", "leiden_cpm", "louvain_embeddings"])
+def test_graphs_of_points_rest_on_exact_lists_whatever_their_number(spark, tmp_path, monkeypatch, name):
+    from weftgraph.plans import catalogue
+
+    x = np.random.default_rng(16).normal(size=(90, 3)).astype(np.float32)
+    spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = lambda: sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect()))
+    own = rows()
+    monkeypatch.setattr(knn, "APPROXIMATE_FROM", 10, raising=False)  # the switch there was
+    monkeypatch.setattr(knn, "nearest_approximate", lambda *_: pytest.fail("searched approximately"))
+    monkeypatch.setattr(knn, "BLOCK", 12)  # blocks change nothing either
+    assert rows() == own
+
+
 def test_a_graph_is_read_and_solved_once(spark):
     n, e, _ = generators.ring_of_cliques(spark, 6, 5)
     seen = spark.sparkContext.accumulator(0)
