@@ -360,6 +360,14 @@ def test_graphs_of_points_rest_on_exact_lists_whatever_their_number(spark, tmp_p
     assert rows() == own
 
 
+def test_knn_recall_asks_for_all_points(spark, tmp_path):
+    from weftgraph.plans import catalogue
+
+    x = np.random.default_rng(17).normal(size=(250, 6)).astype(np.float32)
+    spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert catalogue.knn_recall(spark, str(tmp_path)).collect() == [(250, 250 * 16, True)]
+
+
 def test_a_graph_is_read_and_solved_once(spark):
     n, e, _ = generators.ring_of_cliques(spark, 6, 5)
     seen = spark.sparkContext.accumulator(0)
