@@ -83,3 +83,14 @@ def test_rounds_on_empty_and_edgeless_graphs(spark):
     none = spark.createDataFrame([], "src long, dst long, weight double")
     assert leiden.leiden_by_rounds(Graph.from_edges(0, none)).count() == 0
     assert sorted(r["label"] for r in leiden.leiden_by_rounds(Graph.from_edges(3, none)).collect()) == [0, 1, 2]
+
+
+def test_best_moves_deal_links_by_nodes_alone(spark):
+    n, e, _ = generators.ring_of_cliques(spark, 4, 5)
+    g = Graph.from_edges(n, e)
+    level = rounds.Level.of(g)
+    found = rounds.best_moves(level, rounds.written(level.communities(), "communities"), Rb(1.0), g.total_weight(), rounds.FRESH)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(node#" in plan and "hashpartitioning(to#" not in plan and "Broadcast" not in plan
+    moves = {r["node"]: r for r in found.collect()}
+    assert all(moves[k]["from"] == k and moves[k]["to"] // 5 == k // 5 and moves[k]["gain"] > 0 for k in range(20))
